@@ -93,4 +93,4 @@ def test_lenient_numbers(spark):
     comma, blank = derive(spark, dict(name="Siers kg", quantity="0,5", line_total="2,00", unit_price="4,00"),
                           dict(name="Siers", quantity=None, line_total=None, unit_price="x"))
     assert comma.normalized_unit_price == Decimal("4.0000")
-    assert blank.quantity == 1 and blank.line_total == 0 and blank.unit_price == 0
+    assert blank.quantity == 1 and blank.line_total == 0 and blank.unit_price is None

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import vocabulary as V
-from tillroll.functions.columns import first_true, is_blank, lookup
+from tillroll.functions.columns import first_true, is_blank, lookup, settled
 
 
 def reporting_label(category: Column) -> Column:
@@ -108,7 +108,7 @@ def classify(df: DataFrame, name: str = "name", out: str = "predicted") -> DataF
     label = first_true([(closed, F.lit(V.UNRESOLVED)),
                         *[(alive[c], F.lit(c)) for c in V.CATEGORY_PRIORITY],
                         (F.lit(True), F.lit(V.UNRESOLVED))])
-    return df.select(*keep, label.alias(out))
+    return df.select(*keep, settled(label).alias(out))
 
 
 def label_source(category: Column) -> Column:

@@ -54,9 +54,10 @@ def first_true(rules) -> Column:
 
 
 def codes(rules) -> Column:
-    """Sorted, distinct codes of all conditions that hold."""
-    return F.array_sort(F.array_distinct(F.array_compact(
-        F.array(*[F.when(condition, F.lit(code)) for code, condition in rules]))))
+    """Sorted codes of all conditions that hold; each code is listed once."""
+    joined = F.concat_ws(",", *[F.when(condition, F.lit(code)) for code, condition in sorted(
+        rules, key=lambda rule: rule[0])])
+    return F.when(joined != "", F.split(joined, ",")).otherwise(F.array().cast("array<string>"))
 
 
 def e4(value: Column) -> Column:
@@ -75,8 +76,18 @@ def month_of(date_text: Column) -> Column:
 
 def iso_date(date_text: Column) -> Column:
     """Calendar date of a strict `yyyy-MM-dd` text, NULL for anything else."""
-    return F.when(date_text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(date_text, F.lit("yyyy-MM-dd")))
+    return F.when(date_text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(date_text, "yyyy-MM-dd"))
 
 
 def day_number(date_text: Column) -> Column:
     return F.unix_date(iso_date(date_text))
+
+
+def settled(value: Column) -> Column:
+    """The value behind a one-element generator.
+
+    A filter above a projection is rewritten in terms of what the projection reads. Over a
+    long chain of derived columns that copies the whole chain, many times over. A generator
+    stops it: the chain is evaluated once per row and the filter tests the result.
+    """
+    return F.explode(F.array(value))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tillroll import vocabulary as V
 from tillroll.functions.columns import (
     AMOUNT, CONFIDENCE, UNICODE, codes, first_group, first_true, literal_map, lookup, one_space,
-    parse_decimal,
+    parse_decimal, settled,
 )
 
 # --- fixed values: unit spellings and service-line patterns -------------------------------
@@ -34,65 +34,96 @@ def is_service_line(name: Column) -> Column:
     return text.rlike(r"(?iuU)^(?:" + "|".join(f"(?:{p})" for p in SERVICE_PATTERNS) + ")$")
 
 
-def package_size(name: Column) -> Column:
-    """struct(size, unit, warning): at most one of a size and a warning is set.
+def with_package(df: DataFrame, name: str, out: str = "package") -> DataFrame:
+    """Add `out` = struct(size, unit, warning): at most one of a size and a warning is set.
 
-    The guards are tried in order; the first that fits rejects the measure.
+    The guards are tried in order; the first that fits rejects the measure. Every pattern
+    is a column of its own, so that it runs once per row however often it is used.
     """
-    raw = F.lower(F.coalesce(name, F.lit("")))
+    keep = [c for c in df.columns if c != out]
     aged = UNICODE + r"(?<!\w)(\d{1,2})\+\s*(\d+(?:[.,]\d+)?)\s*(g|ml)\b"
     measure = UNICODE + rf"(?<![\w+])(\d+(?:[.,]\d+)?)\s*({UNITS})\b"
     wide = "decimal(28,4)"
 
-    months = F.regexp_extract(raw, aged, 1).try_cast("int")
-    aged_size = parse_decimal(F.regexp_extract(raw, aged, 2), wide)
-    rest = F.array_join(F.split(raw, aged, 2), "")
-    aged_ok = months.between(1, 36) & ~rest.rlike(measure) & (aged_size > 0) & (
-        aged_size <= V.MAX_PACKAGE_BASE_UNITS)
+    df = df.withColumn("_raw", F.lower(F.coalesce(F.col(name), F.lit(""))))
+    raw = F.col("_raw")
+    # A name without a digit has no measure: skip the costly patterns.
+    df = df.withColumn("_digit", raw.rlike("[0-9]") | raw.rlike(UNICODE + r"\d"))
 
-    spelled = F.regexp_extract(raw, measure, 2)
-    value = parse_decimal(F.regexp_extract(raw, measure, 1), wide)
-    unit = F.try_element_at(literal_map({k: u for k, (_, u) in V.PACKAGE_UNITS.items()}), spelled)
-    size = F.round(F.when(spelled.isin("l", "kg"), value * 1000).otherwise(value), 3).cast(wide)
-    limit = F.when(unit == "piece", V.MAX_PACKAGE_PIECES).otherwise(V.MAX_PACKAGE_BASE_UNITS)
+    def found(pattern):
+        return F.col("_digit") & raw.rlike(UNICODE + pattern)
 
-    warning = first_true([
-        (raw.rlike(UNICODE + rf"\b\d+\s*[xх×]\s*\d+(?:[.,]\d+)?\s*{UNITS}\b"), "multipack_unresolved"),
-        (raw.rlike(aged), F.when(~F.coalesce(aged_ok, F.lit(False)), F.lit("age_package_ambiguous"))),
-        (raw.rlike(UNICODE + r"\b\d+\s*\++\s*\d+(?:[.,]\d+)?\s*(?:g|ml)\b"), "age_package_ambiguous"),
-        (raw.rlike(UNICODE + rf"\d+\s*,\s+\d+\s*{UNITS}\b"), "ambiguous_package_size"),
-        (raw.rlike(UNICODE + rf"\d+\s*\+\s*{UNITS}\b"), "weighted_measurement_ambiguous"),
-        (raw.rlike(UNICODE + rf"[^\W\d_]\d+(?:[.,]\d+)?\s*{UNITS}\b"), "ambiguous_package_size"),
-        (F.regexp_count(raw, F.lit(measure)) > 1, "ambiguous_package_size"),
-        (~raw.rlike(measure), F.lit(None).cast("string")),
+    df = df.withColumns({
+        "_measures": F.when(F.col("_digit"), F.regexp_extract_all(raw, F.lit(measure), F.lit(0))),
+        "_age": F.when(F.contains(raw, F.lit("+")), first_group(raw, aged, 0)),
+        "_plus": F.contains(raw, F.lit("+")),
+    })
+    df = df.withColumns({
+        "_count": F.coalesce(F.size("_measures"), F.lit(0)),
+        "_one": F.try_element_at("_measures", F.lit(1)),
+    })
+    df = df.withColumns({
+        "_count": F.greatest("_count", F.lit(0)),
+        "_number": F.regexp_extract("_one", r"^[\d.,]*\d", 0),
+        "_spelled": F.regexp_extract("_one", r"[a-z]+$", 0),
+        "_months": F.regexp_extract("_age", UNICODE + r"^(\d+)\+", 1).try_cast("int"),
+        "_age_size": parse_decimal(F.regexp_extract("_age", UNICODE + r"\+\s*([\d.,]+)", 1), wide),
+        "_rest": F.when(F.col("_age").isNotNull(), F.array_join(F.split(raw, aged, 2), "")),
+    })
+    df = df.withColumns({
+        "_value": parse_decimal(F.col("_number"), wide),
+        "_base": F.try_element_at(literal_map({k: u for k, (_, u) in V.PACKAGE_UNITS.items()}), F.col("_spelled")),
+        "_age_ok": F.coalesce(F.col("_months").between(1, 36) & (F.col("_age_size") > 0) & (
+            F.col("_age_size") <= V.MAX_PACKAGE_BASE_UNITS) & ~F.col("_rest").rlike(measure), F.lit(False)),
+    })
+    value, unit = F.col("_value"), F.col("_base")
+    size = F.round(F.when(F.col("_spelled").isin("l", "kg"), value * 1000).otherwise(value), 3).cast(wide)
+    limit = F.when(unit == "piece", V.MAX_PACKAGE_PIECES).otherwise(V.MAX_PACKAGE_BASE_UNITS)
+    aged_found = F.col("_age").isNotNull()
+    df = df.withColumn("_size", size)
+    df = df.withColumn("_warning", first_true([
+        (found(rf"\b\d+\s*[xх×]\s*\d+(?:[.,]\d+)?\s*{UNITS}\b"), "multipack_unresolved"),
+        (aged_found & F.col("_age_ok"), F.lit(None).cast("string")),
+        (aged_found, "age_package_ambiguous"),
+        (F.col("_plus") & found(r"\b\d+\s*\++\s*\d+(?:[.,]\d+)?\s*(?:g|ml)\b"), "age_package_ambiguous"),
+        (F.contains(raw, F.lit(",")) & found(rf"\d+\s*,\s+\d+\s*{UNITS}\b"), "ambiguous_package_size"),
+        (F.col("_plus") & found(rf"\d+\s*\+\s*{UNITS}\b"), "weighted_measurement_ambiguous"),
+        (found(rf"[^\W\d_]\d+(?:[.,]\d+)?\s*{UNITS}\b"), "ambiguous_package_size"),
+        (F.col("_count") > 1, "ambiguous_package_size"),
+        (F.col("_count") == 0, F.lit(None).cast("string")),
         ((unit == "piece") & (value != F.floor(value)), "invalid_package_size"),
         ((unit == "piece") & raw.rlike(
             UNICODE + r"(?:\b(?:komplekts|mānekļi|rotaļlietas)\b|\bmānekļ\.)"), "ambiguous_package_size"),
-        (size <= 0, "invalid_package_size"),
-        (size.isNull() | (size > limit), "ambiguous_package_size"),
-    ])
-    found = warning.isNull() & raw.rlike(measure)
-    from_age = warning.isNull() & raw.rlike(aged)
-    return F.struct(
-        F.when(from_age, aged_size).when(found, size).cast(AMOUNT).alias("size"),
-        F.when(from_age, F.regexp_extract(raw, aged, 3)).when(found, unit).alias("unit"),
-        warning.alias("warning"),
+        (F.col("_size") <= 0, "invalid_package_size"),
+        (F.col("_size").isNull() | (F.col("_size") > limit), "ambiguous_package_size"),
+    ]))
+    clean = F.col("_warning").isNull()
+    package = F.struct(
+        F.when(clean & aged_found, F.col("_age_size")).when(
+            clean & (F.col("_count") == 1), F.col("_size")).cast(AMOUNT).alias("size"),
+        F.when(clean & aged_found, F.regexp_extract("_age", r"(g|ml)$", 1)).when(
+            clean & (F.col("_count") == 1), unit).alias("unit"),
+        F.col("_warning").alias("warning"),
     )
+    return df.select(*keep, package.alias(out))
 
 
-def name_evidence(name: Column) -> Column:
-    """Everything the price model reads from the name alone.
+def with_name_evidence(df: DataFrame, name: str = "name", out: str = "evidence") -> DataFrame:
+    """Add struct `out`: everything the price model reads from the name alone.
 
-    A pure function of the name: where names repeat, compute it once per distinct name
-    and carry the struct along.
+    Narrow. It depends on the name only, so where names repeat it is computed on the
+    table of names and carried along.
     """
-    return F.struct(
-        is_service_line(name).alias("service"),
-        F.coalesce(name, F.lit("")).rlike(r"(?iuU)\b(?:čeks|ceks|receipt|rēķins)\b").alias("contaminated"),
-        package_size(name).alias("package"),
-        first_group(F.lower(F.trim(F.coalesce(name, F.lit("")))),
-                    UNICODE + r"\b(kg|l)(?:\s+\d+\.\s*šķ\.)?\s*$").alias("weight_unit"),
+    keep = [c for c in df.columns if c != out]
+    df = with_package(df, name, "_package")
+    text = F.coalesce(F.col(name), F.lit(""))
+    struct = F.struct(
+        is_service_line(F.col(name)).alias("service"),
+        text.rlike(r"(?iuU)\b(?:čeks|ceks|receipt|rēķins)\b").alias("contaminated"),
+        F.col("_package").alias("package"),
+        first_group(F.lower(F.trim(text)), UNICODE + r"\b(kg|l)(?:\s+\d+\.\s*šķ\.)?\s*$").alias("weight_unit"),
     )
+    return df.select(*keep, settled(struct).alias(out))
 
 
 def prices_differ(quantity: Column, unit_price: Column, total: Column) -> Column:
@@ -117,9 +148,12 @@ def derive_price(df: DataFrame, *, name: str = "name", evidence: str | None = No
         return parse_decimal(given(value)) if text else given(value).cast(AMOUNT)
 
     keep = df.columns
+    if evidence is None:
+        df = with_name_evidence(df, name, "_ev")
+    else:
+        df = df.withColumn("_ev", F.col(evidence))
     numbers = {"_q_in": number(quantity), "_given_total": number(line_total),
                "_listed": number(unit_price), "_size_in": number(package_size)}
-    df = df.withColumn("_ev", F.col(evidence) if evidence else name_evidence(F.col(name)))
     df = df.withColumns({
         **numbers,
         "_unit": quantity_unit(given(unit)),
@@ -132,7 +166,6 @@ def derive_price(df: DataFrame, *, name: str = "name", evidence: str | None = No
         "_t": F.coalesce(F.col("_given_total"), F.lit(0).cast(AMOUNT)),
     })
     total = F.col("_t")
-    whole = F.col("_q") == F.floor(F.col("_q"))
     df = df.withColumns({
         "_effective": F.when(F.col("_given_total").isNotNull() & (F.col("_q") > 0) & (total >= 0),
                              F.round(F.try_divide(total, F.col("_q")), 4).cast(AMOUNT)).otherwise(F.col("_listed")),
@@ -143,11 +176,11 @@ def derive_price(df: DataFrame, *, name: str = "name", evidence: str | None = No
         "_supplied_unit": F.when(supplied, F.when(F.col("_size_unit") == "kg", F.lit("g")).when(
             F.col("_size_unit") == "l", F.lit("ml")).otherwise(F.col("_size_unit"))),
         "_physical": F.col("_unit").isin(PHYSICAL_UNITS),
-        "_whole": whole,
+        "_whole": F.col("_q") == F.floor("_q"),
     })
-    settled = (F.col("_source") == "manual_correction") & (F.col("_supplied_size").isNotNull() | F.col("_physical"))
+    reviewed = (F.col("_source") == "manual_correction") & (F.col("_supplied_size").isNotNull() | F.col("_physical"))
     df = df.withColumns({
-        "_package_warning": F.when(~(settled & F.col("_ev.package.warning").isin(V.AMBIGUOUS_PACKAGE_WARNINGS)),
+        "_package_warning": F.when(~(reviewed & F.col("_ev.package.warning").isin(V.AMBIGUOUS_PACKAGE_WARNINGS)),
                                    F.col("_ev.package.warning")),
         "_listed_mismatch": F.col("_listed").isNotNull() & F.col("_given_total").isNotNull() & (
             F.col("_q") > 0) & ~F.col("_listed_ok"),
@@ -233,7 +266,7 @@ def derive_price(df: DataFrame, *, name: str = "name", evidence: str | None = No
         F.when(capped, F.lit("0.70").cast(CONFIDENCE)).otherwise(F.col("_graded")).alias("confidence"),
         F.col("_warnings").alias("warnings"),
     )
-    return df.select(*[c for c in keep if c != out], model.alias(out))
+    return df.select(*[c for c in keep if c != out], settled(model).alias(out))
 
 
 def units_comparable(left: str, right: str) -> Column:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll.functions.columns import UNICODE_FOLD, first_true, one_space
-from tillroll.functions.price import UNITS, is_service_line, package_size
+from tillroll.functions.price import UNITS, is_service_line, with_package
 
 # --- fixed values: line and name patterns -------------------------------------------------
 METADATA_PATTERNS = [
@@ -51,9 +51,7 @@ def name_issue(name: Column) -> Column:
     ])
 
 
-def contamination(name: Column) -> Column:
-    """Exactly one of ten contamination classes."""
-    text = one_space(name)
+def _contamination(text: Column, package_warning: Column) -> Column:
     return first_true([
         (text.rlike(UNICODE_FOLD + ANY_SPLIT_DECIMAL), "ocr_decimal_corruption"),
         (text.rlike(UNICODE_FOLD + MISREAD_KG), "ocr_lkg"),
@@ -63,18 +61,26 @@ def contamination(name: Column) -> Column:
         (is_service_line(text), "service_line"),
         (text.rlike(UNICODE_FOLD + MULTIPACK), "multipack"),
         (text.rlike(UNICODE_FOLD + GLUED_PACKAGE), "glued_tokens"),
-        (F.coalesce(package_size(text)["warning"].isin("ambiguous_package_size", "invalid_package_size"),
-                    F.lit(False)), "ambiguous_package_size"),
+        (F.coalesce(package_warning.isin("ambiguous_package_size", "invalid_package_size"), F.lit(False)),
+         "ambiguous_package_size"),
         (F.lit(True), "unknown"),
     ])
 
 
-def projected_action(name: Column) -> Column:
-    """What today's parser would do with the name."""
-    repaired = repair_text(name)
-    return first_true([
-        (is_metadata_line(repaired) | name_issue(repaired).isNotNull(), "rejected"),
-        (contamination(repaired).isin("multipack", "ambiguous_package_size"), "unresolved"),
-        (repaired != name, "corrected"),
+def with_contamination(df: DataFrame, name: str = "name") -> DataFrame:
+    """Add `contamination` (one of ten classes) and `action`, what today's parser would do."""
+    keep = [c for c in df.columns if c not in ("contamination", "action")]
+    df = df.withColumns({"_text": one_space(F.col(name)), "_repaired": repair_text(F.col(name))})
+    df = df.withColumn("_repaired_text", one_space(F.col("_repaired")))
+    df = with_package(with_package(df, "_text", "_p"), "_repaired_text", "_rp")
+    df = df.withColumns({
+        "contamination": _contamination(F.col("_text"), F.col("_p.warning")),
+        "_after": _contamination(F.col("_repaired_text"), F.col("_rp.warning")),
+    })
+    action = first_true([
+        (is_metadata_line(F.col("_repaired")) | name_issue(F.col("_repaired")).isNotNull(), "rejected"),
+        (F.col("_after").isin("multipack", "ambiguous_package_size"), "unresolved"),
+        (F.col("_repaired") != F.col(name), "corrected"),
         (F.lit(True), "unchanged"),
     ])
+    return df.select(*keep, "contamination", action.alias("action"))
