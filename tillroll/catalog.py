@@ -58,6 +58,10 @@ class Data:
     def graded_obs(self) -> DataFrame:
         return observe(self.graded_items, self.receipts)
 
+    @property
+    def price_lines(self) -> DataFrame:
+        return prices.price_lines(self.graded_obs)
+
     def table(self, name: str) -> DataFrame:
         return tables.read(self.spark, self.folder, name)
 
@@ -130,14 +134,14 @@ query("price_eligibility")(lambda d: prices.graded(d.graded_obs).groupBy(F.coale
     F.count("*").alias("lines")))
 
 # --- price history ------------------------------------------------------------------------
-query("price_deviation")(lambda d: prices.deviation_report(prices.price_deviation(d.graded_obs)))
-query("receipt_price_summary")(lambda d: prices.receipt_price_summary(prices.price_deviation(d.graded_obs)))
-query("price_evidence_summary")(lambda d: prices.evidence_summary(prices.price_deviation(d.graded_obs)))
-query("price_trend")(lambda d: prices.price_trend(d.graded_obs))
-query("store_levels")(lambda d: prices.rank_stores(prices.store_levels(d.graded_obs)).select(
+query("price_deviation")(lambda d: prices.deviation_report(prices.price_deviation(d.price_lines)))
+query("receipt_price_summary")(lambda d: prices.receipt_price_summary(prices.price_deviation(d.price_lines)))
+query("price_evidence_summary")(lambda d: prices.evidence_summary(prices.price_deviation(d.price_lines)))
+query("price_trend")(lambda d: prices.price_trend(d.price_lines))
+query("store_levels")(lambda d: prices.rank_stores(prices.store_levels(d.price_lines)).select(
     "identity", "normalized_price_unit", "store", "position", "observation_count", "latest_date",
     *[F.col(c).cast("double").alias(c) for c in ("median_price", "min_price", "max_price")]))
-query("store_comparison")(lambda d: prices.store_comparison(d.graded_obs))
+query("store_comparison")(lambda d: prices.store_comparison(d.price_lines))
 query("product_dossier")(lambda d: prices.product_dossier(d.obs))
 query("dossier_stores")(lambda d: prices.dossier_stores(d.sold))
 query("dossier_aliases")(lambda d: prices.dossier_aliases(d.sold))

@@ -3,9 +3,9 @@
 A series is one product at one price unit. The window is the 180 days before a line plus
 the lines of its own day that come first by (receipt_id, id). No built-in frame has both a
 range of days and a tuple order, and a median over a sliding frame would be computed anew
-for every line, so the last step is a grouped Arrow function. Its input is bounded:
+for every line, so the last step is an Arrow function. Its state is bounded:
 
-* a series of at most MAX_SERIES_ROWS lines is one group;
+* a series of at most MAX_SERIES_ROWS lines passes through one task in order;
 * a longer one is cut into ticks (a day, or a slice of a day that is itself too long). The
   window up to a tick is summed by Spark into price -> count, so a group holds the lines of
   one tick and the distinct prices of its window. No line is dropped.
@@ -14,6 +14,8 @@ for every line, so the last step is a grouped Arrow function. Its input is bound
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
+from collections import deque
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,6 +27,7 @@ from tillroll import vocabulary as V
 MAX_SERIES_ROWS = 200_000
 DAY_SLICES = 100
 SERIES = ["identity", "normalized_price_unit"]
+ORDER = ["dn", "receipt_id", "id"]
 STATS = "prior_count bigint, median_x2 bigint, prior_min bigint, prior_max bigint"
 
 
@@ -43,7 +46,7 @@ def _kth(values: np.ndarray, totals: np.ndarray, seen: list[int], k: int) -> int
 
 
 def _order(lines: pd.DataFrame) -> pd.DataFrame:
-    return lines.sort_values(["dn", "receipt_id", "id"], kind="stable").reset_index(drop=True)
+    return lines.sort_values(ORDER, kind="stable").reset_index(drop=True)
 
 
 def _finish(lines: pd.DataFrame, stats: list[tuple]) -> pd.DataFrame:
@@ -51,23 +54,34 @@ def _finish(lines: pd.DataFrame, stats: list[tuple]) -> pd.DataFrame:
     return pd.concat([lines, found], axis=1)
 
 
-def sliding_stats(lines: pd.DataFrame) -> pd.DataFrame:
-    """Statistics for one whole series."""
-    lines = _order(lines)
-    days, prices = lines["dn"].tolist(), lines["price_e4"].tolist()
-    keys = list(zip(days, lines["receipt_id"], lines["id"]))
+def sliding_stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Statistics for whole series, one after the other, lines in order.
+
+    What is kept between lines is the window of the current series; a series may span
+    batches and a batch many series.
+    """
+    series, last = None, None
     window: list[int] = []
-    stats, first, entered = [], 0, 0
-    for i, day in enumerate(days):
-        while keys[entered] < keys[i]:
-            insort(window, prices[entered])
-            entered += 1
-        while days[first] < day - V.HISTORY_DAYS:
-            del window[bisect_left(window, prices[first])]
-            first += 1
-        n = len(window)
-        stats.append((n, window[(n - 1) // 2] + window[n // 2], window[0], window[-1]) if n else (0, None, None, None))
-    return _finish(lines, stats)
+    entered: deque = deque()
+    waiting: list[tuple[int, int]] = []
+    for lines in batches:
+        stats = []
+        for identity, unit, day, receipt, line, price in zip(*[lines[c].tolist() for c in (*SERIES, *ORDER, "price_e4")]):
+            if (identity, unit) != series:
+                series, last = (identity, unit), None
+                window.clear(), entered.clear(), waiting.clear()
+            if (day, receipt, line) != last:
+                last = (day, receipt, line)
+                for entry in waiting:
+                    insort(window, entry[1])
+                entered.extend(waiting)
+                waiting.clear()
+            while entered and entered[0][0] < day - V.HISTORY_DAYS:
+                del window[bisect_left(window, entered.popleft()[1])]
+            n = len(window)
+            stats.append((n, window[(n - 1) // 2] + window[n // 2], window[0], window[-1]) if n else (0, None, None, None))
+            waiting.append((day, price))
+        yield _finish(lines, stats)
 
 
 def tick_stats(lines: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
@@ -121,16 +135,22 @@ def with_prior_prices(eligible: DataFrame, max_series_rows: int = MAX_SERIES_ROW
     """Add the statistics of strictly earlier prices of the same series.
 
     Needs identity, normalized_price_unit, dn (day number), receipt_id, id and price_e4;
-    all other columns are carried along.
+    all other columns are carried along. The lines are read several times, so they should
+    come from a table. The path for long series is planned only where there is one.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in eligible.schema.fields) + ", " + STATS
     sizes = eligible.groupBy(*SERIES).agg(F.count("*").alias("_size"))
     large = sizes.where(F.col("_size") > max_series_rows).drop("_size")
+
+    def in_order(lines: DataFrame) -> DataFrame:
+        return lines.repartition(*SERIES).sortWithinPartitions(*SERIES, *ORDER).mapInPandas(sliding_stats, schema)
+
+    if large.isEmpty():
+        return in_order(eligible)
     usual = eligible.join(large, SERIES, "left_anti").select(*eligible.columns)
     hot = _ticks(eligible.join(large, SERIES, "left_semi"), max_series_rows)
     tick = [*SERIES, "dn", "slice"]
-    usual_stats = usual.groupBy(*SERIES).applyInPandas(sliding_stats, schema)
     hot_stats = hot.groupBy(*tick).cogroup(_window_before(hot).groupBy(*tick)).applyInPandas(
         lambda lines, earlier: tick_stats(lines, earlier).drop(columns="slice") if len(lines) else
         _finish(lines.drop(columns="slice"), []), schema)
-    return usual_stats.unionByName(hot_stats)
+    return in_order(usual).unionByName(hot_stats)

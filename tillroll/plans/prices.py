@@ -12,17 +12,26 @@ from tillroll.functions.evidence import evidence_category, with_ineligibility
 from tillroll.operators.history import with_prior_prices
 from tillroll.operators.medians import group_medians
 from tillroll.plans.spend import money
+from tillroll.session import stored
 
 UNRESOLVED_IDENTITY = "unresolved_product_identity"
 
 
+GRADED = ["identity", "normalized_price_unit", "dn", "date", "store", "receipt_id", "id", "price_e4", "manual", "reason"]
+
+
 def graded(obs: DataFrame) -> DataFrame:
     """Observations with trimmed identity, day number, whole-number price and the reason
     against comparing them, apart from the identity of the whole product."""
     evidence = "evidence" if "evidence" in obs.columns else None
     return with_ineligibility(obs, evidence=evidence).withColumns({
         "identity": F.trim("identity"), "dn": day_number(F.col("date")),
-        "price_e4": e4(F.col("normalized_unit_price"))})
+        "price_e4": e4(F.col("normalized_unit_price")), "manual": not_blank(F.col("canonical_name"))})
+
+
+def price_lines(obs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """The graded lines, narrow and written once: every price job reads them several times."""
+    return stored(graded(obs).select(*GRADED, *(carry or [])))
 
 
 def with_identity_check(lines: DataFrame) -> DataFrame:
@@ -31,8 +40,7 @@ def with_identity_check(lines: DataFrame) -> DataFrame:
     The flags of a product are two aggregates; only offending products are joined back,
     and AQE broadcasts them when they are few.
     """
-    manual = not_blank(F.col("canonical_name"))
-    mixed = lines.groupBy("identity").agg(F.bool_or(manual).alias("m"), F.bool_and(manual).alias("a")).where(
+    mixed = lines.groupBy("identity").agg(F.bool_or("manual").alias("m"), F.bool_and("manual").alias("a")).where(
         (F.col("m") != F.col("a")) | (F.col("identity") == "") | F.col("identity").isin(V.UNRESOLVED_IDENTITIES))
     return lines.join(mixed.select("identity", F.lit(True).alias("_mixed")), "identity", "left").withColumn(
         "unresolved", F.coalesce("_mixed", F.lit(False))).drop("_mixed")
@@ -50,10 +58,10 @@ def deviation_percent(price: Column, median_x2: Column) -> Column:
                    / median_x2.cast("decimal(20,0)"), 1).cast("double")
 
 
-def price_deviation(obs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+def price_deviation(lines: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """Every line against the median of its earlier comparable prices, or the reason why not."""
     carry = carry or []
-    lines = with_identity_check(graded(obs)).withColumn("reason", F.when(
+    lines = with_identity_check(lines).withColumn("reason", F.when(
         F.col("unresolved"), UNRESOLVED_IDENTITY).when(F.col("reason").isNotNull(), F.col("reason")).when(
         F.col("dn").isNull(), "invalid_date_or_ordering"))
     keep = ["identity", "normalized_price_unit", "dn", "receipt_id", "id", "price_e4", *carry]
@@ -103,11 +111,10 @@ def evidence_summary(deviation: DataFrame) -> DataFrame:
 
 def _product_units(lines: DataFrame) -> DataFrame:
     """Per product: identity flags and the number of units among comparable lines."""
-    manual = not_blank(F.col("canonical_name"))
     eligible = F.col("reason").isNull()
     unit = F.when(eligible, F.col("normalized_price_unit"))
     return lines.groupBy("identity").agg(
-        ((F.bool_or(manual) != F.bool_and(manual)) | (F.first("identity") == "")
+        ((F.bool_or("manual") != F.bool_and("manual")) | (F.first("identity") == "")
          | F.first("identity").isin(V.UNRESOLVED_IDENTITIES)).alias("unresolved"),
         F.min(unit).alias("unit_a"), F.max(unit).alias("unit_b"),
         F.count_if(eligible & F.col("dn").isNotNull()).alias("dated"),
@@ -115,9 +122,8 @@ def _product_units(lines: DataFrame) -> DataFrame:
         F.max(F.when(not_blank(F.col("store")), F.trim("store"))).alias("store_b"))
 
 
-def price_trend(obs: DataFrame) -> DataFrame:
+def price_trend(lines: DataFrame) -> DataFrame:
     """Monthly median per product, or one row with the reason why there is none."""
-    lines = graded(obs)
     products = _product_units(lines).withColumn("reason", F.when(F.col("unresolved"), UNRESOLVED_IDENTITY).when(
         F.col("unit_a") != F.col("unit_b"), "incompatible_price_units").when(
         F.col("dated") == 0, "no_comparable_history"))
@@ -134,10 +140,10 @@ def price_trend(obs: DataFrame) -> DataFrame:
             F.lit(0).cast("bigint").alias("observation_count"), F.lit(None).cast("string").alias("normalized_price_unit")))
 
 
-def store_levels(obs: DataFrame) -> DataFrame:
+def store_levels(lines: DataFrame) -> DataFrame:
     """Median, range, count and latest date of every product and store."""
     levels = group_medians(
-        graded(obs).where("reason IS NULL").withColumn("store", F.trim("store")),
+        lines.where("reason IS NULL").withColumn("store", F.trim("store")),
         ["identity", "normalized_price_unit", "store"], "price_e4", ("latest_date", F.max, "date"))
     rounded = F.round(F.col("median_x2").cast("decimal(20,0)") / F.lit(20000).cast("decimal(5,0)"), 4).cast(AMOUNT)
     return levels.select("identity", "normalized_price_unit", "store", rounded.alias("median_price"),
@@ -145,15 +151,14 @@ def store_levels(obs: DataFrame) -> DataFrame:
                          F.col("observations").alias("observation_count"), "latest_date")
 
 
-def store_comparison(obs: DataFrame) -> DataFrame:
+def store_comparison(lines: DataFrame) -> DataFrame:
     """Cheapest store per product, as strong as the evidence allows, or the reason why none.
 
     The two cheapest stores come from two ordered minima, not from a ranked list.
     """
-    lines = graded(obs)
     products = _product_units(lines)
     order = F.struct("median_price", F.lower("store").alias("folded"), "store")
-    levels = store_levels(obs).withColumn("o", order)
+    levels = store_levels(lines).withColumn("o", order)
     firsts = levels.groupBy("identity").agg(
         F.min("o").alias("a"), F.count("*").alias("stores"), F.min("observation_count").alias("fewest"))
     seconds = levels.join(firsts.select("identity", "a"), "identity").where(F.col("o") > F.col("a")).groupBy(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,12 +40,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
     return tune(spark)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder the cluster names; a private one only where none is named.
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result once, to the shared folder, and read it back.
 
-    The setting may name the folder in the session without the context having been
-    told, so it is passed on. The fallback folder is for local runs, where driver and
-    executors share one machine.
+    For results that several branches of one job read: they then scan a narrow columnar
+    table instead of computing it again, a lost executor costs only its own tasks, and
+    the planner knows the size. The folder is the one the cluster names; a private one is
+    used only where none is named, which is allowed for a local master alone.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -53,6 +55,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="tillroll-checkpoint-")
+            folder = tempfile.mkdtemp(prefix="tillroll-")
         context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
