@@ -8,12 +8,17 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll.functions.categories import classify_names
+from tillroll.functions.evidence import arithmetic_mismatch
+from tillroll.functions.identity import identity, product_key
 from tillroll.functions.periods import resolve_period
 from tillroll.operators.observations import observe
-from tillroll.plans import dashboard, prices, quality, spend
+from tillroll.operators.snapshots import diff_violations, invariants, table_diff, tables_equal
+from tillroll.plans import dashboard, maintenance, prices, products, quality, spend, story
 from tillroll.schema import ITEMS_DDL, RECEIPT_DEFAULTS, RECEIPTS_DDL, ITEM_DEFAULTS, audit_constraints, conform
-from tillroll.session import tune
-from tillroll.sources import tables
+from tillroll.session import stored, stream_folder, tune
+from tillroll.sources import ingest, receipt_text, tables
+from tillroll.streaming.jobs import drop_repeats, enrich_stream, run_to_end
 
 AS_OF = date(1998, 6, 14)
 MONTH = "month:1998-05"
@@ -163,3 +168,189 @@ query("schema_conform")(lambda d: conform(
         conform(d.receipts.drop("total"), RECEIPTS_DDL, RECEIPT_DEFAULTS).select(F.col("id").alias("receipt_id"), "total"),
         "receipt_id").drop("total"), ITEMS_DDL).groupBy("category_source", F.col("canonical_name").isNull().alias("no_canonical")).agg(
     F.count("*").alias("lines"), F.sum("price").cast("double").alias("spend")))
+
+# --- names and duplicates -----------------------------------------------------------------
+query("name_features")(lambda d: products.name_features(d.sales))
+query("search_products")(lambda d: products.search_products(d.sales, "hot gear"))
+query("resolve_names")(lambda d: products.resolve_names(
+    d.sales.select(F.col("name").alias("asked")).unionByName(d.table("part").select(F.col("p_name").alias("asked"))).distinct(), d.sales))
+query("merge_catalogue")(lambda d: products.merge_catalogue(d.sales))
+query("match_catalogue")(lambda d: products.catalogue(d.sales))
+query("duplicate_suggestions")(lambda d: products.duplicate_suggestions(
+    products.with_match_features(products.catalogue(d.sales))))
+query("top_duplicate_suggestions")(lambda d: products.duplicate_suggestions(
+    products.with_match_features(products.catalogue(d.sales)), limit=200, confidence="high"))
+
+# --- story and operations -----------------------------------------------------------------
+
+
+def _summary(d: Data) -> DataFrame:
+    return dashboard.period_summary(d.receipts, SELECTED, AS_OF)
+
+
+def _candidates(d: Data) -> DataFrame:
+    return story.item_candidates(d.graded_obs, _summary(d), SELECTED)
+
+
+def _insight(d: Data) -> DataFrame:
+    return stored(story.ranked_insight(d.sold, d.receipts, _summary(d), stored(_candidates(d)), SELECTED))
+
+
+query("story_items")(lambda d: _candidates(d).drop("prior_count"))
+query("ranked_insight")(lambda d: _insight(d).select("type", "subject_key", "metric_value", "metric_unit", F.array_join(
+    F.array_sort("evidence").cast("array<string>"), ",").alias("evidence")))
+query("story_highlights")(lambda d: story.highlights(d.receipts, _insight(d), SELECTED))
+query("story_remainder")(lambda d: story.remainder(d.receipts, story.highlights(d.receipts, _insight(d), SELECTED), SELECTED))
+query("story_timeline")(lambda d: story.timeline(d.receipts, SELECTED))
+query("story_signature")(lambda d: story.story_signature(_insight(d), d.receipts, SELECTED))
+query("action_queue")(lambda d: quality.action_queue(d.items))
+query("briefing")(lambda d: dashboard.briefing(
+    _summary(d), dashboard.category_changes(d.sold, SELECTED), quality.action_queue(d.items).where("severity IN ('critical', 'high')")))
+
+# --- maintenance --------------------------------------------------------------------------
+
+
+def _proposals(d: Data) -> DataFrame:
+    return d.items.where("price_parse_confidence = 0.70").select(
+        "receipt_id", "id", F.lit("piece").alias("quantity_unit"), F.lit("250").alias("package_size"), F.lit("g").alias("package_unit"))
+
+
+def _dated(d: Data) -> DataFrame:
+    """Lines with store and date, the state a reviewer sees."""
+    return stored(observe(d.items, d.receipts).drop("identity"))
+
+
+def _previews(d: Data) -> DataFrame:
+    return maintenance.correction_previews(_dated(d), _proposals(d))
+
+
+def _guarded(d: Data) -> DataFrame:
+    seen = _dated(d)
+    tokens = stored(maintenance.correction_tokens(maintenance.correction_previews(seen, _proposals(d))))
+    now = seen.withColumn("category", F.when(F.col("quantity") == 50, "changed").otherwise(F.col("category")))
+    updated, refused = maintenance.apply_corrections(now, tokens)
+    return refused.groupBy(F.col("refused").alias("outcome")).agg(F.count("*").alias("lines")).unionByName(
+        updated.where("price_parse_source = 'manual_correction'").agg(F.count("*").alias("lines")).select(
+            F.lit("written").alias("outcome"), "lines"))
+
+
+def _drifted(d: Data) -> DataFrame:
+    return d.items.withColumn("unit_price", F.when(F.col("quantity") == 50, F.col("unit_price") + 1).otherwise(
+        F.col("unit_price")).cast("decimal(18,4)"))
+
+
+def _repaired(d: Data) -> DataFrame:
+    lines = stored(_drifted(d))
+    fixed = maintenance.apply_repair(lines, maintenance.arithmetic_repair(lines))
+    return fixed.groupBy(arithmetic_mismatch().alias("mismatch"), F.coalesce("price_parse_source", F.lit("")).alias("source")).agg(
+        F.count("*").alias("lines"))
+
+
+def _manifest(d: Data) -> DataFrame:
+    """A manifest for the products of one brand, stated from the data; one row in it is wrong."""
+    state = maintenance.identity_states(d.sales).where(F.col("identity").startswith("Brand#4 "))
+    wrong = F.col("identity") == "Brand#4 hot gear"
+    return stored(state.select(
+        F.col("identity").alias("effective_product"), F.col("key").alias("product_key"), F.lit("алкоголь").alias("target_category"),
+        "current_categories", F.col("rule_scope_rows").alias("expected_affected_item_count"),
+        F.lit("CREATE_EXACT_RULE").alias("expected_rule_operation"),
+        F.struct((F.col("identity_row_count") + wrong.cast("int")).alias("identity_row_count"), "item_exception_count",
+                 "rule_scope_rows", "shared_product_key_identity_count", F.lit(None).cast("string").alias("existing_rule"),
+                 F.lit(None).cast("array<string>").alias("raw_alias_keys")).alias("predicates")))
+
+
+def _migration(d: Data) -> DataFrame:
+    items, manifest = stored(d.sales), _manifest(d)
+    lines, rules = maintenance.migration_plan(items, d.rules, manifest)
+    new_items, new_rules = maintenance.migration_apply(items, d.rules, stored(lines), rules, "2001-02-03 00:00:00")
+    diff = stored(table_diff(items, new_items))
+    bad = diff_violations(diff, lines, ["category"])
+    return diff.groupBy(F.col("status").alias("kind"), F.array_join("changed_fields", ",").alias("detail")).agg(F.count("*").alias("n")).unionByName(
+        bad.agg(F.count("*").alias("n")).select(F.lit("violations").alias("kind"), F.lit("").alias("detail"), "n")).unionByName(
+        rules.groupBy(F.lit("rules").alias("kind"), F.col("operation").alias("detail")).agg(F.count("*").alias("n"))).unionByName(
+        new_rules.agg(F.count("*").alias("n")).select(F.lit("rules").alias("kind"), F.lit("total").alias("detail"), "n"))
+
+
+def _new_rules(d: Data) -> DataFrame:
+    return d.sales.where("canonical_name LIKE 'Brand#8 %' OR canonical_name LIKE 'Brand#10 %'").select(
+        product_key().alias("product_key"), F.lit("мясо").alias("category")).distinct()
+
+
+query("price_backfill_statistics")(lambda d: maintenance.backfill_statistics(maintenance.backfill_plan(d.graded_items)))
+query("price_backfill_fields")(lambda d: maintenance.backfill_field_counts(maintenance.backfill_plan(d.graded_items)))
+query("price_backfill_apply")(lambda d: quality.price_quality(
+    maintenance.backfill_apply(maintenance.backfill_plan(d.graded_items), ["package_name"])))
+query("name_backfill")(lambda d: maintenance.name_backfill(d.sales).groupBy("outcome").agg(
+    F.count("*").alias("lines"), F.countDistinct("normalized_name").alias("names")))
+query("recategorize")(lambda d: maintenance.recategorize(d.sales).groupBy("touched", "category").agg(F.count("*").alias("lines")))
+query("rule_upsert")(lambda d: maintenance.upsert_rules(d.rules, _new_rules(d), "2001-02-03 00:00:00").select(
+    "product_key", "category", "source", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
+    F.date_format("updated_at", "yyyy-MM-dd").alias("updated")))
+query("apply_product_categories")(lambda d: maintenance.apply_product_categories(d.sales, d.rules).groupBy(
+    "category", "category_source").agg(F.count("*").alias("lines")))
+query("override_lines")(lambda d: maintenance.override_lines(d.sales, d.sales.where("quantity = 50").select(
+    "receipt_id", "id", F.lit("одежда").alias("category"))).groupBy("category", "category_source").agg(F.count("*").alias("lines")))
+query("merge_products")(lambda d: maintenance.merge_products(d.sales, d.sales.select(identity().alias("selected")).where(
+    "selected LIKE 'Brand#11 %'").distinct().withColumn("canonical", F.lit("Brand#11 merged"))).groupBy("canonical_name").agg(
+    F.count("*").alias("lines")))
+query("correction_previews")(lambda d: _previews(d).groupBy(
+    F.coalesce("error", F.lit("")).alias("error"), "eligible_before", "eligible_after").agg(F.count("*").alias("lines")))
+query("guarded_corrections")(_guarded)
+query("arithmetic_repair")(_repaired)
+query("migration_violations")(lambda d: maintenance.migration_violations(d.sales, d.rules, _manifest(d)))
+query("migration")(_migration)
+query("migration_summary")(lambda d: maintenance.migration_summary(maintenance.migration_plan(d.sales, d.rules, _manifest(d))[0]))
+query("snapshot_diff")(lambda d: table_diff(d.sales, maintenance.override_lines(
+    d.sales.where("quantity > 1"), d.sales.where("quantity = 50").select("receipt_id", "id", F.lit("одежда").alias("category")))).groupBy(
+    "status", F.coalesce(F.array_join("changed_fields", ","), F.lit("")).alias("changed_fields")).agg(F.count("*").alias("lines")))
+query("snapshot_equality")(lambda d: tables_equal(d.sales.where("quantity > 1"), d.sales.where("quantity < 50")))
+query("snapshot_invariants")(lambda d: invariants(d.receipts, d.sales, d.rules))
+
+# --- ingest and streams -------------------------------------------------------------------
+
+
+def _parsed(d: Data) -> DataFrame:
+    return receipt_text.parse_documents(tables.receipt_texts(d.spark, d.folder))
+
+
+def _ingested(d: Data) -> DataFrame:
+    parsed = stored(_parsed(d))
+    known = d.receipts.where("store = 'MACHINERY'").select(F.concat("receipt_number", F.lit("-0")).alias("receipt_number"))
+    lines = receipt_text.parsed_items(parsed).withColumn("source", F.lit("parser"))
+    receipts, items = ingest.ingest(receipt_text.parsed_receipts(parsed), lines, known, d.rules)
+    return items.groupBy("category", "category_source", "price_parse_source", "normalized_price_unit").agg(
+        F.count("*").alias("lines"), F.sum("price").cast("double").alias("spend")).unionByName(
+        receipts.agg(F.count("*").alias("lines"), F.sum("total").cast("double").alias("spend")).select(
+            *[F.lit("receipts").alias(c) for c in ("category", "category_source", "price_parse_source", "normalized_price_unit")],
+            "lines", "spend"))
+
+
+def _stream_dedupe(d: Data) -> DataFrame:
+    events = tables.event_stream(d.spark, d.folder)
+    return run_to_end(drop_repeats(events, "event_id", "ts", "1 hour").drop("copy"), stream_folder(d.spark), "events").groupBy(
+        "event_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("distinct_events"))
+
+
+def _stream_enrich(d: Data) -> DataFrame:
+    lines = tables.raw_lines(d.spark, d.folder, line=tables.line_stream(d.spark, d.folder)).select(
+        "receipt_id", "name", "quantity", "price", "unit_price", "quantity_unit", "source")
+    rich = enrich_stream(lines, d.rules)
+    return run_to_end(rich, stream_folder(d.spark), "lines").groupBy("category", "category_source", "price_parse_source").agg(
+        F.count("*").alias("lines"), F.sum("price").cast("double").alias("spend"))
+
+
+query("parse_receipts")(lambda d: receipt_text.parsed_items(_parsed(d)).select(
+    "receipt_number", "name", F.col("quantity").cast("double").alias("quantity"), "quantity_unit",
+    F.col("unit_price").cast("double").alias("unit_price"), F.col("price").cast("double").alias("price")))
+query("parse_receipt_heads")(lambda d: receipt_text.parsed_receipts(_parsed(d)).withColumn("total", F.col("total").cast("double")))
+query("parse_free_text")(lambda d: receipt_text.parse_documents(d.table("documents").select(
+    F.col("doc_id").cast("string").alias("receipt_number"), "text")).groupBy("store", "status").agg(F.count("*").alias("documents")))
+query("ingest_receipts")(_ingested)
+query("nested_receipts")(lambda d: ingest.validate_nested(tables.receipt_json(d.spark, d.folder)).groupBy(
+    F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("receipts"), F.sum(F.size("r.items")).alias("lines")))
+query("parser_audit")(lambda d: quality.parser_audit(d.sales.select("name").unionByName(d.table("documents").select(
+    F.explode(F.split("text", "\n")).alias("name")))))
+query("classify_text_lines")(lambda d: classify_names(d.table("documents").select(F.explode(F.split("text", "\n")).alias("name"))).groupBy(
+    "predicted").agg(F.count("*").alias("lines")))
+query("stream_dedupe")(_stream_dedupe)
+query("stream_enrich")(_stream_enrich)

@@ -48,7 +48,17 @@ def stored(df: DataFrame) -> DataFrame:
     the planner knows the size. The folder is the one the cluster names; a private one is
     used only where none is named, which is allowed for a local master alone.
     """
-    spark = df.sparkSession
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stream_folder(spark: SparkSession) -> str:
+    """A new folder for the output and the log of one stream."""
+    return f"{_shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def _shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get(CHECKPOINT_SETTING, None)
@@ -57,6 +67,4 @@ def stored(df: DataFrame) -> DataFrame:
                 raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder every executor can reach")
             folder = tempfile.mkdtemp(prefix="tillroll-")
         context.setCheckpointDir(folder)
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return context.getCheckpointDir()
