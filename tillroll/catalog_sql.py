@@ -357,3 +357,161 @@ add("constraint_audit", """SELECT 'receipts.receipt_number_unique' AS constraint
   UNION ALL SELECT 'items.category_source_not_null', count(*) FROM items WHERE category_source IS NULL
   UNION ALL SELECT 'items.receipt_exists', count(*) FROM items WHERE receipt_id NOT IN (SELECT id FROM receipts)""", RECEIPTS, PARTS, ITEMS, RULES)
 add("schema_conform", f"""SELECT 'rule' AS category_source, TRUE AS no_canonical, count(*) AS lines, {two('sum(price)')} AS spend FROM obs""", *OBS_VIEWS)
+
+# --- names and duplicates -----------------------------------------------------------------
+add("name_features", """SELECT DISTINCT name, lower(replace(name, '#', ' ')) AS normalized, CASE WHEN p_type = 'LARGE' THEN CAST(p_size AS BIGINT) * 100 END AS volume_ml,
+    CASE WHEN p_type IN ('ECONOMY', 'STANDARD', 'MEDIUM') THEN CAST(p_size AS BIGINT) * 100 END AS weight_g, CAST(NULL AS DOUBLE) AS percentage,
+    CASE WHEN p_type = 'PROMO' THEN '2 x ' || p_size || '0 g' END AS multipack,
+    array_to_string(list_sort(list_distinct(regexp_extract_all(lower(replace(name, '#', ' ')), '\\b[a-z]{2,}\\b'))), ' ') AS tokens FROM items""", *ITEM_VIEWS)
+add("search_products", """SELECT identity FROM (SELECT DISTINCT identity FROM items WHERE identity ILIKE '%hot gear%' OR name ILIKE '%hot gear%')
+  ORDER BY lower(identity), identity LIMIT 10""", *ITEM_VIEWS)
+add("resolve_names", """SELECT asked, coalesce((SELECT min(identity) FROM named WHERE identity = asked),
+    (SELECT CASE WHEN count(DISTINCT identity) = 1 THEN min(identity) END FROM named WHERE name = asked)) AS identity
+  FROM (SELECT DISTINCT name AS asked FROM items UNION SELECT p_name FROM part)""", *ITEM_VIEWS, "named AS (SELECT DISTINCT name, identity FROM items)")
+add("merge_catalogue", """SELECT identity AS product, count(*) AS item_count, count(DISTINCT receipt_id) AS receipt_count, max(canonical_name) AS canonical_name
+  FROM items GROUP BY identity""", *ITEM_VIEWS)
+add("match_catalogue", """SELECT name, coalesce(normalized_name, '') AS normalized_name, identity, nullif(category, '') AS category, count(*) AS item_count,
+    count(DISTINCT receipt_id) AS receipt_count FROM items GROUP BY ALL""", *ITEM_VIEWS)
+
+# --- story and operations -----------------------------------------------------------------
+STORY_OBS = (RECEIPTS, PARTS, ITEMS, OBS.replace("obs AS MATERIALIZED", "every_obs AS MATERIALIZED"),
+             "obs AS MATERIALIZED (SELECT * FROM every_obs WHERE d >= DATE '1997-11-02' AND d < DATE '1998-06-01')", MIXED, ELIGIBLE, DEVIATION)
+add("story_items", f"""SELECT o.identity, o.receipt_id, CAST(o.id AS VARCHAR) AS line_id, o.name, o.date, CAST(o.price AS DOUBLE) AS amount,
+    coalesce(h.n >= 5 AND o.price >= 40 AND o.cents * 2 >= 3 * h.m2 AND (o.price >= 0.25 * s.spend OR (s.delta > 0 AND o.price >= 0.5 * s.delta)), FALSE) AS unusual,
+    coalesce(h.n, 0) AS history_count, v.status, o.price_unit AS normalized_price_unit, CAST(v.change AS DOUBLE) AS deviation_percent,
+    CASE WHEN v.m2 IS NULL THEN 0.0 ELSE round(abs(v.p / 10000.0 - v.m2 / 20000.0), 2) END AS price_effect, c.conflict AS category_conflict
+  FROM obs o JOIN deviation v ON v.receipt_id = o.receipt_id AND v.id = o.id
+  JOIN (SELECT identity, count(DISTINCT label) > 1 AS conflict FROM obs GROUP BY identity) c ON c.identity = o.identity
+  LEFT JOIN (SELECT identity, count(*) AS n, CAST(2 * median(cents) AS BIGINT) AS m2 FROM obs WHERE d >= DATE '1998-01-31' AND d < DATE '1998-05-01' AND cents > 0
+    GROUP BY identity) h ON h.identity = o.identity
+  CROSS JOIN (SELECT sum(total) FILTER ({MAY}) AS spend, abs(sum(total) FILTER ({MAY}) - sum(total) FILTER (d >= DATE '1998-04-01' AND d < DATE '1998-05-01')) AS delta FROM receipts) s
+  WHERE o.{MAY.replace('AND d', 'AND o.d')}""", *STORY_OBS)
+add("story_timeline", f"""SELECT CASE WHEN n <= 60 THEN 'receipt' ELSE 'day_group' END AS type, date, CASE WHEN n <= 60 THEN id END AS receipt_id,
+    count(*) AS receipts, CAST(sum(total) AS DOUBLE) AS total
+  FROM (SELECT *, count(*) OVER () AS n FROM receipts WHERE {MAY}) GROUP BY ALL""", RECEIPTS)
+QUEUE = f"""queue AS (SELECT * FROM (
+  SELECT 'category_conflicts' AS key, 1.0 AS priority, 'critical' AS severity, (SELECT count(*) FROM (SELECT 1 FROM items GROUP BY product_key HAVING count(DISTINCT label) > 1)) AS n
+  UNION ALL SELECT 'low_confidence_prices', 2.0, 'high', (SELECT count(*) FROM items WHERE confidence IS NULL OR confidence < 0.75)
+  UNION ALL SELECT 'suspicious_prices', 2.1, 'high', (SELECT count(*) FROM items WHERE price_e4 > 100000000)
+  UNION ALL SELECT 'uncategorized', 5.0, 'low', (SELECT count(DISTINCT product_key) FROM items WHERE label = '{U}')) WHERE n > 0)"""
+add("action_queue", "SELECT key, CAST(priority AS DOUBLE) AS priority, severity, n FROM queue", *ITEM_VIEWS, QUEUE)
+
+# --- maintenance --------------------------------------------------------------------------
+SOURCE = """CASE WHEN p_type = 'PROMO' THEN 'rejected' WHEN old AND p_type = 'SMALL' THEN 'inferred_piece' WHEN old THEN 'package_name'
+    ELSE price_source END AS derived_source"""
+FILLED_E4 = """CASE WHEN p_type = 'PROMO' THEN NULL WHEN p_type = 'SMALL' THEN (cents * 200 + q) // (2 * q)
+    ELSE (2 * cents * 100000 + q * g) // (2 * q * g) END AS filled_e4"""
+BACKFILL = f"""plan AS (SELECT *, {SOURCE}, {FILLED_E4},
+    CASE WHEN p_type = 'PROMO' THEN 'unknown' WHEN p_type = 'SMALL' THEN 'eur_per_piece' WHEN p_type = 'LARGE' THEN 'eur_per_l' ELSE 'eur_per_kg' END AS new_unit,
+    CASE WHEN old THEN CASE p_type WHEN 'PROMO' THEN NULL WHEN 'SMALL' THEN 0.70 ELSE 0.85 END ELSE confidence END AS new_confidence FROM items)"""
+add("price_backfill_statistics", """SELECT derived_source, new_unit AS normalized_price_unit, coalesce(printf('%.2f', CAST(new_confidence AS DOUBLE)), 'NULL') AS confidence,
+    CASE WHEN confidence >= 0.90 AND filled_e4 > 100000000 THEN 'suspicious' ELSE '' END AS conflict, count(*) AS checked, count(*) FILTER (old) AS to_update,
+    CAST(sum(CASE WHEN p_type = 'PROMO' THEN 1 ELSE 0 END + CASE WHEN old AND p_type <> 'PROMO' THEN 1 ELSE 0 END
+      + CASE WHEN filled_e4 > 100000000 THEN 1 ELSE 0 END + CASE WHEN p_type = 'PROMO' AND flag <> 'N' THEN 1 ELSE 0 END) AS BIGINT) AS warnings
+  FROM plan GROUP BY ALL""", *ITEM_VIEWS, BACKFILL)
+add("price_backfill_fields", """SELECT derived_source, field, count(*) AS lines FROM (
+    SELECT derived_source, unnest(list_filter([
+      'line_total', 'unit_price', CASE WHEN p_type <> 'PROMO' OR status <> 'O' THEN 'quantity_unit' END, CASE WHEN p_type NOT IN ('PROMO', 'SMALL') THEN 'package_size' END,
+      'package_unit', CASE WHEN p_type <> 'PROMO' THEN 'normalized_unit_price' END, CASE WHEN p_type <> 'PROMO' OR status <> 'O' THEN 'normalized_price_unit' END,
+      'price_parse_source', CASE WHEN p_type <> 'PROMO' THEN 'price_parse_confidence' END], lambda x: x IS NOT NULL)) AS field
+    FROM plan WHERE old) GROUP BY ALL""", *ITEM_VIEWS, BACKFILL)
+APPLIED = """done AS (SELECT *, old AND p_type NOT IN ('PROMO', 'SMALL') AS hit FROM plan),
+after AS (SELECT CASE WHEN hit THEN price ELSE line_total END AS line_total, CASE WHEN hit THEN (cents * 200 + q) // (2 * q) ELSE unit_e4 END AS unit_e4,
+    CASE WHEN hit THEN filled_e4 ELSE price_e4 END AS price_e4, CASE WHEN hit THEN new_unit ELSE price_unit END AS price_unit,
+    CASE WHEN hit THEN new_confidence ELSE confidence END AS confidence, q, cents FROM done)"""
+add("price_backfill_apply", SQL["price_quality"].split(ITEMS + "\n", 1)[1].replace("FROM items", "FROM after"), *ITEM_VIEWS, BACKFILL, APPLIED)
+add("name_backfill", """SELECT CASE WHEN normalized_name IS NULL THEN 'to_update' ELSE 'already_filled' END AS outcome, count(*) AS lines,
+    count(DISTINCT lower(replace(name, '#', ' '))) AS names FROM items GROUP BY ALL""", *ITEM_VIEWS)
+add("recategorize", f"""SELECT coalesce(category, '') = '' AS touched, CASE WHEN coalesce(category, '') = '' THEN '{U}' ELSE category END AS category, count(*) AS lines
+  FROM items GROUP BY ALL""", *ITEM_VIEWS)
+UPSERT = """fresh AS (SELECT DISTINCT product_key FROM items WHERE canonical_name LIKE 'Brand#8 %' OR canonical_name LIKE 'Brand#10 %')"""
+add("rule_upsert", f"""SELECT coalesce(r.product_key, f.product_key) AS product_key, CASE WHEN f.product_key IS NOT NULL THEN '{V.MEAT}' ELSE r.category END AS category,
+    'manual' AS source, CASE WHEN r.product_key IS NULL THEN '2001-02-03' ELSE '2001-01-01' END AS created,
+    CASE WHEN f.product_key IS NOT NULL THEN '2001-02-03' ELSE '2001-01-01' END AS updated
+  FROM rules r FULL JOIN fresh f ON f.product_key = r.product_key""", *ITEM_VIEWS, RULES, UPSERT)
+add("apply_product_categories", f"""SELECT CASE WHEN r.category IS NULL THEN i.category WHEN r.category = 'напитки' THEN '{V.SOFT_DRINKS}' ELSE r.category END AS category,
+    CASE WHEN r.category IS NULL THEN i.category_source ELSE 'manual' END AS category_source, count(*) AS lines
+  FROM items i LEFT JOIN rules r ON r.product_key = i.product_key GROUP BY ALL""", *ITEM_VIEWS, RULES)
+add("override_lines", f"""SELECT CASE WHEN q = 50 THEN '{V.HOUSEHOLD}' ELSE category END AS category, CASE WHEN q = 50 THEN 'manual' ELSE category_source END AS category_source,
+    count(*) AS lines FROM items GROUP BY ALL""", *ITEM_VIEWS)
+add("merge_products", """SELECT CASE WHEN base LIKE 'Brand#11 %' THEN 'Brand#11 merged' ELSE canonical_name END AS canonical_name, count(*) AS lines FROM items GROUP BY ALL""", *ITEM_VIEWS)
+add("correction_previews", """SELECT error, FALSE AS eligible_before, error = '' AS eligible_after, count(*) AS lines FROM (
+    SELECT CASE WHEN (2 * cents * 100000 + q * 250) // (2 * q * 250) > 100000000 THEN 'blocking_diagnostic_remains' ELSE '' END AS error FROM items WHERE confidence = 0.70)
+  GROUP BY ALL""", *ITEM_VIEWS)
+add("guarded_corrections", """SELECT CASE WHEN q = 50 THEN 'line_changed' ELSE 'written' END AS outcome, count(*) AS lines FROM items
+  WHERE confidence = 0.70 AND (2 * cents * 100000 + q * 250) // (2 * q * 250) <= 100000000 GROUP BY ALL""", *ITEM_VIEWS)
+add("arithmetic_repair", """SELECT q = 50 AND NOT old AND (p_type = 'PROMO' OR price_e4 > 100000000 OR FALSE) AS mismatch, coalesce(price_source, '') AS source, count(*) AS lines
+  FROM items GROUP BY ALL""", *ITEM_VIEWS)
+STATE = f"""states AS (SELECT identity, count(*) AS n, any_value(product_key) AS key FROM items WHERE identity LIKE 'Brand#4 %' GROUP BY identity)"""
+add("migration_violations", """SELECT identity AS effective_product, 'identity_row_count_drift' AS violation FROM states WHERE identity = 'Brand#4 hot gear'""", *ITEM_VIEWS, STATE)
+add("migration_summary", """SELECT coalesce(category, '') AS source, 'алкоголь' AS target, count(*) AS lines FROM items WHERE identity LIKE 'Brand#4 %' GROUP BY ALL""", *ITEM_VIEWS)
+add("migration", """SELECT 'changed' AS kind, 'category' AS detail, count(*) AS n FROM items WHERE identity LIKE 'Brand#4 %'
+  UNION ALL SELECT 'violations', '', 0 UNION ALL SELECT 'rules', 'insert', count(DISTINCT key) FROM states
+  UNION ALL SELECT 'rules', 'total', (SELECT count(DISTINCT key) FROM states) + (SELECT count(*) FROM rules)""", *ITEM_VIEWS, RULES, STATE)
+add("snapshot_diff", """SELECT CASE WHEN q = 1 THEN 'deleted' ELSE 'changed' END AS status, CASE WHEN q = 1 THEN '' WHEN flag = 'A' THEN 'category' ELSE 'category,category_source' END AS changed_fields,
+    count(*) AS lines FROM items WHERE q IN (1, 50) GROUP BY ALL""", *ITEM_VIEWS)
+add("snapshot_equality", "SELECT count(*) FILTER (q = 50) AS missing, count(*) FILTER (q = 1) AS added FROM items", *ITEM_VIEWS)
+add("snapshot_invariants", """SELECT 'receipts' AS metric, CAST(count(*) AS DOUBLE) AS value FROM receipts UNION ALL SELECT 'items', count(*) FROM items
+  UNION ALL SELECT 'rules', count(*) FROM rules UNION ALL SELECT 'identities', count(DISTINCT identity) FROM items
+  UNION ALL SELECT 'total_spend', CAST(sum(price) AS DOUBLE) FROM items
+  UNION ALL SELECT 'category:' || coalesce(category, ''), count(*) FROM items GROUP BY ALL""", RECEIPTS, PARTS, ITEMS, RULES)
+
+# --- ingest and streams -------------------------------------------------------------------
+PAGED = """paged AS (SELECT obs.*, receipt_id || '-' || CAST(id % n AS VARCHAR) AS page, CAST(id % n AS VARCHAR) AS page_no
+  FROM obs JOIN (SELECT receipt_id AS rid, CAST(ceil(count(*) / 200.0) AS BIGINT) AS n FROM obs GROUP BY receipt_id) ON rid = receipt_id)"""
+RIMI = "store IN ('AUTOMOBILE', 'BUILDING')"
+add("parse_receipts", f"""SELECT 'R-' || page AS receipt_number, name, CAST(q AS DOUBLE) AS quantity, CASE WHEN {RIMI} THEN 'gab' ELSE 'piece' END AS quantity_unit,
+    listed / 100.0 AS unit_price, CAST(price AS DOUBLE) AS price FROM paged""", *OBS_VIEWS, PAGED)
+add("parse_receipt_heads", f"""SELECT 'R-' || page AS receipt_number, date, CASE WHEN {RIMI} THEN 'RIMI' ELSE 'MAXIMA' END AS store, CAST(sum(price) AS DOUBLE) AS total
+  FROM paged GROUP BY ALL""", *OBS_VIEWS, PAGED)
+add("ingest_receipts", f"""SELECT coalesce(rule_category, '{U}') AS category, CASE WHEN rule_category IS NULL THEN 'fallback' ELSE 'inherited' END AS category_source,
+    CASE WHEN p_type = 'PROMO' THEN 'rejected' ELSE 'parser' END AS price_parse_source,
+    CASE p_type WHEN 'PROMO' THEN 'unknown' WHEN 'SMALL' THEN 'eur_per_piece' WHEN 'LARGE' THEN 'eur_per_l' ELSE 'eur_per_kg' END AS normalized_price_unit,
+    count(*) AS lines, CAST(sum(price) AS DOUBLE) AS spend
+  FROM (SELECT p.*, CASE r.category WHEN 'напитки' THEN '{V.SOFT_DRINKS}' ELSE r.category END AS rule_category
+    FROM paged p LEFT JOIN rules r ON r.product_key = lower(replace(p.name, '#', ' ')) WHERE NOT (store = 'MACHINERY' AND page_no = '0')) GROUP BY ALL
+  UNION ALL SELECT 'receipts', 'receipts', 'receipts', 'receipts', count(DISTINCT page), CAST(sum(price) AS DOUBLE) FROM paged WHERE NOT (store = 'MACHINERY' AND page_no = '0')""",
+    *OBS_VIEWS, RULES, PAGED)
+add("nested_receipts", """SELECT error, count(DISTINCT page) AS receipts, CASE WHEN error = '' THEN count(*) END AS lines
+  FROM (SELECT *, CASE WHEN store = 'FURNITURE' THEN 'not_synthetic' ELSE '' END AS error FROM paged) GROUP BY error""", *OBS_VIEWS, PAGED)
+add("stream_dedupe", "SELECT event_type, count(DISTINCT event_id) AS events, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY event_type")
+add("stream_enrich", f"""SELECT coalesce(rule_category, '{U}') AS category, CASE WHEN rule_category IS NULL THEN 'fallback' ELSE 'inherited' END AS category_source,
+    CASE WHEN p_type = 'PROMO' THEN 'rejected' WHEN flag = 'N' THEN 'parser' WHEN p_type = 'SMALL' THEN 'inferred_piece' ELSE 'package_name' END AS price_parse_source,
+    count(*) AS lines, CAST(sum(price) AS DOUBLE) AS spend
+  FROM (SELECT i.*, CASE r.category WHEN 'напитки' THEN '{V.SOFT_DRINKS}' ELSE r.category END AS rule_category
+    FROM items i LEFT JOIN rules r ON r.product_key = lower(replace(i.name, '#', ' '))) GROUP BY ALL""", *ITEM_VIEWS, RULES)
+
+
+def classifier_sql(source: str, name: str) -> str:
+    """The classifier as SQL over `source`, one row per name: columns name and predicted."""
+    patterns = V.keyword_patterns()
+    order = V.CATEGORY_PRIORITY
+    has = {c: " OR ".join(f"contains(t, '{p}')" for p in patterns[c]) for c in order}
+    begins = lambda *w: f"regexp_matches(t, ' ({'|'.join(w)})')"
+    word = lambda *w: f"regexp_matches(t, ' ({'|'.join(w)}) ')"
+    extra = {V.BABY: f"(regexp_matches(name, '(^|[^0-9])[0-9]{{1,2}}\\s*\\+') AND {begins('biez', 'putr', 'pire')})",
+             V.FROZEN: f"({word('frī', 'fri')} AND {begins('kartupeļ', 'kartupel', 'kartup')})",
+             V.READY_MEALS: f"({begins('nūd', 'nud')} AND {word('zupa', 'ramyun', 'instant')})",
+             V.SERVICE: f"({begins('maisiņ', 'maisin')} AND NOT {begins('atkritum')})"}
+    buns = f" AND NOT ({begins('burgeru')} AND contains(t, 'maiz'))"
+    number = {c: f"c{i}" for i, c in enumerate(order)}
+    hits = ", ".join(f"({has[c]} OR {extra.get(c, 'FALSE')}){buns if c == V.READY_MEALS else ''} AS {number[c]}" for c in order)
+    first = lambda c: "least(" + ", ".join(f"coalesce(nullif(instr(t, '{p}'), 0), 1000000)" for p in patterns[c]) + ")"
+    n = number
+    closed = " OR ".join([
+        f"({word('hortex')} AND NOT {n[V.FROZEN]})", f"({begins('humoss')} AND NOT {n[V.SAUCES]})", f"({begins('kuskus')} AND NOT {n[V.READY_MEALS]})",
+        f"({begins('vārīt', 'varit')} AND {n[V.PRODUCE]} AND NOT {n[V.READY_MEALS]})",
+        f"({begins('salāt', 'salat')} AND {n[V.SAUCES]} AND NOT ({begins('mērc', 'merc', 'majon', 'kečup', 'kecup', 'konserv')} OR contains(t, 'tomātu pasta') OR contains(t, 'tomatu pasta')))",
+        begins("pankūk", "pankuk"), f"({word('uzkoda')} AND {n[V.DAIRY]} AND NOT {n[V.SNACKS]})",
+        f"({word('pulveris')} AND {n[V.PRODUCE]} AND NOT {n[V.SOFT_DRINKS]})"])
+    steps = f"hits AS (SELECT *, {hits} FROM texts), s0 AS (SELECT *, {closed} AS closed FROM hits)"
+    for i, (a, b) in enumerate(((V.MEAT, V.DAIRY), (V.MEAT, V.BAKERY), (V.SNACKS, V.DAIRY), (V.SOFT_DRINKS, V.DAIRY))):
+        steps += (f", s{i + 1} AS (SELECT * REPLACE ({n[a]} AND NOT ({n[b]} AND {first(a)} > {first(b)}) AS {n[a]}, "
+                  f"{n[b]} AND NOT ({n[a]} AND {first(a)} <= {first(b)}) AS {n[b]}) FROM s{i})")
+    label = " ".join(f"WHEN {n[c]} THEN '{c}'" for c in order)
+    return (f"texts AS (SELECT {name} AS name, {PADDED.format(c=name)} AS t FROM {source}), {steps}, "
+            f"labelled AS (SELECT name, CASE WHEN closed THEN '{U}' {label} ELSE '{U}' END AS predicted FROM s4)")
+
+
+add("classify_text_lines", "SELECT predicted, count(*) AS lines FROM labelled GROUP BY predicted",
+    "document_lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)", classifier_sql("document_lines", "line"))

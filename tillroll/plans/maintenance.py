@@ -108,7 +108,7 @@ def backfill_statistics(plan: DataFrame) -> DataFrame:
     return plan.groupBy(
         F.col("plan.derived_source").alias("derived_source"),
         F.coalesce("plan.normalized_price_unit", F.lit("unknown")).alias("normalized_price_unit"),
-        F.coalesce(F.format_string("%.2f", F.col("plan.price_parse_confidence").cast("double")), F.lit("NULL")).alias("confidence"),
+        F.coalesce(F.col("plan.price_parse_confidence").cast("string"), F.lit("NULL")).alias("confidence"),
         F.coalesce("plan.conflict", F.lit("")).alias("conflict")).agg(
         F.count("*").alias("checked"), F.count_if(changed).alias("to_update"),
         F.sum(F.size("plan.warnings")).alias("warnings"))
