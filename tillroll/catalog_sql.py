@@ -515,3 +515,59 @@ def classifier_sql(source: str, name: str) -> str:
 
 add("classify_text_lines", "SELECT predicted, count(*) AS lines FROM labelled GROUP BY predicted",
     "document_lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)", classifier_sql("document_lines", "line"))
+
+# --- the ranked insight and what follows from it ------------------------------------------
+APRIL = "d >= DATE '1998-04-01' AND d < DATE '1998-05-01'"
+STORY_VIEWS = (*STORY_OBS, "story AS MATERIALIZED (" + SQL["story_items"].split(DEVIATION + "\n", 1)[1] + ")",
+    f"""s AS (SELECT CAST(coalesce(sum(total) FILTER ({MAY}), 0) AS DOUBLE) AS spend, CAST(coalesce(sum(total) FILTER ({APRIL}), 0) AS DOUBLE) AS before,
+    CAST(coalesce(sum(total) FILTER ({MAY}), 0) - coalesce(sum(total) FILTER ({APRIL}), 0) AS DOUBLE) AS delta,
+    count(*) FILTER ({MAY}) AS n, count(*) FILTER ({APRIL}) AS b FROM receipts)""",
+    f"""cats AS (SELECT label, CAST(coalesce(sum(price) FILTER ({MAY}), 0) AS DOUBLE) AS c, CAST(coalesce(sum(price) FILTER ({APRIL}), 0) AS DOUBLE) AS p FROM obs
+    WHERE ({MAY}) OR ({APRIL}) GROUP BY label)""",
+    f"""covered AS (SELECT sum(c) AS c, sum(p) AS p, coalesce(sum(c) FILTER (label = '{U}'), 0) AS oc, coalesce(sum(p) FILTER (label = '{U}'), 0) AS op FROM cats)""",
+    f"""moved AS (SELECT label, c - p AS move FROM cats WHERE label <> '{U}' AND (SELECT s.n >= 3 AND s.b >= 3 AND abs(s.delta) >= greatest(10, 0.1 * s.before)
+      AND v.c >= 0.8 * s.spend AND v.p >= 0.8 * s.before AND v.oc <= 0.3 * v.c AND v.op <= 0.3 * v.p AND v.c > 0 AND v.p > 0 FROM s, covered v)
+      AND sign(c - p) = (SELECT sign(delta) FROM s) AND abs(c - p) >= (SELECT greatest(10, 0.4 * abs(delta)) FROM s) ORDER BY abs(c - p) DESC, label LIMIT 1)""",
+    f"""offers AS (
+      SELECT * FROM (SELECT 'unusual_purchase' AS type, 1 AS priority, identity AS subject_key, amount AS metric_value, 'EUR' AS metric_unit, [receipt_id] AS evidence
+        FROM story WHERE unusual ORDER BY amount DESC, identity, receipt_id LIMIT 1)
+      UNION ALL SELECT * FROM (SELECT 'unusual_purchase', 1, 'receipt:' || id, CAST(total AS DOUBLE), 'EUR', [id] FROM receipts, s
+        WHERE {MAY} AND total >= 100 AND total * 2 >= 3 * (SELECT CASE WHEN count(*) >= 5 THEN CAST(2 * median(CAST(total * 100 AS BIGINT)) AS BIGINT) END FROM receipts
+            WHERE d >= DATE '1998-01-31' AND d < DATE '1998-05-01' AND total > 0) / 100.0
+          AND (total >= 0.25 * spend OR (delta <> 0 AND total >= 0.5 * abs(delta))) ORDER BY total DESC, id LIMIT 1)
+      UNION ALL SELECT 'category_impact', 2, label, round(move, 2), 'EUR', (SELECT list(receipt_id) FROM (SELECT receipt_id FROM obs WHERE {MAY} AND label = (SELECT label FROM moved)
+          GROUP BY receipt_id ORDER BY sum(price) DESC, receipt_id LIMIT 3)) FROM moved
+      UNION ALL SELECT 'visit_frequency', 3, 'receipt_frequency', n - b, 'receipts', (SELECT list(id) FROM (SELECT id FROM receipts WHERE {MAY} ORDER BY date DESC, id DESC LIMIT 3))
+        FROM s WHERE b > 0 AND n + b >= 5 AND abs(n - b) >= 3 AND abs(n - b) >= 0.4 * b AND delta <> 0 AND abs(delta) >= greatest(10, 0.1 * before)
+          AND sign(n - b) = sign(delta) AND abs(n - b) * before / b >= 0.4 * abs(delta)
+      UNION ALL SELECT * FROM (SELECT 'normalized_price', 4, identity || ':' || normalized_price_unit, deviation_percent, 'percent', [receipt_id] FROM story, s
+        WHERE abs(deviation_percent) >= 15 AND status IN ('CHEAPER_THAN_USUAL', 'MORE_EXPENSIVE_THAN_USUAL') AND NOT category_conflict
+          AND (amount >= 0.1 * spend OR price_effect >= 3) ORDER BY abs(deviation_percent) DESC, amount DESC, identity, receipt_id, line_id LIMIT 1)
+      UNION ALL SELECT 'calm_month', 5, CASE WHEN n = 0 THEN 'empty' WHEN b > 0 THEN 'stable' ELSE 'no_baseline' END, CASE WHEN delta <> 0 THEN delta ELSE spend END, 'EUR', [] FROM s)""",
+    """insight AS MATERIALIZED (SELECT * FROM offers ORDER BY priority, CASE WHEN priority = 1 THEN -metric_value END, starts_with(subject_key, 'receipt:') LIMIT 1)""")
+add("ranked_insight", """SELECT type, subject_key, CAST(metric_value AS DOUBLE) AS metric_value, metric_unit,
+    coalesce(array_to_string(list_sort(evidence), ','), '') AS evidence FROM insight""", *STORY_VIEWS)
+SHOWN = f"""ranked AS (SELECT id, date, store, total, row_number() OVER (ORDER BY date, id) - 1 AS rk, count(*) OVER () AS n FROM receipts WHERE {MAY}),
+picks AS (
+  SELECT id, 0 AS pick FROM ranked WHERE list_contains((SELECT evidence FROM insight), id)
+  UNION ALL SELECT id, 3 FROM (SELECT id FROM ranked ORDER BY total DESC, id LIMIT 2)
+  UNION ALL SELECT id, 5 FROM ranked WHERE rk = n - 1 UNION ALL SELECT id, 6 FROM ranked WHERE rk = 0
+  UNION ALL SELECT id, 7 FROM ranked WHERE n > 4 AND rk = round_even((n - 1) * 0.25, 0) UNION ALL SELECT id, 8 FROM ranked WHERE n > 4 AND rk = round_even((n - 1) * 0.5, 0)
+  UNION ALL SELECT id, 9 FROM ranked WHERE n > 4 AND rk = round_even((n - 1) * 0.75, 0) UNION ALL SELECT id, rk + 100 FROM ranked WHERE rk < 6),
+shown AS (SELECT r.id, date, store, total FROM ranked r JOIN (SELECT id, min(pick) AS pick FROM picks GROUP BY id) p ON p.id = r.id ORDER BY pick, total DESC, r.id LIMIT 6)"""
+add("story_highlights", "SELECT id AS receipt_id, date, store, CAST(total AS DOUBLE) AS total FROM shown", *STORY_VIEWS, SHOWN)
+add("story_remainder", f"""SELECT count(*) AS receipts, CAST(coalesce(sum(total), 0) AS DOUBLE) AS total FROM receipts
+  WHERE {MAY} AND id NOT IN (SELECT id FROM shown)""", *STORY_VIEWS, SHOWN)
+add("briefing", f"""SELECT -1.0 AS rank, 'decision' AS finding, CASE WHEN n = 0 THEN 'empty' WHEN b = 0 THEN 'no_baseline' WHEN changed THEN 'changed' ELSE 'stable' END AS subject,
+    CASE WHEN n = 0 OR (b > 0 AND NOT changed AND (SELECT count(*) FROM findings) = 0) THEN 1.0 ELSE 0.0 END AS value FROM t
+  UNION ALL SELECT * FROM (SELECT * FROM findings ORDER BY rank LIMIT 3)""", RECEIPTS, PARTS, ITEMS, OBS, QUEUE,
+    f"""t AS (SELECT *, b > 0 AND abs(delta) >= 5 AND abs(delta) >= 0.0495 * before AS changed FROM (
+      SELECT count(*) FILTER ({MAY}) AS n, count(*) FILTER ({APRIL}) AS b, coalesce(sum(total) FILTER ({APRIL}), 0) AS before,
+        coalesce(sum(total) FILTER ({MAY}), 0) - coalesce(sum(total) FILTER ({APRIL}), 0) AS delta FROM receipts))""",
+    f"""leader AS (SELECT label, CAST(c - p AS DOUBLE) AS delta FROM (SELECT label, coalesce(sum(price) FILTER ({MAY}), 0) AS c, coalesce(sum(price) FILTER ({APRIL}), 0) AS p
+      FROM obs WHERE ({MAY}) OR ({APRIL}) GROUP BY label) ORDER BY abs(c - p) DESC, c DESC, label LIMIT 1)""",
+    """findings AS (SELECT 0.0 AS rank, 'category_movement' AS finding, label AS subject, l.delta AS value FROM leader l, t WHERE b > 0 AND abs(l.delta) >= greatest(5, 0.05 * before)
+      UNION ALL SELECT 1.0, 'visit_frequency', 'receipts', n - b FROM t WHERE b > 0 AND n <> b
+      UNION ALL SELECT CAST(priority + 10 AS DOUBLE), 'operation', key, n FROM queue WHERE severity IN ('critical', 'high'))""")
+add("parse_free_text", """SELECT 'MAXIMA' AS store, CASE WHEN trim(text) = '' THEN 'empty_text' WHEN regexp_matches(text, '[0-9]+,[0-9]{2}\\s+X\\s+[0-9,]+') THEN 'ok' ELSE 'no_items' END AS status,
+    count(*) AS documents FROM documents GROUP BY ALL""")
