@@ -181,3 +181,20 @@ def with_planted(turns: DataFrame) -> DataFrame:
     extra = turns.sparkSession.createDataFrame([(-1, 0, "user", text), (-1, 1, TRAINED_ROLE, text)], "conv_id long, turn long, role string, text string")
     names = ["conv_id", "turn", "role", "text"]
     return turns.select(names).union(extra.select([F.col(n).cast(kinds[n]) for n in names]))
+
+
+_SIGNS = "|".join(f"{re.escape(c[0])}{re.escape(ESCAPE)}*{re.escape(c[1:])}" for c in sorted(CONTROL, key=len, reverse=True))
+SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, length(role) + length(text) + len(regexp_extract_all(role, '{_SIGNS}')) + len(regexp_extract_all(text, '{_SIGNS}'))
+    + {sum(map(len, MARKS))} AS formatted FROM turns)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(formatted) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""

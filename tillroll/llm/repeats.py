@@ -359,3 +359,21 @@ def _finished(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
         columns = list(zip(*out))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
                                          names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+
+SQL = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+strings AS (SELECT doc_id, s, md5(substr(h, 2 * s + 1, 400)) AS d FROM bytes, unnest(range(length(h) // 2 - 199)) AS u(s)),
+twice AS (SELECT d FROM strings GROUP BY d HAVING count(*) > 1),
+hit AS (SELECT doc_id, s, coalesce(s - lag(s) OVER w > 200, true) AS fresh FROM strings SEMI JOIN twice USING (d) WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+numbered AS (SELECT doc_id, s, sum(CAST(fresh AS INT)) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM hit),
+spans AS (SELECT doc_id, span, min(s) AS a, max(s) + 200 AS b FROM numbered GROUP BY doc_id, span),
+ordered AS (SELECT doc_id, a, b, coalesce(lag(b) OVER w, 0) AS before, row_number() OVER w = count(*) OVER (PARTITION BY doc_id) AS last
+            FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+kept AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans,
+                string_agg(substr(h, 2 * before + 1, 2 * (a - before)) || CASE WHEN last THEN substr(h, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS h
+         FROM ordered JOIN bytes USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(bytes.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, bytes.h))) AS kept_sha256
+FROM bytes LEFT JOIN kept USING (doc_id)
+"""
