@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 from hashlib import sha256
@@ -187,9 +188,14 @@ class SkipChain:
                 unary[i, t.label] = 0
             else:
                 unary[i] = features(t) @ self.own
-        keys = {k: j for j, k in enumerate(sorted({k for t in tokens for k in t.keys}))}
-        of = np.array([i for i, t in enumerate(tokens) for _ in t.keys], np.int64)
-        hub = np.array([keys[k] for t in tokens for k in t.keys], np.int64)
+        # a key that one token alone has ties nothing
+        met = Counter(k for t in tokens for k in t.keys)
+        keys = {k: j for j, k in enumerate(sorted(k for k, times in met.items() if times > 1))}
+        of = np.array([i for i, t in enumerate(tokens) for k in t.keys if k in keys], np.int64)
+        hub = np.array([keys[k] for t in tokens for k in t.keys if k in keys], np.int64)
+        # without evidence a shared variable is no personal data
+        prior = np.zeros((len(keys), N_LABELS))
+        prior[:, 0] = self.same
         agree = np.eye(N_LABELS) * self.same
         agree[0, 0] = 0
         near = np.array([a.end + REACH >= b.start for a, b in zip(tokens, tokens[1:])], bool)[:, None]
@@ -199,7 +205,7 @@ class SkipChain:
             belief = unary + right + left
             np.add.at(belief, of, to_token)
             to_hub = 0.5 * to_hub + 0.5 * _passed(belief[of] - to_token, agree)
-            gathered = np.zeros((len(keys), N_LABELS))
+            gathered = prior.copy()
             np.add.at(gathered, hub, to_hub)
             to_token = 0.5 * to_token + 0.5 * _passed(gathered[hub] - to_hub, agree)
             if n > 1:
