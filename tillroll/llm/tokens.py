@@ -23,7 +23,7 @@ END_ID = 2
 #: A block is closed by the document that takes it to this many ids.
 BLOCK_IDS = 1 << 17
 #: Distinct pieces of text whose ids a worker remembers; beyond it the worker starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 300_000
 #: Texts encoded together.
 TOGETHER = 128
 
@@ -55,6 +55,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        #: Bytes of each id: a byte-level vocabulary writes one character for a byte.
+        self.bytes = np.array([len(self.library.id_to_token(i)) for i in range(self.vocabulary)], np.int64)
         self.forget()
 
     @property
@@ -101,17 +103,36 @@ class Encoder:
         return np.concatenate(found) if found else np.zeros(0, np.int64), np.r_[0, np.cumsum([len(f) for f in found])].astype(np.int64)
 
     def _learn(self, fresh: list[str]) -> None:
-        coded = [e.ids for e in self.library.encode_batch_fast(fresh, add_special_tokens=False)]
-        sizes = np.array([len(c) for c in coded], np.int64)
-        known, total = len(self.pieces) - len(fresh), self.used + int(sizes.sum())
+        """Encode new pieces. Those between white space and other characters are encoded as one
+        text and told apart by the bytes of their ids, which is faster than one by one."""
+        odd = np.array([ODD.search(p) is not None for p in fresh])
+        joined = ~odd & np.array([p[0] in " \n" and p[-1] not in " \n" for p in fresh])
+        at, alone = np.flatnonzero(joined), np.flatnonzero(~joined)
+        ids, sizes = self._joined([fresh[i] for i in at])
+        rest = [e.ids for e in self.library.encode_batch_fast([fresh[i] for i in alone], add_special_tokens=False)]
+        coded = np.r_[ids, np.fromiter(chain.from_iterable(rest), np.uint32)]
+        order = np.r_[at, alone]
+        every = np.zeros(len(fresh), np.int64)
+        every[order] = np.r_[sizes, np.array([len(c) for c in rest], np.int64)]
+        starts = np.zeros(len(fresh), np.int64)
+        starts[order] = np.cumsum(every[order]) - every[order]
+        known, total = len(self.pieces) - len(fresh), self.used + len(coded)
         self.starts, self.sizes, self.odd = (_room(x, known, len(self.pieces)) for x in (self.starts, self.sizes, self.odd))
         self.ids = _room(self.ids, self.used, total)
-        self.starts[known:len(self.pieces)] = self.used + np.cumsum(sizes) - sizes
-        self.sizes[known:len(self.pieces)] = sizes
-        self.odd[known:len(self.pieces)] = [ODD.search(p) is not None for p in fresh]
-        self.ids[self.used:total] = np.fromiter(chain.from_iterable(coded), np.uint32, int(sizes.sum()))
+        self.starts[known:len(self.pieces)] = self.used + starts
+        self.sizes[known:len(self.pieces)] = every
+        self.odd[known:len(self.pieces)] = odd
+        self.ids[self.used:total] = coded
         self.used = total
 
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces in a row, and how many each has."""
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.array(self.library.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(p.encode()) for p in pieces]))
+        return ids, np.diff(np.r_[-1, last])
+
     def _odd_texts(self, numbers: np.ndarray, cuts: np.ndarray) -> list[int]:
         odd = np.flatnonzero(self.odd[numbers])
         return sorted(set((np.searchsorted(cuts, odd, side="right") - 1).tolist()))
@@ -212,12 +233,13 @@ def read(spark, folder: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of every document, from the files alone.
 
     start counts the ids of all documents before it: those of earlier shards, summed over
-    one row per shard, of earlier blocks, and of the block's earlier documents.
+    one row per shard, of earlier blocks, and of the block's earlier documents. The sums
+    are broadcast: there are no more shards than shuffle partitions.
     """
     blocks = spark.read.parquet(folder)
     sizes = blocks.groupBy("shard").agg(F.sum(F.element_at("offsets", -1)).alias("n"))
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("before"))
-    rows = blocks.join(before, "shard").select("ids", "offsets", "width", "payload", (F.col("before") + F.col("start")).alias("start"))
+    rows = blocks.join(F.broadcast(before), "shard").select("ids", "offsets", "width", "payload", (F.col("before") + F.col("start")).alias("start"))
     schema = T.StructType([T.StructField(id_col, blocks.schema["ids"].dataType.elementType), T.StructField("start", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
     return rows.mapInArrow(partial(_documents, names=schema.names), schema)
