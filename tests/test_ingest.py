@@ -82,20 +82,29 @@ def empty(spark, ddl):
 def test_ingest_is_idempotent_and_rules_win(spark):
     rules = spark.createDataFrame([("piens 1500ml", "напитки")], "product_key string, category string")
     parsed = parse(spark, GOLDEN, RIMI)
-    lines = receipt_text.parsed_items(parsed).withColumn("source", F.lit("parser"))
-    receipts, items = ingest.ingest(receipt_text.parsed_receipts(parsed), lines, empty(spark, RECEIPTS_DDL), rules)
+    documents = receipt_text.parsed_documents(parsed)
+    receipts, items = ingest.ingest(documents, empty(spark, RECEIPTS_DDL), rules, F.lit("parser"))
     assert receipts.count() == 2 and items.columns == [f.split()[0] for f in ITEMS_DDL.replace("(18,4)", "").replace("(14,2)", "").replace("(4,2)", "").split(", ")]
     out = {r.name: r for r in items.collect()}
     milk = out["Piens 1,5L"]
     assert (milk.category, milk.category_source, milk.normalized_price_unit) == ("безалкогольные напитки", "inherited", "eur_per_l")
     assert out["Nūd. zupa NONGSHIM KIMCHI RAMYUN 120g"].normalized_unit_price == Decimal("12.9167")
-    again, _ = ingest.ingest(receipt_text.parsed_receipts(parsed), lines, receipts, rules)
-    assert again.count() == 0
+    again, more = ingest.ingest(documents, receipts, rules, F.lit("parser"))
+    assert again.count() == 0 and more.count() == 0
+
+
+def test_one_document_of_a_number_is_kept_with_its_own_lines(spark):
+    texts = ["MAXIMA\nPiens 1L\n1,00 X 1 gab. 1,00 A\n01.02.2026", "MAXIMA\nSiers 1kg\n2,00 X 1 gab. 2,00 A\nMaize 1kg\n3,00 X 1 gab. 3,00 A\n01.02.2026"]
+    docs = spark.createDataFrame([("r1", texts[0]), ("r1", texts[1]), ("r1", texts[0]), ("r2", texts[1]), (None, texts[0])], "receipt_number string, text string")
+    receipts, items = ingest.ingest(receipt_text.parsed_documents(receipt_text.parse_documents(docs)), empty(spark, RECEIPTS_DDL), empty(spark, RULES_DDL), F.lit("parser"))
+    assert {(r.receipt_number, float(r.total)) for r in receipts.collect()} == {("r1", 1.0), ("r2", 5.0)}
+    assert sorted(float(r.price) for r in items.collect()) == [1.0, 2.0, 3.0]
+    assert items.select("receipt_id", "id").distinct().count() == 3
 
 
 def test_nested_source(spark, tmp_path):
     receipt = {"date": "2026-01-01", "store": "A", "total": 2.5, "receipt_number": "n1", "items": [{"name": "Piens 1L", "quantity": 1, "price": 2.5}]}
-    cases = {"good": {"synthetic": True, "receipts": [receipt]}, "real": {"synthetic": False, "receipts": [receipt]},
+    cases = {"good": {"synthetic": True, "receipts": [receipt]}, "real": {"synthetic": False, "receipts": [receipt]}, "text": {"synthetic": "true", "receipts": [receipt]},
              "none": {"synthetic": True, "receipts": []}, "bad": {"synthetic": True, "receipts": [{**receipt, "receipt_number": " "}, {**receipt, "receipt_number": "n2", "items": []}]},
              "twice": {"synthetic": True, "receipts": [{**receipt, "receipt_number": "n3"}] * 2}}
     for name, content in cases.items():
@@ -104,10 +113,9 @@ def test_nested_source(spark, tmp_path):
     out = {}
     for r in valid.collect():
         out.setdefault(r.source, []).append(r.error)
-    assert out == {"good.json": [None], "real.json": ["not_synthetic"], "none.json": ["no_receipts"],
+    assert out == {"good.json": [None], "real.json": ["not_synthetic"], "text.json": ["not_synthetic"], "none.json": ["no_receipts"],
                    "bad.json": ["receipt_number", "items"], "twice.json": ["duplicate_number"] * 2}
-    head, lines = ingest.nested_receipts(valid)
-    receipts, items = ingest.ingest(head, lines, empty(spark, RECEIPTS_DDL), empty(spark, RULES_DDL))
+    receipts, items = ingest.ingest(ingest.nested_documents(valid), empty(spark, RECEIPTS_DDL), empty(spark, RULES_DDL))
     assert receipts.first().total == Decimal("2.50") and items.first().category == "молочные продукты и альтернативы"
 
 

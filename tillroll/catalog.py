@@ -18,7 +18,7 @@ from tillroll.plans import dashboard, maintenance, prices, products, quality, sp
 from tillroll.schema import ITEMS_DDL, RECEIPT_DEFAULTS, RECEIPTS_DDL, ITEM_DEFAULTS, audit_constraints, conform
 from tillroll.session import stored, stream_folder, tune
 from tillroll.sources import ingest, receipt_text, tables
-from tillroll.streaming.jobs import drop_repeats, enrich_stream, run_to_end
+from tillroll.streaming.jobs import drop_repeats, enrich_stream, ingest_stream, run_to_end
 
 AS_OF = date(1998, 6, 14)
 MONTH = "month:1998-05"
@@ -313,11 +313,16 @@ def _parsed(d: Data) -> DataFrame:
     return receipt_text.parse_documents(tables.receipt_texts(d.spark, d.folder))
 
 
+def _delivered(d: Data) -> DataFrame:
+    """The receipt texts, those whose number ends in 7 twice."""
+    texts = tables.receipt_texts(d.spark, d.folder)
+    return texts.unionByName(texts.where("receipt_number LIKE '%7'"))
+
+
 def _ingested(d: Data) -> DataFrame:
-    parsed = stored(_parsed(d))
-    known = d.receipts.where("store = 'MACHINERY'").select(F.concat("receipt_number", F.lit("-0")).alias("receipt_number"))
-    lines = receipt_text.parsed_items(parsed).withColumn("source", F.lit("parser"))
-    receipts, items = ingest.ingest(receipt_text.parsed_receipts(parsed), lines, known, d.rules)
+    parsed = stored(receipt_text.parse_documents(_delivered(d)))
+    known = d.receipts.where("store = 'MACHINERY'").select("receipt_number")
+    receipts, items = ingest.ingest(receipt_text.parsed_documents(parsed), known, d.rules, F.lit("parser"))
     return items.groupBy("category", "category_source", "price_parse_source", "normalized_price_unit").agg(
         F.count("*").alias("lines"), F.sum("price").cast("double").alias("spend")).unionByName(
         receipts.agg(F.count("*").alias("lines"), F.sum("total").cast("double").alias("spend")).select(
@@ -325,6 +330,19 @@ def _ingested(d: Data) -> DataFrame:
             "lines", "spend"))
 
 
+def _ingest_stream(d: Data) -> DataFrame:
+    """Two runs over the same documents, the second without the first one's log."""
+    source, target = stream_folder(d.spark), stream_folder(d.spark)
+    texts = _delivered(d)
+    texts.write.parquet(source)
+    for _ in range(2):
+        documents = d.spark.readStream.schema(texts.schema).parquet(source)
+        ingest_stream(documents, target, d.rules, stream_folder(d.spark)).awaitTermination()
+    count = lambda table, amount: d.spark.read.parquet(f"{target}/{table}").agg(
+        F.lit(table).alias("kind"), F.count("*").alias("rows"), F.sum(amount).cast("double").alias("amount"))
+    return count("receipts", "total").unionByName(count("items", "price"))
+
+
 def _stream_dedupe(d: Data) -> DataFrame:
     events = tables.event_stream(d.spark, d.folder)
     return run_to_end(drop_repeats(events, "event_id", "ts", "1 hour").drop("copy"), stream_folder(d.spark), "events").groupBy(
@@ -352,5 +370,6 @@ query("parser_audit")(lambda d: quality.parser_audit(d.sales.select("name").unio
     F.explode(F.split("text", "\n")).alias("name")))))
 query("classify_text_lines")(lambda d: classify_names(d.table("documents").select(F.explode(F.split("text", "\n")).alias("name"))).groupBy(
     "predicted").agg(F.count("*").alias("lines")))
+query("ingest_stream")(_ingest_stream)
 query("stream_dedupe")(_stream_dedupe)
 query("stream_enrich")(_stream_enrich)

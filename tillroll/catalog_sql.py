@@ -457,8 +457,7 @@ add("snapshot_invariants", """SELECT 'receipts' AS metric, CAST(count(*) AS DOUB
   UNION ALL SELECT 'category:' || coalesce(category, ''), count(*) FROM items GROUP BY ALL""", RECEIPTS, PARTS, ITEMS, RULES)
 
 # --- ingest and streams -------------------------------------------------------------------
-PAGED = """paged AS (SELECT obs.*, receipt_id || '-' || CAST(id % n AS VARCHAR) AS page, CAST(id % n AS VARCHAR) AS page_no
-  FROM obs JOIN (SELECT receipt_id AS rid, CAST(ceil(count(*) / 200.0) AS BIGINT) AS n FROM obs GROUP BY receipt_id) ON rid = receipt_id)"""
+PAGED = "paged AS (SELECT obs.*, receipt_id AS page FROM obs)"
 RIMI = "store IN ('AUTOMOBILE', 'BUILDING')"
 add("parse_receipts", f"""SELECT 'R-' || page AS receipt_number, name, CAST(q AS DOUBLE) AS quantity, CASE WHEN {RIMI} THEN 'gab' ELSE 'piece' END AS quantity_unit,
     listed / 100.0 AS unit_price, CAST(price AS DOUBLE) AS price FROM paged""", *OBS_VIEWS, PAGED)
@@ -469,11 +468,13 @@ add("ingest_receipts", f"""SELECT coalesce(rule_category, '{U}') AS category, CA
     CASE p_type WHEN 'PROMO' THEN 'unknown' WHEN 'SMALL' THEN 'eur_per_piece' WHEN 'LARGE' THEN 'eur_per_l' ELSE 'eur_per_kg' END AS normalized_price_unit,
     count(*) AS lines, CAST(sum(price) AS DOUBLE) AS spend
   FROM (SELECT p.*, CASE r.category WHEN 'напитки' THEN '{V.SOFT_DRINKS}' ELSE r.category END AS rule_category
-    FROM paged p LEFT JOIN rules r ON r.product_key = lower(replace(p.name, '#', ' ')) WHERE NOT (store = 'MACHINERY' AND page_no = '0')) GROUP BY ALL
-  UNION ALL SELECT 'receipts', 'receipts', 'receipts', 'receipts', count(DISTINCT page), CAST(sum(price) AS DOUBLE) FROM paged WHERE NOT (store = 'MACHINERY' AND page_no = '0')""",
+    FROM paged p LEFT JOIN rules r ON r.product_key = lower(replace(p.name, '#', ' ')) WHERE store <> 'MACHINERY') GROUP BY ALL
+  UNION ALL SELECT 'receipts', 'receipts', 'receipts', 'receipts', count(DISTINCT page), CAST(sum(price) AS DOUBLE) FROM paged WHERE store <> 'MACHINERY'""",
     *OBS_VIEWS, RULES, PAGED)
 add("nested_receipts", """SELECT error, count(DISTINCT page) AS receipts, CASE WHEN error = '' THEN count(*) END AS lines
   FROM (SELECT *, CASE WHEN store = 'FURNITURE' THEN 'not_synthetic' ELSE '' END AS error FROM paged) GROUP BY error""", *OBS_VIEWS, PAGED)
+add("ingest_stream", """SELECT 'receipts' AS kind, count(DISTINCT page) AS rows, CAST(sum(price) AS DOUBLE) AS amount FROM paged
+  UNION ALL SELECT 'items', count(*), CAST(sum(price) AS DOUBLE) FROM paged""", *OBS_VIEWS, PAGED)
 add("stream_dedupe", "SELECT event_type, count(DISTINCT event_id) AS events, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY event_type")
 add("stream_enrich", f"""SELECT coalesce(rule_category, '{U}') AS category, CASE WHEN rule_category IS NULL THEN 'fallback' ELSE 'inherited' END AS category_source,
     CASE WHEN p_type = 'PROMO' THEN 'rejected' WHEN flag = 'N' THEN 'parser' WHEN p_type = 'SMALL' THEN 'inferred_piece' ELSE 'package_name' END AS price_parse_source,

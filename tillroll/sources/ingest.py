@@ -15,7 +15,7 @@ from tillroll.schema import ITEMS_DDL, RECEIPTS_DDL, conform
 NESTED = ("synthetic boolean, receipts array<struct<date: string, store: string, total: double, receipt_number: string, "
           "items: array<struct<name: string, quantity: double, price: double, line_total: double, unit_price: double, "
           "quantity_unit: string, source: string, category: string, category_source: string>>>>")
-DOCUMENT_STATUS = ("not_synthetic", "no_receipts")
+NESTED_ITEM = ("name", "quantity", "price", "line_total", "unit_price", "quantity_unit", "source", "category", "category_source")
 
 
 def receipt_id(number: Column) -> Column:
@@ -31,8 +31,7 @@ def read_nested(spark: SparkSession, path: str) -> DataFrame:
 def validate_nested(documents: DataFrame) -> DataFrame:
     """One row per receipt, or per refused document, with the first fault in `error`."""
     df = documents.withColumn("d", F.from_json("json", NESTED))
-    marked = F.get_json_object("json", "$.synthetic") == "true"
-    df = df.withColumn("error", F.when(~F.coalesce(marked, F.lit(False)), "not_synthetic").when(
+    df = df.withColumn("error", F.when(~F.coalesce("d.synthetic", F.lit(False)), "not_synthetic").when(
         F.coalesce(F.size("d.receipts"), F.lit(0)) < 1, "no_receipts"))
     rows = df.select("source", "error", F.posexplode_outer(F.when(F.col("error").isNull(), F.col("d.receipts"))).alias("position", "r"))
     blank = lambda f: F.coalesce(F.trim(F.col(f"r.{f}")) == "", F.lit(True))
@@ -45,20 +44,24 @@ def validate_nested(documents: DataFrame) -> DataFrame:
         "source", "position", F.coalesce("error", "_dup").alias("error"), "r")
 
 
-def nested_receipts(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
-    good = valid.where("error IS NULL")
-    head = good.select("r.receipt_number", "r.date", "r.store", F.round("r.total", 2).cast(MONEY).alias("total"))
-    lines = good.select("r.receipt_number", F.posexplode("r.items").alias("line_no", "i")).select(
-        "receipt_number", F.col("line_no").cast("bigint").alias("line_no"), "i.*")
-    return head, lines
+def nested_documents(valid: DataFrame) -> DataFrame:
+    """Faultless receipts in the shape of parsed documents."""
+    line = lambda i, n: F.struct(n.cast("bigint").alias("line_no"), *[i[c].alias(c) for c in NESTED_ITEM])
+    return valid.where("error IS NULL").select(
+        "r.receipt_number", "r.date", "r.store", F.round("r.total", 2).cast(MONEY).alias("total"), F.transform("r.items", line).alias("items"))
 
 
-def new_receipts(receipts: DataFrame, existing: DataFrame) -> DataFrame:
-    """Receipts whose number is not stored yet; one of several with the same number."""
-    first = receipts.groupBy("receipt_number").agg(F.min(F.struct("date", "store", "total")).alias("r"))
+def new_documents(documents: DataFrame, existing: DataFrame) -> DataFrame:
+    """One document, with its own lines, of every number that is not stored yet.
+
+    Of several with one number the smallest by content stays, so a lost task that runs
+    again takes the same one; a document without a number is no receipt.
+    """
+    parts = ["date", "store", "total", "items"]
+    first = documents.where("receipt_number IS NOT NULL").groupBy("receipt_number").agg(F.min(F.struct(*parts)).alias("d"))
     return first.join(existing.select("receipt_number"), "receipt_number", "left_anti").select(
-        receipt_id(F.col("receipt_number")).alias("id"), "r.date", "r.store", F.coalesce("r.total", F.lit(0)).cast(MONEY).alias("total"),
-        "receipt_number")
+        receipt_id(F.col("receipt_number")).alias("id"), "d.date", "d.store",
+        F.coalesce("d.total", F.lit(0)).cast(MONEY).alias("total"), "receipt_number", "d.items")
 
 
 def with_category(lines: DataFrame, rules: DataFrame) -> DataFrame:
@@ -97,9 +100,14 @@ def enrich(lines: DataFrame, rules: DataFrame) -> DataFrame:
         F.col("d.source").alias("price_parse_source"), F.col("d.confidence").alias("price_parse_confidence"), "category", "category_source")
 
 
-def ingest(receipts: DataFrame, lines: DataFrame, existing: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New receipts and their enriched lines. Running it again on its own output adds nothing."""
-    fresh = new_receipts(receipts, existing)
-    kept = lines.join(fresh.select("receipt_number", F.col("id").alias("receipt_id")), "receipt_number")
-    items = enrich(kept, rules).withColumn("id", F.col("line_no"))
-    return conform(fresh, RECEIPTS_DDL), conform(items, ITEMS_DDL)
+def ingest(documents: DataFrame, existing: DataFrame, rules: DataFrame, source: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """New receipts and their enriched lines. Running it again on its own output adds nothing.
+
+    `documents` holds receipt_number, date, store, total and items (array of lines);
+    `source` says where the unit of a line came from, if the lines do not.
+    """
+    fresh = new_documents(documents, existing)
+    lines = fresh.select("receipt_number", F.col("id").alias("receipt_id"), F.explode("items").alias("i")).select(
+        "receipt_number", "receipt_id", "i.*")
+    items = enrich(lines if source is None else lines.withColumn("source", source), rules).withColumn("id", F.col("line_no"))
+    return conform(fresh.drop("items"), RECEIPTS_DDL), conform(items, ITEMS_DDL)

@@ -164,6 +164,11 @@ def parsed_receipts(parsed: DataFrame) -> DataFrame:
     return parsed.where("status = 'ok'").select("receipt_number", "date", "store", "total")
 
 
+def parsed_documents(parsed: DataFrame) -> DataFrame:
+    """Readable documents with their lines, as ingest takes them."""
+    return parsed.where("status = 'ok'").select("receipt_number", "date", "store", "total", "items")
+
+
 def parsed_items(parsed: DataFrame) -> DataFrame:
     return parsed.where("status = 'ok'").select("receipt_number", F.explode("items").alias("i")).select("receipt_number", "i.*")
 

@@ -155,18 +155,9 @@ def line_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(folder)
 
 
-PAGE_LINES = 200
-
-
-def _pages(lines: DataFrame) -> DataFrame:
-    """Split a receipt of very many lines over several documents, spread by line id."""
-    pages = lines.groupBy("receipt_id").agg(F.ceil(F.count("*") / PAGE_LINES).cast("bigint").alias("_pages"))
-    return lines.join(pages, "receipt_id").withColumn("page", F.pmod("id", "_pages")).drop("_pages")
-
-
 def receipt_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Receipts printed in the layout of their store; parsing them must give the lines back."""
-    lines = _pages(raw_lines(spark, folder).select("id", "receipt_id", "name", "quantity", "price", "category_source")).join(
+    lines = raw_lines(spark, folder).select("id", "receipt_id", "name", "quantity", "price", "category_source").join(
         receipts(spark, folder).select(F.col("id").alias("receipt_id"), "store", "date", "receipt_number"), "receipt_id")
     comma = lambda c: F.translate(c.cast("string"), ".", ",")
     count = F.col("quantity").cast("bigint").cast("string")
@@ -179,11 +170,11 @@ def receipt_texts(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.col("name"), F.lit("\n"), unit, F.lit(" X "), count, F.lit(" gab. "), listed, F.lit(" A"), F.when(
             reduced, F.concat(F.lit("\nAtlaide: (Cena ar atlaidi "), comma(F.col("price")), F.lit(") -0,05 A"))).otherwise("")))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda r: r["text"]), "\n")
-    grouped = lines.withColumn("text", text).groupBy("receipt_id", "page", "store", "date", "receipt_number").agg(
+    grouped = lines.withColumn("text", text).groupBy("receipt_id", "store", "date", "receipt_number").agg(
         body.alias("body"), F.sum("price").cast(MONEY).alias("sum"))
     total = comma(F.col("sum"))
     return grouped.select(
-        F.concat_ws("-", "receipt_number", F.col("page").cast("string")).alias("receipt_number"),
+        "receipt_number",
         F.when(F.col("store").isin("AUTOMOBILE", "BUILDING"), F.concat(
             F.lit("SIA RIMI LATVIA\nKase Nr. 12\n"), F.col("body"), F.lit("\nKOPA "), total, F.lit("\nLAIKS "), F.col("date"), F.lit(" 12:00"))).otherwise(
             F.concat(F.lit("MAXIMA\nČeks 12/34\n"), F.col("body"), F.lit("\nKopā apmaksai "), total, F.lit("\nDATUMS "),
@@ -192,13 +183,13 @@ def receipt_texts(spark: SparkSession, folder: str) -> DataFrame:
 
 def receipt_json(spark: SparkSession, folder: str) -> DataFrame:
     """Receipts as nested documents; those of one store are not marked as synthetic."""
-    lines = _pages(raw_lines(spark, folder).select("id", "receipt_id", "name", "quantity", "price"))
-    nested = lines.groupBy("receipt_id", "page").agg(F.array_sort(F.collect_list(F.struct("id", "name", "quantity", "price"))).alias("items"),
+    lines = raw_lines(spark, folder).select("id", "receipt_id", "name", "quantity", "price")
+    nested = lines.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("id", "name", "quantity", "price"))).alias("items"),
                                                      F.sum("price").alias("total"))
     head = receipts(spark, folder).select(F.col("id").alias("receipt_id"), "store", "date", "receipt_number")
     return nested.join(head, "receipt_id").select(
-        F.concat_ws("-", "receipt_number", F.col("page").cast("string")).alias("source"),
+        F.col("receipt_number").alias("source"),
         F.to_json(F.struct((F.col("store") != "FURNITURE").alias("synthetic"), F.array(F.struct(
-            "date", "store", "total", F.concat_ws("-", "receipt_number", F.col("page").cast("string")).alias("receipt_number"),
+            "date", "store", "total", "receipt_number",
             F.transform("items", lambda i: F.struct(i["name"].alias("name"), i["quantity"].alias("quantity"), i["price"].alias("price"))).alias("items")
         )).alias("receipts"))).alias("json"))

@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillroll.session import stored
 from tillroll.sources.ingest import enrich, ingest
-from tillroll.sources.receipt_text import file_stem, parse_documents, parsed_items, parsed_receipts
+from tillroll.sources.receipt_text import file_stem, parse_documents, parsed_documents
 from tillroll.schema import RECEIPTS_DDL
 
 
@@ -29,8 +29,8 @@ def ingest_stream(documents: DataFrame, target: str, rules: DataFrame, checkpoin
     def load(batch: DataFrame, number: int) -> None:
         parsed = stored(parse_documents(batch))
         known = spark.read.parquet(f"{target}/receipts").where(F.col("batch") != number).drop("batch")
-        receipts, items = ingest(parsed_receipts(parsed), parsed_items(parsed).withColumn(
-            "source", F.when(F.col("quantity_unit") != "unknown", "parser").otherwise("derived")), known, rules)
+        receipts, items = ingest(parsed_documents(parsed), known, rules,
+                                 F.when(F.col("quantity_unit") != "unknown", "parser").otherwise("derived"))
         items.write.mode("overwrite").parquet(f"{target}/items/batch={number}")
         receipts.write.mode("overwrite").parquet(f"{target}/receipts/batch={number}")
 
