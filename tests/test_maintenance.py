@@ -9,6 +9,7 @@ from tillroll.functions.price import units_comparable
 from tillroll.operators.snapshots import diff_violations, table_diff
 from tillroll.plans import maintenance
 from tillroll.schema import RULES_DDL, audit_constraints, conform
+from tillroll.sources.manifest import PREDICATES
 
 BLANK = dict(line_total=None, unit_price=None, quantity_unit=None, package_size=None, package_unit=None,
              normalized_unit_price=None, normalized_price_unit=None, price_parse_source=None, price_parse_confidence=None)
@@ -110,3 +111,30 @@ def test_units_comparable(spark):
              ("eur_per_piece", "a", "eur_per_piece", "b", False), ("eur_per_piece", "a", "eur_per_piece", "a", True), ("unknown", "a", "unknown", "a", False)]
     for u1, k1, u2, k2, want in cases:
         assert spark.range(1).selectExpr(a % (u1, k1) + " AS l", a % (u2, k2) + " AS r").select(units_comparable("l", "r")).first()[0] is want
+
+
+def test_manifest_states_are_compared_null_safe_and_violations_refused(spark):
+    items = spark.createDataFrame([(1, i, "Piens 1L", None, None, c) for i, c in enumerate(["b", "b", "a", "a", "c"])],
+                                  "receipt_id long, id long, name string, normalized_name string, canonical_name string, category string")
+    rules = spark.createDataFrame([("piens 1000ml", "a", "manual", None, None)],
+                                  "product_key string, category string, source string, created_at timestamp, updated_at timestamp")
+    state, = maintenance.identity_states(items).collect()
+    assert (state.modal_category, state.item_exception_count) == ("a", 3)  # of equally frequent labels the first by name
+    def manifest(rule, lines):
+        row = ("Piens 1L", "piens 1000ml", "x", "a:2|b:2|c:1", 5, "LABEL_ONLY", ["existing_rule", "item_exception_ids"],
+               {"existing_rule": rule, "item_exception_ids": lines})
+        return spark.createDataFrame([row], "effective_product string, product_key string, target_category string, current_categories string, "
+                                     f"expected_affected_item_count long, expected_rule_operation string, stated array<string>, predicates struct<{PREDICATES}>")
+
+    drift = lambda m, r=rules: {v.violation for v in maintenance.migration_violations(items, r, m).collect()}
+    right = manifest("a|manual", ["1:0", "1:1", "1:4"])
+    assert drift(right) == set()
+    assert drift(manifest(None, ["1:0", "1:1", "1:4"])) == {"existing_rule_drift"}  # no rule expected, one exists
+    assert drift(manifest("a|manual", None)) == {"item_exception_ids_drift"}
+    with pytest.raises(ValueError, match="existing_rule_drift"):
+        maintenance.migration_plan(items, rules, manifest(None, ["1:0", "1:1", "1:4"]))
+    lines, changes = maintenance.migration_plan(items, rules, right)
+    assert maintenance.migration_drift(items, rules, lines, changes).count() == 0
+    late = rules.withColumn("source", F.lit("other"))
+    assert [tuple(r) for r in maintenance.migration_drift(items, late, lines, changes).collect()] == [("rule", "piens 1000ml")]
+    assert maintenance.migration_apply(items, late, lines, changes, "2001-01-01 00:00:00")[1].first().category == "a"

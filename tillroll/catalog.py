@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll.functions.categories import classify_names
@@ -247,16 +247,52 @@ def _repaired(d: Data) -> DataFrame:
 
 
 def _manifest(d: Data) -> DataFrame:
-    """A manifest for the products of one brand, stated from the data; one row in it is wrong."""
-    state = maintenance.identity_states(d.sales).where(F.col("identity").startswith("Brand#4 "))
-    wrong = F.col("identity") == "Brand#4 hot gear"
-    return stored(state.select(
+    """A manifest for the products of one brand, stated from the data."""
+    return stored(_stated(maintenance.identity_states(d.sales).where(F.col("identity").startswith("Brand#4 "))))
+
+
+COUNTS = ["identity_row_count", "item_exception_count", "rule_scope_rows", "shared_product_key_identity_count"]
+#: A brand for each predicate whose statement is wrong for it.
+DRIFTS = {f"Brand#{12 + i}": p for i, p in enumerate(
+    [*COUNTS, "current_categories", "effective_product", "product_key", "existing_rule", "raw_alias_keys", "item_exception_ids"])}
+
+
+def _stated(state: DataFrame, wrong: Column | None = None) -> DataFrame:
+    """Manifest rows; `wrong` names the predicate of a row that is stated wrongly."""
+    wrong = F.lit("") if wrong is None else wrong
+    count = lambda p: (F.col(p) + (wrong == p).cast("int")).alias(p)
+    text = lambda p, value: F.when(wrong == p, F.lit("other")).otherwise(value).alias(p)
+    listed = lambda p: F.when(wrong == p, F.array(F.lit("other"))).alias(p)
+    return state.select(
         F.col("identity").alias("effective_product"), F.col("key").alias("product_key"), F.lit("алкоголь").alias("target_category"),
         "current_categories", F.col("rule_scope_rows").alias("expected_affected_item_count"),
         F.lit("CREATE_EXACT_RULE").alias("expected_rule_operation"),
-        F.struct((F.col("identity_row_count") + wrong.cast("int")).alias("identity_row_count"), "item_exception_count",
-                 "rule_scope_rows", "shared_product_key_identity_count", F.lit(None).cast("string").alias("existing_rule"),
-                 F.lit(None).cast("array<string>").alias("raw_alias_keys")).alias("predicates")))
+        F.concat(F.array(*[F.lit(p) for p in (*COUNTS, "current_categories", "effective_product", "product_key", "existing_rule")]),
+                 F.when(wrong.isin("raw_alias_keys", "item_exception_ids"), F.array(wrong)).otherwise(F.array().cast("array<string>"))).alias("stated"),
+        F.struct(*[count(p) for p in COUNTS], text("current_categories", F.col("current_categories")), text("effective_product", F.col("identity")),
+                 text("product_key", F.col("key")), text("existing_rule", F.lit(None).cast("string")), listed("raw_alias_keys"),
+                 listed("item_exception_ids")).alias("predicates"))
+
+
+def _drifts(d: Data) -> DataFrame:
+    """Violations of a manifest that is wrong in another predicate for every brand."""
+    brand = F.split_part(F.col("identity"), F.lit(" "), F.lit(1))
+    wrong = F.try_element_at(F.create_map(*[F.lit(x) for p in DRIFTS.items() for x in p]), brand)
+    manifest = stored(_stated(maintenance.identity_states(d.sales).where(brand.isin(*DRIFTS)), wrong))
+    return maintenance.migration_violations(d.sales, d.rules, manifest)
+
+
+def _migration_drift(d: Data) -> DataFrame:
+    """A plan against tables that changed after it was made."""
+    items, manifest = stored(d.sales), _manifest(d)
+    lines, rules = (stored(t) for t in maintenance.migration_plan(items, d.rules, manifest))
+    late = items.withColumn("category", F.when(F.col("quantity") == 50, "changed").otherwise(F.col("category")))
+    new = d.rules.unionByName(rules.limit(1).select("product_key", F.lit("мясо").alias("category"), F.lit("manual").alias("source"),
+                                                    *[F.lit("2001-01-01 00:00:00").cast("timestamp").alias(c) for c in ("created_at", "updated_at")]))
+    new_items, new_rules = maintenance.migration_apply(late, new, lines, rules, "2001-02-03 00:00:00")
+    return maintenance.migration_drift(late, new, lines, rules).groupBy("kind").agg(F.count("*").alias("n")).unionByName(
+        new_items.where("category = 'алкоголь'").agg(F.lit("lines written").alias("kind"), F.count("*").alias("n"))).unionByName(
+        new_rules.where("category = 'алкоголь'").agg(F.lit("rules written").alias("kind"), F.count("*").alias("n")))
 
 
 def _migration(d: Data) -> DataFrame:
@@ -297,7 +333,8 @@ query("correction_previews")(lambda d: _previews(d).groupBy(
     F.coalesce("error", F.lit("")).alias("error"), "eligible_before", "eligible_after").agg(F.count("*").alias("lines")))
 query("guarded_corrections")(_guarded)
 query("arithmetic_repair")(_repaired)
-query("migration_violations")(lambda d: maintenance.migration_violations(d.sales, d.rules, _manifest(d)))
+query("migration_violations")(_drifts)
+query("migration_drift")(_migration_drift)
 query("migration")(_migration)
 query("migration_summary")(lambda d: maintenance.migration_summary(maintenance.migration_plan(d.sales, d.rules, _manifest(d))[0]))
 query("snapshot_diff")(lambda d: table_diff(d.sales, maintenance.override_lines(

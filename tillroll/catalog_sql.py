@@ -443,7 +443,14 @@ add("guarded_corrections", """SELECT CASE WHEN q = 50 THEN 'line_changed' ELSE '
 add("arithmetic_repair", """SELECT q = 50 AND NOT old AND (p_type = 'PROMO' OR price_e4 > 100000000 OR FALSE) AS mismatch, coalesce(price_source, '') AS source, count(*) AS lines
   FROM items GROUP BY ALL""", *ITEM_VIEWS)
 STATE = f"""states AS (SELECT identity, count(*) AS n, any_value(product_key) AS key FROM items WHERE identity LIKE 'Brand#4 %' GROUP BY identity)"""
-add("migration_violations", """SELECT identity AS effective_product, 'identity_row_count_drift' AS violation FROM states WHERE identity = 'Brand#4 hot gear'""", *ITEM_VIEWS, STATE)
+WRONG = [("Brand#12", "identity_row_count"), ("Brand#13", "item_exception_count"), ("Brand#14", "rule_scope_rows"),
+         ("Brand#15", "shared_product_key_identity_count"), ("Brand#16", "current_categories"), ("Brand#17", "effective_product"),
+         ("Brand#18", "product_key"), ("Brand#19", "existing_rule"), ("Brand#20", "raw_alias_keys"), ("Brand#21", "item_exception_ids")]
+add("migration_violations", " UNION ALL ".join(
+    f"SELECT DISTINCT identity AS effective_product, '{p}_drift' AS violation FROM items WHERE identity LIKE '{brand} %'" for brand, p in WRONG), *ITEM_VIEWS)
+add("migration_drift", """SELECT 'line' AS kind, count(*) AS n FROM items WHERE identity LIKE 'Brand#4 %' AND q = 50 UNION ALL SELECT 'rule', 1
+  UNION ALL SELECT 'lines written', count(*) FROM items WHERE identity LIKE 'Brand#4 %' AND q <> 50
+  UNION ALL SELECT 'rules written', count(DISTINCT key) - 1 FROM states""", *ITEM_VIEWS, STATE)
 add("migration_summary", """SELECT coalesce(category, '') AS source, 'алкоголь' AS target, count(*) AS lines FROM items WHERE identity LIKE 'Brand#4 %' GROUP BY ALL""", *ITEM_VIEWS)
 add("migration", """SELECT 'changed' AS kind, 'category' AS detail, count(*) AS n FROM items WHERE identity LIKE 'Brand#4 %'
   UNION ALL SELECT 'violations', '', 0 UNION ALL SELECT 'rules', 'insert', count(DISTINCT key) FROM states

@@ -299,49 +299,83 @@ def apply_repair(items: DataFrame, repair: DataFrame) -> DataFrame:
 # --- category migration from a manifest ---------------------------------------------------
 
 def identity_states(items: DataFrame) -> DataFrame:
-    """Per product the facts a manifest row states: counts, histogram text, keys."""
-    lines = items.select(*LINE_KEY, identity().alias("identity"), product_key().alias("key"),
-                         F.coalesce("category", F.lit("")).alias("category"))
+    """Per product the facts a manifest row states: counts, histogram text, modal label, keys.
+
+    The modal label is the most frequent one, of equally frequent ones the first by name.
+    """
+    lines = _labelled(items)
     counts = lines.groupBy("identity", "category").agg(F.count("*").alias("n"))
     histogram = counts.groupBy("identity").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))),
                                  lambda c: F.concat_ws(":", c["category"], c["n"].cast("string"))), "|").alias("current_categories"),
-        F.sum("n").alias("identity_row_count"), F.max("n").alias("_top"))
+        F.sum("n").alias("identity_row_count"), F.min(F.struct((-F.col("n")).alias("less"), "category")).alias("_top"))
     keys = lines.groupBy("identity").agg(F.min("key").alias("key"), F.max("key").alias("key_b"))
     scope = lines.groupBy("key").agg(F.count("*").alias("rule_scope_rows"), F.countDistinct("identity").alias("shared_product_key_identity_count"))
-    return histogram.join(keys, "identity").join(scope, "key").withColumn(
-        "item_exception_count", F.col("identity_row_count") - F.col("_top")).drop("_top")
+    return histogram.join(keys, "identity").join(scope, "key").withColumns({
+        "modal_category": F.col("_top.category"), "item_exception_count": F.col("identity_row_count") + F.col("_top.less")}).drop("_top")
+
+
+def _labelled(items: DataFrame) -> DataFrame:
+    return items.select(*LINE_KEY, identity().alias("identity"), product_key().alias("key"),
+                        F.coalesce("category", F.lit("")).alias("category"))
+
+
+def line_name(receipt: str = "receipt_id", line: str = "id") -> Column:
+    """A line as a manifest names it."""
+    return F.concat_ws(":", F.col(receipt).cast("string"), F.col(line).cast("string"))
+
+
+def exception_lines(items: DataFrame, states: DataFrame) -> DataFrame:
+    """(identity, value): the lines whose label is not their product's modal one, one row each."""
+    return _labelled(items).join(states.select("identity", "modal_category"), "identity").where(
+        "category != modal_category").select("identity", line_name().alias("value"))
+
+
+def alias_keys(items: DataFrame) -> DataFrame:
+    """(identity, value): the keys a product's stored spellings have."""
+    return items.select(identity().alias("identity"), F.when(not_blank(F.col("normalized_name")), F.trim("normalized_name")).otherwise(
+        normalize(F.col("name"))).alias("value")).distinct()
 
 
 def migration_violations(items: DataFrame, rules: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Everything that keeps a manifest from being applied; empty means it may be."""
-    state = identity_states(items)
-    known = rules.select(F.col("product_key").alias("_rule_key"), F.concat_ws("|", "category", "source").alias("_rule"))
-    m = manifest.join(state, manifest.effective_product == state.identity, "left").join(
+    """Everything that keeps a manifest from being applied; empty means it may be.
+
+    `stated` lists the predicates a row makes a statement on; each of them is compared,
+    so a stated null (no rule expected) differs from a rule that exists now.
+    """
+    states = identity_states(items)
+    now = states.select(*[F.col(c).alias(f"now_{c}") for c in states.columns])
+    known = rules.select(F.col("product_key").alias("_rule_key"), F.concat_ws("|", "category", "source").alias("now_rule"))
+    m = manifest.join(now, F.col("effective_product") == F.col("now_identity"), "left").join(
         known, F.col("product_key") == F.col("_rule_key"), "left")
-    differs = lambda p, actual: F.col(f"predicates.{p}").isNotNull() & ~F.col(f"predicates.{p}").eqNullSafe(F.col(actual))
+    actual = {"current_categories": "now_current_categories", "effective_product": "effective_product", "product_key": "product_key",
+              "existing_rule": "now_rule", **{p: f"now_{p}" for p in (
+                  "identity_row_count", "item_exception_count", "rule_scope_rows", "shared_product_key_identity_count")}}
+    drifts = {f"{p}_drift": F.array_contains("stated", p) & ~F.col(f"predicates.{p}").eqNullSafe(F.col(c)) for p, c in actual.items()}
+    drifts["current_categories_drift"] = drifts["current_categories_drift"] | ~F.col("current_categories").eqNullSafe(F.col("now_current_categories"))
     checks = {
-        "identity_missing": F.col("identity").isNull(),
-        "product_key_mismatch": (F.col("key") != F.col("product_key")) | (F.col("key_b") != F.col("product_key")),
-        "current_categories_drift": manifest["current_categories"] != state["current_categories"],
-        "rule_scope_drift": F.col("expected_affected_item_count") != F.col("rule_scope_rows"),
-        "existing_rule_drift": differs("existing_rule", "_rule"),
-        **{f"{p}_drift": differs(p, p) for p in ("identity_row_count", "item_exception_count", "rule_scope_rows",
-                                                 "shared_product_key_identity_count")},
-        "already_in_target": F.contains(F.concat(F.lit("|"), state["current_categories"]), F.concat(F.lit("|"), F.col("target_category"), F.lit(":"))),
+        "identity_missing": F.col("now_identity").isNull(),
+        "product_key_mismatch": (F.col("now_key") != F.col("product_key")) | (F.col("now_key_b") != F.col("product_key")),
+        "rule_scope_drift": ~F.col("expected_affected_item_count").eqNullSafe(F.col("now_rule_scope_rows")), **drifts,
+        "already_in_target": F.contains(F.concat(F.lit("|"), F.col("now_current_categories")), F.concat(F.lit("|"), F.col("target_category"), F.lit(":"))),
     }
     found = m.select("effective_product", F.explode(F.array_compact(F.array(*[
         F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))).alias("violation"))
     mixed = _rule_targets(manifest, rules).groupBy("rule_key").agg(
         F.min("target_category").alias("a"), F.max("target_category").alias("b"), F.min("effective_product").alias("effective_product")).where(
         "a != b").select("effective_product", F.lit("mixed_rule_targets").alias("violation"))
-    wanted = manifest.select(F.col("effective_product").alias("identity"), F.explode("predicates.raw_alias_keys").alias("alias_key"))
-    actual = items.select(identity().alias("identity"), F.when(not_blank(F.col("normalized_name")), F.trim("normalized_name")).otherwise(
-        normalize(F.col("name"))).alias("alias_key")).distinct().join(
-        manifest.where("predicates.raw_alias_keys IS NOT NULL").select(F.col("effective_product").alias("identity")), "identity", "left_semi")
-    aliases = wanted.exceptAll(actual).unionByName(actual.exceptAll(wanted)).select(
-        F.col("identity").alias("effective_product"), F.lit("raw_alias_keys_drift").alias("violation")).distinct()
-    return reduce(DataFrame.unionByName, [found, mixed, aliases])
+    return reduce(DataFrame.unionByName, [found, mixed, _list_drift(manifest, "raw_alias_keys", alias_keys(items)),
+                                          _list_drift(manifest, "item_exception_ids", exception_lines(items, states))])
+
+
+def _list_drift(manifest: DataFrame, predicate: str, actual: DataFrame) -> DataFrame:
+    """Products whose stated list is not the actual (identity, value) rows; both sides stay long tables."""
+    stated = manifest.where(F.array_contains("stated", predicate)).select(
+        F.col("effective_product").alias("identity"), F.col(f"predicates.{predicate}").alias("values"))
+    wanted = stated.select("identity", F.explode("values").alias("value"))
+    there = actual.join(stated.select("identity"), "identity", "left_semi")
+    return wanted.exceptAll(there).unionByName(there.exceptAll(wanted)).select(
+        F.col("identity").alias("effective_product"), F.lit(f"{predicate}_drift").alias("violation")).distinct()
 
 
 def _rule_targets(manifest: DataFrame, rules: DataFrame) -> DataFrame:
@@ -355,30 +389,53 @@ def _rule_targets(manifest: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def migration_plan(items: DataFrame, rules: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Line changes and rule changes of a manifest without violations."""
+    """Line changes and rule changes of a manifest. One with violations is refused."""
+    refused = migration_violations(items, rules, manifest).limit(5).collect()
+    if refused:
+        raise ValueError("manifest refused: " + "; ".join(f"{r.effective_product}: {r.violation}" for r in refused))
     lines = items.select(*LINE_KEY, identity().alias("effective_product"), F.col("category").alias("old_category")).join(
         manifest.select("effective_product", F.col("target_category").alias("new_category")), "effective_product")
     targets = _rule_targets(manifest, rules).select(F.col("rule_key").alias("product_key"), "target_category").distinct()
-    rule_changes = targets.join(rules.select("product_key", "category"), "product_key", "left").select(
-        "product_key", F.col("category").alias("old_category"), F.col("target_category").alias("new_category"),
+    rule_changes = targets.join(rules.select("product_key", "category", "source", "updated_at"), "product_key", "left").select(
+        "product_key", F.col("category").alias("old_category"), F.col("source").alias("old_source"),
+        F.col("updated_at").alias("old_updated_at"), F.col("target_category").alias("new_category"),
         F.when(F.col("category").isNull(), "insert").when(F.col("category") == F.col("target_category"), "unchanged")
         .otherwise("update").alias("operation"))
     return lines, rule_changes
 
 
+def _rule_as_planned() -> Column:
+    """A rule still has the label, source and time of the plan, or still does not exist."""
+    return (F.col("category").eqNullSafe(F.col("old_category")) & F.col("source").eqNullSafe(F.col("old_source"))
+            & F.col("updated_at").eqNullSafe(F.col("old_updated_at")))
+
+
+def migration_drift(items: DataFrame, rules: DataFrame, line_changes: DataFrame, rule_changes: DataFrame) -> DataFrame:
+    """(kind, key): planned changes whose row is no longer as planned; empty means every one will be written."""
+    now = items.select(*LINE_KEY, F.lit(True).alias("_there"), "category")
+    lines = line_changes.join(now, LINE_KEY, "left").where(
+        F.col("_there").isNull() | ~F.col("category").eqNullSafe(F.col("old_category"))).select(
+        F.lit("line").alias("kind"), line_name().alias("key"))
+    changed = rule_changes.where("operation != 'unchanged'").join(rules.select("product_key", "category", "source", "updated_at"), "product_key", "left")
+    return lines.unionByName(changed.where(~_rule_as_planned()).select(F.lit("rule").alias("kind"), F.col("product_key").alias("key")))
+
+
 def migration_apply(items: DataFrame, rules: DataFrame, line_changes: DataFrame, rule_changes: DataFrame,
                     now: str) -> tuple[DataFrame, DataFrame]:
-    """New lines and rules. A line changes only if it still has the category planned for."""
+    """New lines and rules. A line or a rule changes only if it still is as planned;
+    publish the result only where migration_drift is empty."""
     change = line_changes.select(*LINE_KEY, F.col("old_category").alias("_old"), F.col("new_category").alias("_new"))
     hit = F.col("_new").isNotNull() & F.col("category").eqNullSafe(F.col("_old"))
     new_items = items.join(change, LINE_KEY, "left").withColumn(
         "category", F.when(hit, F.col("_new")).otherwise(F.col("category"))).select(*items.columns)
     stamp = F.lit(now).cast("timestamp")
-    moved = rule_changes.where("operation != 'unchanged'").select("product_key", F.col("new_category").alias("_new"))
+    moved = rule_changes.where("operation != 'unchanged'").select(
+        "product_key", "old_category", "old_source", "old_updated_at", F.col("new_category").alias("_new"))
+    fits = F.col("_new").isNotNull() & _rule_as_planned()
     new_rules = rules.join(moved, "product_key", "full").select(
-        "product_key", F.coalesce("_new", "category").alias("category"), F.coalesce("source", F.lit("manual")).alias("source"),
-        F.coalesce("created_at", stamp).alias("created_at"),
-        F.when(F.col("_new").isNotNull(), stamp).otherwise(F.col("updated_at")).alias("updated_at"))
+        "product_key", F.when(fits, F.col("_new")).otherwise(F.col("category")).alias("category"),
+        F.coalesce("source", F.lit("manual")).alias("source"), F.coalesce("created_at", stamp).alias("created_at"),
+        F.when(fits, stamp).otherwise(F.col("updated_at")).alias("updated_at")).where("category IS NOT NULL")
     return new_items, new_rules
 
 

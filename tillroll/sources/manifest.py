@@ -50,5 +50,5 @@ def validate_manifest(raw: DataFrame) -> DataFrame:
         F.col("_keys").isNull() | F.col("_count").isNull(), "invalid_predicate").when(
         F.size(F.array_except("_keys", F.array(*[F.lit(k) for k in known]))) > 0, "unsupported_predicate")
     return df.select("effective_product", "product_key", "target_category", "current_categories",
-                     F.col("_count").alias("expected_affected_item_count"), "expected_rule_operation", "predicates", "reason",
+                     F.col("_count").alias("expected_affected_item_count"), "expected_rule_operation", "predicates", F.col("_keys").alias("stated"), "reason",
                      error.alias("error"))
