@@ -1,14 +1,18 @@
+import random
+from decimal import Decimal
+
 import pytest
 
+from tillroll.functions import similarity
 from tillroll.plans import products
 from tillroll.operators.ranking import with_rank
 
 SCHEMA = "name string, normalized_name string, canonical_name string, receipt_id long, category string"
 
 
-def suggest(spark, names, bucket=80):
+def suggest(spark, names, chunk=2048):
     items = spark.createDataFrame([(n, None, None, i, "яйца") for i, n in enumerate(names)], SCHEMA)
-    return products.duplicate_suggestions(products.with_match_features(products.catalogue(items)), bucket=bucket).collect()
+    return products.duplicate_suggestions(products.with_match_features(products.catalogue(items)), chunk=chunk).collect()
 
 
 @pytest.mark.parametrize("left, right, expected", [
@@ -30,16 +34,36 @@ def test_pair_details(spark):
     assert (r.score, r.weight_g, r.same_category, r.same_words, r.merge_term) == (100.0, 130, True, True, "adazu")
 
 
-def test_common_words_fall_back_to_sets(spark):
-    names = [f"maize balta {a}{b}" for a in "abcdef" for b in "ghijkl"] + ["maize rupja xy", "maize rupja xyz"]
-    pairs = {frozenset((r.left_identity, r.right_identity)) for r in suggest(spark, names, bucket=4)}
-    assert frozenset(("maize rupja xy", "maize rupja xyz")) in pairs
-
-
-def test_copies_stay_linear(spark):
-    items = spark.createDataFrame([("piens balts", None, None, i, f"c{i}") for i in range(30)] + [("Piens balts", None, None, 99, "c0")], SCHEMA)
-    features = products.with_match_features(products.catalogue(items))
-    assert products.candidate_pairs(features, bucket=5).count() == 30
+def brute(spark, names):
+    """All pairs of the names, by the same tests on every pair."""
+    items = spark.createDataFrame([(n, None, None, i, "яйца") for i, n in enumerate(names)], SCHEMA)
+    rows = products.with_match_features(products.catalogue(items)).collect()
+    agree = lambda a, b: a is None or b is None or a == 0 or b == 0 or a == b
+    out = set()
+    for i, a in enumerate(rows):
+        for b in rows[i + 1:]:
+            kinds = [x.f.volume_ml is not None and y.f.volume_ml is not None or x.f.weight_g is not None and y.f.weight_g is not None for x, y in ((a, b),)]
+            measured = [x.f.volume_ml is not None or x.f.weight_g is not None for x in (a, b)]
+            far = a.f.percentage is not None and b.f.percentage is not None and abs(a.f.percentage - b.f.percentage) > Decimal("0.05")
+            if (a.pack == b.pack and a.variants == b.variants and not (all(measured) and not kinds[0]) and agree(a.f.volume_ml, b.f.volume_ml)
+                    and agree(a.f.weight_g, b.f.weight_g) and not far and not (a.normalized == b.normalized and a.identity == b.identity)
+                    and (similarity.sort_ratio(a.comparison, b.comparison) + similarity.set_ratio(a.comparison, b.comparison)) / 2 >= 88):
+                out.add(frozenset((a.identity, b.identity)))
+    return out
+
+
+def test_all_pairs_are_found_at_any_chunk_size(spark):
+    rng = random.Random(3)
+    words = "piens balts svaigs lauku maize rupja zaļā tēja siers zero classic olas krējums salds".split()
+    sizes = ["", "", "1L", "0,5L", "500g", "0g", "1kg 1L", "2x100g", "6x110g", "3,5%", "3,5% 1L"]
+    names = [" ".join([*rng.sample(words, rng.randint(1, 5)), rng.choice(sizes)]).strip() for _ in range(260)]
+    names += [n[:k] + rng.choice("aeiš") + n[k:] for n in names[:120] for k in (rng.randint(0, len(n)),)] + [f"Piens Balts Svaigs Lauku n{i}" for i in range(60)]
+    names = sorted(set(names))
+    want = brute(spark, names)
+    assert len(want) > 1500
+    for chunk in (2048, 37):
+        got = [frozenset((r.left_identity, r.right_identity)) for r in suggest(spark, names, chunk)]
+        assert len(got) == len(set(got)) and set(got) == want
 
 
 def test_resolve_names(spark):

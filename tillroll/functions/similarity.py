@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType, StructField, StructType
+
+#: Names on either side that one task compares.
+CHUNK = 2048
 
 
 def common_length(left: str, right: str) -> int:
@@ -52,17 +57,67 @@ def set_ratio(left: str, right: str) -> float:
     return best
 
 
-@pandas_udf(StructType([StructField("score", DoubleType()), StructField("symmetric", DoubleType())]))
-def similarity(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    """Only candidate pairs that passed every cheap test reach this step."""
-    symmetric = [sort_ratio(a, b) for a, b in zip(left, right)]
-    return pd.DataFrame({
-        "score": [(s + set_ratio(a, b)) / 2 for s, a, b in zip(symmetric, left, right)],
-        "symmetric": symmetric,
-    })
-
-
-def length_can_reach(left: Column, right: Column, score: float) -> Column:
-    """Necessary for a mean of `score`: the sort ratio alone must reach 2*score-100."""
-    needed = 2 * score - 100
-    return 200 * F.least(left, right) >= needed * (left + right)
+def similar_pairs(names: DataFrame, score: float, chunk: int = CHUNK) -> DataFrame:
+    """(left_pid, right_pid, score, symmetric): all pairs of one block whose mean ratio reaches the score.
+
+    `names` holds block, pid, comparison and side: of a block, those of side 2 meet all
+    others, those of side 1 do not meet each other. A block is cut into chunks by a hash and each pair of chunks is
+    a group of its own, so no task grows with a block. Pairs are dropped by the letters
+    they cannot have in common, a bound below their distance; the rest is scored, and only
+    pairs that reach the score leave the task.
+    """
+    names = names.select("block", "pid", "comparison", "side")
+    sizes = names.groupBy("block").agg(F.ceil(F.count("*") / chunk).alias("chunks"))
+    rows = names.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64("pid"), F.col("chunks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    left = rows.where("side = 2").select("block", F.col("chunk").alias("row"), F.explode(every).alias("column"), F.lit(0).alias("at"), "pid", "comparison", "side")
+    right = rows.select("block", F.explode(every).alias("row"), F.col("chunk").alias("column"), F.lit(1).alias("at"), "pid", "comparison", "side")
+    keys = ["block", "row", "column"]
+    cells = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "at")
+    return cells.mapInArrow(partial(_scored_cells, keys=keys, score=score), "left_pid string, right_pid string, score double, symmetric double").dropDuplicates(
+        ["left_pid", "right_pid"])
+
+
+def _scored_cells(batches: Iterator[pa.RecordBatch], keys: list[str], score: float) -> Iterator[pa.RecordBatch]:
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        codes = [held.column(k).combine_chunks().dictionary_encode().indices.to_numpy() for k in keys]
+        starts = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+        for a, b in zip(starts, starts[1:]):
+            yield _scored(held.slice(a, b - a), score)
+        held = held.slice(starts[-1])
+    if held is not None:
+        yield _scored(held, score)
+
+
+def _scored(cell: pa.Table, score: float) -> pa.RecordBatch:
+    at, pid, side = cell.column("at").to_numpy(), cell.column("pid").to_pylist(), cell.column("side").to_numpy()
+    names = [" ".join(c.split()) for c in cell.column("comparison").to_pylist()]
+    cut = int(np.searchsorted(at, 1))
+    letters = {c: i for i, c in enumerate(sorted(set("".join(names))))}
+    counts = np.zeros((len(names), len(letters)), np.int16)
+    for i, name in enumerate(names):
+        for c in name:
+            counts[i, letters[c]] += 1
+    sizes = counts.sum(axis=1, dtype=np.int64)
+    out: list[tuple] = []
+    needed = (2 * score - 100) / 100
+    for i in range(cut):
+        least = np.abs(counts[cut:] - counts[i]).sum(axis=1, dtype=np.int64)
+        near = cut + np.flatnonzero(least <= (1 - needed) * (sizes[cut:] + sizes[i]) + 1e-9)
+        for j in near.tolist():
+            # two of side 2 meet in either order, and count with the smaller id on the left
+            if pid[i] == pid[j] or side[j] == 2 and pid[i] > pid[j]:
+                continue
+            symmetric = sort_ratio(names[i], names[j])
+            if symmetric >= 2 * score - 100:
+                mean = (symmetric + set_ratio(names[i], names[j])) / 2
+                if mean >= score:
+                    out.append((min(pid[i], pid[j]), max(pid[i], pid[j]), mean, symmetric))
+    columns = list(zip(*out)) if out else [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.string()),
+                                       pa.array(columns[2], pa.float64()), pa.array(columns[3], pa.float64())],
+                                      names=["left_pid", "right_pid", "score", "symmetric"])

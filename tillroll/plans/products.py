@@ -9,7 +9,7 @@ from tillroll import vocabulary as V
 from tillroll.functions.columns import not_blank
 from tillroll.functions.identity import identity
 from tillroll.functions.names import features, fold_diacritics, multipack, normalize, significant_tokens, variants
-from tillroll.functions.similarity import length_can_reach, similarity
+from tillroll.functions.similarity import CHUNK, similar_pairs
 from tillroll.session import stored
 
 
@@ -79,39 +79,23 @@ def with_match_features(products: DataFrame) -> DataFrame:
         multipack(F.col("name")).alias("pack"), variants(F.col("comparison"), F.col("folded")).alias("variants"))
 
 
-def _subsets(common: Column) -> Column:
-    """All sets of two or more of up to four tokens."""
-    masks = [m for m in range(1, 1 << V.BLOCKING_TOKENS) if m.bit_count() > 1]
-    picks = [F.concat(*[p for i in range(V.BLOCKING_TOKENS) if m >> i & 1
-                        for p in (F.get(common, i), F.lit(" "))]) for m in masks]
-    return F.array_compact(F.array(*picks))
+def comparison_blocks(products: DataFrame) -> DataFrame:
+    """(block, pid, comparison, side): products that may be one good share a block.
 
-
-def candidate_pairs(products: DataFrame, bucket: int = V.MAX_BUCKET) -> DataFrame:
-    """Pairs (left pid < right pid) worth a comparison.
-
-    Products meet in buckets of at most `bucket` products: a leading token that rare, or,
-    for tokens more common than that, a set of them that is rare enough. A set of tokens
-    that is common as a whole is a group of near copies; its products each meet the
-    group's most purchased one, so the work stays linear. No product is left out.
+    Multipack and variants must be equal. A product with a volume or a weight meets those
+    with the same one (side 2); one without any, or with a zero, meets all (side 2 in a
+    block where the others are side 1).
     """
-    leading = products.select("pid", "item_count", F.explode(F.slice("tokens", 1, V.BLOCKING_TOKENS)).alias("key"))
-    sizes = leading.groupBy("key").agg(F.count("*").alias("n"))
-    sized = leading.join(sizes, "key")
-    rare = sized.where(F.col("n") <= bucket).select("pid", "key")
-    common = sized.where(F.col("n") > bucket).groupBy("pid", "item_count").agg(
-        F.array_sort(F.collect_list("key")).alias("c"))  # at most four tokens
-    sets = common.select("pid", "item_count", F.array_join("c", " ").alias("whole"), F.explode(_subsets(F.col("c"))).alias("key"))
-    set_sizes = sets.groupBy("key").agg(F.count("*").alias("n"))
-    refined = sets.join(set_sizes.where(F.col("n") <= bucket), "key").select("pid", "key")
-    buckets = rare.unionByName(refined)
-    pairs = buckets.alias("l").join(buckets.alias("r"), "key").where("l.pid < r.pid").select(
-        F.col("l.pid").alias("left_pid"), F.col("r.pid").alias("right_pid"))
-    whole = common.select("pid", "item_count", F.array_join("c", " ").alias("whole"))
-    leaders = whole.groupBy("whole").agg(F.max(F.struct("item_count", "pid"))["pid"].alias("leader"))
-    star = whole.join(leaders, "whole").where("pid != leader").select(
-        F.least("pid", "leader").alias("left_pid"), F.greatest("pid", "leader").alias("right_pid"))
-    return pairs.unionByName(star).distinct()
+    kind = F.to_json(F.struct("pack", F.array_join("variants", "|").alias("variants")), {"ignoreNullFields": "false"})
+    zero = (F.col("f.volume_ml") == 0) | (F.col("f.weight_g") == 0)
+    unmeasured = F.col("f.volume_ml").isNull() & F.col("f.weight_g").isNull()
+    rows = products.select(kind.alias("kind"), "pid", "comparison", "f.volume_ml", "f.weight_g",
+                           (unmeasured | F.coalesce(zero, F.lit(False))).alias("open"))
+    measures = F.array_compact(F.array(F.concat(F.lit("v"), F.col("volume_ml")), F.concat(F.lit("w"), F.col("weight_g"))))
+    measured = rows.where("not open").select("kind", F.explode(measures).alias("measure"), "pid", "comparison").select(
+        F.concat_ws("/", "kind", "measure").alias("block"), "pid", "comparison", F.lit(2).alias("side"))
+    return measured.unionByName(rows.select(F.concat("kind", F.lit("/")).alias("block"), "pid", "comparison",
+                                            F.when(F.col("open"), 2).otherwise(1).alias("side")))
 
 
 def _compatible(l: str, r: str) -> Column:  # noqa: E741
@@ -127,17 +111,17 @@ def _compatible(l: str, r: str) -> Column:  # noqa: E741
 
 
 def duplicate_suggestions(products: DataFrame, limit: int | None = None, confidence: str | None = None,
-                          bucket: int = V.MAX_BUCKET) -> DataFrame:
-    """Pairs of products that are probably one. `products` comes from with_match_features."""
+                          chunk: int = CHUNK) -> DataFrame:
+    """Pairs of products that are probably one: all compatible pairs that reach the score.
+
+    `products` comes from with_match_features. Every product is compared with every other
+    of its blocks, however many there are; `chunk` sets the size of a task, not the result.
+    """
     products = stored(products)
     l, r = products.alias("l"), products.alias("r")  # noqa: E741
-    pairs = candidate_pairs(products, bucket).join(l, F.col("left_pid") == F.col("l.pid")).join(
-        r, F.col("right_pid") == F.col("r.pid"))
-    pairs = pairs.where(_compatible("l", "r") & ~(
-        (F.col("l.normalized") == F.col("r.normalized")) & (F.col("l.identity") == F.col("r.identity"))) & length_can_reach(
-        F.length("l.comparison"), F.length("r.comparison"), V.POSSIBLE_SCORE))
-    scored = pairs.withColumn("s", similarity(F.col("l.comparison"), F.col("r.comparison"))).where(
-        F.col("s.score") >= V.POSSIBLE_SCORE)
+    pairs = similar_pairs(comparison_blocks(products), V.POSSIBLE_SCORE, chunk).select("left_pid", "right_pid", F.struct("score", "symmetric").alias("s"))
+    scored = pairs.join(l, F.col("left_pid") == F.col("l.pid")).join(r, F.col("right_pid") == F.col("r.pid")).where(
+        _compatible("l", "r") & ~((F.col("l.normalized") == F.col("r.normalized")) & (F.col("l.identity") == F.col("r.identity"))))
     left_first = (F.col("l.item_count") > F.col("r.item_count")) | (
         (F.col("l.item_count") == F.col("r.item_count")) & (F.lower("l.identity") <= F.lower("r.identity")))
     side = lambda f: [F.when(left_first, F.col(f"{x}.{f}")).otherwise(F.col(f"{y}.{f}")).alias(f"{n}_{f}")
