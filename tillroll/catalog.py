@@ -8,15 +8,16 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillroll import vocabulary as V
 from tillroll.functions.categories import classify_names
 from tillroll.functions.evidence import arithmetic_mismatch
 from tillroll.functions.identity import identity, product_key
-from tillroll.functions.periods import resolve_period
-from tillroll.operators.observations import observe
+from tillroll.functions.periods import Period, resolve_period
+from tillroll.operators.observations import observe, of_receipts
 from tillroll.operators.snapshots import diff_violations, invariants, table_diff, tables_equal
 from tillroll.plans import dashboard, maintenance, prices, products, quality, spend, story
 from tillroll.schema import ITEMS_DDL, RECEIPT_DEFAULTS, RECEIPTS_DDL, ITEM_DEFAULTS, audit_constraints, conform
-from tillroll.session import stored, stream_folder, tune
+from tillroll.session import stored, stream_folder
 from tillroll.sources import ingest, receipt_text, tables
 from tillroll.streaming.jobs import drop_repeats, enrich_stream, ingest_stream, run_to_end
 
@@ -28,12 +29,23 @@ class Data:
     """The bound tables of one folder, built on first use."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = tune(spark), folder
+        self.spark, self.folder = spark, folder
 
     @property
     def receipts(self) -> DataFrame:
         return tables.receipts(self.spark, self.folder)
 
+    def receipts_in(self, period: Period, days_before: int = 0) -> DataFrame:
+        return tables.receipts(self.spark, self.folder, *period.bounds(days_before))
+
+    def sold_in(self, period: Period) -> DataFrame:
+        return observe(self.sales, self.receipts_in(period))
+
+    def graded_in(self, period: Period, days_before: int = 0) -> DataFrame:
+        """Observations of a time; its lines are chosen before they are priced."""
+        chosen = self.receipts_in(period, days_before)
+        return observe(of_receipts(self.graded_items, chosen.select(F.col("id").alias("receipt_id"))), chosen)
+
     @property
     def items(self) -> DataFrame:
         return tables.items(self.spark, self.folder)
@@ -109,21 +121,21 @@ query("report_recurring_products")(lambda d: spend.recurring_products(d.sales))
 query("report_evidence_distribution")(lambda d: spend.evidence_distribution(d.items))
 
 # --- periods ------------------------------------------------------------------------------
-query("period_summary")(lambda d: dashboard.period_summary(d.receipts, CURRENT, AS_OF))
-query("category_changes")(lambda d: dashboard.category_changes(d.sold, CURRENT))
-query("daily_trend")(lambda d: dashboard.daily_trend(d.receipts, SELECTED))
+query("period_summary")(lambda d: dashboard.period_summary(d.receipts_in(CURRENT), CURRENT, AS_OF))
+query("category_changes")(lambda d: dashboard.category_changes(d.sold_in(CURRENT), CURRENT))
+query("daily_trend")(lambda d: dashboard.daily_trend(d.receipts_in(SELECTED), SELECTED))
 query("monthly_trend")(lambda d: dashboard.monthly_trend(d.receipts, ALL_TIME))
 query("months_available")(lambda d: dashboard.months_available(d.receipts))
-query("receipt_register")(lambda d: dashboard.receipt_register(d.receipts, d.items, SELECTED, "build"))
+query("receipt_register")(lambda d: dashboard.receipt_register(d.receipts_in(SELECTED), d.items, SELECTED, "build"))
 query("register_totals")(lambda d: dashboard.register_totals(
     dashboard.receipt_register(d.receipts, d.items, ALL_TIME)))
 query("receipt_previews")(lambda d: dashboard.receipt_previews(
-    dashboard.receipt_register(d.receipts, d.items, SELECTED), d.items, 2))
-query("recent_receipts")(lambda d: dashboard.receipt_register(d.receipts, d.items, CURRENT, n=5))
+    dashboard.receipt_register(d.receipts_in(SELECTED), d.items, SELECTED), d.items, 2))
+query("recent_receipts")(lambda d: dashboard.receipt_register(d.receipts_in(CURRENT), d.items, CURRENT, n=5))
 query("receipt_lines")(lambda d: dashboard.receipt_lines(d.items))
 query("month_summary")(lambda d: dashboard.month_summary(d.receipts, d.sales, AS_OF))
-query("selected_month_summary")(lambda d: dashboard.month_summary(d.receipts, d.sales, AS_OF, SELECTED))
-query("top_month_products")(lambda d: dashboard.top_month_products(d.obs, AS_OF, SELECTED))
+query("selected_month_summary")(lambda d: dashboard.month_summary(d.receipts_in(SELECTED), d.sales, AS_OF, SELECTED))
+query("top_month_products")(lambda d: dashboard.top_month_products(d.obs, AS_OF, SELECTED, sold=d.sold_in(SELECTED)))
 
 # --- price evidence -----------------------------------------------------------------------
 query("price_evidence")(lambda d: d.items.select(
@@ -185,15 +197,15 @@ query("top_duplicate_suggestions")(lambda d: products.duplicate_suggestions(
 
 
 def _summary(d: Data) -> DataFrame:
-    return dashboard.period_summary(d.receipts, SELECTED, AS_OF)
+    return dashboard.period_summary(d.receipts_in(SELECTED), SELECTED, AS_OF)
 
 
 def _candidates(d: Data) -> DataFrame:
-    return story.item_candidates(d.graded_obs, _summary(d), SELECTED)
+    return story.item_candidates(d.graded_in(SELECTED, V.HISTORY_DAYS), _summary(d), SELECTED)
 
 
 def _insight(d: Data) -> DataFrame:
-    return stored(story.ranked_insight(d.sold, d.receipts, _summary(d), stored(_candidates(d)), SELECTED))
+    return stored(story.ranked_insight(d.sold_in(SELECTED), d.receipts_in(SELECTED, 90), _summary(d), stored(_candidates(d)), SELECTED))
 
 
 query("story_items")(lambda d: _candidates(d).drop("prior_count"))
@@ -201,11 +213,11 @@ query("ranked_insight")(lambda d: _insight(d).select("type", "subject_key", "met
     F.array_sort("evidence").cast("array<string>"), ",").alias("evidence")))
 query("story_highlights")(lambda d: story.highlights(d.receipts, _insight(d), SELECTED))
 query("story_remainder")(lambda d: story.remainder(d.receipts, story.highlights(d.receipts, _insight(d), SELECTED), SELECTED))
-query("story_timeline")(lambda d: story.timeline(d.receipts, SELECTED))
-query("story_signature")(lambda d: story.story_signature(_insight(d), d.receipts, SELECTED))
-query("action_queue")(lambda d: quality.action_queue(d.items))
+query("story_timeline")(lambda d: story.timeline(d.receipts_in(SELECTED), SELECTED))
+query("story_signature")(lambda d: story.story_signature(_insight(d), d.receipts_in(SELECTED), SELECTED))
+query("action_queue")(lambda d: quality.action_queue(d.items, d.sales))
 query("briefing")(lambda d: dashboard.briefing(
-    _summary(d), dashboard.category_changes(d.sold, SELECTED), quality.action_queue(d.items).where("severity IN ('critical', 'high')")))
+    _summary(d), dashboard.category_changes(d.sold_in(SELECTED), SELECTED), quality.action_queue(d.items, d.sales).where("severity IN ('critical', 'high')")))
 
 # --- maintenance --------------------------------------------------------------------------
 

@@ -555,6 +555,8 @@ STORY_VIEWS = (*STORY_OBS, "story AS MATERIALIZED (" + SQL["story_items"].split(
     """insight AS MATERIALIZED (SELECT * FROM offers ORDER BY priority, CASE WHEN priority = 1 THEN -metric_value END, starts_with(subject_key, 'receipt:') LIMIT 1)""")
 add("ranked_insight", """SELECT type, subject_key, CAST(metric_value AS DOUBLE) AS metric_value, metric_unit,
     coalesce(array_to_string(list_sort(evidence), ','), '') AS evidence FROM insight""", *STORY_VIEWS)
+add("story_signature", f"""SELECT type, subject_key, sha256(concat_ws('|', type, subject_key, CAST(CAST(round_even(metric_value / 5, 0) * 5 AS BIGINT) AS VARCHAR),
+    coalesce(array_to_string(list_sort(evidence), ','), ''), CAST((SELECT coalesce(arg_max(id, (date, id)), 0) FROM receipts WHERE {MAY}) AS VARCHAR))) AS story_signature FROM insight""", *STORY_VIEWS)
 SHOWN = f"""ranked AS (SELECT id, date, store, total, row_number() OVER (ORDER BY date, id) - 1 AS rk, count(*) OVER () AS n FROM receipts WHERE {MAY}),
 picks AS (
   SELECT id, 0 AS pick FROM ranked WHERE list_contains((SELECT evidence FROM insight), id)

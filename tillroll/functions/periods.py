@@ -24,6 +24,13 @@ class Period:
     def has_previous(self) -> bool:
         return self.previous_end is not None
 
+    def bounds(self, days_before: int = 0) -> tuple[date | None, date]:
+        """From the first day of either range, or some days earlier, to the end of the current one."""
+        if self.start is None:
+            return None, self.end
+        first = min(self.start, self.previous_start or self.start)
+        return min(first, self.start - timedelta(days=days_before)), self.end
+
     def current(self, column: str = "date") -> Column:
         return in_range(F.col(column), self.start, self.end)
 
@@ -32,7 +39,8 @@ class Period:
 
 
 def in_range(date_text: Column, start: date | None, end: date) -> Column:
-    """Half-open and only for dates that parse; text comparison reaches the scan."""
+    """Half-open and only for dates that parse. Where the day is stored with a type, narrow
+    the receipts by Period.bounds at the source as well."""
     inside = iso_date(date_text).isNotNull() & (date_text < end.isoformat())
     return inside if start is None else inside & (date_text >= start.isoformat())
 

@@ -18,6 +18,12 @@ def observe(items: DataFrame, receipts: DataFrame) -> DataFrame:
     return items.withColumn("identity", identity()).join(head, "receipt_id")
 
 
+def of_receipts(items: DataFrame, receipts: DataFrame) -> DataFrame:
+    """The lines of some receipts (receipt_id). The semi-join moves below a price model that
+    is computed from the line, so only these lines are priced."""
+    return items.join(receipts.select("receipt_id"), "receipt_id", "left_semi")
+
+
 def paid() -> Column:
     """What the line cost, for the dashboard: line total, else price, else nothing."""
     return F.coalesce(F.col("line_total"), F.col("price"), F.lit(0))

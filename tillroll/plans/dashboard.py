@@ -13,7 +13,7 @@ from tillroll.functions.categories import is_legacy, reporting_label
 from tillroll.functions.columns import iso_date, literal_map, month_of
 from tillroll.functions.evidence import requires_review
 from tillroll.functions.periods import Period, days_in_month, in_range
-from tillroll.operators.observations import paid
+from tillroll.operators.observations import of_receipts, paid
 from tillroll.plans.spend import money
 
 
@@ -83,7 +83,8 @@ def receipt_register(receipts: DataFrame, items: DataFrame, period: Period, stor
         chosen = chosen.where(F.lower("store").like(f"%{store_search.lower()}%"))
     if n is not None:
         chosen = chosen.orderBy(F.desc("date"), F.desc("id")).limit(n)
-    counts = items.groupBy("receipt_id").agg(
+    lines = of_receipts(items, chosen.select(F.col("id").alias("receipt_id")))
+    counts = lines.groupBy("receipt_id").agg(
         F.count("*").alias("item_count"), F.count_if(requires_review()).alias("price_warning_count"))
     return chosen.join(counts, chosen.id == counts.receipt_id, "left").select(
         F.col("id").alias("receipt_id"), "receipt_number", "date", "store", money(F.col("total")).alias("total"),
@@ -107,7 +108,7 @@ def register_totals(register: DataFrame) -> DataFrame:
 def receipt_previews(register: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     """First lines of the receipts shown. The rank limit already applies before the shuffle."""
     rank = F.row_number().over(W.partitionBy("receipt_id").orderBy("id"))
-    shown = items.join(register.select("receipt_id"), "receipt_id", "left_semi")
+    shown = of_receipts(items, register)
     return shown.withColumn("line_no", rank).where(F.col("line_no") <= n).select(
         "receipt_id", F.col("line_no").cast("bigint").alias("line_no"), "name",
         F.coalesce(F.col("quantity").cast("double"), F.lit(0.0)).alias("quantity"),
@@ -152,7 +153,7 @@ def month_summary(receipts: DataFrame, items: DataFrame, as_of: date, period: Pe
     """Receipt sums and line counts, aggregated apart so that lines do not multiply receipts."""
     start, end, selected = month_window(as_of, period)
     chosen = receipts.where(in_range(F.col("date"), start, end))
-    lines = items.groupBy("receipt_id").agg(F.count("*").alias("lines"))
+    lines = of_receipts(items, chosen.select(F.col("id").alias("receipt_id"))).groupBy("receipt_id").agg(F.count("*").alias("lines"))
     per_receipt = chosen.join(lines, chosen.id == lines.receipt_id, "left")
     sums = per_receipt.agg(
         F.coalesce(F.sum("total"), F.lit(0)).alias("s"), F.count("*").alias("receipt_count"),
@@ -171,14 +172,18 @@ def month_summary(receipts: DataFrame, items: DataFrame, as_of: date, period: Pe
         F.when(F.col("reasons") == "", F.round((F.col("s") * last / as_of.day).cast("decimal(38,8)"), 2).cast("double")).alias("forecast"))
 
 
-def top_month_products(obs: DataFrame, as_of: date, period: Period | None = None, n: int = 3) -> DataFrame:
+def top_month_products(obs: DataFrame, as_of: date, period: Period | None = None, n: int = 3,
+                       sold: DataFrame | None = None) -> DataFrame:
     """Products with most spend, their latest price in the month and the one before it.
 
+    `sold` are the same observations without a price model, at least those of the month;
+    with them only the lines of the products found are priced.
+
     The price before is the greatest (date, receipt, id) below the latest one at the same
     unit: two maxima per product instead of an ordered window over its whole history.
     """
     start, end, _ = month_window(as_of, period)
-    top = obs.where(in_range(F.col("date"), start, end)).groupBy("identity").agg(
+    top = (obs if sold is None else sold).where(in_range(F.col("date"), start, end)).groupBy("identity").agg(
         F.sum(paid()).alias("s"), F.count("*").alias("purchase_count")).orderBy(
         F.desc("s"), F.desc("purchase_count"), F.lower("identity"), "identity").limit(n)
     priced = obs.where((F.col("normalized_unit_price") > 0) & F.col("normalized_price_unit").isin(V.ELIGIBLE_UNITS)

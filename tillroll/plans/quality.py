@@ -71,11 +71,12 @@ def group_health(items: DataFrame) -> DataFrame:
                       F.count("*").alias("groups"))
 
 
-def action_queue(items: DataFrame, merge_count: DataFrame | None = None, limit: int = 5) -> DataFrame:
-    """Operations with something to do, most urgent first. Both scans give one row each."""
-    quality, health = price_quality(items), group_health(items)
-    one = quality.select("low_confidence", "suspicious").withColumns({
-        "conflicts": health.select("conflicts").scalar(), "unresolved": health.select("unresolved").scalar(),
+def action_queue(items: DataFrame, sales: DataFrame | None = None, merge_count: DataFrame | None = None, limit: int = 5) -> DataFrame:
+    """Operations with something to do, most urgent first. Both scans give one row each;
+    `sales` are the lines without a price model, which categories do not need."""
+    quality, health = price_quality(items), group_health(items if sales is None else sales)
+    one = quality.select("low_confidence", "suspicious", health.select(F.struct("conflicts", "unresolved")).scalar().alias("h")).select(
+        "low_confidence", "suspicious", "h.conflicts", "h.unresolved").withColumns({
         "merges": merge_count.scalar() if merge_count is not None else F.lit(0).cast("bigint")})
     # Key, priority, severity.
     rows = [("category_conflicts", 1.0, "critical", "conflicts"), ("low_confidence_prices", 2.0, "high", "low_confidence"),

@@ -10,25 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 
-def tune(spark: SparkSession) -> SparkSession:
-    """Settings a query may change at run time, whoever built the session.
+def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+    """Local session for tests and the bench; a cluster supplies its own.
 
-    The price model compiles to methods beyond what the JVM optimises; above this limit
-    Spark evaluates operator by operator, which measured twice as fast here.
+    The price model compiles to methods beyond what the JVM optimises; above hugeMethodLimit
+    Spark evaluates operator by operator, which measured twice as fast here. Queries change
+    no setting of the session they are given.
     """
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark
-
-
-def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """Local session for tests and the bench; a cluster supplies its own."""
     spark = (
         SparkSession.builder.master(master)
         .appName("tillroll")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.adaptive.enabled", "true")
@@ -37,7 +32,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, memory:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    return tune(spark)
+    return spark
 
 
 def stored(df: DataFrame) -> DataFrame:

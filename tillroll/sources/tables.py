@@ -8,6 +8,7 @@ shuffle of its own beyond the joins of the order tables.
 from __future__ import annotations
 
 import os
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,8 +34,15 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return df.repartition(cores) if table == "lineitem" and df.rdd.getNumPartitions() < cores else df
 
 
-def receipts(spark: SparkSession, folder: str) -> DataFrame:
+def receipts(spark: SparkSession, folder: str, start: date | None = None, end: date | None = None) -> DataFrame:
+    """Receipts, of a half-open range of days if one is given: it is compared with the stored
+    time, so files and row groups outside of it are not read."""
     orders, customer = read(spark, folder, "orders"), read(spark, folder, "customer")
+    day = lambda d: F.lit(d.isoformat()).cast(orders.schema["o_orderdate"].dataType)
+    if start is not None:
+        orders = orders.where(F.col("o_orderdate") >= day(start))
+    if end is not None:
+        orders = orders.where(F.col("o_orderdate") < day(end))
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         F.col("o_orderkey").alias("id"),
         F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"),
