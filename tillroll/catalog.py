@@ -13,7 +13,7 @@ from tillroll.functions.categories import classify_names
 from tillroll.functions.evidence import arithmetic_mismatch
 from tillroll.functions.identity import identity, product_key
 from tillroll.functions.periods import Period, resolve_period
-from tillroll.operators.observations import observe, of_receipts
+from tillroll.operators.observations import observe
 from tillroll.operators.snapshots import diff_violations, invariants, table_diff, tables_equal
 from tillroll.plans import dashboard, maintenance, prices, products, quality, spend, story
 from tillroll.schema import ITEMS_DDL, RECEIPT_DEFAULTS, RECEIPTS_DDL, ITEM_DEFAULTS, audit_constraints, conform
@@ -44,7 +44,10 @@ class Data:
     def graded_in(self, period: Period, days_before: int = 0) -> DataFrame:
         """Observations of a time; its lines are chosen before they are priced."""
         chosen = self.receipts_in(period, days_before)
-        return observe(of_receipts(self.graded_items, chosen.select(F.col("id").alias("receipt_id"))), chosen)
+        return observe(tables.items(self.spark, self.folder, evidence=True, chosen=chosen), chosen)
+
+    def items_in(self, period: Period) -> DataFrame:
+        return tables.items(self.spark, self.folder, chosen=self.receipts_in(period))
 
     @property
     def items(self) -> DataFrame:
@@ -126,12 +129,12 @@ query("category_changes")(lambda d: dashboard.category_changes(d.sold_in(CURRENT
 query("daily_trend")(lambda d: dashboard.daily_trend(d.receipts_in(SELECTED), SELECTED))
 query("monthly_trend")(lambda d: dashboard.monthly_trend(d.receipts, ALL_TIME))
 query("months_available")(lambda d: dashboard.months_available(d.receipts))
-query("receipt_register")(lambda d: dashboard.receipt_register(d.receipts_in(SELECTED), d.items, SELECTED, "build"))
+query("receipt_register")(lambda d: dashboard.receipt_register(d.receipts_in(SELECTED), d.items_in(SELECTED), SELECTED, "build"))
 query("register_totals")(lambda d: dashboard.register_totals(
     dashboard.receipt_register(d.receipts, d.items, ALL_TIME)))
 query("receipt_previews")(lambda d: dashboard.receipt_previews(
-    dashboard.receipt_register(d.receipts_in(SELECTED), d.items, SELECTED), d.items, 2))
-query("recent_receipts")(lambda d: dashboard.receipt_register(d.receipts_in(CURRENT), d.items, CURRENT, n=5))
+    dashboard.receipt_register(d.receipts_in(SELECTED), d.items_in(SELECTED), SELECTED), d.items_in(SELECTED), 2))
+query("recent_receipts")(lambda d: dashboard.receipt_register(d.receipts_in(CURRENT), d.items_in(CURRENT), CURRENT, n=5))
 query("receipt_lines")(lambda d: dashboard.receipt_lines(d.items))
 query("month_summary")(lambda d: dashboard.month_summary(d.receipts, d.sales, AS_OF))
 query("selected_month_summary")(lambda d: dashboard.month_summary(d.receipts_in(SELECTED), d.sales, AS_OF, SELECTED))

@@ -19,8 +19,7 @@ def observe(items: DataFrame, receipts: DataFrame) -> DataFrame:
 
 
 def of_receipts(items: DataFrame, receipts: DataFrame) -> DataFrame:
-    """The lines of some receipts (receipt_id). The semi-join moves below a price model that
-    is computed from the line, so only these lines are priced."""
+    """The lines of some receipts (receipt_id)."""
     return items.join(receipts.select("receipt_id"), "receipt_id", "left_semi")
 
 

@@ -93,9 +93,12 @@ def line_id() -> Column:
     return F.col("l_linenumber").cast("bigint") * F.lit(1 << 48) + digits
 
 
-def raw_lines(spark: SparkSession, folder: str, evidence: bool = False, line: DataFrame | None = None) -> DataFrame:
-    """Lines as a parser would hand them over, before the price model."""
+def raw_lines(spark: SparkSession, folder: str, evidence: bool = False, line: DataFrame | None = None,
+              chosen: DataFrame | None = None) -> DataFrame:
+    """Lines as a parser would hand them over, before the price model; of `chosen` receipts only, if given."""
     line = read(spark, folder, "lineitem") if line is None else line
+    if chosen is not None:
+        line = line.join(chosen.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
     flag = F.col("l_returnflag")
     total = F.col("l_extendedprice").cast(MONEY)
     line = line.select(
@@ -117,13 +120,14 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
         F.when(~F.col("legacy"), F.col("line_total")).alias("line_total"), "category", "category_source")
 
 
-def items(spark: SparkSession, folder: str, evidence: bool = False) -> DataFrame:
+def items(spark: SparkSession, folder: str, evidence: bool = False, chosen: DataFrame | None = None) -> DataFrame:
     """Stored lines: parsed and derived ones carry a price model, legacy ones do not.
 
-    With `evidence` the name evidence computed per part stays attached.
+    With `evidence` the name evidence computed per part stays attached. Of `chosen`
+    receipts only the lines are read on, before they are priced.
     """
     no_size = F.lit(None).cast(AMOUNT)
-    df = derive_price(raw_lines(spark, folder, evidence=True), evidence="evidence", package_size=no_size,
+    df = derive_price(raw_lines(spark, folder, evidence=True, chosen=chosen), evidence="evidence", package_size=no_size,
                       package_unit=F.lit(None).cast("string"), source="source", out="d")
     legacy, unknown = F.col("legacy"), F.col("legacy_unknown")
 
