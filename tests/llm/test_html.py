@@ -41,3 +41,8 @@ def test_rows(spark):
     got = sorted((tuple(r) for r in extract(pages).collect()), key=str)
     assert got == sorted(((i, u, main_text(h or ""), len(main_text(h or ""))) for i, u, h in rows), key=str)
     assert extract(pages.limit(0)).collect() == []
+
+
+def test_references_without_semicolon_count():
+    assert html.main_text("<article><h1>Salt &amp pepper</h1><p>One &lt two, a&ampb &copy; and &#65 more words, and more of them.</p></article>") == \
+        "Salt & pepper\nOne < two, a&b © and A more words, and more of them."

@@ -243,14 +243,15 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["page_id", "url", "text", "n_chars"])
 
 
-#: For pages whose main text is one article element of headings and paragraphs.
+#: For pages whose main text is one article element of headings and paragraphs. These references
+#: count without their semicolon too, as HTML has it.
 SQL = r"""
 WITH article AS (SELECT page_id, url, regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1) AS body FROM pages),
 block AS (SELECT page_id, i, regexp_replace(regexp_replace(b, '<br[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS b
           FROM (SELECT page_id, regexp_split_to_array(body, '</?(?:p|h[1-6]|div|ul|li|section)(?:\s[^>]*)?>') AS bs FROM article),
                unnest(bs) WITH ORDINALITY AS u(b, i)),
-plain AS (SELECT page_id, i, trim(regexp_replace(replace(replace(replace(replace(replace(replace(b, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)),
-          '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) AS b FROM block),
+plain AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(b,
+          '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#x27;?', chr(39), 'g'), '&nbsp;?', ' ', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS b FROM block),
 joined AS (SELECT page_id, string_agg(b, chr(10) ORDER BY i) AS text FROM plain WHERE b <> '' GROUP BY page_id)
 SELECT page_id, url, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars FROM article LEFT JOIN joined USING (page_id)
 """
