@@ -44,5 +44,5 @@ def test_rows(spark):
 
 
 def test_references_without_semicolon_count():
-    assert html.main_text("<article><h1>Salt &amp pepper</h1><p>One &lt two, a&ampb &copy; and &#65 more words, and more of them.</p></article>") == \
+    assert main_text("<article><h1>Salt &amp pepper</h1><p>One &lt two, a&ampb &copy; and &#65 more words, and more of them.</p></article>") == \
         "Salt & pepper\nOne < two, a&b © and A more words, and more of them."
