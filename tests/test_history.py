@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tillroll.operators.history import with_prior_prices
+from tillroll.operators.history import PriceCounts, with_prior_prices
 from tillroll.operators.medians import group_medians
 
 
@@ -15,9 +15,9 @@ def brute(rows):
     return out
 
 
-def check(spark, rows, limit):
+def check(spark, rows, segments):
     df = spark.createDataFrame(rows, "identity string, normalized_price_unit string, dn int, receipt_id long, id long, price_e4 long")
-    got = {tuple(r[:6]): tuple(r[6:]) for r in with_prior_prices(df, limit).collect()}
+    got = {tuple(r[:6]): tuple(r[6:]) for r in with_prior_prices(df, segments).collect()}
     assert got == brute(rows)
 
 
@@ -29,19 +29,45 @@ def rows_of(seed, n, days, prices, products):
 
 
 def test_usual_series_equal_brute_force(spark):
-    check(spark, rows_of(1, 300, 500, 10**8, 3), 10_000)
+    check(spark, rows_of(1, 300, 500, 10**8, 3), None)
 
 
 def test_long_series_equal_brute_force(spark):
-    check(spark, rows_of(3, 300, 400, 50, 2), 20)
-    check(spark, rows_of(2, 250, 2, 10**6, 1), 10)  # long days are cut, equal keys are not earlier
+    check(spark, rows_of(3, 300, 400, 50, 2), 15)
+    check(spark, rows_of(2, 250, 2, 10**6, 1), 25)  # days and receipts are cut, equal keys are not earlier
+    check(spark, rows_of(5, 400, 900, 4, 1), 40)
 
 
 def test_exactly_180_days_back_counts(spark):
-    check(spark, [("a", "u", 0, 1, 1, 5), ("a", "u", 180, 1, 1, 7), ("a", "u", 181, 1, 1, 9)], 100)
+    check(spark, [("a", "u", 0, 1, 1, 5), ("a", "u", 180, 1, 1, 7), ("a", "u", 181, 1, 1, 9)], 3)
 
 
 def test_group_medians(spark):
     values = [("a", 1), ("a", 4), ("a", 4), ("a", 9), ("b", 3), ("b", 4)]
     out = group_medians(spark.createDataFrame(values, "k string, v long"), ["k"], "v", ("last", F.max, "v")).orderBy("k")
     assert [tuple(r) for r in out.collect()] == [("a", 8, 4, 1, 9, 9), ("b", 7, 2, 3, 4, 4)]
+
+
+def test_one_series_of_half_the_lines_is_spread(spark):
+    rows = [("hot" if i % 2 else f"p{i}", "u", i // 50, i % 7, i, i % 90) for i in range(4000)]
+    df = spark.createDataFrame(rows, "identity string, normalized_price_unit string, dn int, receipt_id long, id long, price_e4 long")
+    large = 2**62 + 1  # whole numbers stay whole
+    df = df.withColumn("receipt_id", F.col("receipt_id") + F.lit(large))
+    dealt = df.repartitionByRange(20, "identity", "normalized_price_unit", "dn", "receipt_id", "id").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in dealt.collect()) < 2 * 4000 / 20
+    assert {tuple(r) for r in with_prior_prices(df, 20).collect()} == {tuple(r) for r in with_prior_prices(df, 1).collect()}
+    assert with_prior_prices(df, 20).agg(F.sum(F.col("receipt_id") - F.lit(large))).first()[0] == sum(r[3] for r in rows)
+
+
+def test_counts_keep_their_median():
+    rng, counts, held = random.Random(1), PriceCounts(), []
+    for _ in range(4000):
+        if held and rng.random() < 0.48:
+            price = held.pop(rng.randrange(len(held)))
+            counts.add(price, -1)
+        else:
+            held.append(rng.randint(1, 40))
+            counts.add(held[-1], 1)
+        order, n = sorted(held), len(held)
+        if rng.random() < 0.7:
+            assert counts.stats() == ((n, order[(n - 1) // 2] + order[n // 2], order[0], order[-1]) if n else (0, None, None, None))

@@ -3,154 +3,143 @@
 A series is one product at one price unit. The window is the 180 days before a line plus
 the lines of its own day that come first by (receipt_id, id). No built-in frame has both a
 range of days and a tuple order, and a median over a sliding frame would be computed anew
-for every line, so the last step is an Arrow function. Its state is bounded:
+for every line, so the last step is an Arrow function.
 
-* a series of at most MAX_SERIES_ROWS lines passes through one task in order;
-* a longer one is cut into ticks (a day, or a slice of a day that is itself too long). The
-  window up to a tick is summed by Spark into price -> count, so a group holds the lines of
-  one tick and the distinct prices of its window. No line is dropped.
+The lines are dealt by ranges of (series, day, receipt, line) into segments of like size,
+which cut a series, a day or a receipt wherever that is needed, and written once. Only the
+first series of a segment can have a window that begins before it: Spark sums that part
+into (day, price) -> count from the earlier segments and hands it to the segment first.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillroll import vocabulary as V
+from tillroll.session import stored
 
-MAX_SERIES_ROWS = 200_000
-DAY_SLICES = 100
 SERIES = ["identity", "normalized_price_unit"]
 ORDER = ["dn", "receipt_id", "id"]
 STATS = "prior_count bigint, median_x2 bigint, prior_min bigint, prior_max bigint"
 
 
-def _kth(values: np.ndarray, totals: np.ndarray, seen: list[int], k: int) -> int:
-    """k-th least of a price histogram and a sorted list, by halving the price range."""
-    low = min([*values[:1], *seen[:1]])
-    high = max([*values[-1:], *seen[-1:]])
-    while low < high:
-        middle = (low + high) // 2
-        at = np.searchsorted(values, middle, "right")
-        if (totals[at - 1] if at else 0) + bisect_right(seen, middle) >= k:
-            high = middle
-        else:
-            low = middle + 1
-    return int(low)
-
-
-def _order(lines: pd.DataFrame) -> pd.DataFrame:
-    return lines.sort_values(ORDER, kind="stable").reset_index(drop=True)
-
-
-def _finish(lines: pd.DataFrame, stats: list[tuple]) -> pd.DataFrame:
-    found = pd.DataFrame(stats, columns=["prior_count", "median_x2", "prior_min", "prior_max"], dtype="Int64")
-    return pd.concat([lines, found], axis=1)
+class PriceCounts:
+    """Prices with their counts, in order; a pointer stays near the median."""
+
+    def __init__(self):
+        self.prices: list[int] = []
+        self.counts: dict[int, int] = {}
+        self.total, self.at, self.below = 0, 0, 0
+
+    def add(self, price: int, n: int) -> None:
+        """n may be negative; a price without a count goes."""
+        had = self.counts.get(price, 0)
+        place = bisect_left(self.prices, price)
+        if not had:
+            insort(self.prices, price)
+            if place <= self.at and self.total:
+                self.at += 1
+        if place < self.at:
+            self.below += n
+        self.total += n
+        if had + n:
+            self.counts[price] = had + n
+            return
+        self.counts.pop(price, None)
+        del self.prices[place]
+        if place < self.at:
+            self.at -= 1
+        elif self.at == len(self.prices) and self.at:
+            self.at -= 1
+            self.below -= self.counts[self.prices[self.at]]
+
+    def kth(self, k: int) -> int:
+        while self.below >= k:
+            self.at -= 1
+            self.below -= self.counts[self.prices[self.at]]
+        while self.below + self.counts[self.prices[self.at]] < k:
+            self.below += self.counts[self.prices[self.at]]
+            self.at += 1
+        return self.prices[self.at]
+
+    def stats(self) -> tuple:
+        n = self.total
+        return (n, self.kth((n + 1) // 2) + self.kth(n // 2 + 1), self.prices[0], self.prices[-1]) if n else (0, None, None, None)
 
 
 def sliding_stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Statistics for whole series, one after the other, lines in order.
+    """Statistics for the lines of one or more segments, each with its counts from before.
 
-    What is kept between lines is the window of the current series; a series may span
-    batches and a batch many series.
+    Rows of a segment come in order, the counts (n is not null) first. What is kept is the
+    window of the current series: its prices with counts, and what will leave it by day.
     """
-    series, last = None, None
-    window: list[int] = []
-    entered: deque = deque()
-    waiting: list[tuple[int, int]] = []
-    for lines in batches:
+    place, last = None, None
+    window, entered, waiting = PriceCounts(), deque(), []
+    for rows in batches:
         stats = []
-        for identity, unit, day, receipt, line, price in zip(*[lines[c].tolist() for c in (*SERIES, *ORDER, "price_e4")]):
-            if (identity, unit) != series:
-                series, last = (identity, unit), None
-                window.clear(), entered.clear(), waiting.clear()
+        for segment, before, identity, unit, day, receipt, line, price in zip(
+                *[rows[c].tolist() for c in ("segment", "n", *SERIES, *ORDER, "price_e4")]):
+            if (segment, identity, unit) != place:
+                place, last = (segment, identity, unit), None
+                window, entered, waiting = PriceCounts(), deque(), []
+            if before > 0:
+                window.add(price, int(before))
+                entered.append((day, price, int(before)))
+                continue
             if (day, receipt, line) != last:
                 last = (day, receipt, line)
                 for entry in waiting:
-                    insort(window, entry[1])
+                    window.add(entry[1], 1)
                 entered.extend(waiting)
-                waiting.clear()
+                waiting = []
             while entered and entered[0][0] < day - V.HISTORY_DAYS:
-                del window[bisect_left(window, entered.popleft()[1])]
-            n = len(window)
-            stats.append((n, window[(n - 1) // 2] + window[n // 2], window[0], window[-1]) if n else (0, None, None, None))
-            waiting.append((day, price))
-        yield _finish(lines, stats)
-
-
-def tick_stats(lines: pd.DataFrame, earlier: pd.DataFrame) -> pd.DataFrame:
-    """Statistics for the lines of one tick, given the price counts of its window before it."""
-    lines, earlier = _order(lines), earlier.sort_values("price_e4")
-    values, totals = earlier["price_e4"].to_numpy(), earlier["n"].to_numpy().cumsum()
-    base = int(totals[-1]) if len(totals) else 0
-    prices = lines["price_e4"].tolist()
-    keys = list(zip(lines["receipt_id"], lines["id"]))
-    seen: list[int] = []
-    stats, entered = [], 0
-    for i in range(len(lines)):
-        while keys[entered] < keys[i]:
-            insort(seen, prices[entered])
-            entered += 1
-        n = base + len(seen)
-        stats.append((
-            n, _kth(values, totals, seen, (n + 1) // 2) + _kth(values, totals, seen, n // 2 + 1),
-            int(min([*values[:1], *seen[:1]])), int(max([*values[-1:], *seen[-1:]]))) if n else (0, None, None, None))
-    return _finish(lines, stats)
-
-
-def _ticks(hot: DataFrame, max_rows: int) -> DataFrame:
-    """Add `slice`: days that are too long are cut at receipt numbers of equal rank."""
-    cuts = [i / DAY_SLICES for i in range(1, DAY_SLICES)]
-    long_days = hot.groupBy(*SERIES, "dn").agg(
-        F.count("*").alias("_n"), F.percentile_approx("receipt_id", cuts, 10_000).alias("_cuts")).where(
-        F.col("_n") > max_rows).drop("_n")
-    return hot.join(long_days, [*SERIES, "dn"], "left").withColumn(
-        "slice", F.when(F.col("_cuts").isNull(), 0).otherwise(
-            F.size(F.filter("_cuts", lambda cut: cut < F.col("receipt_id"))))).drop("_cuts")
-
-
-def _window_before(hot: DataFrame) -> DataFrame:
-    """Price counts of the window before every tick."""
-    tick = [*SERIES, "dn", "slice"]
-    cells = hot.groupBy(*tick, "price_e4").agg(F.count("*").alias("n"))
-    ticks = cells.select(*tick).distinct()
-    days = ticks.select(*SERIES, "dn").distinct()
-    later = F.explode(F.sequence(F.col("dn") + 1, F.col("dn") + V.HISTORY_DAYS))
-    full_days = cells.groupBy(*SERIES, "dn", "price_e4").agg(F.sum("n").alias("n")).select(
-        *SERIES, later.alias("dn"), "price_e4", "n").join(days, [*SERIES, "dn"], "left_semi").groupBy(
-        *SERIES, "dn", "price_e4").agg(F.sum("n").alias("n")).join(ticks, [*SERIES, "dn"])
-    same_day = cells.withColumnRenamed("slice", "_earlier").join(ticks, [*SERIES, "dn"]).where(
-        F.col("_earlier") < F.col("slice")).drop("_earlier")
-    window = full_days.unionByName(same_day).groupBy(*tick, "price_e4").agg(F.sum("n").alias("n"))
-    return window.select(*[F.col(c).alias(c) for c in window.columns])  # apart from the lines it is grouped with
-
-
-def with_prior_prices(eligible: DataFrame, max_series_rows: int = MAX_SERIES_ROWS) -> DataFrame:
+                _, gone, n = entered.popleft()
+                window.add(gone, -n)
+            stats.append(window.stats())
+            waiting.append((day, price, 1))
+        lines = rows[rows["n"] == 0].drop(columns=["segment", "n"]).reset_index(drop=True)
+        found = pd.DataFrame(stats, columns=["prior_count", "median_x2", "prior_min", "prior_max"], dtype="Int64")
+        yield pd.concat([lines, found], axis=1)
+
+
+def _counts_before(placed: DataFrame) -> DataFrame:
+    """Per segment the (day, price) counts of the window its first line has in earlier segments.
+
+    Broadcast is one row per segment, and there are no more segments than shuffle partitions.
+    """
+    starts = placed.groupBy("segment").agg(F.min(F.struct(*SERIES, *ORDER)).alias("first")).select(
+        F.col("segment").alias("later"), F.col("first.dn").alias("first_dn"), *[F.col(f"first.{c}").alias(f"first_{c}") for c in SERIES])
+    cells = placed.groupBy("segment", *SERIES, "dn", "price_e4").agg(F.count("*").alias("n"))
+    same = [F.col(c) == F.col(f"first_{c}") for c in SERIES]
+    return cells.join(F.broadcast(starts), [*same, F.col("segment") < F.col("later"), F.col("dn") >= F.col("first_dn") - V.HISTORY_DAYS]).groupBy(
+        F.col("later").alias("segment"), *SERIES, "dn", "price_e4").agg(F.sum("n").alias("n"))
+
+
+def _filler(kind: T.DataType) -> Column:
+    """What a row of counts has in a carried column: a null would turn whole numbers into floats."""
+    return F.lit(0 if isinstance(kind, T.IntegralType) else None).cast(kind)
+
+
+def with_prior_prices(eligible: DataFrame, segments: int | None = None) -> DataFrame:
     """Add the statistics of strictly earlier prices of the same series.
 
     Needs identity, normalized_price_unit, dn (day number), receipt_id, id and price_e4;
-    all other columns are carried along. The lines are read several times, so they should
-    come from a table. The path for long series is planned only where there is one.
+    all other columns are carried along. `segments` is the number of shuffle partitions
+    if none is given; it does not change the result.
     """
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in eligible.schema.fields) + ", " + STATS
-    sizes = eligible.groupBy(*SERIES).agg(F.count("*").alias("_size"))
-    large = sizes.where(F.col("_size") > max_series_rows).drop("_size")
-
-    def in_order(lines: DataFrame) -> DataFrame:
-        return lines.repartition(*SERIES).sortWithinPartitions(*SERIES, *ORDER).mapInPandas(sliding_stats, schema)
-
-    if large.isEmpty():
-        return in_order(eligible)
-    usual = eligible.join(large, SERIES, "left_anti").select(*eligible.columns)
-    hot = _ticks(eligible.join(large, SERIES, "left_semi"), max_series_rows)
-    tick = [*SERIES, "dn", "slice"]
-    hot_stats = hot.groupBy(*tick).cogroup(_window_before(hot).groupBy(*tick)).applyInPandas(
-        lambda lines, earlier: tick_stats(lines, earlier).drop(columns="slice") if len(lines) else
-        _finish(lines.drop(columns="slice"), []), schema)
-    return in_order(usual).unionByName(hot_stats)
+    spread = [segments] if segments else []
+    placed = stored(eligible.repartitionByRange(*spread, *SERIES, *ORDER).withColumn("segment", F.spark_partition_id()))
+    before = _counts_before(placed)
+    empty = [c for c in eligible.columns if c not in (*SERIES, "dn", "price_e4")]
+    rows = placed.withColumn("n", F.lit(0).cast("bigint")).unionByName(before.select(
+        "segment", *SERIES, "dn", "price_e4", "n", *[_filler(eligible.schema[c].dataType).alias(c) for c in empty]))
+    rows = rows.repartition(*spread, "segment").sortWithinPartitions("segment", F.col("n") == 0, *SERIES, *ORDER)
+    return rows.select(*eligible.columns, "segment", "n").mapInPandas(sliding_stats, schema)
