@@ -130,6 +130,8 @@ query("daily_trend")(lambda d: dashboard.daily_trend(d.receipts_in(SELECTED), SE
 query("monthly_trend")(lambda d: dashboard.monthly_trend(d.receipts, ALL_TIME))
 query("months_available")(lambda d: dashboard.months_available(d.receipts))
 query("receipt_register")(lambda d: dashboard.receipt_register(d.receipts_in(SELECTED), d.items_in(SELECTED), SELECTED, "build"))
+query("register_by_total")(lambda d: dashboard.sort_register(
+    dashboard.receipt_register(d.receipts_in(SELECTED), d.items_in(SELECTED), SELECTED), "total", descending=True).limit(40))
 query("register_totals")(lambda d: dashboard.register_totals(
     dashboard.receipt_register(d.receipts, d.items, ALL_TIME)))
 query("receipt_previews")(lambda d: dashboard.receipt_previews(
@@ -148,7 +150,9 @@ query("price_evidence")(lambda d: d.items.select(
     "quantity_unit", "package_unit", "normalized_price_unit", "price_parse_source"))
 query("price_quality")(lambda d: quality.price_quality(d.items))
 query("issue_worklist")(lambda d: quality.issue_worklist(d.graded_obs, "low_confidence", 100))
-query("mismatched_lines")(lambda d: quality.mismatched_lines(d.items))
+for issue in ("unknown", "missing_package", "suspicious", "all"):
+    query(f"issue_worklist_{issue}")(lambda d, issue=issue: quality.issue_worklist(d.graded_obs, issue, 200))
+query("mismatched_lines")(lambda d: quality.mismatched_lines(_drifted(d)))
 query("price_correctability")(lambda d: quality.correctability(d.graded_obs))
 query("price_eligibility")(lambda d: prices.graded(d.graded_obs).groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(
     F.count("*").alias("lines")))
@@ -170,10 +174,15 @@ query("dossier_aliases")(lambda d: prices.dossier_aliases(d.sold))
 query("group_health")(lambda d: quality.group_health(d.sales))
 query("review_groups")(lambda d: quality.review_groups(d.sold, d.rules))
 query("review_page")(lambda d: quality.review_page(quality.review_groups(d.sold, d.rules), "conflict", "conflicts", 100))
+for order, page in (("count", 2), ("recent", 1), ("name", 3)):
+    query(f"review_page_{order}")(lambda d, order=order, page=page: quality.review_page(
+        quality.review_groups(d.sold, d.rules), "no_rule", order, 50, page))
+query("review_page_info")(lambda d: quality.page_info(quality.review_groups(d.sold, d.rules), 50, 2))
 query("review_values")(lambda d: quality.review_values(d.sold))
 query("category_audit")(lambda d: quality.category_audit(d.sales, d.rules))
 query("classifier_confusion")(lambda d: quality.classifier_confusion(quality.classifier_records(d.sales, d.rules)))
 query("classifier_summary")(lambda d: quality.classifier_summary(quality.classifier_records(d.sales, d.rules)))
+query("classifier_samples")(lambda d: quality.classifier_samples(quality.classifier_records(d.sales, d.rules)))
 query("category_sources")(lambda d: quality.category_sources(d.sales))
 
 # --- tables -------------------------------------------------------------------------------

