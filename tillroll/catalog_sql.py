@@ -19,8 +19,13 @@ RECEIPTS = """receipts AS (
          CAST(o_totalprice AS DECIMAL(14,2)) AS total, 'R-' || o_orderkey AS receipt_number
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
+WORDS = [("Brand#5", "maize", V.BAKERY), ("Brand#6", "piens", V.DAIRY), ("Brand#12", "banan", V.PRODUCE), ("Brand#13", "olas", V.EGGS),
+         ("Brand#14", "lasis", V.FISH), ("Brand#15", "beer", V.ALCOHOL), ("Brand#16", "kakao", V.SOFT_DRINKS), ("Brand#17", "frozen", V.FROZEN),
+         ("Brand#18", "burger", V.READY_MEALS), ("Brand#19", "desa", V.MEAT), ("Brand#20", "rieksti", V.SNACKS), ("Brand#21", "milti", V.GROCERY),
+         ("Brand#22", "ketchup", V.SAUCES), ("Brand#23", "ziepes", V.HOUSEHOLD), ("Brand#24", "whiskas", V.PETS)]
 PARTS = f"""parts AS (
-  SELECT p_partkey, p_brand, p_type, p_size, p_brand || ' ' || p_name AS base,
+  SELECT p_partkey, p_brand, p_type, p_size, p_brand || ' ' || p_name || CASE p_brand {" ".join(f"WHEN '{b}' THEN ' {w}'" for b, w, _ in WORDS)} ELSE '' END AS base,
+    CASE p_brand {" ".join(f"WHEN '{b}' THEN '{c}'" for b, _, c in WORDS)} ELSE '{U}' END AS predicted,
     CASE p_type WHEN 'LARGE' THEN base || ' ' || p_size || '00ml'
       WHEN 'SMALL' THEN CASE WHEN p_brand = 'Brand#3' THEN base ELSE base || ' loose' END
       WHEN 'PROMO' THEN base || ' 2x' || p_size || '0g' ELSE base || ' ' || p_size || '00g' END AS name,
@@ -338,10 +343,10 @@ add("category_audit", f"""SELECT 'category' AS metric, coalesce(category, '') AS
   UNION ALL SELECT 'covered_by_rules', '', count(*) FROM items WHERE product_key IN (SELECT product_key FROM rules)
   UNION ALL SELECT 'conflict_groups', '', count(*) FROM (SELECT 1 FROM items GROUP BY product_key HAVING count(DISTINCT label) > 1)""", *ITEM_VIEWS, RULES)
 PADDED = "' ' || trim(regexp_replace(lower(coalesce({c}, '')), '[^\\p{{L}}]+', ' ', 'g')) || ' '"
-# None of the bound names contains a keyword; the SQL checks that on the text itself.
+# Which bound names contain a keyword is checked on the text itself.
 ALL_PATTERNS = " OR ".join(f"contains(t, '{p}')" for listing in V.keyword_patterns().values() for p in listing)
 RECORDS = f"""records AS (
-  SELECT i.*, CASE WHEN n.hit THEN 'a keyword occurs' ELSE '{U}' END AS predicted, r.category IS NOT NULL AS covered,
+  SELECT i.* REPLACE (CASE WHEN n.hit <> (predicted <> '{U}') THEN 'unexpected keyword' ELSE predicted END AS predicted), r.category IS NOT NULL AS covered,
     CASE r.category WHEN 'напитки' THEN '{V.SOFT_DRINKS}' ELSE r.category END AS rule_category
   FROM items i JOIN (SELECT name AS nm, ({ALL_PATTERNS}) AS hit FROM (SELECT name, {PADDED.format(c='name')} AS t FROM (SELECT DISTINCT name FROM parts))) n ON n.nm = i.name
   LEFT JOIN rules r ON r.product_key = lower(replace(i.name, '#', ' ')))"""
@@ -436,7 +441,7 @@ after AS (SELECT CASE WHEN hit THEN price ELSE line_total END AS line_total, CAS
 add("price_backfill_apply", SQL["price_quality"].split(ITEMS + "\n", 1)[1].replace("FROM items", "FROM after"), *ITEM_VIEWS, BACKFILL, APPLIED)
 add("name_backfill", """SELECT CASE WHEN normalized_name IS NULL THEN 'to_update' ELSE 'already_filled' END AS outcome, count(*) AS lines,
     count(DISTINCT lower(replace(name, '#', ' '))) AS names FROM items GROUP BY ALL""", *ITEM_VIEWS)
-add("recategorize", f"""SELECT coalesce(category, '') = '' AS touched, CASE WHEN coalesce(category, '') = '' THEN '{U}' ELSE category END AS category, count(*) AS lines
+add("recategorize", f"""SELECT coalesce(category, '') = '' AS touched, CASE WHEN coalesce(category, '') = '' THEN predicted ELSE category END AS category, count(*) AS lines
   FROM items GROUP BY ALL""", *ITEM_VIEWS)
 UPSERT = """fresh AS (SELECT DISTINCT product_key FROM items WHERE canonical_name LIKE 'Brand#8 %' OR canonical_name LIKE 'Brand#10 %')"""
 add("rule_upsert", f"""SELECT coalesce(r.product_key, f.product_key) AS product_key, CASE WHEN f.product_key IS NOT NULL THEN '{V.MEAT}' ELSE r.category END AS category,
@@ -484,7 +489,8 @@ add("parse_receipts", f"""SELECT 'R-' || page AS receipt_number, name, CAST(q AS
     listed / 100.0 AS unit_price, CAST(price AS DOUBLE) AS price FROM paged""", *OBS_VIEWS, PAGED)
 add("parse_receipt_heads", f"""SELECT 'R-' || page AS receipt_number, date, CASE WHEN {RIMI} THEN 'RIMI' ELSE 'MAXIMA' END AS store, CAST(sum(price) AS DOUBLE) AS total
   FROM paged GROUP BY ALL""", *OBS_VIEWS, PAGED)
-add("ingest_receipts", f"""SELECT coalesce(rule_category, '{U}') AS category, CASE WHEN rule_category IS NULL THEN 'fallback' ELSE 'inherited' END AS category_source,
+add("ingest_receipts", f"""SELECT coalesce(rule_category, predicted) AS category,
+    CASE WHEN rule_category IS NOT NULL THEN 'inherited' WHEN predicted = '{U}' THEN 'fallback' ELSE 'rule' END AS category_source,
     CASE WHEN p_type = 'PROMO' THEN 'rejected' ELSE 'parser' END AS price_parse_source,
     CASE p_type WHEN 'PROMO' THEN 'unknown' WHEN 'SMALL' THEN 'eur_per_piece' WHEN 'LARGE' THEN 'eur_per_l' ELSE 'eur_per_kg' END AS normalized_price_unit,
     count(*) AS lines, CAST(sum(price) AS DOUBLE) AS spend
@@ -497,7 +503,8 @@ add("nested_receipts", """SELECT error, count(DISTINCT page) AS receipts, CASE W
 add("ingest_stream", """SELECT 'receipts' AS kind, count(DISTINCT page) AS rows, CAST(sum(price) AS DOUBLE) AS amount FROM paged
   UNION ALL SELECT 'items', count(*), CAST(sum(price) AS DOUBLE) FROM paged""", *OBS_VIEWS, PAGED)
 add("stream_dedupe", "SELECT event_type, count(DISTINCT event_id) AS events, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY event_type")
-add("stream_enrich", f"""SELECT coalesce(rule_category, '{U}') AS category, CASE WHEN rule_category IS NULL THEN 'fallback' ELSE 'inherited' END AS category_source,
+add("stream_enrich", f"""SELECT coalesce(rule_category, predicted) AS category,
+    CASE WHEN rule_category IS NOT NULL THEN 'inherited' WHEN predicted = '{U}' THEN 'fallback' ELSE 'rule' END AS category_source,
     CASE WHEN p_type = 'PROMO' THEN 'rejected' WHEN flag = 'N' THEN 'parser' WHEN p_type = 'SMALL' THEN 'inferred_piece' ELSE 'package_name' END AS price_parse_source,
     count(*) AS lines, CAST(sum(price) AS DOUBLE) AS spend
   FROM (SELECT i.*, CASE r.category WHEN 'напитки' THEN '{V.SOFT_DRINKS}' ELSE r.category END AS rule_category

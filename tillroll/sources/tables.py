@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillroll import vocabulary as V
-from tillroll.functions.columns import AMOUNT, MONEY
+from tillroll.functions.columns import AMOUNT, MONEY, literal_map
 from tillroll.functions.names import normalize
 from tillroll.functions.price import derive_price, with_name_evidence
 from tillroll.schema import ITEMS_DDL, columns
@@ -23,6 +23,12 @@ from tillroll.schema import ITEMS_DDL, columns
 TYPE_CATEGORY = {
     "ECONOMY": V.GROCERY, "STANDARD": "напитки", "MEDIUM": V.DAIRY, "LARGE": V.SOFT_DRINKS, "SMALL": V.UNRESOLVED,
 }
+# A word of a category in the names of some brands.
+KEYWORD_BRANDS = {
+    "Brand#5": "maize", "Brand#6": "piens", "Brand#12": "banan", "Brand#13": "olas", "Brand#14": "lasis", "Brand#15": "beer",
+    "Brand#16": "kakao", "Brand#17": "frozen", "Brand#18": "burger", "Brand#19": "desa", "Brand#20": "rieksti", "Brand#21": "milti",
+    "Brand#22": "ketchup", "Brand#23": "ziepes", "Brand#24": "whiskas",
+}
 RULE_BRANDS = {"Brand#7": V.SNACKS, "Brand#8": "напитки"}
 
 
@@ -61,8 +67,8 @@ def _search_names(parts: DataFrame) -> DataFrame:
 
 
 def _named_parts(spark: SparkSession, folder: str) -> DataFrame:
-    base = F.concat_ws(" ", "p_brand", "p_name")
     kind, brand = F.col("p_type"), F.col("p_brand")
+    base = F.concat_ws(" ", brand, "p_name", F.try_element_at(literal_map(KEYWORD_BRANDS), brand))
 
     def is_brand(number):
         return brand == f"Brand#{number}"
