@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillroll.functions.categories import classify, classify_names, label_source, write_label
+from tillroll.functions.categories import classify, label_source, write_label
 from tillroll.functions.columns import MONEY
 from tillroll.functions.identity import product_key
 from tillroll.functions.names import normalize
-from tillroll.functions.price import derive_price
+from tillroll.functions.price import derive_price, with_name_evidence
 from tillroll.schema import ITEMS_DDL, RECEIPTS_DDL, conform
 
 NESTED = ("synthetic boolean, receipts array<struct<date: string, store: string, total: double, receipt_number: string, "
@@ -64,10 +64,18 @@ def new_documents(documents: DataFrame, existing: DataFrame) -> DataFrame:
         F.coalesce("d.total", F.lit(0)).cast(MONEY).alias("total"), "receipt_number", "d.items")
 
 
+def with_name_facts(lines: DataFrame) -> DataFrame:
+    """Search form, category and price evidence of the name, computed once per distinct name.
+
+    A stream keeps no set of names and computes them per line.
+    """
+    facts = lambda df: with_name_evidence(classify(df).withColumn("normalized_name", normalize(F.col("name"))), "name", "_evidence")
+    return facts(lines) if lines.isStreaming else lines.join(facts(lines.select("name").distinct()), "name")
+
+
 def with_category(lines: DataFrame, rules: DataFrame) -> DataFrame:
-    """Manual rule first, then a stated rule or fallback label, then the classifier."""
-    lines = lines.withColumn("_pk", product_key())
-    df = classify(lines) if lines.isStreaming else classify_names(lines)  # a stream keeps no set of names
+    """Manual rule first, then a stated rule or fallback label, then the classifier's label in `predicted`."""
+    df = lines.withColumn("_pk", product_key())
     known = rules.select(F.col("product_key").alias("_pk"), write_label(F.col("category")).alias("_rule")).dropDuplicates(["_pk"])
     df = df.join(known, "_pk", "left")
     stated = F.col("category_source").isin("rule", "fallback")
@@ -91,8 +99,8 @@ def enrich(lines: DataFrame, rules: DataFrame) -> DataFrame:
         "quantity": F.coalesce(F.col("quantity").cast("decimal(18,4)"), F.lit(1).cast("decimal(18,4)")),
         "line_total": F.coalesce(F.col("line_total").cast(MONEY), F.col("price").cast(MONEY), F.lit(0).cast(MONEY)),
         "canonical_name": F.lit(None).cast("string")})
-    lines = with_category(lines.withColumn("normalized_name", normalize(F.col("name"))), rules)
-    lines = derive_price(lines, source="source", out="d")
+    lines = with_category(with_name_facts(lines), rules)
+    lines = derive_price(lines, evidence="_evidence", source="source", out="d")
     return lines.select(
         *[c for c in lines.columns if c in ("receipt_number", "receipt_id", "line_no")], "name", "canonical_name", "normalized_name",
         "d.quantity", F.col("d.line_total").cast(MONEY).alias("price"), F.col("d.line_total").cast(MONEY).alias("line_total"),
