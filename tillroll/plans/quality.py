@@ -165,26 +165,24 @@ def page_info(groups: DataFrame, limit: int = 50, page: int = 1) -> DataFrame:
 
 
 def category_audit(items: DataFrame, rules: DataFrame) -> DataFrame:
-    """Long table of category metrics."""
-    label = reporting_label(F.col("category"))
-    covered = items.withColumn("product_key", product_key()).join(
-        rules.select("product_key").distinct(), "product_key", "left_semi")
-
-    def count(df, metric):
-        return df.agg(F.count("*").alias("n")).select(F.lit(metric).alias("metric"), F.lit("").alias("label"), "n")
-
-    def by(column, metric):
-        return items.groupBy(F.coalesce(column, F.lit("")).alias("label")).agg(F.count("*").alias("n")).select(
-            F.lit(metric).alias("metric"), "label", "n")
-
-    unknown = items.where(not_blank(F.col("category")) & ~label.isin(V.CANONICAL_CATEGORIES)).select("category").distinct()
-    return (by(F.col("category"), "category").unionByName(by(F.col("category_source"), "source"))
-            .unionByName(count(items, "total_items"))
-            .unionByName(count(items.where(is_blank(F.col("category"))), "empty_categories"))
-            .unionByName(count(unknown, "unknown_categories"))
-            .unionByName(count(items.where(label == V.UNRESOLVED), "other_count"))
-            .unionByName(count(rules.select("product_key").distinct(), "manual_rules"))
-            .unionByName(count(covered, "covered_by_rules"))
+    """Long table of category metrics; the lines are read once for the counts and once for the groups."""
+    label, blank = reporting_label(F.col("category")), is_blank(F.col("category"))
+    entry = lambda metric, text=F.lit(""): F.struct(
+        F.lit(metric).alias("metric"), text.alias("label"), F.lit(1).cast("bigint").alias("n"))
+    keys = rules.select("product_key", F.lit(True).alias("covered")).distinct()
+    lines = items.select("category", "category_source", product_key().alias("product_key")).join(keys, "product_key", "left")
+    totals = ["total_items", "empty_categories", "other_count", "covered_by_rules", "unknown_categories"]
+    per_line = lines.select(F.explode(F.array_compact(F.array(
+        entry("category", F.coalesce("category", F.lit(""))), entry("source", F.coalesce("category_source", F.lit(""))),
+        entry("total_items"), F.when(blank, entry("empty_categories")), F.when(label == V.UNRESOLVED, entry("other_count")),
+        F.when(F.col("covered"), entry("covered_by_rules"))))).alias("e")).select("e.*").groupBy("metric", "label").agg(F.sum("n").alias("n"))
+    # of the few counted labels, each unknown one counts once more
+    unknown = (F.col("metric") == "category") & not_blank(F.col("label")) & ~reporting_label(F.col("label")).isin(V.CANONICAL_CATEGORIES)
+    counted = per_line.select(F.explode(F.array_compact(F.array(
+        F.struct("metric", "label", "n"), F.when(unknown, entry("unknown_categories"))))).alias("e")).select("e.*")
+    zeros = items.sparkSession.createDataFrame([(m, "", 0) for m in totals], "metric string, label string, n bigint")
+    return (counted.unionByName(zeros).groupBy("metric", "label").agg(F.sum("n").alias("n"))
+            .unionByName(rules.agg(F.countDistinct("product_key").alias("n")).select(F.lit("manual_rules").alias("metric"), F.lit("").alias("label"), "n"))
             .unionByName(group_health(items).select(F.lit("conflict_groups").alias("metric"), F.lit("").alias("label"),
                                                     F.col("conflicts").alias("n"))))
 
