@@ -59,6 +59,7 @@ class Node(NamedTuple):
     tag: str
     aside: bool
     around: int  # number of the nearest article or main element, or -1
+    place: int  # number of the element, 0 for the page
 
 
 class Leaf(NamedTuple):
@@ -68,16 +69,24 @@ class Leaf(NamedTuple):
     tag: str
     text: str
     linked: int  # characters inside links
+    place: int  # number of the block's element
 
 
-def leaves(page: str) -> list[Leaf]:
-    """The blocks of text outside of what is never content, in page order."""
+class Element(NamedTuple):
+    up: int  # number of the element that holds it, or -1
+    tag: str
+    path: int
+
+
+def leaves(page: str) -> tuple[list[Leaf], list[Element]]:
+    """The blocks of text outside of what is never content, in page order, and all elements by number."""
     paths: dict[tuple[int, str], int] = {}
     parents: list[int] = [-1]
-    stack = [Node(0, "", False, -1)]
+    stack = [Node(0, "", False, -1, 0)]
+    elements = [Element(-1, "", 0)]
     out: list[Leaf] = []
     pieces: list[str] = []
-    linked, in_link, places = 0, False, 0
+    linked, in_link = 0, False
     opened: Counter[str] = Counter()
 
     def add(text: str) -> None:
@@ -101,7 +110,7 @@ def leaves(page: str) -> list[Leaf]:
             text = " ".join("".join(pieces).split())
             top = stack[-1]
             if text:
-                out.append(Leaf(top.path, parents[top.path], top.around, top.tag, text, min(linked, len(text))))
+                out.append(Leaf(top.path, parents[top.path], top.around, top.tag, text, min(linked, len(text)), top.place))
             pieces.clear()
         linked = 0
 
@@ -130,7 +139,7 @@ def leaves(page: str) -> list[Leaf]:
                 in_link = not closing
             if not closing and tag not in VOID and _aside(tag, rest, stack[-1]):
                 close_block()
-                enter(Node(stack[-1].path, tag, True, stack[-1].around))
+                enter(Node(stack[-1].path, tag, True, stack[-1].around, stack[-1].place))
             elif closing and stack[-1].tag == tag:
                 leave(-1)
             continue
@@ -157,11 +166,12 @@ def leaves(page: str) -> list[Leaf]:
         if key not in paths:
             paths[key] = len(parents)
             parents.append(top.path)
-        places += 1
-        around = places if tag in CONTENT_TAGS or 'role="main"' in rest else top.around
-        enter(Node(paths[key], tag, top.aside or _aside(tag, rest, top), around))
+        place = len(elements)
+        elements.append(Element(top.place, tag, paths[key]))
+        around = place if tag in CONTENT_TAGS or 'role="main"' in rest else top.around
+        enter(Node(paths[key], tag, top.aside or _aside(tag, rest, top), around, place))
     close_block()
-    return out
+    return out, elements
 
 
 def _names(rest: str) -> str:
@@ -206,24 +216,68 @@ def fused_ratios(blocks: list[Leaf]) -> dict[int, float]:
 
 
 def main_text(page: str) -> str:
-    """The blocks of the content paths, one per line.
+    """The blocks of the main text, one per line.
 
-    Paths at or above the threshold select nodes. Where they lie in article or main
-    elements, those hold the whole text, and their short blocks stay too; else the blocks
-    that share a parent path with a selected one stay. Blocks that are mostly links on a
-    path below the threshold go, headings aside.
+    Paths at or above the threshold select nodes. The article and main elements that hold
+    selected blocks and the rest of the page compete by fused ratio times characters of
+    their selected blocks. If the elements have as much, they are the main text, whole.
+    Else the rest is, with those elements whose mean ratio reaches SHARE of its own: see
+    _of_rest.
     """
-    blocks = leaves(page)
+    blocks, elements = leaves(page)
     if not blocks:
         return ""
     fused = fused_ratios(blocks)
-    size = sum(len(b.text) for b in blocks)
-    limit = SHARE * sum(fused[b.path] * len(b.text) for b in blocks) / size
+    limit = SHARE * _mean(blocks, fused)
     chosen = {path for path, value in fused.items() if value >= limit}
     held = {b.content for b in blocks if b.path in chosen and b.content >= 0}
-    parents = {b.parent for b in blocks if b.path in chosen}
-    kept = [b for b in blocks if (b.content in held if held else b.path in chosen or b.parent in parents)]
-    return "\n".join(b.text for b in kept if b.path in chosen or b.tag in HEADINGS or b.linked * 2 <= len(b.text))
+    rest = [b for b in blocks if b.path in chosen and b.content < 0]
+    if held and _weight(rest, fused) <= _weight([b for b in blocks if b.path in chosen and b.content >= 0], fused):
+        return "\n".join(b.text for b in blocks if b.content in held)
+    inside: dict[int, list[Leaf]] = {c: [] for c in held}
+    for b in blocks:
+        if b.content in held:
+            inside[b.content].append(b)
+    stay = {c for c, own in inside.items() if _mean(own, fused) >= SHARE * _mean(rest, fused)}
+    kept = _of_rest(blocks, elements, fused, chosen)
+    return "\n".join(b.text for b, keep in zip(blocks, kept) if keep or b.content in stay)
+
+
+def _weight(blocks: list[Leaf], fused: dict[int, float]) -> float:
+    return sum(fused[b.path] * len(b.text) for b in blocks)
+
+
+def _mean(blocks: list[Leaf], fused: dict[int, float]) -> float:
+    return _weight(blocks, fused) / sum(len(b.text) for b in blocks)
+
+
+def _of_rest(blocks: list[Leaf], elements: list[Element], fused: dict[int, float], chosen: set[int]) -> list[bool]:
+    """Which blocks are main text where no article or main element holds it.
+
+    Everything from the first to the last selected block stays: lists, tables and quotes
+    have other paths than the paragraphs around them. Before and after it, what is not
+    mostly links (headings aside) stays if it shares a parent path with a selected block, or
+    lies inside an element whose path holds a fair share of the selected text.
+    """
+    picked = [b.path in chosen and b.content < 0 for b in blocks]
+    first, last = picked.index(True), len(blocks) - 1 - picked[::-1].index(True)
+    rest = [b for b, pick in zip(blocks, picked) if pick]
+    parents = {b.parent for b in rest}
+    holding = {e.up for e in elements}
+    weight: Counter[int] = Counter()
+    holders = {}
+    for b in rest:
+        # a block's element holds the text around it, or else its parent does; the whole page is no such element
+        place = b.place if b.place in holding else elements[b.place].up
+        if place > 0 and elements[place].tag not in ("html", "body"):
+            holders[place] = elements[place].path
+            weight[elements[place].path] += fused[b.path] * len(b.text)
+    fair = SHARE * max(weight.values(), default=0)
+    within = [False] * len(elements)
+    for place, element in enumerate(elements):
+        within[place] = element.up >= 0 and within[element.up] or place in holders and weight[holders[place]] >= fair
+    return [first <= i <= last or b.content < 0 and (b.parent in parents or within[b.place]) and (b.tag in HEADINGS or b.linked * 2 <= len(b.text))
+            for i, b in enumerate(blocks)]
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
