@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings by a logarithmic family of sparse suffix arrays."""
+"""Removal of repeated byte strings by digests at least-hash positions, in place of sparse suffix arrays."""
 
 from __future__ import annotations
 
@@ -102,8 +102,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts as given. Repeated rows are copies of each other, null ids are rows like any
     other, texts below the length keep all their bytes.
 
-    The corpus is added in batches to a family of suffix arrays, which finds the prefixes
-    that stand more than once. Entries with such a prefix are compared as wholes; where
+    The corpus is added in batches to a family of tables of prefix digests, which finds the
+    prefixes that stand more than once. Entries with such a prefix are compared as wholes; where
     one prefix has several contexts, their strings are compared one by one.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
@@ -137,14 +137,14 @@ RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.L
 
 
 class Family:
-    """Sorted key lists in levels of doubling size, as tables."""
+    """Counts of prefix digests in levels of doubling size, as tables."""
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
         self.found: list[DataFrame] = []
 
     def add(self, keys: DataFrame) -> None:
-        """Sort a batch, merge-scan it against every level, then merge levels of equal rank."""
+        """Count a batch by digest, join it with every level, then merge levels of equal rank."""
         level = written(keys.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"))
         self.found.append(level.filter("n > 1").select("key"))
         self.found += [level.join(other.select("key"), "key").select("key") for _, other in self.levels]
