@@ -79,3 +79,22 @@ def test_stage_masks_texts_and_keeps_columns(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(docs, pii.train(docs)).collect() == []
+
+
+def test_rare_documents_with_personal_data_are_learned_from(spark):
+    """Held against a model of all texts; the spans stand in few rows, one of them long."""
+    rare = [TEXT, "a.b@c.de and 12.0 then 1.2.3.4 and 1.2.3.4", "+49 30 1234567 x"] * 4 + ["word 12 " * 20000 + TEXT + " word 12" * 20000] * 8
+    rows = [(i, f"plain words {i % 7} only") for i in range(3000)] + [(5000 + i, t) for i, t in enumerate(rare)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pii.train(docs, max_rows=60)
+    base, every = pii.all_spans(TEXT, model)
+    assert {TEXT[s.start:s.end] for s in every if s not in base} == {"988 555 2485", "555-2485", "bosbt.42", "42[.]144[.]35[.]254", "4041.8949.7460.8795"}
+    only_long = docs.filter(f"doc_id < 3000 or doc_id >= {5000 + len(rare) - 8}")
+    assert pii.train(only_long, max_rows=60).own[0, 0] != 30.0
+
+
+def test_long_texts_are_read_around_their_spans():
+    text = "word 12 " * 300 + TEXT + " word 12" * 300
+    short = pii.around_spans(text, 2000, 100)
+    assert [text[s.start:s.end] for s in pii.base_spans(text)] == [short[s.start:s.end] for s in pii.base_spans(short)]
+    assert len(short) < 1000 and pii.around_spans("no digits " * 30, 100, 10) == ("no digits " * 30)[:100]

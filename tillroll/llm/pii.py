@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillroll.llm.common import text_of
+from tillroll.llm.common import text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is no personal data, the others follow KINDS.
 N_LABELS = len(KINDS) + 1
 #: Bound of the training sample, in rows.
 TRAIN_ROWS = 4000
+#: Characters of a text that are read at once to learn from, and around a span of a longer one.
+WHOLE, ASIDE = 100_000, 1000
 ROUNDS = 12
 #: Neighbouring tokens further apart than this many characters are not tied.
 REACH = 60
@@ -298,10 +300,49 @@ def _rewritten(token: Token) -> list[Token]:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = TRAIN_ROWS) -> SkipChain:
-    """Fit on a bounded sample: max_rows ids in the order of a hash, whatever the size of docs."""
-    ids = docs.select(F.col(id_col).alias("id")).filter("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(max_rows)
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]") & (F.length("text") <= 100_000))
-    return fit(sorted(r.text for r in rows.join(F.broadcast(ids), "id").select("text").limit(2 * max_rows).collect()))
+    """Fit on a bounded sample, whatever the size of docs: in the order of a hash, half of
+    max_rows ids whose text holds a base span, however rare these are, and as many others.
+
+    Of a text longer than WHOLE characters the surroundings of its first spans are read.
+    """
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).filter(F.col("text").rlike("[0-9@]"))
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("holds", T.BooleanType())])
+    ids = written(texts.filter("id is not null").mapInArrow(_holding, schema).groupBy("id").agg(F.max("holds").alias("holds")))
+    half = [ids.filter(f"holds = {flag}").orderBy(F.xxhash64("id"), "id").limit(-(-max_rows // 2)).select("id") for flag in ("true", "false")]
+    rows = texts.join(F.broadcast(half[0].union(half[1])), "id").select("text")
+    return fit(sorted(r.text for r in rows.mapInArrow(_shortened, rows.schema).limit(2 * max_rows).collect()))
+
+
+def _holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        holds = [bool(CUE.search(text) and base_spans(text)) for text in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(holds, pa.bool_())], names=["id", "holds"])
+
+
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([around_spans(t) for t in batch.column(0).to_pylist()], pa.string())], names=["text"])
+
+
+def around_spans(text: str, whole: int = WHOLE, aside: int = ASIDE) -> str:
+    """A long text's words within aside characters of its base spans, up to whole characters; its start if it has none."""
+    if len(text) <= whole:
+        return text
+    pieces, done, size = [], 0, 0
+    for span in base_spans(text):
+        start, end = max(done, span.start - aside), min(len(text), span.end + aside)
+        # not within a word: the rest of one could be a span of its own
+        while done < start and not text[start - 1].isspace() and span.start - start < 2 * aside:
+            start -= 1
+        while end < len(text) and not text[end].isspace() and end - span.end < 2 * aside:
+            end += 1
+        if end <= done:
+            continue
+        if size + end - start > whole:
+            break
+        pieces.append(text[start:end])
+        done, size = end, size + end - start
+    return "\n".join(pieces) if pieces else text[:whole]
 
 
 def joined(spans: list[Span]) -> str:
