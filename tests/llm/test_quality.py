@@ -67,3 +67,14 @@ def test_long_and_odd_texts():
     model.trained = True
     scores = model.score([b"", b"\n\n\n", b"a" * 300_000, b"x\n" * 20_000, "é".encode() * 5])
     assert len(scores) == 5 and np.isfinite(scores).all()
+
+
+def test_long_texts_are_learned_from_whole(spark):
+    """Junk that begins after the first 200 lines is learned as such."""
+    clean = "The river was calm and the people walked home along the quiet street."
+    junk = "$$$ BUY NOW!!! ||| 4829 CLICK $$$ !!!"
+    texts = [("\n".join([clean] * (250 + i) + [junk] * (250 * (i % 2))), i % 2 == 0) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(good)) for i, (_, good) in enumerate(texts)], "doc_id long, quality int")
+    model = quality.train(docs, labels)
+    assert (model.score([t.encode() for t, _ in texts]) >= 0.5).tolist() == [good for _, good in texts]

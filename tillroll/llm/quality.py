@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from tillroll.llm.common import raw_texts, table, text_of
 
-#: Bounds of the training sample: labelled rows taken, and lines read of each.
+#: Bounds of the training sample: labelled rows taken, and lines of each, evenly over its text.
 TRAIN_ROWS = 4000
 TRAIN_LINES = 200
 FOLDS, HELD_OUT = 3, 1
@@ -211,8 +211,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
     At most max_rows labelled ids are taken, in the order of a hash of the id; they are
-    found in docs by a join whose small side has that bound. Features of the first
-    TRAIN_LINES lines of each reach the driver. A null label or id, or an id with both
+    found in docs by a join whose small side has that bound. Features of TRAIN_LINES
+    lines of each, taken evenly from first to last, reach the driver. A null label or id, or an id with both
     labels, is left out.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
@@ -230,8 +230,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _sample_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [line_counts(raw) for raw in raw_texts(batch.column(0))]
-        features = [line_features(c[:TRAIN_LINES], n[:TRAIN_LINES]).tobytes() for c, n in rows]
-        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(features, pa.binary()), pa.array([n[:TRAIN_LINES].tobytes() for _, n in rows], pa.binary())],
+        even = [np.linspace(0, len(n) - 1, min(len(n), TRAIN_LINES)).round().astype(np.int64) for _, n in rows]
+        # features of a line's neighbours are those in the text
+        features = [line_features(*row)[at].tobytes() for row, at in zip(rows, even)]
+        yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(features, pa.binary()), pa.array([n[at].tobytes() for (_, n), at in zip(rows, even)], pa.binary())],
                                          names=["quality", "features", "sizes"])
 
 
