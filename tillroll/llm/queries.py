@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillroll.llm import chat, decontamination, embeddings, html, packing, pii, quality, repeats, simhash, tokens
+from tillroll.llm import chat, collocations, decontamination, embeddings, html, packing, pii, quality, repeats, simhash, spelling, tokens, toxicity
 from tillroll.llm.common import table
 
 
@@ -52,12 +52,27 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.group_variants(table(spark, folder, "documents"))
+
+
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_chat_format, op2_personal_data, op3_best_fit_packing, op4_embedding_duplicates, op5_quality,
-                                    op6_repeated_strings, op7_main_text, op8_token_ids, op9_decontamination, op10_simhash)}
+                                    op6_repeated_strings, op7_main_text, op8_token_ids, op9_decontamination, op10_simhash,
+                                    op11_toxicity, op12_spelling_variants, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for what SQL can express; the others are held against brute force in the tests."""
     return {"op1_chat_format": chat.SQL, "op4_embedding_duplicates": embeddings.SQL, "op6_repeated_strings": repeats.SQL,
-            "op7_main_text": html.SQL, "op9_decontamination": decontamination.SQL}
+            "op7_main_text": html.SQL, "op9_decontamination": decontamination.SQL,
+            "op12_spelling_variants": spelling.SQL, "op13_collocations": collocations.SQL}
