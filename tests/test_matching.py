@@ -10,9 +10,9 @@ from tillroll.operators.ranking import with_rank
 SCHEMA = "name string, normalized_name string, canonical_name string, receipt_id long, category string"
 
 
-def suggest(spark, names, chunk=2048):
+def suggest(spark, names, ordered=similarity.ORDERED):
     items = spark.createDataFrame([(n, None, None, i, "яйца") for i, n in enumerate(names)], SCHEMA)
-    return products.duplicate_suggestions(products.with_match_features(products.catalogue(items)), chunk=chunk).collect()
+    return products.duplicate_suggestions(products.with_match_features(products.catalogue(items)), ordered=ordered).collect()
 
 
 @pytest.mark.parametrize("left, right, expected", [
@@ -52,7 +52,7 @@ def brute(spark, names):
     return out
 
 
-def test_all_pairs_are_found_at_any_chunk_size(spark):
+def test_all_pairs_are_found_in_any_order_of_the_index(spark):
     rng = random.Random(3)
     words = "piens balts svaigs lauku maize rupja zaļā tēja siers zero classic olas krējums salds".split()
     sizes = ["", "", "1L", "0,5L", "500g", "0g", "1kg 1L", "2x100g", "6x110g", "3,5%", "3,5% 1L"]
@@ -61,8 +61,8 @@ def test_all_pairs_are_found_at_any_chunk_size(spark):
     names = sorted(set(names))
     want = brute(spark, names)
     assert len(want) > 1500
-    for chunk in (2048, 37):
-        got = [frozenset((r.left_identity, r.right_identity)) for r in suggest(spark, names, chunk)]
+    for ordered in (similarity.ORDERED, 37):
+        got = [frozenset((r.left_identity, r.right_identity)) for r in suggest(spark, names, ordered)]
         assert len(got) == len(set(got)) and set(got) == want
 
 
@@ -77,3 +77,36 @@ def test_rank_equals_sorted_position(spark):
     out = with_rank(spark.createDataFrame(rows, "a long, b long").repartition(5), "a", "b").collect()
     want = {r: i for i, r in enumerate(sorted(rows))}
     assert all(want[(r.a, r.b)] == r["rank"] for r in out) and len(out) == 400
+
+
+def test_candidates_stay_near_the_results(spark):
+    """Every pair that reaches the score is a candidate, few others are, and no pair of a block's settled side."""
+    rng = random.Random(5)
+    words = "piens balts svaigs lauku maize rupja tēja siers olas krējums salds desa gaļa zivs sula rīsi milti cukurs".split()
+    names = sorted({" ".join(rng.sample(words, rng.randint(2, 5))) for _ in range(2000)})
+    rows = [("x", f"{i:04d}", n, 2 if i % 4 else 1) for i, n in enumerate(names)] + [("y", "9998", "piens balts", 1), ("y", "9999", "balts piens", 1)]
+    table = spark.createDataFrame(rows, "block string, pid string, comparison string, side int")
+    want = {(f"{i:04d}", f"{j:04d}") for i, a in enumerate(names) for j, b in enumerate(names[i + 1:], i + 1)
+            if (i % 4 or j % 4) and (similarity.sort_ratio(a, b) + similarity.set_ratio(a, b)) / 2 >= 88}
+    got = {tuple(r) for r in similarity.candidates(table, 88.0).collect()}
+    assert want <= got and len(got) <= 20 * len(want) and not any("99" in pair[0][:2] for pair in got)
+    assert {(r.left_pid, r.right_pid) for r in similarity.similar_pairs(table, 88.0).collect()} == want
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_score_leaves_a_trace(seed):
+    """The bounds of the index hold for names with misspelt, repeated and missing words."""
+    rng = random.Random(seed)
+    for _ in range(3000):
+        a = " ".join(rng.choices(["ab", "abc", "b", "cab", "dd", "ee"], k=rng.randint(1, 5)))
+        b = "".join(c for c in a if rng.random() > 0.1)
+        b = " ".join(rng.sample(b.split(), len(b.split())) + rng.choice([[], ["x"], ["ab"]]))
+        if not b.strip() or (similarity.sort_ratio(a, b) + similarity.set_ratio(a, b)) / 2 < 88:
+            continue
+        order, apart = {}, 0.12
+        heads = []
+        for n in (a, b):
+            heads.append({p for t in similarity._views(n)[1] for p in sorted(similarity.letter_pairs(t))[:int(4 * apart / (1 + apart) * len(t) + 1e-9) + 1]})
+        words = [set(n.split()) for n in (a, b)]
+        rare = [similarity._rare_words(sorted(w), order, apart) for w in words]
+        assert heads[0] & heads[1] or rare[0] & words[1] or rare[1] & words[0], (a, b)

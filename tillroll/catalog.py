@@ -200,10 +200,14 @@ query("resolve_names")(lambda d: products.resolve_names(
     d.sales.select(F.col("name").alias("asked")).unionByName(d.table("part").select(F.col("p_name").alias("asked"))).distinct(), d.sales))
 query("merge_catalogue")(lambda d: products.merge_catalogue(d.sales))
 query("match_catalogue")(lambda d: products.catalogue(d.sales))
-query("duplicate_suggestions")(lambda d: products.duplicate_suggestions(
-    products.with_match_features(products.catalogue(d.sales))))
-query("top_duplicate_suggestions")(lambda d: products.duplicate_suggestions(
-    products.with_match_features(products.catalogue(d.sales)), limit=200, confidence="high"))
+
+
+def _suggestions(d: Data, **chosen) -> DataFrame:
+    return products.duplicate_suggestions(products.with_match_features(products.catalogue(d.sales)), **chosen)
+
+
+query("duplicate_suggestions")(_suggestions)
+query("top_duplicate_suggestions")(lambda d: _suggestions(d, limit=200, confidence="high"))
 
 # --- story and operations -----------------------------------------------------------------
 
@@ -227,7 +231,7 @@ query("story_highlights")(lambda d: story.highlights(d.receipts, _insight(d), SE
 query("story_remainder")(lambda d: story.remainder(d.receipts, story.highlights(d.receipts, _insight(d), SELECTED), SELECTED))
 query("story_timeline")(lambda d: story.timeline(d.receipts_in(SELECTED), SELECTED))
 query("story_signature")(lambda d: story.story_signature(_insight(d), d.receipts_in(SELECTED), SELECTED))
-query("action_queue")(lambda d: quality.action_queue(d.items, d.sales))
+query("action_queue")(lambda d: quality.action_queue(d.items, d.sales, products.high_confidence_count(_suggestions(d))))
 query("briefing")(lambda d: dashboard.briefing(
     _summary(d), dashboard.category_changes(d.sold_in(SELECTED), SELECTED), quality.action_queue(d.items, d.sales).where("severity IN ('critical', 'high')")))
 

@@ -392,6 +392,55 @@ add("merge_catalogue", """SELECT identity AS product, count(*) AS item_count, co
 add("match_catalogue", """SELECT name, coalesce(normalized_name, '') AS normalized_name, identity, nullif(category, '') AS category, count(*) AS item_count,
     count(DISTINCT receipt_id) AS receipt_count FROM items GROUP BY ALL""", *ITEM_VIEWS)
 
+# all pairs, scored by the bits of a common subsequence; no bound name holds a variant word or a percentage
+LCS = """list_reduce(list_prepend((CAST(1 AS BIGINT) << length({a})) - 1, list_transform(range(length({b})),
+    lambda k: list_sum(list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = {b}[k + 1] THEN CAST(1 AS BIGINT) << i ELSE 0 END)))),
+    lambda state, m: ((state + (state & CAST(m AS BIGINT))) | (state - (state & CAST(m AS BIGINT)))) & ((CAST(1 AS BIGINT) << length({a})) - 1))"""
+KNOWN_LCS = """list_reduce(list_prepend((CAST(1 AS BIGINT) << length({a}.s)) - 1, list_transform(string_split({b}.s, ''), lambda ch: coalesce({a}.masks[ch], 0))),
+    lambda state, m: ((state + (state & m)) | (state - (state & m))) & ((CAST(1 AS BIGINT) << length({a}.s)) - 1))"""
+SUGGESTIONS = f"""products AS (
+  SELECT name, identity, nullif(category, '') AS category, count(*) AS item_count, count(DISTINCT receipt_id) AS receipt_count,
+    lower(replace(name, '#', ' ')) AS normalized, coalesce(normalized_name, '') AS normalized_name FROM items GROUP BY ALL),
+featured AS MATERIALIZED (
+  SELECT *, CAST(nullif(regexp_extract(normalized, '\\b(\\d+)ml\\b', 1), '') AS BIGINT) AS ml, CAST(nullif(regexp_extract(normalized, '\\b(\\d+)g\\b', 1), '') AS BIGINT) AS g,
+    CASE WHEN regexp_matches(name, '\\d+x\\d+g') THEN regexp_replace(regexp_extract(name, '\\d+x\\d+g'), '(\\d+)x(\\d+)g', '\\1 x \\2 g') END AS pack,
+    list_sort(list_distinct(regexp_extract_all(normalized, '\\b[a-z]{{2,}}\\b'))) AS tokens, list_sort(list_distinct(string_split(normalized, ' '))) AS u,
+    array_to_string(list_sort(string_split(normalized, ' ')), ' ') AS s,
+    map_from_entries(list_transform(list_distinct(string_split(s, '')), lambda ch: struct_pack(k := ch,
+      v := CAST(list_sum(list_transform(range(length(s)), lambda i: CASE WHEN s[i + 1] = ch THEN CAST(1 AS BIGINT) << i ELSE 0 END)) AS BIGINT)))) AS masks,
+    md5('{{"name":"' || name || '","normalized_name":"' || normalized_name || '","identity":"' || identity || '"' || coalesce(',"category":"' || category || '"', '') || '}}') AS pid
+  FROM products),
+met AS MATERIALIZED (
+  SELECT a, b, 100.0 - 100.0 * (length(a.s) + length(b.s) - 2 * (length(a.s) - bit_count({KNOWN_LCS.format(a="a", b="b")}))) / (length(a.s) + length(b.s)) AS sym
+  FROM featured a JOIN featured b ON a.pid < b.pid AND a.pack IS NOT DISTINCT FROM b.pack
+  WHERE coalesce(a.ml = b.ml, TRUE) AND coalesce(a.g = b.g, TRUE) AND NOT (coalesce(a.ml, a.g) IS NOT NULL AND coalesce(b.ml, b.g) IS NOT NULL
+    AND (a.ml IS NULL OR b.ml IS NULL) AND (a.g IS NULL OR b.g IS NULL)) AND NOT (a.normalized = b.normalized AND a.identity = b.identity)),
+split AS MATERIALIZED (
+  SELECT a, b, sym, list_filter(a.u, lambda w: list_contains(b.u, w)) AS shared, array_to_string(list_filter(a.u, lambda w: NOT list_contains(b.u, w)), ' ') AS oa,
+    array_to_string(list_filter(b.u, lambda w: NOT list_contains(a.u, w)), ' ') AS ob, length(array_to_string(shared, ' ')) AS base, CASE WHEN base > 0 THEN 1 ELSE 0 END AS gap,
+    base + gap + length(oa) AS la, base + gap + length(ob) AS lb
+  FROM met WHERE sym >= 75.9),
+scored AS (
+  SELECT a, b, sym, (sym + CASE WHEN base > 0 AND (oa = '' OR ob = '') THEN 100.0 ELSE greatest(
+      100.0 - 100.0 * (length(oa) + length(ob) - 2 * (length(oa) - bit_count({LCS.format(a="oa", b="ob")}))) / (la + lb),
+      CASE WHEN base > 0 THEN greatest(100.0 - 100.0 * (gap + length(oa)) / (base + la), 100.0 - 100.0 * (gap + length(ob)) / (base + lb)) ELSE 0 END) END) / 2 AS mean
+  FROM split),
+ordered AS (
+  SELECT CASE WHEN a.item_count > b.item_count OR (a.item_count = b.item_count AND lower(a.identity) <= lower(b.identity)) THEN a ELSE b END AS l,
+    CASE WHEN a.item_count > b.item_count OR (a.item_count = b.item_count AND lower(a.identity) <= lower(b.identity)) THEN b ELSE a END AS r, mean, sym
+  FROM scored WHERE mean >= 88),
+suggestions AS MATERIALIZED (
+  SELECT l.identity AS left_identity, r.identity AS right_identity, l.normalized AS left_normalized, r.normalized AS right_normalized, l.item_count AS left_item_count,
+    r.item_count AS right_item_count, l.receipt_count AS left_receipt_count, r.receipt_count AS right_receipt_count, l.category AS left_category, r.category AS right_category,
+    round(mean, 2) AS score, round(sym, 2) AS symmetric_score, CASE WHEN mean >= 95 AND l.tokens = r.tokens THEN 'high' ELSE 'possible' END AS confidence,
+    CASE WHEN l.ml = r.ml THEN l.ml END AS volume_ml, CASE WHEN l.g = r.g THEN l.g END AS weight_g, CAST(NULL AS DOUBLE) AS percentage, l.pack AS multipack,
+    l.tokens = r.tokens AS same_words, coalesce(l.category = r.category, FALSE) AS same_category,
+    coalesce(list_min(list_intersect(l.tokens, r.tokens)), split_part(l.identity, ' ', 1)) AS merge_term
+  FROM ordered)"""
+add("duplicate_suggestions", "SELECT * FROM suggestions", *ITEM_VIEWS, SUGGESTIONS)
+add("top_duplicate_suggestions", """SELECT * FROM suggestions WHERE confidence = 'high'
+  ORDER BY score DESC, left_item_count + right_item_count DESC, left_identity, right_identity LIMIT 200""", *ITEM_VIEWS, SUGGESTIONS)
+
 # --- story and operations -----------------------------------------------------------------
 STORY_OBS = (RECEIPTS, PARTS, ITEMS, OBS.replace("obs AS MATERIALIZED", "every_obs AS MATERIALIZED"),
              "obs AS MATERIALIZED (SELECT * FROM every_obs WHERE d >= DATE '1997-11-02' AND d < DATE '1998-06-01')", MIXED, ELIGIBLE, DEVIATION)
@@ -413,7 +462,8 @@ QUEUE = f"""queue AS (SELECT * FROM (
   UNION ALL SELECT 'low_confidence_prices', 2.0, 'high', (SELECT count(*) FROM items WHERE confidence IS NULL OR confidence < 0.75)
   UNION ALL SELECT 'suspicious_prices', 2.1, 'high', (SELECT count(*) FROM items WHERE price_e4 > 100000000)
   UNION ALL SELECT 'uncategorized', 5.0, 'low', (SELECT count(DISTINCT product_key) FROM items WHERE label = '{U}')) WHERE n > 0)"""
-add("action_queue", "SELECT key, CAST(priority AS DOUBLE) AS priority, severity, n FROM queue", *ITEM_VIEWS, QUEUE)
+add("action_queue", """SELECT key, CAST(priority AS DOUBLE) AS priority, severity, n FROM queue
+  UNION ALL SELECT 'merge_suggestions', 4.0, 'medium', n FROM (SELECT count(*) AS n FROM suggestions WHERE confidence = 'high') WHERE n > 0""", *ITEM_VIEWS, QUEUE, SUGGESTIONS)
 
 # --- maintenance --------------------------------------------------------------------------
 SOURCE = """CASE WHEN p_type = 'PROMO' THEN 'rejected' WHEN old AND p_type = 'SMALL' THEN 'inferred_piece' WHEN old THEN 'package_name'

@@ -9,7 +9,7 @@ from tillroll import vocabulary as V
 from tillroll.functions.columns import not_blank
 from tillroll.functions.identity import identity
 from tillroll.functions.names import features, fold_diacritics, multipack, normalize, significant_tokens, variants
-from tillroll.functions.similarity import CHUNK, similar_pairs
+from tillroll.functions.similarity import ORDERED, similar_pairs
 from tillroll.session import stored
 
 
@@ -111,15 +111,15 @@ def _compatible(l: str, r: str) -> Column:  # noqa: E741
 
 
 def duplicate_suggestions(products: DataFrame, limit: int | None = None, confidence: str | None = None,
-                          chunk: int = CHUNK) -> DataFrame:
+                          ordered: int = ORDERED) -> DataFrame:
     """Pairs of products that are probably one: all compatible pairs that reach the score.
 
-    `products` comes from with_match_features. Every product is compared with every other
-    of its blocks, however many there are; `chunk` sets the size of a task, not the result.
+    `products` comes from with_match_features. Pairs are looked up in an index of letter pairs and
+    words; `ordered` bounds the frequencies that order it, not the result.
     """
     products = stored(products)
     l, r = products.alias("l"), products.alias("r")  # noqa: E741
-    pairs = similar_pairs(comparison_blocks(products), V.POSSIBLE_SCORE, chunk).select("left_pid", "right_pid", F.struct("score", "symmetric").alias("s"))
+    pairs = similar_pairs(comparison_blocks(products), V.POSSIBLE_SCORE, ordered).select("left_pid", "right_pid", F.struct("score", "symmetric").alias("s"))
     scored = pairs.join(l, F.col("left_pid") == F.col("l.pid")).join(r, F.col("right_pid") == F.col("r.pid")).where(
         _compatible("l", "r") & ~((F.col("l.normalized") == F.col("r.normalized")) & (F.col("l.identity") == F.col("r.identity"))))
     left_first = (F.col("l.item_count") > F.col("r.item_count")) | (
