@@ -19,7 +19,7 @@ from tillroll.plans import dashboard, maintenance, prices, products, quality, sp
 from tillroll.schema import ITEMS_DDL, RECEIPT_DEFAULTS, RECEIPTS_DDL, ITEM_DEFAULTS, audit_constraints, conform
 from tillroll.session import stored, stream_folder
 from tillroll.sources import ingest, receipt_text, tables
-from tillroll.streaming.jobs import drop_repeats, enrich_stream, ingest_stream, run_to_end
+from tillroll.streaming.jobs import drop_repeats, enrich_stream, ingest_stream, run_to_end, sweep, sweep_session
 
 AS_OF = date(1998, 6, 14)
 MONTH = "month:1998-05"
@@ -408,6 +408,32 @@ def _ingest_stream(d: Data) -> DataFrame:
     return count("receipts", "total").unionByName(count("items", "price"))
 
 
+def _swept(d: Data) -> DataFrame:
+    """Three deliveries to one folder, each swept by a stream that starts again: a half, the rest with repeats, all again."""
+    source, target, log = stream_folder(d.spark), stream_folder(d.spark), stream_folder(d.spark)
+    texts = stored(tables.receipt_texts(d.spark, d.folder))
+    half = F.substring("receipt_number", 3, 20).cast("bigint") % 2 == 0
+    session = sweep_session(d.spark)
+    rules = Data(session, d.folder).rules
+    for delivery in (texts.where(half), texts.where(~half | F.col("receipt_number").endswith("7")), texts.withColumn("text", F.concat("text", F.lit("\n")))):
+        delivery.write.mode("append").parquet(source)
+        documents = session.readStream.schema(texts.schema).parquet(source)
+        sweep(documents, target, rules, log).awaitTermination()
+    count = lambda table, amount: d.spark.read.parquet(f"{target}/{table}").groupBy(F.col("batch").cast("long").alias("batch")).agg(
+        F.lit(table).alias("kind"), F.count("*").alias("rows"), F.sum(amount).cast("double").alias("amount"))
+    return count("receipts", "total").unionByName(count("items", "price"))
+
+
+def _loaded(d: Data) -> DataFrame:
+    """The receipts of all stores but one as files of up to 2,000 nested receipts, loaded into new tables."""
+    source = stream_folder(d.spark)
+    receipts = tables.receipt_json(d.spark, d.folder).where("json LIKE '{\"synthetic\":true%'").select(
+        F.floor(F.substring("source", 3, 20).cast("bigint") / 2000).alias("file"), F.from_json("json", ingest.NESTED).alias("d"))
+    receipts.groupBy("file").agg(F.to_json(F.struct(F.lit(True).alias("synthetic"), F.flatten(F.collect_list("d.receipts")).alias("receipts"))).alias("value")).write.partitionBy(
+        "file").text(source)
+    return ingest.load_nested(d.spark, source, stream_folder(d.spark), d.rules)
+
+
 def _stream_dedupe(d: Data) -> DataFrame:
     events = tables.event_stream(d.spark, d.folder)
     return run_to_end(drop_repeats(events, "event_id", "ts", "1 hour").drop("copy"), stream_folder(d.spark), "events").groupBy(
@@ -436,5 +462,7 @@ query("parser_audit")(lambda d: quality.parser_audit(d.sales.select("name").unio
 query("classify_text_lines")(lambda d: classify_names(d.table("documents").select(F.explode(F.split("text", "\n")).alias("name"))).groupBy(
     "predicted").agg(F.count("*").alias("lines")))
 query("ingest_stream")(_ingest_stream)
+query("sweep_receipts")(_swept)
+query("load_receipts")(_loaded)
 query("stream_dedupe")(_stream_dedupe)
 query("stream_enrich")(_stream_enrich)

@@ -534,6 +534,7 @@ add("snapshot_invariants", """SELECT 'receipts' AS metric, CAST(count(*) AS DOUB
 
 # --- ingest and streams -------------------------------------------------------------------
 PAGED = "paged AS (SELECT obs.*, receipt_id AS page FROM obs)"
+HALVES = "halves AS (SELECT *, CAST(page % 2 AS BIGINT) AS batch FROM paged)"
 RIMI = "store IN ('AUTOMOBILE', 'BUILDING')"
 add("parse_receipts", f"""SELECT 'R-' || page AS receipt_number, name, CAST(q AS DOUBLE) AS quantity, CASE WHEN {RIMI} THEN 'gab' ELSE 'piece' END AS quantity_unit,
     listed / 100.0 AS unit_price, CAST(price AS DOUBLE) AS price FROM paged""", *OBS_VIEWS, PAGED)
@@ -552,6 +553,9 @@ add("nested_receipts", """SELECT error, count(DISTINCT page) AS receipts, CASE W
   FROM (SELECT *, CASE WHEN store = 'FURNITURE' THEN 'not_synthetic' ELSE '' END AS error FROM paged) GROUP BY error""", *OBS_VIEWS, PAGED)
 add("ingest_stream", """SELECT 'receipts' AS kind, count(DISTINCT page) AS rows, CAST(sum(price) AS DOUBLE) AS amount FROM paged
   UNION ALL SELECT 'items', count(*), CAST(sum(price) AS DOUBLE) FROM paged""", *OBS_VIEWS, PAGED)
+add("sweep_receipts", """SELECT batch, 'receipts' AS kind, count(DISTINCT page) AS rows, CAST(sum(price) AS DOUBLE) AS amount FROM halves GROUP BY batch
+  UNION ALL SELECT batch, 'items', count(*), CAST(sum(price) AS DOUBLE) FROM halves GROUP BY batch""", *OBS_VIEWS, PAGED, HALVES)
+add("load_receipts", "SELECT count(DISTINCT page) AS receipts, count(*) AS items FROM paged WHERE store <> 'FURNITURE'", *OBS_VIEWS, PAGED)
 add("stream_dedupe", "SELECT event_type, count(DISTINCT event_id) AS events, count(DISTINCT event_id) AS distinct_events FROM events GROUP BY event_type")
 add("stream_enrich", f"""SELECT coalesce(rule_category, predicted) AS category,
     CASE WHEN rule_category IS NOT NULL THEN 'inherited' WHEN predicted = '{U}' THEN 'fallback' ELSE 'rule' END AS category_source,

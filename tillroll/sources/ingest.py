@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from tillroll.functions.identity import product_key
 from tillroll.functions.names import normalize
 from tillroll.functions.price import derive_price, with_name_evidence
 from tillroll.schema import ITEMS_DDL, RECEIPTS_DDL, conform
+from tillroll.session import stored
 
 NESTED = ("synthetic boolean, receipts array<struct<date: string, store: string, total: double, receipt_number: string, "
           "items: array<struct<name: string, quantity: double, price: double, line_total: double, unit_price: double, "
@@ -51,6 +53,35 @@ def nested_documents(valid: DataFrame) -> DataFrame:
         "r.receipt_number", "r.date", "r.store", F.round("r.total", 2).cast(MONEY).alias("total"), F.transform("r.items", line).alias("items"))
 
 
+def load_nested(spark: SparkSession, source: str, target: str, rules: DataFrame, overwrite: bool = False) -> DataFrame:
+    """Load nested receipt files into a new pair of tables; one row (receipts, items) with what was stored.
+
+    A target that exists is refused before anything is read unless `overwrite` says otherwise. A fault in any
+    document refuses the whole load, with up to five of them named; nothing is written then.
+    """
+    if not overwrite:
+        for table, ddl in (("receipts", RECEIPTS_DDL), ("items", ITEMS_DDL)):
+            _refuse_existing(spark, f"{target}/{table}", ddl)
+    documents = stored(validate_nested(read_nested(spark, source)))
+    faults = documents.where("error IS NOT NULL").select("source", "position", "error").orderBy("source", "position").limit(5).collect()
+    if faults:
+        raise ValueError("; ".join(f"{r.source}[{0 if r.position is None else r.position}]: {r.error}" for r in faults))
+    receipts, items = ingest(nested_documents(documents), spark.createDataFrame([], RECEIPTS_DDL), rules)
+    mode = "overwrite" if overwrite else "errorifexists"
+    items.write.mode(mode).parquet(f"{target}/items")
+    receipts.write.mode(mode).parquet(f"{target}/receipts")
+    counted = [spark.read.schema(ddl).parquet(f"{target}/{table}").agg(F.count("*").alias(table)) for table, ddl in (("receipts", RECEIPTS_DDL), ("items", ITEMS_DDL))]
+    return counted[0].select("receipts", counted[1].scalar().alias("items"))
+
+
+def _refuse_existing(spark: SparkSession, path: str, ddl: str) -> None:
+    try:
+        spark.read.schema(ddl).parquet(path)
+    except AnalysisException:  # there is no such folder
+        return
+    raise FileExistsError(f"target already exists: {path}")
+
+
 def new_documents(documents: DataFrame, existing: DataFrame) -> DataFrame:
     """One document, with its own lines, of every number that is not stored yet.
 

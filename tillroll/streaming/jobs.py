@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tillroll.session import stored
 from tillroll.sources.ingest import enrich, ingest
-from tillroll.sources.receipt_text import file_stem, parse_documents, parsed_documents
+from tillroll.sources.receipt_text import ITEM, file_stem, parse_documents, parsed_documents
 from tillroll.schema import RECEIPTS_DDL
 
+BODY = f"date string, store string, total decimal(14,2), items {ITEM}"
+
 
 def document_stream(spark: SparkSession, path: str, pattern: str = "*.txt") -> DataFrame:
     df = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", pattern).load(path)
@@ -37,6 +43,79 @@ def ingest_stream(documents: DataFrame, target: str, rules: DataFrame, checkpoin
     return documents.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class FirstDocument(StatefulProcessor):
+    """The first readable document of a receipt number; its state is a mark that the number came.
+
+    With `retain_ms` the mark goes so long after the number was last seen, else it stays.
+    """
+
+    def __init__(self, retain_ms: int | None = None):
+        self.retain_ms = retain_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getValueState("seen", "at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        body = min(part["body"].min() for part in rows)
+        known = self.seen.exists()
+        if self.retain_ms is not None:
+            now = timerValues.getCurrentProcessingTimeInMs()
+            if known:
+                self.handle.deleteTimer(self.seen.get()[0] + self.retain_ms)
+            self.seen.update((now,))
+            self.handle.registerTimer(now + self.retain_ms)
+        elif not known:
+            self.seen.update((int(time.time() * 1000),))
+        if not known:
+            yield pd.DataFrame({"receipt_number": [key[0]], "body": [body]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.seen.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def sweep_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application whose streams keep their state in RocksDB; the given one is left as it is.
+
+    Batches without data are off: with timers a run over what is available would not end. Timers that
+    are due fire with the next batch.
+    """
+    session = spark.newSession()
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    for name in ("spark.sql.session.timeZone", "spark.sql.shuffle.partitions"):
+        session.conf.set(name, spark.conf.get(name))
+    return session
+
+
+def sweep(documents: DataFrame, target: str, rules: DataFrame, checkpoint: str, retain_ms: int | None = None) -> StreamingQuery:
+    """Append the receipts of what a folder holds by now; the stream's own state decides what is new.
+
+    `documents` is a stream (receipt_number, text) of a `sweep_session`, `rules` a table of the same.
+    No batch reads what is stored, so a sweep costs what arrives. An unreadable document leaves no
+    mark, and a readable one of its number counts later. Of several in a batch the smallest by
+    content stays. A batch that runs again writes to its own folder again.
+    """
+    spark = documents.sparkSession
+    readable = parse_documents(documents).where("status = 'ok' AND receipt_number IS NOT NULL").select(
+        "receipt_number", F.to_json(F.struct("date", "store", "total", "items")).alias("body"))
+    first = readable.groupBy("receipt_number").transformWithStateInPandas(
+        FirstDocument(retain_ms), "receipt_number string, body string", "append", "processingTime" if retain_ms is not None else "None")
+
+    def load(batch: DataFrame, number: int) -> None:
+        fresh = stored(batch.select("receipt_number", F.from_json("body", BODY).alias("d")).select("receipt_number", "d.*"))
+        none = spark.createDataFrame([], RECEIPTS_DDL)
+        receipts, items = ingest(fresh, none, rules, F.when(F.col("quantity_unit") != "unknown", "parser").otherwise("derived"))
+        items.write.mode("overwrite").parquet(f"{target}/items/batch={number}")
+        receipts.write.mode("overwrite").parquet(f"{target}/receipts/batch={number}")
+
+    return first.writeStream.foreachBatch(load).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def drop_repeats(stream: DataFrame, key: str, time: str, delay: str) -> DataFrame:
     """First row of every key; state is dropped once the watermark has passed."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
