@@ -1,8 +1,13 @@
 import random
+from collections import Counter
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators.history import PriceCounts, with_prior_prices
+from tillroll.operators import history
+from tillroll.operators.history import with_prior_prices
 from tillroll.operators.medians import group_medians
 
 
@@ -59,15 +64,36 @@ def test_one_series_of_half_the_lines_is_spread(spark):
     assert with_prior_prices(df, 20).agg(F.sum(F.col("receipt_id") - F.lit(large))).first()[0] == sum(r[3] for r in rows)
 
 
-def test_counts_keep_their_median():
-    rng, counts, held = random.Random(1), PriceCounts(), []
-    for _ in range(4000):
-        if held and rng.random() < 0.48:
-            price = held.pop(rng.randrange(len(held)))
-            counts.add(price, -1)
-        else:
-            held.append(rng.randint(1, 40))
-            counts.add(held[-1], 1)
-        order, n = sorted(held), len(held)
-        if rng.random() < 0.7:
-            assert counts.stats() == ((n, order[(n - 1) // 2] + order[n // 2], order[0], order[-1]) if n else (0, None, None, None))
+def test_ranks_of_windows_equal_sorting():
+    rng = np.random.default_rng(1)
+    ranks, weights = rng.integers(0, 37, 400), rng.integers(1, 4, 400)
+    left = rng.integers(0, 399, 600)
+    right = left + 1 + (rng.random(600) * (400 - left)).astype(int).clip(0, 399 - left)
+    spelt = [np.sort(np.repeat(ranks[a:b], weights[a:b])) for a, b in zip(left, right)]
+    k = np.array([rng.integers(1, len(s) + 1) for s in spelt])
+    assert history.kth_ranks(ranks, weights, left, right, k).tolist() == [s[i - 1] for s, i in zip(spelt, k)]
+    assert history.kth_ranks(np.zeros(3, int), np.ones(3, int), np.array([0]), np.array([3]), np.array([2])).tolist() == [0]
+
+
+@pytest.mark.parametrize("block, batch", [(1, 1), (7, 3), (50, 11), (1 << 16, 40)])
+def test_blocks_do_not_change_the_result(monkeypatch, block, batch):
+    """Windows carried from block to block, equal keys across batches, and counts that come before a segment's lines."""
+    monkeypatch.setattr(history, "BLOCK", block)
+    rng = random.Random(block)
+    rows = sorted((rng.choice("ab"), "u", rng.randint(0, 500), rng.randint(1, 3), rng.randint(1, 2), rng.randint(1, 9)) for _ in range(500))
+    columns = ["identity", "normalized_price_unit", "dn", "receipt_id", "id", "price_e4"]
+    cut = 230
+    while rows[cut][:5] == rows[cut - 1][:5]:
+        cut += 1
+    frame = pd.DataFrame(rows, columns=columns).assign(segment=[int(i >= cut) for i in range(500)], n=0)
+    counts = Counter((r[2], r[5]) for r in rows[:cut] if r[:2] == rows[cut][:2] and r[2] >= rows[cut][2] - 180)
+    before = pd.DataFrame([(*rows[cut][:2], day, 0, 0, price, 1, n) for (day, price), n in sorted(counts.items())], columns=[*columns, "segment", "n"])
+    frame = pd.concat([frame[:cut], before, frame[cut:]], ignore_index=True)
+    got = pd.concat(history.sliding_stats(frame[i:i + batch] for i in range(0, len(frame), batch)))
+    got = [tuple(None if v is pd.NA else int(v) for v in r) for r in got[["prior_count", "median_x2", "prior_min", "prior_max"]].itertuples(index=False)]
+    want = []
+    for r in rows:
+        prior = sorted(o[5] for o in rows if o[:2] == r[:2] and o[2] >= r[2] - 180 and o[2:5] < r[2:5])
+        m = len(prior)
+        want.append((m, prior[(m - 1) // 2] + prior[m // 2], prior[0], prior[-1]) if m else (0, None, None, None))
+    assert got == want

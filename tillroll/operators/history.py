@@ -3,7 +3,8 @@
 A series is one product at one price unit. The window is the 180 days before a line plus
 the lines of its own day that come first by (receipt_id, id). No built-in frame has both a
 range of days and a tuple order, and a median over a sliding frame would be computed anew
-for every line, so the last step is an Arrow function.
+for every line, so the last step is an Arrow function. It answers all windows of a block of
+lines at once, level by level of a wavelet matrix over the ranks of their prices.
 
 The lines are dealt by ranges of (series, day, receipt, line) into segments of like size,
 which cut a series, a day or a receipt wherever that is needed, and written once. Only the
@@ -13,10 +14,10 @@ into (day, price) -> count from the earlier segments and hands it to the segment
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
-from collections import deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,86 +28,116 @@ from tillroll.session import stored
 
 SERIES = ["identity", "normalized_price_unit"]
 ORDER = ["dn", "receipt_id", "id"]
+PLACE = ["segment", *SERIES]
 STATS = "prior_count bigint, median_x2 bigint, prior_min bigint, prior_max bigint"
+#: Lines answered together at least; a block is also as long as the window it starts with.
+BLOCK = 1 << 16
 
 
-class PriceCounts:
-    """Prices with their counts, in order; a pointer stays near the median."""
-
-    def __init__(self):
-        self.prices: list[int] = []
-        self.counts: dict[int, int] = {}
-        self.total, self.at, self.below = 0, 0, 0
-
-    def add(self, price: int, n: int) -> None:
-        """n may be negative; a price without a count goes."""
-        had = self.counts.get(price, 0)
-        place = bisect_left(self.prices, price)
-        if not had:
-            insort(self.prices, price)
-            if place <= self.at and self.total:
-                self.at += 1
-        if place < self.at:
-            self.below += n
-        self.total += n
-        if had + n:
-            self.counts[price] = had + n
-            return
-        self.counts.pop(price, None)
-        del self.prices[place]
-        if place < self.at:
-            self.at -= 1
-        elif self.at == len(self.prices) and self.at:
-            self.at -= 1
-            self.below -= self.counts[self.prices[self.at]]
-
-    def kth(self, k: int) -> int:
-        while self.below >= k:
-            self.at -= 1
-            self.below -= self.counts[self.prices[self.at]]
-        while self.below + self.counts[self.prices[self.at]] < k:
-            self.below += self.counts[self.prices[self.at]]
-            self.at += 1
-        return self.prices[self.at]
-
-    def stats(self) -> tuple:
-        n = self.total
-        return (n, self.kth((n + 1) // 2) + self.kth(n // 2 + 1), self.prices[0], self.prices[-1]) if n else (0, None, None, None)
+class Window(NamedTuple):
+    """What a series has had in its last days: (day, price) cells with their counts, by day."""
+
+    place: tuple
+    days: np.ndarray
+    prices: np.ndarray
+    counts: np.ndarray
+
+
+def kth_ranks(ranks: np.ndarray, weights: np.ndarray, left: np.ndarray, right: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """For every query the rank at weight k (from 1) of the entries left <= i < right in order of rank.
+
+    A wavelet matrix, one bit of the ranks at a time: entries with a zero come first, in their
+    order, then those with a one, and a query follows the side that holds its k-th weight.
+    """
+    found = np.zeros(len(k), np.int64)
+    for bit in reversed(range(int(ranks.max(initial=0)).bit_length())):
+        one = (ranks >> bit) & 1 == 1
+        zeros = np.r_[0, np.cumsum(~one)]
+        light = np.r_[0, np.cumsum(np.where(one, 0, weights))]
+        low = light[right] - light[left]
+        up = k > low
+        k = np.where(up, k - low, k)
+        left, right = (np.where(up, zeros[-1] + at - zeros[at], zeros[at]) for at in (left, right))
+        found |= up.astype(np.int64) << bit
+        order = np.r_[np.flatnonzero(~one), np.flatnonzero(one)]
+        ranks, weights = ranks[order], weights[order]
+    return found
+
+
+def _changes(rows: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    """Where a row differs from the one before; the first one does."""
+    changed = np.zeros(len(rows), bool)
+    changed[:1] = True
+    for column in columns:
+        value = rows[column].to_numpy()
+        changed[1:] |= value[1:] != value[:-1]
+    return changed
+
+
+def block_stats(window: Window | None, rows: pd.DataFrame) -> tuple[pd.DataFrame, Window]:
+    """The lines of a block with their statistics, and the window after its last line.
+
+    Lines of equal keys must be in one block.
+    """
+    series = np.cumsum(_changes(rows, PLACE)) - 1
+    if window is None or window.place != tuple(rows[PLACE].iloc[0]):
+        window = Window((), *[np.empty(0, np.int64)] * 3)
+    before = len(window.days)
+    n = rows["n"].to_numpy(np.int64)
+    days = np.r_[window.days, rows["dn"].to_numpy(np.int64)]
+    prices = np.r_[window.prices, rows["price_e4"].to_numpy(np.int64)]
+    weights = np.r_[window.counts, np.where(n > 0, n, 1)]
+    series = np.r_[np.zeros(before, np.int64), series]
+    first_day = days.min()
+    span = days.max() - first_day + 1
+    place = series * span + (days - first_day)
+    lines = before + np.flatnonzero(n == 0)
+    left = np.searchsorted(place, series[lines] * span + np.maximum(days[lines] - V.HISTORY_DAYS - first_day, 0))
+    # lines of one key see what was there before the first of them
+    right = np.maximum.accumulate(np.where(_changes(rows, [*PLACE, "n", *ORDER]), np.arange(len(rows)), 0))[lines - before] + before
+    values, ranks = np.unique(prices, return_inverse=True)
+    total = np.r_[0, np.cumsum(weights)]
+    count = total[right] - total[left]
+    some = np.flatnonzero(count)
+    held, l, r = count[some], left[some], right[some]  # noqa: E741
+    places = [(held + 1) // 2, held // 2 + 1, np.ones_like(held), held]
+    lower, upper, least, most = np.split(values[kth_ranks(ranks, weights, np.tile(l, 4), np.tile(r, 4), np.concatenate(places))], 4)
+    stats = {"prior_count": pd.array(count, dtype="Int64")}
+    for name, value in (("median_x2", lower + upper), ("prior_min", least), ("prior_max", most)):
+        filled = np.zeros(len(lines), np.int64)
+        filled[some] = value
+        stats[name] = pd.arrays.IntegerArray(filled, count == 0)
+    out = rows[n == 0].drop(columns=["segment", "n"]).reset_index(drop=True).assign(**stats)
+    last = (series == series[-1]) & (days >= days[-1] - V.HISTORY_DAYS)
+    cells, which = np.unique((days[last] - first_day) * len(values) + ranks[last], return_inverse=True)
+    after = Window(tuple(rows[PLACE].iloc[-1]), cells // len(values) + first_day, values[cells % len(values)],
+                   np.bincount(which, weights[last].astype(np.float64), len(cells)).astype(np.int64))
+    return out, after
 
 
 def sliding_stats(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Statistics for the lines of one or more segments, each with its counts from before.
 
     Rows of a segment come in order, the counts (n is not null) first. What is kept is the
-    window of the current series: its prices with counts, and what will leave it by day.
+    window of the current series and the lines of a block; a block ends before the lines
+    that share its last key, as more of them may follow.
     """
-    place, last = None, None
-    window, entered, waiting = PriceCounts(), deque(), []
+    window, held, size = None, [], 0
     for rows in batches:
-        stats = []
-        for segment, before, identity, unit, day, receipt, line, price in zip(
-                *[rows[c].tolist() for c in ("segment", "n", *SERIES, *ORDER, "price_e4")]):
-            if (segment, identity, unit) != place:
-                place, last = (segment, identity, unit), None
-                window, entered, waiting = PriceCounts(), deque(), []
-            if before > 0:
-                window.add(price, int(before))
-                entered.append((day, price, int(before)))
-                continue
-            if (day, receipt, line) != last:
-                last = (day, receipt, line)
-                for entry in waiting:
-                    window.add(entry[1], 1)
-                entered.extend(waiting)
-                waiting = []
-            while entered and entered[0][0] < day - V.HISTORY_DAYS:
-                _, gone, n = entered.popleft()
-                window.add(gone, -n)
-            stats.append(window.stats())
-            waiting.append((day, price, 1))
-        lines = rows[rows["n"] == 0].drop(columns=["segment", "n"]).reset_index(drop=True)
-        found = pd.DataFrame(stats, columns=["prior_count", "median_x2", "prior_min", "prior_max"], dtype="Int64")
-        yield pd.concat([lines, found], axis=1)
+        if rows.empty:
+            continue
+        held.append(rows)
+        size += len(rows)
+        if size < max(BLOCK, 0 if window is None else len(window.days)):
+            continue
+        block = pd.concat(held, ignore_index=True) if len(held) > 1 else rows
+        cut = int(np.flatnonzero(_changes(block, [*PLACE, "n", *ORDER]))[-1])
+        held, size = [block.iloc[cut:]], len(block) - cut
+        if cut:
+            out, window = block_stats(window, block.iloc[:cut])
+            yield out
+    if held:
+        yield block_stats(window, pd.concat(held, ignore_index=True))[0]
 
 
 def _counts_before(placed: DataFrame) -> DataFrame:
