@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tillroll import vocabulary as V
-from tillroll.functions.categories import classify, is_unresolved, label_source, reporting_label, write_label
+from tillroll.functions.categories import classify, is_unresolved, keyword_places, label_source, reporting_label, write_label
 
 GOLDEN = {
     V.EGGS: ["Kūtī dētas olas 10gab."],
@@ -67,6 +69,17 @@ def test_unresolved_filter_both_readings(spark):
     assert [r[0] for r in df.select(is_unresolved(F.col("c"), True)).collect()] == [False, False, True, True]
 
 
+def test_keyword_tree_equals_substring_tests():
+    rng, words = random.Random(1), [w for listing in V.KEYWORDS.values() for w in listing]
+    patterns = V.keyword_patterns()
+    for _ in range(3000):
+        parts = [rng.choice(words).rstrip("*") + rng.choice(["", "", "x", "iem"]) for _ in range(rng.randint(0, 5))]
+        text = f" {' '.join(parts)} "
+        found = keyword_places(text)
+        for at, category in enumerate(V.CATEGORY_PRIORITY):
+            assert found[at] == min((text.find(p) + 1 for p in patterns[category] if p in text), default=0), (text, category)
+
+
 def test_pattern_table_is_complete():
     patterns = V.keyword_patterns()
     assert set(patterns) == set(V.CATEGORY_PRIORITY) and len(V.CATEGORY_PRIORITY) == 17

@@ -459,6 +459,7 @@ query("nested_receipts")(lambda d: ingest.validate_nested(tables.receipt_json(d.
     F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("receipts"), F.sum(F.size("r.items")).alias("lines")))
 query("parser_audit")(lambda d: quality.parser_audit(d.sales.select("name").unionByName(d.table("documents").select(
     F.explode(F.split("text", "\n")).alias("name")))))
+query("classifier_conflicts")(lambda d: classify_names(tables.contested_names(d.spark, d.folder)).select("name", "predicted"))
 query("classify_text_lines")(lambda d: classify_names(d.table("documents").select(F.explode(F.split("text", "\n")).alias("name"))).groupBy(
     "predicted").agg(F.count("*").alias("lines")))
 query("ingest_stream")(_ingest_stream)

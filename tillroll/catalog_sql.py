@@ -596,6 +596,18 @@ def classifier_sql(source: str, name: str) -> str:
             f"labelled AS (SELECT name, CASE WHEN closed THEN '{U}' {label} ELSE '{U}' END AS predicted FROM s4)")
 
 
+# what a shopper would say, name by name, in the order of `tables.CONTESTED`
+CONTESTED = [(n, label) for label, names in (
+    (V.MEAT, ["Cāļa šķiņķi grieķu jog. marinādē"]), (V.DAIRY, ["Kausētais siers DZINTARS ar šķiņķi"]), (V.SNACKS, ["Čipsi ar siera garšu", "Zemesrieksti ESTRELLA Čedaras siers"]),
+    (V.BAKERY, ["Burgeru maizītes Maiziņš", "Baltmaize kefīra Lielmaize", "Kruasāns ar kakao krēmu"]), (V.SOFT_DRINKS, ["Ledus tēja FUZETEA citr.-citronz."]),
+    (V.PETS, ["Konservi kaķiem ar tunci"]), (V.READY_MEALS, ["Sviestm. GIGA ar vist. g. gurķi sieru", "Gaļas salāti ar šķiņķi", "Nūd. zupa NONGSHIM KIMCHI RAMYUN"]),
+    (V.FROZEN, ["Saldēti frī kartupeļi AVIKO Steak"]), (V.BABY, ["BIO biez. RŪDOLFS dārz. rīsi vista 6+"]), (V.SERVICE, ["Papīra iepirkumu maisiņš PALDIES"]),
+    (V.SAUCES, ["Tomātu pasta SPILVA"]), (U, ["Dārzeņi cepšanai HORTEX", "Humoss ar zaļumiem ATLANTIKA", "Kuskuss ar dārzeņiem GRACI", "Kukurūzas saldās vālītes vārītas",
+    "Gurķu-sinepju salāti SPILVA", "Pankūkas ar biezpiena pildīj. MĀJAS", "Siera uzkoda WELL DONE PREMIUM Pizza", "Pulveris Isostar H&P apelsinu"]),
+    (V.MEAT, ["Liell. g. uzkoda Beef Jerky Classic WD"]), (V.PRODUCE, ["Ķirbis RIEKSTU"]), (V.HOUSEHOLD, ["Zobu birste COLGATE Ultra Soft 1+1"])) for n in names]
+add("classifier_conflicts", f"""SELECT n || ' ' || p_name AS name, label AS predicted FROM part
+  JOIN (VALUES {", ".join(f"({i}, '{n}', '{label}')" for i, (n, label) in enumerate(CONTESTED))}) AS said(i, n, label) ON p_partkey % {len(CONTESTED)} = i""")
+
 add("classify_text_lines", "SELECT predicted, count(*) AS lines FROM labelled GROUP BY predicted",
     "document_lines AS (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)", classifier_sql("document_lines", "line"))
 

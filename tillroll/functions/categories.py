@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from tillroll import vocabulary as V
 from tillroll.functions.columns import first_true, is_blank, lookup, settled
@@ -38,18 +43,40 @@ def classifier_text(name: Column) -> Column:
         F.lower(F.coalesce(name, F.lit(""))), r"[^\p{L}]+", " ")), F.lit(" "))
 
 
-def _patterns(category: str) -> Column:
-    return F.array(*[F.lit(p) for p in V.keyword_patterns()[category]])
+@cache
+def _keyword_tree() -> dict:
+    """The keywords letter by letter; a node lists, under an empty key, the categories of a keyword that ends there."""
+    root: dict = {}
+    for at, category in enumerate(V.CATEGORY_PRIORITY):
+        for pattern in V.keyword_patterns()[category]:
+            node = root
+            for letter in pattern:
+                node = node.setdefault(letter, {})
+            node.setdefault("", []).append(at)
+    return root
+
 
+def keyword_places(text: str) -> list[int]:
+    """Where a keyword of each category first begins in the padded text, from 1; 0 without any.
 
-def keyword_score(text: Column, category: str) -> Column:
-    """How many keywords of the category occur in the padded text."""
-    return F.size(F.filter(_patterns(category), lambda pattern: F.contains(text, pattern)))
+    Every keyword begins with a blank, so the tree is entered once per word and left at the first
+    letter that no keyword has there.
+    """
+    root, places = _keyword_tree(), [0] * len(V.CATEGORY_PRIORITY)
+    at = text.find(" ")
+    while at >= 0:
+        node, i = root, at
+        while i < len(text) and (node := node.get(text[i])) is not None:
+            for category in node.get("", ()):
+                places[category] = places[category] or at + 1
+            i += 1
+        at = text.find(" ", at + 1)
+    return places
 
 
-def _first_position(text: Column, category: str) -> Column:
-    return F.array_min(F.filter(F.transform(_patterns(category), lambda p: F.instr(text, p)),
-                                lambda position: position > 0))
+@pandas_udf(T.ArrayType(T.IntegerType()))
+def _places(texts: pd.Series) -> pd.Series:
+    return texts.map(keyword_places)
 
 
 def classify(df: DataFrame, name: str = "name", out: str = "predicted") -> DataFrame:
@@ -58,31 +85,34 @@ def classify(df: DataFrame, name: str = "name", out: str = "predicted") -> DataF
     Narrow. Names repeat, so callers classify distinct names and join the labels back.
     """
     keep = [c for c in df.columns if c != out]
-    df = df.withColumn("_text", classifier_text(F.col(name)))
+    df = df.withColumn("_text", classifier_text(F.col(name))).withColumn("_at", _places("_text"))
     text = F.col("_text")
 
+    def place(category):
+        return F.get("_at", V.CATEGORY_PRIORITY.index(category))
+
     def word(*words):
         return text.rlike(" (?:" + "|".join(words) + ") ")
 
     def begins(*starts):
         return text.rlike(" (?:" + "|".join(starts) + ")")
 
-    scores = {c: keyword_score(text, c) for c in V.CATEGORY_PRIORITY}
+    hits = {c: place(c) > 0 for c in V.CATEGORY_PRIORITY}
     # Words that only mean something together.
     baby = F.coalesce(F.col(name), F.lit("")).rlike(r"(?U)(?<!\d)\d{1,2}\s*\+") & begins("biez", "putr", "pire")
     fries = word("frī", "fri") & begins("kartupeļ", "kartupel", "kartup")
     noodles = begins("nūd", "nud") & word("zupa", "ramyun", "instant")
     bag = begins("maisiņ", "maisin") & ~begins("atkritum")
     buns = begins("burgeru") & F.contains(text, F.lit("maiz"))
-    scores[V.BABY] = scores[V.BABY] + baby.cast("int")
-    scores[V.FROZEN] = scores[V.FROZEN] + fries.cast("int")
-    scores[V.READY_MEALS] = F.when(buns, 0).otherwise(scores[V.READY_MEALS] + noodles.cast("int"))
-    scores[V.SERVICE] = scores[V.SERVICE] + bag.cast("int")
-    # One array computed once per row; each score is then a lookup.
-    df = df.withColumn("_s", F.array(*[scores[c] for c in V.CATEGORY_PRIORITY]))
+    hits[V.BABY] = hits[V.BABY] | baby
+    hits[V.FROZEN] = hits[V.FROZEN] | fries
+    hits[V.READY_MEALS] = ~buns & (hits[V.READY_MEALS] | noodles)
+    hits[V.SERVICE] = hits[V.SERVICE] | bag
+    # One array computed once per row; each hit is then a lookup.
+    df = df.withColumn("_s", F.array(*[hits[c] for c in V.CATEGORY_PRIORITY]))
 
     def hit(category):
-        return F.get("_s", V.CATEGORY_PRIORITY.index(category)) > 0
+        return F.get("_s", V.CATEGORY_PRIORITY.index(category))
 
     sauce_form = begins("mērc", "merc", "majon", "kečup", "kecup", "konserv") | F.contains(
         text, F.lit("tomātu pasta")) | F.contains(text, F.lit("tomatu pasta"))
@@ -99,7 +129,7 @@ def classify(df: DataFrame, name: str = "name", out: str = "predicted") -> DataF
     # The type named first wins; each rule sees what the rules before it left over.
     alive = {c: hit(c) for c in V.CATEGORY_PRIORITY}
     for first, second in ((V.MEAT, V.DAIRY), (V.MEAT, V.BAKERY), (V.SNACKS, V.DAIRY), (V.SOFT_DRINKS, V.DAIRY)):
-        earlier = _first_position(text, first) <= _first_position(text, second)
+        earlier = place(first) <= place(second)
         clash = alive[first] & alive[second]
         step = {"_first": alive[first] & ~(clash & ~earlier), "_second": alive[second] & ~(clash & earlier)}
         tag = f"{len(df.columns)}"
