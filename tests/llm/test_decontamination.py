@@ -17,14 +17,14 @@ def brute(docs, items, window=10):
         w, hit, named = words(text), set(), set()
         for item, item_text in items:
             v = words(item_text)
-            if item is None or not v:
+            if not v:
                 continue
             n = min(len(v), window)
             for piece in {tuple(v[i:i + n]) for i in range(len(v) - n + 1)}:
                 for s in range(len(w) - n + 1):
                     if tuple(w[s:s + n]) == piece:
                         hit.update(range(s, s + n))
-                        named.add(str(item))
+                        named.update([str(item)] if item is not None else [])
         joined = ",".join(sorted(named))
         out.append((doc, len(w), len(hit), len(named), sha256(joined.encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
@@ -32,10 +32,11 @@ def brute(docs, items, window=10):
 
 PASSAGE = "Alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi"
 ITEMS = [(1, PASSAGE), (10, PASSAGE), (2, "two words"), (3, "the"), (4, "the the the the the the the the the the the the"), (5, None), (6, " ... "),
-         (7, "Éa 1st\x00éÉ x-y"), (None, PASSAGE), (2, "two words"), (8, "Alpha beta gamma delta epsilon zeta eta theta iota other ending words here")]
+         (7, "Éa 1st\x00éÉ x-y"), (None, PASSAGE), (None, "known without any id"), (2, "two words"), (8, "Alpha beta gamma delta epsilon zeta eta theta iota other ending words here")]
 DOCS = [(1, f"before {PASSAGE.upper()}, after"), (2, None), (3, ""), (4, "THE " * 30), (5, "two, WORDS; two words"), (5, "nothing of it"), (None, "the end"),
         (6, "alpha beta gamma delta epsilon zeta eta theta iota"), (7, "x éa 1ST éÉ X y z"), (8, "beta gamma delta epsilon zeta eta theta iota kappa lambda" * 2),
-        (9, (PASSAGE + " ") * 200), (5, "two, WORDS; two words")]
+        (9, (PASSAGE + " ") * 200), (5, "two, WORDS; two words"),
+        (11, "it is KNOWN without any id, and two words")]
 
 
 def frames(spark, docs, items):

@@ -27,12 +27,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     Null text has no words; an item without words, or a null one, has no window; an empty
     benchmark leaves every row clean. Repeated windows and items count once, a repeated or
-    null id keeps a row for each given row. A null item_id is never reported. Other
-    columns are not read.
+    null id keeps a row for each given row. Windows of an item without an id hit like others; only
+    the number and the digest of item ids leave it out. Other columns are not read.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     items = (benchmark.select(F.col(item_col).cast("string").alias("item"), words_of(F.col("text")).alias("words"))
-             .filter("item is not null and size(words) > 0"))
+             .filter("size(words) > 0"))
     windows = written(_windows(items, window))
     lengths = [r.k for r in windows.select(F.least(F.lit(shingle), "length").alias("k")).distinct().collect()]
     keys = written(_prefixes(windows, texts, lengths, shingle))
@@ -107,7 +107,7 @@ def _verified(texts: DataFrame, candidates: DataFrame, windows: DataFrame, id_co
         "id", F.monotonically_increasing_id().alias("row"), F.col("n_words").cast("long").alias("n_words"),
         F.coalesce(F.size(covered).cast("long"), F.lit(0).cast("long")).alias("n_hit"),
         F.array_distinct(F.transform("hits", lambda h: h["window"])).alias("hit")))
-    named = (rows.select("row", F.explode("hit").alias("window")).join(windows.select("window", "item"), "window")
+    named = (rows.select("row", F.explode("hit").alias("window")).join(windows.filter("item is not null").select("window", "item"), "window")
              .select("row", "item").distinct().groupBy("row").agg(F.array_sort(F.collect_list("item")).alias("items")))
     found = F.coalesce("items", F.array().cast("array<string>"))
     return rows.join(named, "row", "left").select(
@@ -129,7 +129,7 @@ def keep_clean(spark, docs: DataFrame, folder: str) -> DataFrame:
 
 SQL = r"""
 WITH item AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-              FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+              FROM benchmark WHERE text IS NOT NULL),
 grams AS (SELECT DISTINCT item, array_to_string(w[s + 1 : s + 10], ' ') AS gram, least(len(w), 10) AS size
           FROM item, unnest(range(greatest(len(w) - 10, 0) + 1)) AS u(s) WHERE len(w) > 0),
 doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -138,7 +138,7 @@ places AS (SELECT doc_id, s, size, array_to_string(w[s + 1 : s + size], ' ') AS
            FROM doc, sizes, unnest(range(greatest(len(w) - size + 1, 0))) AS u(s)),
 hits AS (SELECT p.doc_id, p.s, p.size, g.item FROM places p JOIN grams g ON p.gram = g.gram AND p.size = g.size),
 covered AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS place FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits WHERE item IS NOT NULL) GROUP BY doc_id)
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
