@@ -41,7 +41,8 @@ def test_queries_run_with_their_columns(spark, name):
     columns = {"op1": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars", "op2": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
                "op3": "doc_id piece bin_id bin_offset n_tokens", "op4": "vec_id n_links component_id kept", "op5": "doc_id held_out score predicted",
                "op6": "doc_id n_bytes n_removed n_spans kept_sha256", "op7": "page_id url text n_chars", "op8": "doc_id start n_tokens ids_crc32",
-               "op9": "doc_id n_words n_hit n_items items_sha256 contaminated", "op10": "doc_id fingerprint component_id"}
+               "op9": "doc_id n_words n_hit n_items items_sha256 contaminated", "op10": "doc_id fingerprint component_id",
+               "op11": "doc_id held_out score predicted", "op12": "word form root n n_near form_n", "op13": "lang rank phrase a l r n score"}
     got = queries.queries()[name](spark, SF)
     assert " ".join(got.columns) == columns[name.split("_")[0]]
     assert got.count() > 0
