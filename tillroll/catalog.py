@@ -14,7 +14,7 @@ from tillroll.functions.evidence import arithmetic_mismatch
 from tillroll.functions.identity import identity, product_key
 from tillroll.functions.periods import Period, resolve_period
 from tillroll.operators.observations import observe
-from tillroll.operators.snapshots import diff_violations, invariants, table_diff, tables_equal
+from tillroll.operators.snapshots import diff_violations, invariants, sparse_diff, table_diff, tables_equal
 from tillroll.plans import dashboard, maintenance, prices, products, quality, spend, story
 from tillroll.schema import ITEMS_DDL, RECEIPT_DEFAULTS, RECEIPTS_DDL, ITEM_DEFAULTS, audit_constraints, conform
 from tillroll.session import stored, stream_folder
@@ -340,6 +340,14 @@ def _new_rules(d: Data) -> DataFrame:
         product_key().alias("product_key"), F.lit("мясо").alias("category")).distinct()
 
 
+def _sparse(d: Data) -> DataFrame:
+    """Two stored versions that differ in the lines of one product range."""
+    old = stored(d.sales)
+    plan = old.where("quantity = 50 AND canonical_name LIKE 'Brand#11 new %'").select("receipt_id", "id", F.lit("одежда").alias("category"))
+    return sparse_diff(old, stored(maintenance.override_lines(old, plan))).select(
+        "receipt_id", "id", "status", F.array_join("changed_fields", ",").alias("changed_fields"))
+
+
 query("price_backfill_statistics")(lambda d: maintenance.backfill_statistics(maintenance.backfill_plan(d.graded_items)))
 query("price_backfill_fields")(lambda d: maintenance.backfill_field_counts(maintenance.backfill_plan(d.graded_items)))
 query("price_backfill_apply")(lambda d: quality.price_quality(
@@ -368,6 +376,7 @@ query("migration_summary")(lambda d: maintenance.migration_summary(maintenance.m
 query("snapshot_diff")(lambda d: table_diff(d.sales, maintenance.override_lines(
     d.sales.where("quantity > 1"), d.sales.where("quantity = 50").select("receipt_id", "id", F.lit("одежда").alias("category")))).groupBy(
     "status", F.coalesce(F.array_join("changed_fields", ","), F.lit("")).alias("changed_fields")).agg(F.count("*").alias("lines")))
+query("snapshot_sparse_diff")(_sparse)
 query("snapshot_equality")(lambda d: tables_equal(d.sales.where("quantity > 1"), d.sales.where("quantity < 50")))
 query("snapshot_invariants")(lambda d: invariants(d.receipts, d.sales, d.rules))
 
@@ -459,6 +468,7 @@ query("nested_receipts")(lambda d: ingest.validate_nested(tables.receipt_json(d.
     F.coalesce("error", F.lit("")).alias("error")).agg(F.count("*").alias("receipts"), F.sum(F.size("r.items")).alias("lines")))
 query("parser_audit")(lambda d: quality.parser_audit(d.sales.select("name").unionByName(d.table("documents").select(
     F.explode(F.split("text", "\n")).alias("name")))))
+query("parser_audit_examples")(lambda d: quality.parser_examples(tables.spoiled_lines(d.spark, d.folder)))
 query("classifier_conflicts")(lambda d: classify_names(tables.contested_names(d.spark, d.folder)).select("name", "predicted"))
 query("classify_text_lines")(lambda d: classify_names(d.table("documents").select(F.explode(F.split("text", "\n")).alias("name"))).groupBy(
     "predicted").agg(F.count("*").alias("lines")))

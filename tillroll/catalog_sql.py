@@ -526,6 +526,8 @@ add("migration", """SELECT 'changed' AS kind, 'category' AS detail, count(*) AS
   UNION ALL SELECT 'rules', 'total', (SELECT count(DISTINCT key) FROM states) + (SELECT count(*) FROM rules)""", *ITEM_VIEWS, RULES, STATE)
 add("snapshot_diff", """SELECT CASE WHEN q = 1 THEN 'deleted' ELSE 'changed' END AS status, CASE WHEN q = 1 THEN '' WHEN flag = 'A' THEN 'category' ELSE 'category,category_source' END AS changed_fields,
     count(*) AS lines FROM items WHERE q IN (1, 50) GROUP BY ALL""", *ITEM_VIEWS)
+add("snapshot_sparse_diff", """SELECT receipt_id, id, 'changed' AS status, CASE WHEN flag = 'A' THEN 'category' ELSE 'category,category_source' END AS changed_fields
+  FROM items WHERE q = 50 AND canonical_name LIKE 'Brand#11 new %'""", *ITEM_VIEWS)
 add("snapshot_equality", "SELECT count(*) FILTER (q = 50) AS missing, count(*) FILTER (q = 1) AS added FROM items", *ITEM_VIEWS)
 add("snapshot_invariants", """SELECT 'receipts' AS metric, CAST(count(*) AS DOUBLE) AS value FROM receipts UNION ALL SELECT 'items', count(*) FROM items
   UNION ALL SELECT 'rules', count(*) FROM rules UNION ALL SELECT 'identities', count(DISTINCT identity) FROM items
@@ -668,3 +670,18 @@ add("briefing", f"""SELECT -1.0 AS rank, 'decision' AS finding, CASE WHEN n = 0
       UNION ALL SELECT CAST(priority + 10 AS DOUBLE), 'operation', key, n FROM queue WHERE severity IN ('critical', 'high'))""")
 add("parse_free_text", """SELECT 'MAXIMA' AS store, CASE WHEN trim(text) = '' THEN 'empty_text' WHEN regexp_matches(text, '[0-9]+,[0-9]{2}\\s+X\\s+[0-9,]+') THEN 'ok' ELSE 'no_items' END AS status,
     count(*) AS documents FROM documents GROUP BY ALL""")
+
+SPOILED = [("Piens 1, 5L", "ocr_decimal_corruption", "corrected"), ("Siers lkg", "ocr_lkg", "rejected"), ("Sula 500m1", "ocr_m1", "rejected"),
+           ("Čeks", "receipt_header", "rejected"), ("Kase Nr. 12", "cashier_line", "rejected"), ("Rīsi 8x125g", "multipack", "unresolved"),
+           ("sviestu250g", "glued_tokens", "rejected"), ("Olas 6gab. 300g", "ambiguous_package_size", "unresolved"), ("Piens — ", "unknown", "corrected"),
+           ("Piens 1L", "unknown", "unchanged"), ("Sula 2, 25L", "ocr_decimal_corruption", "rejected"), ("Cepumi 3+1", "multipack", "unresolved"),
+           ("Maxima", "unknown", "unchanged")]
+add("parser_audit_examples", f"""SELECT contamination, row_number() OVER (PARTITION BY contamination ORDER BY receipt_id, id, name) AS rank, receipt_id, id, name, action FROM (
+    SELECT said.contamination, said.action, l_orderkey AS receipt_id, CAST(l_linenumber AS BIGINT) AS id, n || ' ' || p_name AS name FROM lineitem JOIN part ON l_partkey = p_partkey
+    JOIN (VALUES {", ".join(f"({i}, '{n}', '{c}', '{a}')" for i, (n, c, a) in enumerate(SPOILED))}) AS said(i, n, contamination, action) ON p_partkey % {len(SPOILED)} = i)
+  QUALIFY rank <= 5""")
+add("parser_audit", """SELECT contamination, CASE contamination WHEN 'multipack' THEN 'unresolved' ELSE 'unchanged' END AS action,
+    count(*) AS lines, count(DISTINCT name) AS names, min(name) AS example
+  FROM (SELECT name, CASE WHEN regexp_matches(name, '(?i)\\b\\d+\\s*[xх×]\\s*\\d+([.,]\\d+)?\\s*(kg|g|ml|l)\\b|\\b\\d+\\s*\\+\\s*\\d+\\b') THEN 'multipack' ELSE 'unknown' END AS contamination
+    FROM (SELECT name FROM items UNION ALL SELECT unnest(string_split(text, chr(10))) FROM documents))
+  GROUP BY contamination""", *ITEM_VIEWS)

@@ -236,3 +236,19 @@ def parser_audit(names: DataFrame) -> DataFrame:
         F.sum("n").alias("lines"), F.count("*").alias("names"), F.min("name").alias("example"))
 
 
+def parser_examples(lines: DataFrame, n: int = 5) -> DataFrame:
+    """First n lines of every contamination class by (receipt_id, id), with the parser's action.
+
+    A class's first n lines are among the first n of their names, so lines are cut to n a
+    name and names are classified once; both rank limits apply before their shuffle and
+    no state holds more than n lines. A missing name is an empty one. Lines that tie in
+    receipt, id and name are the same example.
+    """
+    first = W.partitionBy("name").orderBy("receipt_id", "id")
+    cut = lines.select("receipt_id", "id", F.coalesce("name", F.lit("")).alias("name")).withColumn(
+        "rank", F.row_number().over(first)).where(F.col("rank") <= n)
+    names = with_contamination(cut.groupBy("name").agg(F.collect_list(F.struct("receipt_id", "id")).alias("kept")))
+    order = W.partitionBy("contamination").orderBy("receipt_id", "id", "name")
+    return names.select("contamination", "action", "name", F.explode("kept").alias("k")).select("contamination", "action", "name", "k.*").withColumn(
+        "rank", F.row_number().over(order).cast("bigint")).where(F.col("rank") <= n).select(
+        "contamination", "rank", "receipt_id", "id", "name", "action")

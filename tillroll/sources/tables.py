@@ -228,3 +228,17 @@ def contested_names(spark: SparkSession, folder: str) -> DataFrame:
     """The part names behind names that the classifier's order, pairs and guards decide."""
     number = F.pmod(F.col("p_partkey"), F.lit(len(CONTESTED))).cast("int")
     return read(spark, folder, "part").select(F.concat_ws(" ", F.get(F.array(*[F.lit(n) for n in CONTESTED]), number), "p_name").alias("name"))
+
+
+#: Names of every contamination class, put before the part names of lines.
+SPOILED = ["Piens 1, 5L", "Siers lkg", "Sula 500m1", "Čeks", "Kase Nr. 12", "Rīsi 8x125g", "sviestu250g", "Olas 6gab. 300g", "Piens — ", "Piens 1L",
+           "Sula 2, 25L", "Cepumi 3+1", "Maxima"]
+
+
+def spoiled_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines as a faulty parser might leave them: (receipt_id, id, name)."""
+    number = F.pmod(F.col("p_partkey"), F.lit(len(SPOILED))).cast("int")
+    names = read(spark, folder, "part").select(
+        F.col("p_partkey").alias("l_partkey"), F.concat_ws(" ", F.get(F.array(*[F.lit(n) for n in SPOILED]), number), "p_name").alias("name"))
+    return read(spark, folder, "lineitem").join(names, "l_partkey").select(
+        F.col("l_orderkey").cast("bigint").alias("receipt_id"), F.col("l_linenumber").cast("bigint").alias("id"), "name")
