@@ -50,18 +50,48 @@ def test_components_are_those_of_all_pairs(spark, limit):
     assert [got[i + 10].component_id for i in range(len(texts))] == [g + 10 for g in groups]
 
 
-def test_index_finds_all_close_codes():
+def in_gray_order(codes, head, side):
+    rank = [int(c) for c in codes]
+    for step in (1, 2, 4, 8, 16, 32):
+        rank = [r ^ r >> step for r in rank]
+    order = sorted(range(len(codes)), key=lambda i: (head[i], side[i], rank[i]))
+    return codes[order], head[order], side[order]
+
+
+@pytest.mark.parametrize("heads, fan", [(1, 16), (1, 2), (9, 16), (400, 16), (400, 3)])
+def test_index_finds_every_pair_of_a_head_and_no_other(monkeypatch, heads, fan):
+    monkeypatch.setattr(simhash, "FAN", fan)
+    monkeypatch.setattr(simhash, "FRONTIER", 50)
     rng = np.random.default_rng(3)
     seeds = rng.integers(0, 2**64, 40, dtype=np.uint64)
-    codes = np.concatenate([seeds] + [seeds ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(6)])
-    codes = np.sort(codes)
-    labels = simhash._search(codes, 0, len(codes), 0, len(codes), 3, np.arange(len(codes)))
-    assert labels.tolist() == brute_groups([int(c) for c in codes])
-    cut = 100
-    halves = simhash._search(codes, 0, cut, cut, len(codes), 3, np.arange(len(codes)))
-    halves = simhash._search(codes, 0, cut, 0, cut, 3, halves)
-    halves = simhash._search(codes, cut, len(codes), cut, len(codes), 3, halves)
-    assert halves.tolist() == labels.tolist()
+    codes = np.concatenate([seeds] + [seeds ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(9)])
+    head = np.tile(rng.integers(0, heads, 40), 10)
+    for cut in (False, True):
+        side = 2 * head + rng.integers(0, 2, 400) if cut else np.full(400, -1)
+        codes, head, side = in_gray_order(codes, head, side)
+        got = [(i, j) for x, y in simhash.close_pairs(simhash.Index(codes, head, side), 3) for i, j in zip(x.tolist(), y.tolist())]
+        want = {(i, j) for j in range(400) for i in range(j) if head[i] == head[j] and not (cut and side[i] == side[j])
+                and int(codes[i] ^ codes[j]).bit_count() <= 3}
+        assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_index_prunes_whole_groups(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes, head, side = in_gray_order(rng.integers(0, 2**64, 5000, dtype=np.uint64), np.zeros(5000, np.int64), np.full(5000, -1))
+    index, asked = simhash.Index(codes, head, side), {}
+    near = index.near
+    monkeypatch.setattr(index, "near", lambda level, x, y, radius: (asked.__setitem__(level, asked.get(level, 0) + len(x)), near(level, x, y, radius))[1])
+    for _ in simhash.close_pairs(index, 0):
+        pass
+    assert asked[0] < 5000 * 4999 / 2 / 4 and asked[1] < 313 * 314 / 2
+    assert len(index.levels) == 5
+
+
+def test_one_code_and_none():
+    none = np.zeros(0, np.int64)
+    assert list(simhash.close_pairs(simhash.Index(none.astype(np.uint64), none, none), 3)) == []
+    one = np.zeros(1, np.int64)
+    assert list(simhash.close_pairs(simhash.Index(one.astype(np.uint64), one, one - 1), 3)) == []
 
 
 def test_text_longer_than_a_piece(monkeypatch):

@@ -21,12 +21,15 @@ RADIUS = 3
 SEED = 42
 #: Members of one shared head a task compares; larger heads are cut into chunk pairs.
 GROUP_LIMIT = 32_768
-#: Codes of a leaf and children of an upper node.
+#: Children of a node of the index.
 FAN = 16
 #: Text read at once; the last words of a piece are carried into the next.
 PIECE = 1 << 20
 #: Node pairs expanded at once.
-FRONTIER = 1 << 16
+FRONTIER = 1 << 12
+#: Codes under one index, but for whole heads.
+TOGETHER = 1 << 14
+HEAD = ["field", "head", "low", "high"]
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS,
@@ -98,9 +101,11 @@ def close_classes(classes: DataFrame, radius: int = RADIUS, group_limit: int = G
 
     A code is cut into radius + 1 fields; two codes within the radius agree in one of
     them. Each code is entered once per field, rotated so that this field leads: in Gray
-    order, codes with one head are neighbours. A head's codes are searched by one index;
-    a head above the limit is cut into chunks by a hash and its chunk pairs are searched,
-    so no task grows with a head. Of the pairs found a task reports a spanning forest.
+    order, codes with one head are neighbours. A task puts one index over all its codes,
+    heads of every size, and joins it with itself. The rows of a head above the limit are
+    entered by pairs of chunks, dealt by a hash, and compared across the two chunks (and
+    within each in its pair with itself), so no task grows with a head. Of the pairs found
+    a task reports a spanning forest.
     """
     width = 64 // (radius + 1)
     turned = [F.struct(F.lit(i).alias("field"), _rotated(F.col("fp"), width * i).alias("code")) for i in range(radius + 1)]
@@ -114,8 +119,7 @@ def close_classes(classes: DataFrame, radius: int = RADIUS, group_limit: int = G
                        lambda other: F.struct(F.least("chunk", other).alias("low"), F.greatest("chunk", other).alias("high")))
     rows = rows.select("field", "head", "rep", "code", F.col("chunk"), F.explode(pair).alias("p"))
     rows = rows.select("field", "head", "p.*", "chunk", "code", "rep")
-    keys = ["field", "head", "low", "high"]
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "chunk", _gray_rank(F.col("code")), "rep")
+    rows = rows.repartition(*HEAD).sortWithinPartitions("field", _gray_rank(F.col("head")), "low", "high", "chunk", _gray_rank(F.col("code")), "rep")
     schema = T.StructType([T.StructField(c, classes.schema["rep"].dataType) for c in ("a", "b")])
     return rows.mapInArrow(partial(_search_heads, radius=radius), schema)
 
@@ -132,15 +136,15 @@ def _gray_rank(code):
 
 
 def _search_heads(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Whole heads, as they arrive in order, a few batches at a time."""
+    """Whole heads, as they arrive in order, many at a time."""
     held: list[pa.Table] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(pa.Table.from_batches([batch]))
-        if sum(t.num_rows for t in held) >= 4096:
+        if sum(t.num_rows for t in held) >= TOGETHER:
             rows = pa.concat_tables(held)
-            last = _starts(rows)[-1]
+            last = np.flatnonzero(_changes(rows, HEAD))[-1]
             if last:
                 yield from _search_rows(rows.slice(0, last), radius)
             held = [rows.slice(last)]
@@ -148,86 +152,72 @@ def _search_heads(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa
         yield from _search_rows(pa.concat_tables(held), radius)
 
 
-def _starts(rows: pa.Table) -> np.ndarray:
-    keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in ("field", "head", "low", "high")])
-    return np.flatnonzero(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)])
+def _changes(rows: pa.Table, columns: list[str]) -> np.ndarray:
+    """Where a row differs from the one before in any of the columns; true for the first."""
+    keys = np.stack([rows.column(c).to_numpy().astype(np.int64) for c in columns])
+    return np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]
 
 
 def _search_rows(rows: pa.Table, radius: int) -> Iterator[pa.RecordBatch]:
-    starts = _starts(rows)
-    ends = np.r_[starts[1:], rows.num_rows]
     codes = rows.column("code").to_numpy().view(np.uint64)
-    low, high, chunk = (rows.column(c).to_numpy() for c in ("low", "high", "chunk"))
-    labels = np.arange(rows.num_rows)
-    small = ends - starts <= 2 * FAN
-    # heads of a leaf or two: every pair of one head, by distance in the list
-    head = np.repeat(np.where(small & (low[starts] == high[starts]), starts, -1 - starts), ends - starts)
-    for step in range(1, int((ends - starts)[small].max(initial=0))):
-        near = np.flatnonzero((head[step:] == head[:-step]) & (head[step:] >= 0))
-        near = near[np.bitwise_count(codes[near] ^ codes[near + step]) <= radius]
-        labels = merge_labels(labels, near, near + step)
-    for a, b in zip(starts, ends):
-        if head[a] >= 0:
-            continue
-        if low[a] == high[a]:
-            labels = _search(codes, a, b, a, b, radius, labels)
-        else:
-            cut = a + int(np.searchsorted(chunk[a:b], high[a]))
-            labels = _search(codes, a, cut, cut, b, radius, labels)
+    cut = rows.column("low").to_numpy() != rows.column("high").to_numpy()
+    side = np.where(cut, np.cumsum(_changes(rows, [*HEAD, "chunk"])), -1)
+    labels = np.arange(len(codes))
+    for x, y in close_pairs(Index(codes, np.cumsum(_changes(rows, HEAD)), side), radius):
+        labels = merge_labels(labels, x, y)
     tied = np.flatnonzero(labels != np.arange(len(labels)))
     if len(tied):
         rep = rows.column("rep").combine_chunks()
         yield pa.RecordBatch.from_arrays([rep.take(pa.array(tied)), rep.take(pa.array(labels[tied]))], names=["a", "b"])
 
 
-def _index(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels from leaves to the root: the bits all codes below share, as (mask, pattern)."""
-    every, some, levels = codes, codes, []
-    while True:
-        at = np.arange(0, len(every), FAN)
-        every, some = np.bitwise_and.reduceat(every, at), np.bitwise_or.reduceat(some, at)
-        levels.append((~(every ^ some), every))
-        if len(every) == 1:
-            return levels
-
-
-def _search(codes: np.ndarray, a0: int, a1: int, b0: int, b1: int, radius: int, labels: np.ndarray) -> np.ndarray:
-    """Join two runs of codes (or one with itself) from the roots down; a pair of nodes whose
-    shared bits already differ in more than the radius is pruned with all below it."""
-    if a0 == a1 or b0 == b1:
-        return labels
-    left, right = _index(codes[a0:a1]), _index(codes[b0:b1])
-    top = max(len(left), len(right))
-    left += [left[-1]] * (top - len(left))
-    right += [right[-1]] * (top - len(right))
-    stack = [(top - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    step = np.arange(FAN)
+class Index:
+    """Codes in Gray order under levels of nodes, FAN to a node, up to one root.
+
+    A node holds the bits all codes below it share, as mask and pattern, the first and last
+    head below it, and the least and greatest side: the chunk of a head that is cut, else -1.
+    Level 0 are the codes, which share all their bits with themselves.
+    """
+
+    def __init__(self, codes: np.ndarray, head: np.ndarray, side: np.ndarray):
+        level = [codes, codes, head, head, side, side]
+        self.levels = [level]
+        while len(level[0]) > 1:
+            at = np.arange(0, len(level[0]), FAN)
+            level = [merge.reduceat(part, at) for merge, part in zip(
+                (np.bitwise_and, np.bitwise_or, np.minimum, np.maximum, np.minimum, np.maximum), level)]
+            self.levels.append(level)
+
+    def near(self, level: int, x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+        """Which pairs of nodes x <= y may hold codes of one head, on two sides if it is cut, within the radius."""
+        every, some, first, last, least, most = self.levels[level]
+        shared = ~((every[x] ^ some[x]) | (every[y] ^ some[y]))
+        one_side = (least[x] == most[y]) & (most[x] == least[y]) & (least[x] >= 0)
+        return (first[y] <= last[x]) & ~one_side & (np.bitwise_count((every[x] ^ every[y]) & shared) <= radius)
+
+
+def close_pairs(index: Index, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of one head's codes within the radius, as positions x < y: the index joined with itself
+    from the root down. Pairs of nodes whose shared bits differ in more than the radius, or that have no
+    head in common, are pruned with all below them; one way for heads of every size."""
+    if len(index.levels[0][0]) < 2:
+        return
+    stack, step = [(len(index.levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))], np.arange(FAN)
     while stack:
         level, x, y = stack.pop()
         if len(x) > FRONTIER:
             stack += [(level, x[i:i + FRONTIER], y[i:i + FRONTIER]) for i in range(0, len(x), FRONTIER)]
             continue
-        (mask_a, code_a), (mask_b, code_b) = left[level], right[level]
-        keep = np.bitwise_count((code_a[x] ^ code_b[y]) & mask_a[x] & mask_b[y]) <= radius
+        keep = index.near(level, x, y, radius)
         x, y = x[keep], y[keep]
-        if not len(x):
+        if level == 0:
+            if len(x):
+                yield x, y
             continue
-        n_left, n_right = (a1 - a0, b1 - b0) if level == 0 else (len(left[level - 1][0]), len(right[level - 1][0]))
-        grow_left = level == 0 or n_left > len(mask_a)
-        grow_right = level == 0 or n_right > len(mask_b)
-        x = (x[:, None] * FAN + step)[:, :, None] if grow_left else x[:, None, None]
-        y = (y[:, None] * FAN + step)[:, None, :] if grow_right else y[:, None, None]
-        x, y = (v.reshape(-1) for v in np.broadcast_arrays(x, y))
-        inside = (x < n_left) & (y < n_right)
-        if a0 == b0:
-            inside &= x <= y if level else x < y
-        x, y = x[inside], y[inside]
-        if level:
-            stack.append((level - 1, x, y))
-        else:
-            close = np.bitwise_count(codes[a0 + x] ^ codes[b0 + y]) <= radius
-            labels = merge_labels(labels, a0 + x[close], b0 + y[close])
-    return labels
+        x, y = (v.reshape(-1) for v in np.broadcast_arrays((x[:, None] * FAN + step)[:, :, None], (y[:, None] * FAN + step)[:, None, :]))
+        n = len(index.levels[level - 1][0])
+        inside = (x < n) & (y < n) & (x < y if level == 1 else x <= y)
+        stack.append((level - 1, x[inside], y[inside]))
 
 
 def keep_first(spark, docs: DataFrame, folder: str) -> DataFrame:
