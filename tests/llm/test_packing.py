@@ -73,3 +73,13 @@ def test_same_bins_for_any_partitioning(spark):
     docs = spark.createDataFrame([(i, "a b c " * (i % 30), "s" + str(i % 4)) for i in range(200)], "doc_id long, text string, source string")
     one, other = (sorted(map(tuple, packing.pack(docs.repartition(n, F.hash("doc_id")), capacity=128, shard_rows=50).collect())) for n in (1, 7))
     assert one == other
+
+
+@pytest.mark.parametrize("row", [(7, "one text", "hot"), (None, None, None)])
+def test_repeated_rows_use_all_shards(spark, row):
+    docs = spark.createDataFrame([row] * 2000 + [(i, f"text {i}", "cold") for i in range(100, 600)], "doc_id long, text string, source string")
+    got = packing.pack(docs, capacity=64, shard_rows=250).collect()
+    assert len(got) == 2500
+    copies = Counter(r.bin_id >> 32 for r in got if r.doc_id == row[0])
+    assert sorted(copies) == list(range(10)) and set(copies.values()) == {200}
+    assert Counter(r.doc_id for r in got if r.doc_id != row[0]) == Counter(range(100, 600))

@@ -33,10 +33,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     than per_source documents of the source and none of the duplicate cluster; a new bin
     is opened if none fits. Without cluster_col, equal texts are one cluster.
 
-    Documents are dealt to shards of about shard_rows by a hash of id and text, so no
-    source, cluster or size gathers in one task; bins do not cross shards. Only id,
-    length, source and cluster are shuffled. A null text is an empty document, a null
-    source or cluster conflicts with nothing, null and repeated ids are rows of their own.
+    Documents are dealt to shards of about shard_rows by a hash of what is packed: id,
+    source, cluster and length. Rows equal in all of these are counted first and their
+    number is spread evenly over the shards, so no repeated row, source, cluster or size
+    gathers in one task; bins do not cross shards. Only these four are shuffled, whatever
+    the length of the text; other columns of docs are not read. A null text is an empty
+    document, a null source or cluster conflicts with nothing, null and repeated ids are
+    rows of their own. An empty table gives no rows.
     """
     if source_col not in docs.columns:
         docs = docs.withColumn(source_col, F.lit(None).cast("string"))
@@ -49,7 +52,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
                        F.when(known, cluster).alias("cluster"), text.alias("text"))
     sized = written(rows.mapInArrow(partial(_sized, vocabulary=vocabulary), schema))
     shards = max(1, -(-sized.count() // shard_rows))
-    dealt = sized.withColumn("shard", F.pmod(F.xxhash64("id", "cluster", F.lit(1)), F.lit(shards)))
+    # n equal rows: n div shards in every shard, one more in the first n mod shards after their hash
+    what = ["id", "source", "cluster", "size"]
+    equal = sized.groupBy(*what).agg(F.count("*").alias("n")).withColumn(
+        "i", F.explode(F.sequence(F.lit(0), F.least("n", F.lit(shards)).cast("int") - 1)))
+    dealt = equal.select(*what, (F.floor(F.col("n") / shards) + (F.col("i") < F.col("n") % shards).cast("long")).alias("copies"),
+                         F.pmod(F.xxhash64(*what, F.lit(1)) % shards + F.col("i"), F.lit(shards)).alias("shard"))
     dealt = dealt.repartition("shard").sortWithinPartitions("shard", F.desc(F.pmod(F.col("size"), F.lit(capacity))), "id", "source", "cluster", "size")
     placed = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *[
         T.StructField(c, T.LongType()) for c in ("piece", "bin_id", "bin_offset", "n_tokens")]])
@@ -169,6 +177,7 @@ def _placed(batches: Iterator[pa.RecordBatch], names: list[str], capacity: int,
 
 def _shard_batch(rows: pa.Table, names: list[str], capacity: int, per_source: int) -> pa.RecordBatch:
     shard = rows.column("shard")[0].as_py()
+    rows = rows.take(pa.array(np.repeat(np.arange(rows.num_rows), rows.column("copies").to_numpy())))
     placed = np.array(pack_shard(list(zip(*(rows.column(c).to_pylist() for c in ("source", "cluster", "size")))), capacity, per_source), np.int64).reshape(-1, 5)
     ids = rows.column("id").combine_chunks().take(pa.array(placed[:, 0]))
     return pa.RecordBatch.from_arrays([ids, *(pa.array(v) for v in (placed[:, 1], placed[:, 2] + (shard << 32), placed[:, 3], placed[:, 4]))], names=names)
