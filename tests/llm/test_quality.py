@@ -78,3 +78,14 @@ def test_long_texts_are_learned_from_whole(spark):
     labels = spark.createDataFrame([(i, int(good)) for i, (_, good) in enumerate(texts)], "doc_id long, quality int")
     model = quality.train(docs, labels)
     assert (model.score([t.encode() for t, _ in texts]) >= 0.5).tolist() == [good for _, good in texts]
+
+
+def test_rows_repeated_under_one_id_count_once(spark):
+    clean, junk = "The river was calm and the people walked home.", "$$$ BUY NOW!!! ||| 4829 CLICK $$$ !!!"
+    rows = [(i, f"{(junk, clean)[i % 2]} {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    once, often = (quality.train(spark.createDataFrame(r, "doc_id long, text string"), labels) for r in (rows, rows + [rows[0]] * 3000))
+    texts = [t.encode() for _, t in rows]
+    assert np.array_equal(once.score(texts), often.score(texts))
+    many = spark.createDataFrame([(0, f"{junk} {i}") for i in range(500)] + rows[1:], "doc_id long, text string")
+    assert (quality.train(many, labels, max_rows=60).score(texts) >= 0.5).tolist() == [bool(i % 2) for i in range(40)]

@@ -211,18 +211,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on a bounded sample of labelled rows outside the held-out fold.
 
     At most max_rows labelled ids are taken, in the order of a hash of the id; they are
-    found in docs by a join whose small side has that bound. Features of TRAIN_LINES
-    lines of each, taken evenly from first to last, reach the driver. A null label or id, or an id with both
-    labels, is left out.
+    found in docs by a join whose small side has that bound. Of an id with several texts
+    each distinct text counts once, and at most 2 * max_rows texts, in the order of a hash,
+    are learned from, so rows repeated under one id cost the driver nothing. Features of
+    TRAIN_LINES lines of each, taken evenly from first to last, reach the driver. A null
+    label or id, or an id with both labels, is left out. Other columns are not read.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("quality")).dropna()
     known = known.filter(fold("id") != HELD_OUT).groupBy("id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most"))
     known = known.filter("quality = most and quality in (0, 1)").orderBy(F.xxhash64("id"), "id").limit(max_rows).select("id", "quality")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    rows = texts.join(F.broadcast(known), "id").select("text", "quality")
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    chosen = marked.join(F.broadcast(known), "id").select("id", "mark", "quality").distinct().orderBy("mark", "id").limit(2 * max_rows)
+    rows = marked.join(F.broadcast(chosen), ["id", "mark"]).groupBy("id", "mark").agg(
+        F.min("text").alias("text"), F.min("quality").alias("quality")).select("text", "quality")
     schema = T.StructType([T.StructField("quality", T.IntegerType()), T.StructField("features", T.BinaryType()), T.StructField("sizes", T.BinaryType())])
     sample = rows.mapInArrow(_sample_rows, schema).collect()
-    sample = sorted(sample, key=lambda r: (r.quality, bytes(r.features)))[:2 * max_rows]
+    sample = sorted(sample, key=lambda r: (r.quality, bytes(r.features)))
     chains = [np.frombuffer(r.features, np.float64).reshape(-1, N_FEATURES) for r in sample]
     return fit(chains, [np.frombuffer(r.sizes, np.float64) for r in sample], np.array([r.quality for r in sample], np.int64))
 
