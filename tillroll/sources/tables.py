@@ -230,7 +230,7 @@ def contested_names(spark: SparkSession, folder: str) -> DataFrame:
     return read(spark, folder, "part").select(F.concat_ws(" ", F.get(F.array(*[F.lit(n) for n in CONTESTED]), number), "p_name").alias("name"))
 
 
-#: Names of every contamination class, put before the part names of lines.
+#: Names of all contamination classes but service_line, put before the part names of lines.
 SPOILED = ["Piens 1, 5L", "Siers lkg", "Sula 500m1", "Čeks", "Kase Nr. 12", "Rīsi 8x125g", "sviestu250g", "Olas 6gab. 300g", "Piens — ", "Piens 1L",
            "Sula 2, 25L", "Cepumi 3+1", "Maxima"]
 
