@@ -84,6 +84,9 @@ def test_category_impact(spark):
     lines = [row(i, 40, f"2026-05-0{i}") for i in (1, 2, 3)] + [row(10 + i, 20, f"2026-04-0{i}") for i in (1, 2, 3)]
     r = build(spark, now, lines, before)[2].first()
     assert (r.type, r.subject_key, r.metric_value, r.raw_impact_ratio, sorted(r.evidence)) == ("category_impact", "яйца", 60.0, 1.0, [1, 2, 3])
+    lines = [row(i, 50, f"2026-05-0{i}") for i in (1, 2, 3)] + [row(10 + i, 20, f"2026-04-0{i}") for i in (1, 2, 3)]
+    r = build(spark, now, lines, before)[2].first()
+    assert (r.raw_impact_ratio, r.impact_ratio) == (1.5, 1.0)
 
 
 def test_visit_frequency_and_calm(spark):
@@ -121,6 +124,27 @@ def test_timeline_groups_days(spark):
     assert {r.type for r in story.timeline(heads(spark, [(1, "2026-05-01", 1)]), MAY).collect()} == {"receipt"}
 
 
+def test_timeline_is_in_order_and_keeps_the_receipts_behind_a_day(spark):
+    few = heads(spark, [(3, "2026-05-02", 1), (9, "2026-05-01", 1), (1, "2026-05-02", 1), (4, "2026-04-30", 1)])
+    assert [r.receipt_id for r in story.timeline(few, MAY).collect()] == [9, 1, 3]
+    assert story.timeline_receipts(few, MAY).collect() == []
+    many = heads(spark, [(i, f"2026-05-{i % 3 + 1:02d}", 1) for i in range(61)])
+    days = story.timeline(many, MAY).collect()
+    assert [r.date for r in days] == ["2026-05-01", "2026-05-02", "2026-05-03"]
+    behind = [(r.date, r.receipt_id) for r in story.timeline_receipts(many, MAY).collect()]
+    assert behind == sorted((f"2026-05-{i % 3 + 1:02d}", i) for i in range(61))
+
+
+def test_price_context_of_the_month(spark):
+    obs = observations(spark, [row(1, 10, "2026-04-30"), row(2, 12, "2026-05-01"), row(3, 15, "2026-05-01"), row(4, 99, "2026-06-01")])
+    bought = dashboard.month_products(obs, AS_OF, MAY)
+    got = dashboard.price_context(obs, bought, AS_OF, MAY).first()
+    assert (got.purchase_count, got.latest_price, got.change_percent) == (2, 15.0, 25.0)
+    before = {r.receipt_id: r.price_before for r in dashboard.previous_prices(obs).collect()}
+    assert before == {1: None, 2: 10.0, 3: 12.0, 4: 15.0}
+    assert dashboard.month_products(obs, AS_OF, MAY, 0).count() == 0
+
+
 def test_signature_ignores_small_moves(spark):
     receipts = heads(spark, [(1, "2026-05-01", 1)])
     sign = lambda v: story.story_signature(spark.createDataFrame(

@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 from tillroll import vocabulary as V
 from tillroll.functions.categories import classify_names
+from tillroll.functions.columns import month_of
 from tillroll.functions.evidence import arithmetic_mismatch
 from tillroll.functions.identity import identity, product_key
-from tillroll.functions.periods import Period, resolve_period
+from tillroll.functions.periods import Period, resolve_period, resolve_story_month
+from tillroll.functions.price import units_comparable
+from tillroll.operators.asof import asof_backward
 from tillroll.operators.observations import observe
 from tillroll.operators.snapshots import diff_violations, invariants, sparse_diff, table_diff, tables_equal
 from tillroll.plans import dashboard, maintenance, prices, products, quality, spend, story
 from tillroll.schema import ITEMS_DDL, RECEIPT_DEFAULTS, RECEIPTS_DDL, ITEM_DEFAULTS, audit_constraints, conform
 from tillroll.session import stored, stream_folder
-from tillroll.sources import ingest, receipt_text, tables
+from tillroll.sources import ingest, manifest, receipt_text, tables
+from tillroll.sources.publish import write_report
 from tillroll.streaming.jobs import drop_repeats, enrich_stream, ingest_stream, run_to_end, sweep, sweep_session
 
 AS_OF = date(1998, 6, 14)
@@ -125,6 +129,8 @@ query("report_evidence_distribution")(lambda d: spend.evidence_distribution(d.it
 
 # --- periods ------------------------------------------------------------------------------
 query("period_summary")(lambda d: dashboard.period_summary(d.receipts_in(CURRENT), CURRENT, AS_OF))
+for period in ("previous_month", "last_30_days"):
+    query(f"period_summary_{period}")(lambda d, period=resolve_period(period, AS_OF): dashboard.period_summary(d.receipts_in(period), period, AS_OF))
 query("category_changes")(lambda d: dashboard.category_changes(d.sold_in(CURRENT), CURRENT))
 query("daily_trend")(lambda d: dashboard.daily_trend(d.receipts_in(SELECTED), SELECTED))
 query("monthly_trend")(lambda d: dashboard.monthly_trend(d.receipts, ALL_TIME))
@@ -140,7 +146,20 @@ query("recent_receipts")(lambda d: dashboard.receipt_register(d.receipts_in(CURR
 query("receipt_lines")(lambda d: dashboard.receipt_lines(d.items))
 query("month_summary")(lambda d: dashboard.month_summary(d.receipts, d.sales, AS_OF))
 query("selected_month_summary")(lambda d: dashboard.month_summary(d.receipts_in(SELECTED), d.sales, AS_OF, SELECTED))
-query("top_month_products")(lambda d: dashboard.top_month_products(d.obs, AS_OF, SELECTED, sold=d.sold_in(SELECTED)))
+
+
+def _month_products(d: Data, n: int | None = None) -> DataFrame:
+    """Only the lines of the products found are priced."""
+    bought = stored(dashboard.month_products(d.sold_in(SELECTED), AS_OF, SELECTED, n))
+    return dashboard.price_context(observe(tables.items(d.spark, d.folder, named=bought), d.receipts), bought, AS_OF, SELECTED)
+
+
+query("top_month_products")(lambda d: _month_products(d, 3))
+query("month_price_context")(_month_products)
+query("story_month")(lambda d: d.table("lineitem").select(month_of(F.date_format("l_shipdate", "yyyy-MM-dd")).alias("requested")).distinct().withColumn(
+    "months", dashboard.months_available(d.receipts).agg(F.collect_set("month")).scalar()).select(
+    "requested", resolve_story_month(F.col("requested"), MONTH.removeprefix("month:"), F.col("months")).alias("month"),
+    resolve_story_month(F.col("requested"), "2031-01", F.col("months")).alias("month_of_later_day")))
 
 # --- price evidence -----------------------------------------------------------------------
 query("price_evidence")(lambda d: d.items.select(
@@ -157,10 +176,24 @@ query("price_correctability")(lambda d: quality.correctability(d.graded_obs))
 query("price_eligibility")(lambda d: prices.graded(d.graded_obs).groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(
     F.count("*").alias("lines")))
 
+
+
+def _neighbours(d: Data) -> DataFrame:
+    """Every line but the first of a receipt as `this`, the line before it as `other`."""
+    lines = stored(d.items.select("receipt_id", "id", "normalized_price_unit", "canonical_name", product_key().alias("product_key")))
+    fields = ["normalized_price_unit", "canonical_name", "product_key"]
+    return asof_backward(lines, lines, ["receipt_id"], ["id"], fields, "other").where("other IS NOT NULL").select(
+        F.struct(*fields).alias("this"), "other")
+
+
 # --- price history ------------------------------------------------------------------------
 query("price_deviation")(lambda d: prices.deviation_report(prices.price_deviation(d.price_lines)))
 query("receipt_price_summary")(lambda d: prices.receipt_price_summary(prices.price_deviation(d.price_lines)))
 query("price_evidence_summary")(lambda d: prices.evidence_summary(prices.price_deviation(d.price_lines)))
+query("previous_prices")(lambda d: dashboard.previous_prices(d.obs))
+query("comparable_units")(lambda d: _neighbours(d).groupBy(
+    *[F.coalesce(f"{side}.normalized_price_unit", F.lit("")).alias(f"{side}_unit") for side in ("this", "other")],
+    units_comparable("this", "other").alias("comparable")).agg(F.count("*").alias("lines")))
 query("price_trend")(lambda d: prices.price_trend(d.price_lines))
 query("store_levels")(lambda d: prices.rank_stores(prices.store_levels(d.price_lines)).select(
     "identity", "normalized_price_unit", "store", "position", "observation_count", "latest_date",
@@ -230,6 +263,7 @@ query("ranked_insight")(lambda d: _insight(d).select("type", "subject_key", "met
 query("story_highlights")(lambda d: story.highlights(d.receipts, _insight(d), SELECTED))
 query("story_remainder")(lambda d: story.remainder(d.receipts, story.highlights(d.receipts, _insight(d), SELECTED), SELECTED))
 query("story_timeline")(lambda d: story.timeline(d.receipts_in(SELECTED), SELECTED))
+query("story_timeline_receipts")(lambda d: story.timeline_receipts(d.receipts_in(SELECTED), SELECTED))
 query("story_signature")(lambda d: story.story_signature(_insight(d), d.receipts_in(SELECTED), SELECTED))
 query("action_queue")(lambda d: quality.action_queue(d.items, d.sales, products.high_confidence_count(_suggestions(d))))
 query("briefing")(lambda d: dashboard.briefing(
@@ -302,6 +336,51 @@ def _stated(state: DataFrame, wrong: Column | None = None) -> DataFrame:
                  listed("item_exception_ids")).alias("predicates"))
 
 
+#: What is stated wrongly in a manifest file for the products of a brand: column and text.
+FAULTS = {
+    "Brand#2": ("confidence", "LOW"), "Brand#3": ("target_category", "old"), "Brand#4": ("expected_rule_operation", "DROP"),
+    "Brand#5": ("expected_affected_item_count", "one"), "Brand#6": ("protected_item_ids", "5"), "Brand#7": ("before_state_predicates", '{"other":1}'),
+    "Brand#9": ("before_state_predicates", "none"), "Brand#10": ("effective_product", " "),
+}
+
+
+def _manifest_file(d: Data) -> DataFrame:
+    """A manifest of all products as a CSV file, with a fault for some brands and one brand stated twice, read and validated."""
+    brand = F.split_part(F.col("identity"), F.lit(" "), F.lit(1))
+    stated = {
+        "effective_product": F.col("identity"), "product_key": F.col("key"), "target_category": F.lit(V.DAIRY),
+        "current_categories": F.lit("x:1"), "expected_affected_item_count": F.col("n").cast("string"), "expected_rule_operation": F.lit("LABEL_ONLY"),
+        "before_state_predicates": F.to_json(F.struct(F.col("n").alias("identity_row_count"))), "required_exact_exclusions": F.lit(None).cast("string"),
+        "protected_item_ids": F.lit(None).cast("string"), "reason": F.lit("why, \"so\""), "confidence": F.lit("HIGH")}
+    for name, (column, text) in FAULTS.items():
+        stated[column] = F.when(brand == name, F.lit(text)).otherwise(stated[column])
+    rows = d.sales.groupBy(identity().alias("identity")).agg(F.min(product_key()).alias("key"), F.count("*").alias("n"))
+    rows = rows.withColumn("_copy", F.explode(F.when(brand == "Brand#8", F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    path = stream_folder(d.spark)
+    rows.select(*[stated[c].alias(c) for c in manifest.COLUMNS]).write.option("header", True).option("escape", '"').option(
+        "ignoreTrailingWhiteSpace", False).option("ignoreLeadingWhiteSpace", False).csv(path)
+    return manifest.validate_manifest(manifest.read_manifest(d.spark, path)).groupBy(F.coalesce("error", F.lit("")).alias("error")).agg(
+        F.count("*").alias("products"), F.sum("expected_affected_item_count").alias("lines"), F.sum("predicates.identity_row_count").alias("stated_lines"))
+
+
+def _projected(d: Data) -> DataFrame:
+    """A file of receipt numbers that lacks those of one store and has unknown ones of another."""
+    path = stream_folder(d.spark)
+    numbers = d.receipts.select("store", "receipt_number")
+    numbers.where("store <> 'MACHINERY'").unionByName(numbers.where("store = 'BUILDING'").withColumn(
+        "receipt_number", F.concat(F.lit("X-"), "receipt_number"))).write.option("header", True).csv(path)
+    rows, odd = manifest.project_csv(d.spark, path, "receipt_number", numbers)
+    return odd.groupBy("side").agg(F.count("*").alias("receipts")).unionByName(
+        rows.agg(F.lit("read").alias("side"), F.count("*").alias("receipts")))
+
+
+def _reported(d: Data) -> DataFrame:
+    """The category audit as a report of JSON lines, read back."""
+    path = stream_folder(d.spark)
+    write_report(quality.category_audit(d.sales, d.rules), path)
+    return d.spark.read.schema("metric string, label string, n bigint").json(path)
+
+
 def _drifts(d: Data) -> DataFrame:
     """Violations of a manifest that is wrong in another predicate for every brand."""
     brand = F.split_part(F.col("identity"), F.lit(" "), F.lit(1))
@@ -355,6 +434,7 @@ query("price_backfill_apply")(lambda d: quality.price_quality(
 query("name_backfill")(lambda d: maintenance.name_backfill(d.sales).groupBy("outcome").agg(
     F.count("*").alias("lines"), F.countDistinct("normalized_name").alias("names")))
 query("recategorize")(lambda d: maintenance.recategorize(d.sales).groupBy("touched", "category").agg(F.count("*").alias("lines")))
+query("recategorize_overwrite")(lambda d: maintenance.recategorize(d.sales, overwrite=True).groupBy("touched", "category").agg(F.count("*").alias("lines")))
 query("rule_upsert")(lambda d: maintenance.upsert_rules(d.rules, _new_rules(d), "2001-02-03 00:00:00").select(
     "product_key", "category", "source", F.date_format("created_at", "yyyy-MM-dd").alias("created"),
     F.date_format("updated_at", "yyyy-MM-dd").alias("updated")))
@@ -369,6 +449,9 @@ query("correction_previews")(lambda d: _previews(d).groupBy(
     F.coalesce("error", F.lit("")).alias("error"), "eligible_before", "eligible_after").agg(F.count("*").alias("lines")))
 query("guarded_corrections")(_guarded)
 query("arithmetic_repair")(_repaired)
+query("manifest_validation")(_manifest_file)
+query("csv_projection")(_projected)
+query("report_sink")(_reported)
 query("migration_violations")(_drifts)
 query("migration_drift")(_migration_drift)
 query("migration")(_migration)

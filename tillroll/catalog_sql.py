@@ -176,6 +176,15 @@ add("period_summary", f"""SELECT s / 100.0 AS spend, receipt_count, p / 100.0 AS
     CASE WHEN receipt_count >= 3 THEN ((2 * s * 30 + 14) // 28) / 100.0 END AS forecast
   FROM (SELECT CAST(coalesce(sum(total) FILTER ({NOW}), 0) * 100 AS BIGINT) AS s, count(*) FILTER ({NOW}) AS receipt_count,
     CAST(coalesce(sum(total) FILTER ({BEFORE}), 0) * 100 AS BIGINT) AS p, count(*) FILTER ({BEFORE}) AS previous_receipt_count FROM receipts)""", RECEIPTS)
+for key, start, end, earlier in (("previous_month", "1998-05-01", "1998-06-01", "1998-04-01"), ("last_30_days", "1998-05-16", "1998-06-15", "1998-04-16")):
+    now, before = f"d >= DATE '{start}' AND d < DATE '{end}'", f"d >= DATE '{earlier}' AND d < DATE '{start}'"
+    add(f"period_summary_{key}", f"""SELECT s / 100.0 AS spend, n AS receipt_count, p / 100.0 AS previous_spend, m AS previous_receipt_count, (s - p) / 100.0 AS absolute_delta,
+    CASE WHEN p <> 0 THEN {TENTH.format(a='(s - p)', b='p')} END AS percentage_delta, CAST(NULL AS DOUBLE) AS forecast
+  FROM (SELECT CAST(coalesce(sum(total) FILTER ({now}), 0) * 100 AS BIGINT) AS s, count(*) FILTER ({now}) AS n,
+    CAST(coalesce(sum(total) FILTER ({before}), 0) * 100 AS BIGINT) AS p, count(*) FILTER ({before}) AS m FROM receipts)""", RECEIPTS)
+add("story_month", """SELECT requested, CASE WHEN requested IN (SELECT month FROM receipts) THEN requested ELSE '1998-05' END AS month,
+    CASE WHEN requested IN (SELECT month FROM receipts) THEN requested ELSE (SELECT max(month) FROM receipts) END AS month_of_later_day
+  FROM (SELECT DISTINCT strftime(l_shipdate, '%Y-%m') AS requested FROM lineitem)""", RECEIPTS)
 add("category_changes", f"""SELECT label AS category, c / 100.0 AS current, p / 100.0 AS previous, (c - p) / 100.0 AS delta,
     CASE WHEN m > 0 THEN ((2000 * abs(c - p) + m) // (2 * m)) / 10.0 ELSE 0.0 END AS magnitude_percent
   FROM (SELECT *, max(abs(c - p)) OVER () AS m FROM (
@@ -223,6 +232,16 @@ add("top_month_products", f"""SELECT t.identity, CAST(s AS DOUBLE) AS spend, pur
     """latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY identity ORDER BY d DESC, receipt_id DESC, id DESC) AS rn
       FROM priced WHERE d >= DATE '1998-05-01') WHERE rn = 1)""")
 
+add("month_price_context", SQL["top_month_products"].replace("ORDER BY s DESC, purchase_count DESC, lower(identity), identity LIMIT 3", ""))
+add("previous_prices", f"""SELECT identity, price_unit AS normalized_price_unit, receipt_id, CAST(id AS VARCHAR) AS line_id, price_e4 / 10000.0 AS price,
+    before / 10000.0 AS price_before, date_before, sign(price_e4 - before) * ((2000 * abs(price_e4 - before) + before) // (2 * before)) / 10.0 AS change_percent
+  FROM (SELECT *, lag(price_e4) OVER line AS before, lag(date) OVER line AS date_before FROM obs WHERE price_e4 > 0
+    WINDOW line AS (PARTITION BY identity, price_unit ORDER BY d, receipt_id, id))""", *OBS_VIEWS)
+add("comparable_units", """SELECT coalesce(price_unit, '') AS this_unit, coalesce(u, '') AS other_unit, coalesce(price_unit = u AND (price_unit IN ('eur_per_l', 'eur_per_kg')
+      OR price_unit = 'eur_per_piece' AND (product_key = k OR coalesce(canonical_name = c, FALSE))), FALSE) AS comparable, count(*) AS lines
+  FROM (SELECT *, lag(id) OVER line AS i, lag(price_unit) OVER line AS u, lag(product_key) OVER line AS k, lag(canonical_name) OVER line AS c FROM items
+    WINDOW line AS (PARTITION BY receipt_id ORDER BY id)) WHERE i IS NOT NULL GROUP BY ALL""", *ITEM_VIEWS)
+
 # --- price evidence -----------------------------------------------------------------------
 add("price_evidence", """SELECT receipt_id, CAST(id AS VARCHAR) AS line_id, name, normalized_name, CAST(q AS DOUBLE) AS quantity, CAST(price AS DOUBLE) AS price,
     CAST(line_total AS DOUBLE) AS line_total, unit_e4 / 10000.0 AS unit_price, CAST(package_size AS DOUBLE) AS package_size,
@@ -457,6 +476,8 @@ add("story_items", f"""SELECT o.identity, o.receipt_id, CAST(o.id AS VARCHAR) AS
 add("story_timeline", f"""SELECT CASE WHEN n <= 60 THEN 'receipt' ELSE 'day_group' END AS type, date, CASE WHEN n <= 60 THEN id END AS receipt_id,
     count(*) AS receipts, CAST(sum(total) AS DOUBLE) AS total
   FROM (SELECT *, count(*) OVER () AS n FROM receipts WHERE {MAY}) GROUP BY ALL""", RECEIPTS)
+add("story_timeline_receipts", f"""SELECT date, id AS receipt_id, store, CAST(total AS DOUBLE) AS total
+  FROM receipts WHERE {MAY} AND (SELECT count(*) FROM receipts WHERE {MAY}) > 60""", RECEIPTS)
 QUEUE = f"""queue AS (SELECT * FROM (
   SELECT 'category_conflicts' AS key, 1.0 AS priority, 'critical' AS severity, (SELECT count(*) FROM (SELECT 1 FROM items GROUP BY product_key HAVING count(DISTINCT label) > 1)) AS n
   UNION ALL SELECT 'low_confidence_prices', 2.0, 'high', (SELECT count(*) FROM items WHERE confidence IS NULL OR confidence < 0.75)
@@ -493,6 +514,17 @@ add("name_backfill", """SELECT CASE WHEN normalized_name IS NULL THEN 'to_update
     count(DISTINCT lower(replace(name, '#', ' '))) AS names FROM items GROUP BY ALL""", *ITEM_VIEWS)
 add("recategorize", f"""SELECT coalesce(category, '') = '' AS touched, CASE WHEN coalesce(category, '') = '' THEN predicted ELSE category END AS category, count(*) AS lines
   FROM items GROUP BY ALL""", *ITEM_VIEWS)
+add("recategorize_overwrite", "SELECT TRUE AS touched, predicted AS category, count(*) AS lines FROM items GROUP BY ALL", *ITEM_VIEWS)
+add("manifest_validation", """SELECT error, count(*) AS products, CAST(sum(n) FILTER (error <> 'invalid_predicate' OR brand <> 'Brand#5') AS BIGINT) AS lines,
+    CAST(sum(n) FILTER (brand NOT IN ('Brand#7', 'Brand#9')) AS BIGINT) AS stated_lines
+  FROM (SELECT p_brand AS brand, identity, count(*) AS n, CASE p_brand WHEN 'Brand#2' THEN 'confidence_not_high' WHEN 'Brand#3' THEN 'target_not_approved'
+      WHEN 'Brand#4' THEN 'unknown_operation' WHEN 'Brand#5' THEN 'invalid_predicate' WHEN 'Brand#6' THEN 'has_exclusions' WHEN 'Brand#7' THEN 'unsupported_predicate'
+      WHEN 'Brand#8' THEN 'identity_duplicated' WHEN 'Brand#9' THEN 'invalid_predicate' WHEN 'Brand#10' THEN 'identity_missing' ELSE '' END AS error
+    FROM items GROUP BY ALL) JOIN (VALUES (1), (2)) AS copies(copy) ON copy = 1 OR brand = 'Brand#8' GROUP BY error""", *ITEM_VIEWS)
+add("csv_projection", """SELECT 'missing' AS side, count(*) AS receipts FROM receipts WHERE store = 'MACHINERY'
+  UNION ALL SELECT 'unexpected', count(*) FROM receipts WHERE store = 'BUILDING'
+  UNION ALL SELECT 'read', count(*) FILTER (store <> 'MACHINERY') + count(*) FILTER (store = 'BUILDING') FROM receipts""", RECEIPTS)
+add("report_sink", SQL["category_audit"])
 UPSERT = """fresh AS (SELECT DISTINCT product_key FROM items WHERE canonical_name LIKE 'Brand#8 %' OR canonical_name LIKE 'Brand#10 %')"""
 add("rule_upsert", f"""SELECT coalesce(r.product_key, f.product_key) AS product_key, CASE WHEN f.product_key IS NOT NULL THEN '{V.MEAT}' ELSE r.category END AS category,
     'manual' AS source, CASE WHEN r.product_key IS NULL THEN '2001-02-03' ELSE '2001-01-01' END AS created,

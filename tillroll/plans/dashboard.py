@@ -13,8 +13,10 @@ from tillroll.functions.categories import is_legacy, reporting_label
 from tillroll.functions.columns import iso_date, literal_map, month_of
 from tillroll.functions.evidence import requires_review
 from tillroll.functions.periods import Period, days_in_month, in_range
+from tillroll.operators.asof import asof_backward
 from tillroll.operators.observations import of_receipts, paid
 from tillroll.plans.spend import money
+from tillroll.session import stored
 
 
 def period_summary(receipts: DataFrame, period: Period, as_of: date) -> DataFrame:
@@ -172,35 +174,50 @@ def month_summary(receipts: DataFrame, items: DataFrame, as_of: date, period: Pe
         F.when(F.col("reasons") == "", F.round((F.col("s") * last / as_of.day).cast("decimal(38,8)"), 2).cast("double")).alias("forecast"))
 
 
-def top_month_products(obs: DataFrame, as_of: date, period: Period | None = None, n: int = 3,
-                       sold: DataFrame | None = None) -> DataFrame:
-    """Products with most spend, their latest price in the month and the one before it.
+def month_products(sold: DataFrame, as_of: date, period: Period | None = None, n: int | None = None) -> DataFrame:
+    """Spend and purchases of the month by product, of the `n` products with most spend if given."""
+    start, end, _ = month_window(as_of, period)
+    sums = sold.where(in_range(F.col("date"), start, end)).groupBy("identity").agg(
+        F.sum(paid()).alias("s"), F.count("*").alias("purchase_count"))
+    return sums if n is None else sums.orderBy(F.desc("s"), F.desc("purchase_count"), F.lower("identity"), "identity").limit(n)
+
+
+def comparable_prices(obs: DataFrame) -> DataFrame:
+    """Lines with a price per unit, as the as-of lookups need them."""
+    return obs.where((F.col("normalized_unit_price") > 0) & F.col("normalized_price_unit").isin(V.ELIGIBLE_UNITS)).select(
+        "identity", "normalized_price_unit", "date", "receipt_id", "id", "normalized_unit_price")
+
+
+def percent_change(price: Column, before: Column) -> Column:
+    return F.round(((price - before) * 100 / before).cast("decimal(38,8)"), 1).cast("double")
+
+
+PRICE_SERIES, PRICE_ORDER = ["identity", "normalized_price_unit"], ["date", "receipt_id", "id"]
 
-    `sold` are the same observations without a price model, at least those of the month;
-    with them only the lines of the products found are priced.
 
-    The price before is the greatest (date, receipt, id) below the latest one at the same
-    unit: two maxima per product instead of an ordered window over its whole history.
-    """
+def price_context(obs: DataFrame, bought: DataFrame, as_of: date, period: Period | None = None) -> DataFrame:
+    """Products of the month (`month_products`), any number of them, with their latest price in
+    the month and the one before it at the same unit. `obs` may hold the lines of these products only."""
     start, end, _ = month_window(as_of, period)
-    top = (obs if sold is None else sold).where(in_range(F.col("date"), start, end)).groupBy("identity").agg(
-        F.sum(paid()).alias("s"), F.count("*").alias("purchase_count")).orderBy(
-        F.desc("s"), F.desc("purchase_count"), F.lower("identity"), "identity").limit(n)
-    priced = obs.where((F.col("normalized_unit_price") > 0) & F.col("normalized_price_unit").isin(V.ELIGIBLE_UNITS)
-                       & in_range(F.col("date"), None, end)).join(top.select("identity"), "identity", "left_semi").select(
-        "identity", F.struct("date", "receipt_id", "id").alias("at"), "normalized_unit_price", "normalized_price_unit")
-    latest = priced.where(F.col("at.date") >= start.isoformat()).groupBy("identity").agg(
-        F.max(F.struct("at", "normalized_unit_price", "normalized_price_unit")).alias("l")).select(
-        "identity", F.col("l.at").alias("_at"), F.col("l.normalized_unit_price").alias("_price"),
-        F.col("l.normalized_price_unit").alias("_unit"))
-    before = priced.join(latest, "identity").where(
-        (F.col("normalized_price_unit") == F.col("_unit")) & (F.col("at") < F.col("_at"))).groupBy("identity").agg(
-        F.max_by("normalized_unit_price", "at").alias("_before"))
-    change = F.round(((F.col("_price") - F.col("_before")) * 100 / F.col("_before")).cast("decimal(38,8)"), 1)
-    return top.join(latest, "identity", "left").join(before, "identity", "left").select(
+    prices = comparable_prices(obs).where(in_range(F.col("date"), None, end))
+    latest = prices.where(F.col("date") >= start.isoformat()).groupBy("identity").agg(
+        F.max(F.struct(*PRICE_ORDER, "normalized_unit_price", "normalized_price_unit")).alias("l")).select("identity", "l.*")
+    known = asof_backward(latest, prices, PRICE_SERIES, PRICE_ORDER, ["normalized_unit_price"], "before").select(
+        "identity", "normalized_unit_price", "normalized_price_unit", "before")
+    return bought.join(known, "identity", "left").select(
         "identity", money(F.col("s")).alias("spend"), "purchase_count",
-        F.round("_price", 2).cast("double").alias("latest_price"), F.col("_unit").alias("price_unit"),
-        change.cast("double").alias("change_percent"))
+        F.round("normalized_unit_price", 2).cast("double").alias("latest_price"), F.col("normalized_price_unit").alias("price_unit"),
+        percent_change(F.col("normalized_unit_price"), F.col("before.normalized_unit_price")).alias("change_percent"))
+
+
+def previous_prices(obs: DataFrame) -> DataFrame:
+    """Every comparable line with the price of the same product and unit before it."""
+    prices = stored(comparable_prices(obs))
+    before = F.col("before.normalized_unit_price")
+    return asof_backward(prices, prices, PRICE_SERIES, PRICE_ORDER, ["normalized_unit_price", "date"], "before").select(
+        "identity", "normalized_price_unit", "receipt_id", F.col("id").cast("string").alias("line_id"),
+        F.col("normalized_unit_price").cast("double").alias("price"), before.cast("double").alias("price_before"),
+        F.col("before.date").alias("date_before"), percent_change(F.col("normalized_unit_price"), before).alias("change_percent"))
 
 
 def briefing(summary: DataFrame, changes: DataFrame, urgent: DataFrame) -> DataFrame:

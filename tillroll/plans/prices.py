@@ -192,9 +192,10 @@ def product_dossier(obs: DataFrame) -> DataFrame:
         F.coalesce("line_total", "price").alias("line_total"), "unit_price", "package_size", "package_unit",
         "normalized_unit_price", "normalized_price_unit", "price_parse_source", "price_parse_confidence", "date"),
         F.struct("date", "receipt_id", "id"))
-    sums = obs.groupBy("identity").agg(F.count("*").alias("lines"), F.sum(cost).alias("s"), latest.alias("l"))
-    counts = _distinct_counts(obs, ["receipt_id", "name", "store"], ["receipts", "aliases", "stores"])
-    return sums.join(counts, "identity").select(
+    sums = obs.groupBy("identity").agg(
+        F.count("*").alias("lines"), F.sum(cost).alias("s"), latest.alias("l"), F.countDistinct("receipt_id").alias("receipts"),
+        F.countDistinct("name").alias("aliases"), F.countDistinct("store").alias("stores"))
+    return sums.select(
         "identity", "lines", money(F.col("s")).alias("total_paid"), "receipts", "aliases", "stores",
         F.col("l.date").alias("latest_date"), F.col("l.line_total").cast("double").alias("latest_total"),
         F.col("l.unit_price").cast("double").alias("latest_unit_price"),
@@ -202,10 +203,6 @@ def product_dossier(obs: DataFrame) -> DataFrame:
         F.col("l.normalized_price_unit").alias("latest_price_unit"), F.col("l.price_parse_source").alias("latest_source"))
 
 
-def _distinct_counts(obs: DataFrame, fields: list[str], names: list[str]) -> DataFrame:
-    return obs.groupBy("identity").agg(*[F.countDistinct(f).alias(n) for f, n in zip(fields, names)])
-
-
 def dossier_stores(obs: DataFrame) -> DataFrame:
     return obs.groupBy("identity", "store").agg(
         F.count("*").alias("lines"), money(F.sum(F.coalesce("line_total", "price"))).alias("paid"))

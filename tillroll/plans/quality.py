@@ -113,12 +113,11 @@ def review_groups(obs: DataFrame, rules: DataFrame, query: str = "") -> DataFram
         (F.bool_or(F.col("source") == "manual") & F.bool_or(F.col("source") == "rule")).alias("manual_and_rule"),
         F.bool_or(F.coalesce(F.col("normalized_name") == "", F.lit(True))).alias("no_normalized_name"),
         F.bool_or(is_blank(F.col("category"))).alias("empty_category"),
-        F.bool_or(F.coalesce(F.col("canonical_name") != "", F.lit(False))).alias("has_canonical_name"))
-    distinct = lines.groupBy("product_key").agg(
-        F.countDistinct("receipt_id").alias("receipt_count"), F.countDistinct("label").alias("label_count"),
-        F.countDistinct("name").alias("alias_count"), F.countDistinct("store").alias("store_count"))
+        F.bool_or(F.coalesce(F.col("canonical_name") != "", F.lit(False))).alias("has_canonical_name"),
+        F.countDistinct("label").alias("label_count"), F.countDistinct("receipt_id").alias("receipt_count"), F.countDistinct("name").alias("alias_count"),
+        F.countDistinct("store").alias("store_count"))
     keys = rules.select("product_key", F.lit(True).alias("has_rule")).distinct()
-    groups = groups.join(distinct, "product_key").join(keys, "product_key", "left").withColumn(
+    groups = groups.join(keys, "product_key", "left").withColumn(
         "has_rule", F.coalesce("has_rule", F.lit(False)))
     problems = F.concat_ws(
         ",", F.when(F.col("unresolved"), "unresolved"), F.when(F.col("legacy"), "legacy_category"),

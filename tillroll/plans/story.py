@@ -58,9 +58,10 @@ def item_candidates(obs: DataFrame, summary: DataFrame, period: Period) -> DataF
 
 
 def _insight(kind: str, priority: int, subject: Column, value: Column, unit: str, evidence: Column, ratio=None):
+    raw = (ratio if ratio is not None else F.lit(None)).cast("double")
     return [F.lit(kind).alias("type"), F.lit(priority).alias("priority"), subject.alias("subject_key"),
             value.cast("double").alias("metric_value"), F.lit(unit).alias("metric_unit"),
-            (ratio if ratio is not None else F.lit(None)).cast("double").alias("raw_impact_ratio"), evidence.alias("evidence")]
+            raw.alias("raw_impact_ratio"), F.when(raw.isNotNull(), F.least(raw, F.lit(1.0))).alias("impact_ratio"), evidence.alias("evidence")]
 
 
 def category_sums(obs: DataFrame, period: Period) -> DataFrame:
@@ -163,7 +164,7 @@ def remainder(receipts: DataFrame, shown: DataFrame, period: Period) -> DataFram
 
 
 def timeline(receipts: DataFrame, period: Period) -> DataFrame:
-    """Single receipts up to 60 of them, else one row per day."""
+    """Single receipts up to 60 of them, else one row per day, in order of day and receipt."""
     current = receipts.where(period.current())
     size = current.agg(F.count("*").alias("n"))
     few = current.withColumn("_n", size.scalar()).where(F.col("_n") <= TIMELINE).select(
@@ -172,7 +173,15 @@ def timeline(receipts: DataFrame, period: Period) -> DataFrame:
     days = current.groupBy("date").agg(F.count("*").alias("receipts"), F.sum("total").alias("t")).withColumn(
         "_n", size.scalar()).where(F.col("_n") > TIMELINE).select(
         F.lit("day_group").alias("type"), "date", F.lit(None).cast("bigint").alias("receipt_id"), "receipts", money(F.col("t")).alias("total"))
-    return few.unionByName(days)
+    return few.unionByName(days).orderBy("date", "receipt_id")
+
+
+def timeline_receipts(receipts: DataFrame, period: Period) -> DataFrame:
+    """The receipts behind the days of a grouped timeline, one row each, in order of day and receipt."""
+    current = receipts.where(period.current())
+    size = current.agg(F.count("*").alias("n"))
+    return current.withColumn("_n", size.scalar()).where(F.col("_n") > TIMELINE).select(
+        "date", F.col("id").alias("receipt_id"), "store", F.col("total").cast("double").alias("total")).orderBy("date", "receipt_id")
 
 
 def story_signature(insight: DataFrame, receipts: DataFrame, period: Period) -> DataFrame:

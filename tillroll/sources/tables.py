@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tillroll import vocabulary as V
 from tillroll.functions.columns import AMOUNT, MONEY, literal_map
+from tillroll.functions.identity import identity
 from tillroll.functions.names import normalize
 from tillroll.functions.price import derive_price, with_name_evidence
 from tillroll.schema import ITEMS_DDL, columns
@@ -57,9 +58,14 @@ def receipts(spark: SparkSession, folder: str, start: date | None = None, end: d
         F.concat(F.lit("R-"), F.col("o_orderkey").cast("string")).alias("receipt_number"))
 
 
-def products(spark: SparkSession, folder: str) -> DataFrame:
-    """Part-level columns of a line. Name evidence is computed here, once per part."""
-    return with_name_evidence(_search_names(_named_parts(spark, folder)), "name", "evidence")
+def products(spark: SparkSession, folder: str, evidence: bool, named: DataFrame | None = None) -> DataFrame:
+    """Part-level columns of a line, of the products `named` by identity only, if given.
+    Name evidence is computed here, once per part."""
+    parts = _named_parts(spark, folder)
+    if named is not None:
+        parts = parts.withColumn("identity", identity()).join(named.select("identity"), "identity", "left_semi").drop("identity")
+    parts = _search_names(parts)
+    return with_name_evidence(parts, "name", "evidence") if evidence else parts
 
 
 def _search_names(parts: DataFrame) -> DataFrame:
@@ -100,8 +106,9 @@ def line_id() -> Column:
 
 
 def raw_lines(spark: SparkSession, folder: str, evidence: bool = False, line: DataFrame | None = None,
-              chosen: DataFrame | None = None) -> DataFrame:
-    """Lines as a parser would hand them over, before the price model; of `chosen` receipts only, if given."""
+              chosen: DataFrame | None = None, named: DataFrame | None = None) -> DataFrame:
+    """Lines as a parser would hand them over, before the price model; of `chosen` receipts
+    and of the products `named` only, if given."""
     line = read(spark, folder, "lineitem") if line is None else line
     if chosen is not None:
         line = line.join(chosen.select(F.col("id").alias("l_orderkey")), "l_orderkey", "left_semi")
@@ -115,8 +122,7 @@ def raw_lines(spark: SparkSession, folder: str, evidence: bool = False, line: Da
         F.when(flag == "N", F.lit("parser")).otherwise(F.lit("derived")).alias("source"),
         F.when(flag == "N", "rule").when(flag == "A", "manual").otherwise("fallback").alias("category_source"),
         (flag == "R").alias("legacy"), (F.col("l_linestatus") == "O").alias("legacy_unknown"))
-    parts = products(spark, folder) if evidence else _search_names(_named_parts(spark, folder))
-    return line.join(parts, "p_partkey").drop("p_partkey")
+    return line.join(products(spark, folder, evidence, named), "p_partkey").drop("p_partkey")
 
 
 def sales(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,14 +132,15 @@ def sales(spark: SparkSession, folder: str) -> DataFrame:
         F.when(~F.col("legacy"), F.col("line_total")).alias("line_total"), "category", "category_source")
 
 
-def items(spark: SparkSession, folder: str, evidence: bool = False, chosen: DataFrame | None = None) -> DataFrame:
+def items(spark: SparkSession, folder: str, evidence: bool = False, chosen: DataFrame | None = None,
+          named: DataFrame | None = None) -> DataFrame:
     """Stored lines: parsed and derived ones carry a price model, legacy ones do not.
 
-    With `evidence` the name evidence computed per part stays attached. Of `chosen`
-    receipts only the lines are read on, before they are priced.
+    With `evidence` the name evidence computed per part stays attached. Of `chosen` receipts
+    or of the products `named` only the lines are read on, before they are priced.
     """
     no_size = F.lit(None).cast(AMOUNT)
-    df = derive_price(raw_lines(spark, folder, evidence=True, chosen=chosen), evidence="evidence", package_size=no_size,
+    df = derive_price(raw_lines(spark, folder, evidence=True, chosen=chosen, named=named), evidence="evidence", package_size=no_size,
                       package_unit=F.lit(None).cast("string"), source="source", out="d")
     legacy, unknown = F.col("legacy"), F.col("legacy_unknown")
 
