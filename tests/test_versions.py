@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tillroll.operators.snapshots import changed_buckets, checksums, sparse_diff, table_diff
+from tillroll.operators.snapshots import changed_buckets, checksums, sparse_diff, table_diff, tables_equal
 from tillroll.plans.quality import parser_examples
 
 SCHEMA = "receipt_id long, id long, name string, price int, note string"
@@ -74,3 +74,17 @@ def test_examples_are_the_first_lines_of_a_class(spark):
         want = sorted((r, i, n or "") for r, i, n in rows if classes[n] == label)[:4]
         assert [(r.receipt_id, r.id, r.name) for r in sorted(got, key=lambda r: r["rank"]) if r.contamination == label] == want
     assert parser_examples(spark.createDataFrame([], "receipt_id long, id long, name string")).count() == 0
+
+
+def test_versions_are_counted_as_by_multiset_difference_in_one_shuffle(spark):
+    rng = random.Random(7)
+    old = [r for r in lines(60) for _ in range(rng.randint(1, 3))] + [(None, 1, None, None, "x"), (None, 1, None, None, None)]
+    new = [r for r in lines(70) for _ in range(rng.randint(0, 3))] + [(None, 1, "x", None, None)]
+    before, after = version(spark, old), version(spark, new)
+    found = tables_equal(before, after)
+    assert [tuple(r) for r in found.collect()] == [(before.exceptAll(after).count(), after.exceptAll(before).count())]
+    assert [tuple(r) for r in tables_equal(before, before).collect()] == [(0, 0)]
+    assert [tuple(r) for r in tables_equal(before.limit(0), after.limit(0)).collect()] == [(0, 0)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    # what moves is two digests and a count, never a name or a note
+    assert plan.count("hashpartitioning") == 1 and "name" not in plan.split("hashpartitioning")[1].split(")")[0]

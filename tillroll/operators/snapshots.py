@@ -33,7 +33,7 @@ def table_diff(before: DataFrame, after: DataFrame, key: list[str] = LINE_KEY) -
     return rows.where((F.col("status") != "changed") | (F.size("changed_fields") > 0))
 
 
-def _fold(columns: list[str], salt: int) -> Column:
+def row_digest(columns: list[str], salt: int) -> Column:
     """64-bit digest of the columns; which of them are NULL counts, as a hash alone passes over NULL."""
     nulls = F.concat(F.lit(str(salt)), *[F.col(c).isNull().cast("string") for c in columns])
     return F.xxhash64(nulls, *columns)
@@ -48,7 +48,7 @@ def checksums(version: DataFrame, key: list[str] = LINE_KEY, buckets: int = BUCK
     """
     columns = sorted(version.columns)
     halves = [half for digest in ("_a", "_b") for half in (F.shiftright(digest, 32), F.col(digest).bitwiseAND(0xFFFFFFFF))]
-    rows = version.select(_bucket(key, buckets).alias("bucket"), _fold(columns, 1).alias("_a"), _fold(columns, 2).alias("_b"))
+    rows = version.select(_bucket(key, buckets).alias("bucket"), row_digest(columns, 1).alias("_a"), row_digest(columns, 2).alias("_b"))
     return rows.groupBy("bucket").agg(F.count("*").alias("n"), *[F.sum(h.cast("long")).alias(c) for h, c in zip(halves, "abcd")])
 
 
@@ -81,9 +81,16 @@ def sparse_diff(before: DataFrame, after: DataFrame, key: list[str] = LINE_KEY,
 
 
 def tables_equal(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Rows on one side only, counted; both zero means equal, duplicates included."""
-    return before.exceptAll(after).agg(F.count("*").alias("missing")).withColumn(
-        "added", after.exceptAll(before).agg(F.count("*")).scalar())
+    """Rows on one side only, counted; both zero means equal, duplicates included.
+
+    Both versions are counted by two digests of whole rows in one shuffle, so a row moves as
+    two numbers; the result is exact but for collisions of 128 bits.
+    """
+    fields = [f"_{i}" for i in range(len(before.columns))]
+    rows = before.toDF(*fields).withColumn("side", F.lit(1)).union(after.toDF(*fields).withColumn("side", F.lit(-1)))
+    more = rows.select(row_digest(fields, 1).alias("a"), row_digest(fields, 2).alias("b"), "side").groupBy("a", "b").agg(F.sum("side").alias("more"))
+    side = lambda n: F.coalesce(F.sum(F.greatest(n, F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"))
+    return more.agg(side(F.col("more")).alias("missing"), side(-F.col("more")).alias("added"))
 
 
 def diff_violations(diff: DataFrame, plan: DataFrame, allowed: list[str], key: list[str] = LINE_KEY) -> DataFrame:
