@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from test_prices import FIELDS, row
+from test_spellings import keys_follow_distinct
 from tillroll import vocabulary as V
 from tillroll.functions.price import units_comparable
 from tillroll.operators.snapshots import diff_violations, table_diff
@@ -138,3 +139,17 @@ def test_manifest_states_are_compared_null_safe_and_violations_refused(spark):
     late = rules.withColumn("source", F.lit("other"))
     assert [tuple(r) for r in maintenance.migration_drift(items, late, lines, changes).collect()] == [("rule", "piens 1000ml")]
     assert maintenance.migration_apply(items, late, lines, changes, "2001-01-01 00:00:00")[1].first().category == "a"
+
+
+def test_states_of_many_lines_of_one_spelling_take_one_key_each(spark):
+    schema = "receipt_id long, id long, name string, normalized_name string, canonical_name string, category string"
+    rows = [(i, 1, "Piens 1L" if i % 3 else "Maize", None if i % 2 else "piens", None if i % 5 else "Piens A", "a" if i % 4 else None) for i in range(240)]
+    states = {r.identity: r for r in maintenance.identity_states(spark.createDataFrame(rows, schema)).collect()}
+    counts = {}
+    for _, _, name, _, canonical, category in rows:
+        product = counts.setdefault(canonical or name, {})
+        product[category or ""] = product.get(category or "", 0) + 1
+    assert {k: (r.identity_row_count, r.current_categories, r.item_exception_count) for k, r in states.items()} == {
+        k: (sum(c.values()), "|".join(f"{x}:{c[x]}" for x in sorted(c)), sum(c.values()) - max(c.values())) for k, c in counts.items()}
+    # the key is made above an aggregation, not line by line
+    assert keys_follow_distinct(maintenance.alias_keys(spark.createDataFrame(rows, schema)))

@@ -11,10 +11,11 @@ from tillroll import vocabulary as V
 from tillroll.functions.categories import classify_names, write_label
 from tillroll.functions.columns import not_blank, parse_decimal, settled
 from tillroll.functions.evidence import arithmetic_mismatch, with_correctability, with_ineligibility
-from tillroll.functions.identity import identity, product_key
+from tillroll.functions.identity import SPELLING, identity, product_key
 from tillroll.functions.names import is_valid_item_name, normalize
 from tillroll.functions.price import derive_price
 from tillroll.operators.snapshots import LINE_KEY
+from tillroll.session import stored
 
 # --- fixed values: fields of the price model and their handling ---------------------------
 VALUE_FIELDS = ["line_total", "unit_price", "quantity_unit", "package_size", "package_unit",
@@ -302,21 +303,22 @@ def identity_states(items: DataFrame) -> DataFrame:
     """Per product the facts a manifest row states: counts, histogram text, modal label, keys.
 
     The modal label is the most frequent one, of equally frequent ones the first by name.
+    Lines are counted once by spelling and label; all else is read from these counts.
     """
-    lines = _labelled(items)
-    counts = lines.groupBy("identity", "category").agg(F.count("*").alias("n"))
+    lines = stored(_labelled(items.groupBy(*SPELLING, "category").agg(F.count("*").alias("n")), "n"))
+    counts = lines.groupBy("identity", "category").agg(F.sum("n").alias("n"))
     histogram = counts.groupBy("identity").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("category", "n"))),
                                  lambda c: F.concat_ws(":", c["category"], c["n"].cast("string"))), "|").alias("current_categories"),
         F.sum("n").alias("identity_row_count"), F.min(F.struct((-F.col("n")).alias("less"), "category")).alias("_top"))
     keys = lines.groupBy("identity").agg(F.min("key").alias("key"), F.max("key").alias("key_b"))
-    scope = lines.groupBy("key").agg(F.count("*").alias("rule_scope_rows"), F.countDistinct("identity").alias("shared_product_key_identity_count"))
+    scope = lines.groupBy("key").agg(F.sum("n").alias("rule_scope_rows"), F.countDistinct("identity").alias("shared_product_key_identity_count"))
     return histogram.join(keys, "identity").join(scope, "key").withColumns({
         "modal_category": F.col("_top.category"), "item_exception_count": F.col("identity_row_count") + F.col("_top.less")}).drop("_top")
 
 
-def _labelled(items: DataFrame) -> DataFrame:
-    return items.select(*LINE_KEY, identity().alias("identity"), product_key().alias("key"),
+def _labelled(items: DataFrame, *keep: str) -> DataFrame:
+    return items.select(*keep, identity().alias("identity"), product_key().alias("key"),
                         F.coalesce("category", F.lit("")).alias("category"))
 
 
@@ -327,14 +329,14 @@ def line_name(receipt: str = "receipt_id", line: str = "id") -> Column:
 
 def exception_lines(items: DataFrame, states: DataFrame) -> DataFrame:
     """(identity, value): the lines whose label is not their product's modal one, one row each."""
-    return _labelled(items).join(states.select("identity", "modal_category"), "identity").where(
+    return _labelled(items, *LINE_KEY).join(states.select("identity", "modal_category"), "identity").where(
         "category != modal_category").select("identity", line_name().alias("value"))
 
 
 def alias_keys(items: DataFrame) -> DataFrame:
     """(identity, value): the keys a product's stored spellings have."""
-    return items.select(identity().alias("identity"), F.when(not_blank(F.col("normalized_name")), F.trim("normalized_name")).otherwise(
-        normalize(F.col("name"))).alias("value")).distinct()
+    value = F.when(not_blank(F.col("normalized_name")), F.trim("normalized_name")).otherwise(normalize(F.col("name")))
+    return items.select(*SPELLING).distinct().select(identity().alias("identity"), settled(value).alias("value")).distinct()
 
 
 def migration_violations(items: DataFrame, rules: DataFrame, manifest: DataFrame) -> DataFrame:
