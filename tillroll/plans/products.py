@@ -10,6 +10,7 @@ from tillroll.functions.columns import not_blank
 from tillroll.functions.identity import identity
 from tillroll.functions.names import features, fold_diacritics, multipack, normalize, significant_tokens, variants
 from tillroll.functions.similarity import ORDERED, similar_pairs
+from tillroll.operators.snapshots import row_digest
 from tillroll.session import stored
 
 
@@ -57,13 +58,21 @@ def name_features(names: DataFrame) -> DataFrame:
 
 
 def catalogue(items: DataFrame, text: str = "") -> DataFrame:
-    """Distinct spellings of products with counts."""
+    """Distinct spellings of products with counts.
+
+    Receipts are counted by a digest of the spelling and its texts once per spelling, so a line
+    moves as three numbers; exact but for collisions of 128 bits.
+    """
     lines = items.withColumn("identity", identity())
     if text:
         lines = lines.where(matches(text, "identity", "name", "normalized_name"))
-    return lines.groupBy("name", F.coalesce("normalized_name", F.lit("")).alias("normalized_name"), "identity",
-                         F.nullif(F.col("category"), F.lit("")).alias("category")).agg(
-        F.count("*").alias("item_count"), F.countDistinct("receipt_id").alias("receipt_count"))
+    spelling = ["name", "normalized_name", "identity", "category"]
+    lines = lines.select("name", F.coalesce("normalized_name", F.lit("")).alias("normalized_name"), "identity",
+                         F.nullif(F.col("category"), F.lit("")).alias("category"), "receipt_id")
+    digests = [row_digest(spelling, salt).alias(name) for salt, name in ((1, "_a"), (2, "_b"))]
+    texts = lines.groupBy(*spelling).agg(F.count("*").alias("item_count")).select("*", *digests)
+    receipts = lines.select(*digests, "receipt_id").groupBy("_a", "_b").agg(F.countDistinct("receipt_id").alias("receipt_count"))
+    return texts.join(receipts, ["_a", "_b"]).drop("_a", "_b")
 
 
 def with_match_features(products: DataFrame) -> DataFrame:
