@@ -65,3 +65,21 @@ def test_text_longer_than_a_piece(monkeypatch, spark):
 
 def test_empty_table(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_levels_are_merged_only_for_a_next_batch(monkeypatch, spark):
+    wrote = []
+    monkeypatch.setattr(repeats, "written", lambda df: wrote.append(df) or df)
+    family = repeats.Family()
+    for keys in ([1, 2, 2, 3], [3, 4], [5, 5, 1], [6, 4, 7]):
+        family.add(spark.createDataFrame([(k,) for k in keys], "key long"))
+    assert len(wrote) == 5  # four batches, and the first two merged for the third
+    assert sorted(r.key for r in family.repeated().collect()) == [1, 2, 3, 4, 5]
+
+
+def test_texts_move_compressed():
+    import pyarrow as pa
+    texts = ["", "one two " * 500, "ā\x00"]
+    out = next(repeats._packed(iter([pa.RecordBatch.from_arrays([pa.array([1, None, 3]), pa.array([4, 5, 6]), pa.array(texts)], names=["id", "check", "text"])])))
+    assert [repeats.decompress(p).decode() for p in out.column(2).to_pylist()] == texts
+    assert out.column(2).nbytes < 200 and out.column(0).to_pylist() == [1, None, 3]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import partial
 from hashlib import sha256
+from zlib import compress, decompress
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The corpus is added in batches to a family of tables of prefix digests, which finds the
     prefixes that stand more than once. Entries with such a prefix are compared as wholes; where
-    one prefix has several contexts, their strings are compared one by one.
+    one prefix has several contexts, their strings are compared one by one. Whole texts move compressed.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     rows = rows.select("id", F.xxhash64("text").alias("check"), "text")
@@ -121,7 +122,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     known = whole.union(open_).groupBy("id", "check").agg(F.collect_list(F.struct("first", "shape", "contexts", "single", "key")).alias("runs"))
     known = known.select(F.col("id").alias("of"), F.col("check").alias("of_check"), "runs")
     same = F.col("id").eqNullSafe(F.col("of")) & (F.col("check") == F.col("of_check"))
-    judged = written(rows.join(known, same, "left").select("id", "check", "text", "runs").mapInArrow(partial(_judged, length=length), _judged_type(rows)))
+    packed = rows.mapInArrow(_packed, T.StructType([rows.schema["id"], T.StructField("check", T.LongType()), T.StructField("packed", T.BinaryType())]))
+    judged = written(packed.join(known, same, "left").select("id", "check", "packed", "runs").mapInArrow(partial(_judged, length=length), _judged_type(rows)))
     more = _resolved(judged.filter("kind = 'context'"), length, group_limit)
     more = more.groupBy("id", "check").agg(F.collect_list(F.struct("first", "last")).alias("strings")).select(
         F.col("id").alias("of"), F.col("check").alias("of_check"), "strings")
@@ -137,23 +139,24 @@ RESULT = [T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.L
 
 
 class Family:
-    """Counts of prefix digests in levels of doubling size, as tables."""
+    """Counts of prefix digests in levels of doubling size, as tables.
+
+    Levels of equal rank are merged when the next batch comes; after the last one no join needs it.
+    """
 
     def __init__(self):
         self.levels: list[tuple[int, DataFrame]] = []
         self.found: list[DataFrame] = []
 
     def add(self, keys: DataFrame) -> None:
-        """Count a batch by digest, join it with every level, then merge levels of equal rank."""
+        """Merge levels of equal rank, count a batch by digest and join it with every level."""
+        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
+            (rank, level), (_, other) = self.levels.pop(), self.levels.pop()
+            self.levels.append((rank + 1, written(level.union(other).groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"))))
         level = written(keys.groupBy("key").agg(F.count("*").alias("n")).sortWithinPartitions("key"))
         self.found.append(level.filter("n > 1").select("key"))
         self.found += [level.join(other.select("key"), "key").select("key") for _, other in self.levels]
-        rank = 0
-        while self.levels and self.levels[-1][0] == rank:
-            _, other = self.levels.pop()
-            level = written(level.union(other).groupBy("key").agg(F.sum("n").alias("n")).sortWithinPartitions("key"))
-            rank += 1
-        self.levels.append((rank, level))
+        self.levels.append((0, level))
 
     def repeated(self) -> DataFrame:
         """Keys that stood more than once, in a batch or across batches."""
@@ -194,7 +197,7 @@ def _entry_batch(batch: pa.RecordBatch, held: list, names: list[str]) -> pa.Reco
 
 
 def _judged_type(rows: DataFrame) -> T.StructType:
-    """Finished rows, texts that wait for their open contexts, and the contexts, in one table."""
+    """Finished rows, compressed texts that wait for their open contexts, and the contexts, in one table."""
     return T.StructType([
         T.StructField("kind", T.StringType()), rows.schema["id"], T.StructField("check", T.LongType()), *RESULT,
         T.StructField("raw", T.BinaryType()), T.StructField("covered", T.ArrayType(T.LongType())), T.StructField("key", T.LongType()),
@@ -211,6 +214,13 @@ def cut(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[int, int, int
     return len(raw), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(raw) else 0, sha256(left).hexdigest()
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, as they are shuffled whole."""
+    for batch in batches:
+        packed = [compress(text, 1) for text in raw_texts(batch.column(2))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["id", "check", "packed"])
+
+
 def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 512):
@@ -220,13 +230,13 @@ def _judged(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 def _judged_part(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
     kind, row, result, raw, covered, context = [], [], [], [], [], []
-    texts, runs = raw_texts(part.column(2)), part.column(3)
+    packed, runs = part.column(2).to_pylist(), part.column(3)
     sizes = np.diff(runs.offsets.to_numpy())
     flat = {f.name: runs.flatten().field(f.name) for f in runs.type.value_type}
     first, shape, contexts, single, key = (flat[c].to_numpy(zero_copy_only=False) for c in ("first", "shape", "contexts", "single", "key"))
     valid = runs.is_valid().to_numpy(zero_copy_only=False)
     cuts = np.r_[0, np.cumsum(np.where(valid, sizes, 0))]
-    for i, text in enumerate(texts):
+    for i, text in enumerate(map(decompress, packed)):
         own = slice(cuts[i], cuts[i + 1])
         whole = contexts[own] == 0
         start = first[own][whole]
@@ -235,7 +245,7 @@ def _judged_part(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
         kind.append("open" if waits else "done")
         row.append(i)
         result.append((None,) * 4 if waits else cut(text, start, end))
-        raw.append(text if waits else None)
+        raw.append(packed[i] if waits else None)
         covered.append(np.stack([start, end], axis=1).reshape(-1).tolist() if waits else None)
         context.append((None,) * 5)
         for j in np.flatnonzero(~whole) + cuts[i]:
@@ -355,7 +365,7 @@ def _finished(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Rec
             pairs = np.array(covered, np.int64).reshape(-1, 2)
             more = np.array([(s["first"], s["last"] + length) for s in strings or ()], np.int64).reshape(-1, 2)
             pairs = np.concatenate([pairs, more])
-            out.append(cut(raw, pairs[:, 0], pairs[:, 1]))
+            out.append(cut(decompress(raw), pairs[:, 0], pairs[:, 1]))
         columns = list(zip(*out))
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
                                          names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
