@@ -69,3 +69,12 @@ def test_stage_keeps_clean_documents(spark, tmp_path):
     # an id all of whose rows are clean by brute force
     hit = {row[0] for row in brute(DOCS, ITEMS) if row[-1]}
     assert sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _ in DOCS if d not in hit) == [2, 3, 6, 7, 8]
+
+
+def test_stage_does_not_move_texts_for_few_hits(spark, tmp_path):
+    docs, items = frames(spark, DOCS, ITEMS)
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    kept = decontamination.keep_clean(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan, plan

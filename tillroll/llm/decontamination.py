@@ -123,7 +123,8 @@ def keep_clean(spark, docs: DataFrame, folder: str) -> DataFrame:
     without an id are judged together in the same way.
     """
     hit = contamination(docs.select("doc_id", "text"), table(spark, folder, "benchmark")).filter("contaminated")
-    hit = hit.select(F.col("doc_id").alias("gone")).distinct()
+    # written, so that its size is known: texts are not shuffled for a few hits
+    hit = written(hit.select(F.col("doc_id").alias("gone")).distinct())
     return docs.join(hit, docs.doc_id.eqNullSafe(hit.gone), "left_anti")
 
 
