@@ -1,6 +1,7 @@
 """Keys are made once per spelling, and lines are still all counted."""
 
 from tillroll.plans import products, quality
+from tillroll.session import stored
 
 SCHEMA = "receipt_id long, name string, normalized_name string, canonical_name string, category string, category_source string, store string"
 ROWS = [(i % 7 if i % 11 else None, "Piens 1L" if i % 3 else "Maize 2kg", None if i % 2 else " ", None if i % 5 else "Piens A",
@@ -34,3 +35,25 @@ def test_catalogue_counts_lines_and_receipts_without_moving_texts_per_line(spark
         k: (len(v), len({x for x in v if x is not None})) for k, v in want.items()}
     assert "name" not in next(p for p in counted._jdf.queryExecution().executedPlan().toString().split("hashpartitioning(")[1:]
                               if "receipt_id" in p.partition(")")[0]).partition(")")[0]
+
+
+def test_review_groups_count_lines_before_keys_and_receipts_by_digests(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(quality, "stored", lambda df: kept.append(df) or stored(df), raising=False)
+    rows = [(*r, r[3] or r[1], f"2020-01-{i % 28 + 1:02d}") for i, r in enumerate(ROWS)]
+    lines = spark.createDataFrame(rows, SCHEMA + ", identity string, date string")
+    rules = spark.createDataFrame([("maize 2000g",)], "product_key string")
+    groups = quality.review_groups(lines, rules)
+    per_line = [df for df in [*kept, groups] if "Expand" in (plan := df._jdf.queryExecution().optimizedPlan().toString())
+                or "regexp_replace" in plan and not keys_follow_distinct(df)]
+    assert [df.columns for df in per_line] == [groups.columns]  # labels, names and stores of counted spellings only
+    assert "regexp_replace" not in groups._jdf.queryExecution().optimizedPlan().toString()
+    want = {}
+    for receipt, name, normalized, canonical, category, source, store, *_, date in rows:
+        key = "piens a" if canonical else {"Piens 1L": "piens 1000ml", "Maize 2kg": "maize 2000g"}[name]
+        want.setdefault(key, []).append((receipt, name, store, category if category == "x" else "other", date))
+    distinct = lambda seen: len({x for x in seen if x is not None})
+    assert {r.product_key: (r.item_count, r.receipt_count, r.alias_count, r.store_count, r.conflict_count, r.last_date, r.has_rule)
+            for r in groups.collect()} == {
+        k: (len(v), *(distinct(x[i] for x in v) for i in (0, 1, 2)), distinct(x[3] for x in v) - 1, max(x[4] for x in v), k == "maize 2000g")
+        for k, v in want.items()}

@@ -15,6 +15,8 @@ from tillroll.functions.evidence import (
 from tillroll.functions.identity import SPELLING, product_key, trimmed_identity
 from tillroll.functions.names import normalize
 from tillroll.functions.receipts import with_contamination
+from tillroll.operators.snapshots import row_digest
+from tillroll.session import stored
 
 
 def price_quality(items: DataFrame) -> DataFrame:
@@ -95,20 +97,33 @@ def rank_actions(queue: DataFrame, limit: int = 5) -> DataFrame:
         "priority", F.desc("n")).limit(limit)
 
 
+def _digests(columns: list[str], names: tuple[str, str]) -> list[Column]:
+    return [row_digest(columns, salt).alias(name) for salt, name in enumerate(names, 1)]
+
+
 def review_groups(obs: DataFrame, rules: DataFrame, query: str = "") -> DataFrame:
     """Product groups with a category or name problem, as counts and flags.
 
     Nothing of unbounded size is collected; `review_values` lists the distinct values of
-    the groups in long form.
+    the groups in long form. Lines are counted by spelling, label, source and store first, and keys
+    made once per spelling. Receipts are counted by digests of spelling and key, so that a line moves
+    as numbers; exact but for collisions of 128 bits.
     """
     if query:
         text = f"%{query}%"
         obs = obs.where(F.col("identity").ilike(text) | F.col("name").ilike(text) | F.col("normalized_name").ilike(text))
     label = reporting_label(F.col("category"))
     source = F.coalesce("category_source", F.lit("rule"))
-    lines = obs.withColumns({"product_key": product_key(), "label": label, "source": source})
+    spelled = stored(obs.groupBy(*SPELLING, "category", "category_source", "store").agg(
+        F.min("identity").alias("identity"), F.count("*").alias("n"), F.max("date").alias("date")).select(
+        "*", *_digests(SPELLING, ("_a", "_b"))))
+    keyed = stored(spelled.select(*SPELLING, "_a", "_b").distinct().select(
+        "_a", "_b", settled(product_key()).alias("product_key")).select("*", *_digests(["product_key"], ("_k", "_l"))))
+    lines = spelled.join(keyed.select("_a", "_b", "product_key"), ["_a", "_b"]).withColumns({"label": label, "source": source})
+    receipts = obs.select(*_digests(SPELLING, ("_a", "_b")), "receipt_id").join(keyed.drop("product_key"), ["_a", "_b"]).groupBy(
+        "_k", "_l").agg(F.countDistinct("receipt_id").alias("receipt_count"))
     groups = lines.groupBy("product_key").agg(
-        F.min("identity").alias("display_name"), F.count("*").alias("item_count"), F.max("date").alias("last_date"),
+        F.min("identity").alias("display_name"), F.sum("n").alias("item_count"), F.max("date").alias("last_date"),
         F.min("label").alias("first_label"), F.bool_or(F.col("label") == V.UNRESOLVED).alias("unresolved"),
         F.bool_or(is_legacy(F.col("category"))).alias("legacy"),
         F.bool_or(F.col("source") == "fallback").alias("fallback"),
@@ -116,8 +131,9 @@ def review_groups(obs: DataFrame, rules: DataFrame, query: str = "") -> DataFram
         F.bool_or(F.coalesce(F.col("normalized_name") == "", F.lit(True))).alias("no_normalized_name"),
         F.bool_or(is_blank(F.col("category"))).alias("empty_category"),
         F.bool_or(F.coalesce(F.col("canonical_name") != "", F.lit(False))).alias("has_canonical_name"),
-        F.countDistinct("label").alias("label_count"), F.countDistinct("receipt_id").alias("receipt_count"), F.countDistinct("name").alias("alias_count"),
+        F.countDistinct("label").alias("label_count"), F.countDistinct("name").alias("alias_count"),
         F.countDistinct("store").alias("store_count"))
+    groups = groups.join(keyed.select("product_key", "_k", "_l").distinct().join(receipts, ["_k", "_l"]), "product_key")
     keys = rules.select("product_key", F.lit(True).alias("has_rule")).distinct()
     groups = groups.join(keys, "product_key", "left").withColumn(
         "has_rule", F.coalesce("has_rule", F.lit(False)))
