@@ -57,3 +57,10 @@ def test_review_groups_count_lines_before_keys_and_receipts_by_digests(spark, mo
             for r in groups.collect()} == {
         k: (len(v), *(distinct(x[i] for x in v) for i in (0, 1, 2)), distinct(x[3] for x in v) - 1, max(x[4] for x in v), k == "maize 2000g")
         for k, v in want.items()}
+
+
+def test_search_forms_are_tested_after_products_are_counted(spark):
+    lines = spark.createDataFrame(ROWS, SCHEMA)
+    found = products.with_match_features(products.catalogue(lines))
+    assert keys_follow_distinct(found)
+    assert found.count() == products.catalogue(lines).count()

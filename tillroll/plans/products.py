@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillroll import vocabulary as V
-from tillroll.functions.columns import not_blank
+from tillroll.functions.columns import not_blank, settled
 from tillroll.functions.identity import identity
 from tillroll.functions.names import features, fold_diacritics, multipack, normalize, significant_tokens, variants
 from tillroll.functions.similarity import ORDERED, similar_pairs
@@ -77,7 +77,8 @@ def catalogue(items: DataFrame, text: str = "") -> DataFrame:
 
 def with_match_features(products: DataFrame) -> DataFrame:
     normalized = F.when(F.col("normalized_name") != "", F.col("normalized_name")).otherwise(normalize(F.col("name")))
-    df = products.withColumn("normalized", normalized).where("normalized != ''")
+    # settled, as Spark moves a test of grouped columns below the aggregation, to parts and lines
+    df = products.withColumn("normalized", settled(normalized)).where("normalized != ''")
     df = df.withColumn("folded", fold_diacritics(F.col("name")))
     df = df.withColumn("comparison", normalize(F.col("folded")))
     df = df.withColumn("comparison", F.when(F.col("comparison") != "", F.col("comparison")).otherwise(F.col("normalized")))
