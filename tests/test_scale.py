@@ -49,3 +49,19 @@ def test_cheap_looks_at_a_text_lose_no_match(spark):
     issues = {"lKg": "ocr_lkg", "5 M1": "ocr_m1", "1, 50 Kg": "unsafe_decimal_corruption", "Piens 1L": None}
     rows = spark.createDataFrame([(n,) for n in issues], "name string").select("name", name_issue(F.col("name")).alias("i")).collect()
     assert {r.name: r.i for r in rows} == issues
+
+
+def test_lines_are_priced_without_the_warnings_that_none_reads(spark, tmp_path):
+    rows = [("Piens 1L", Decimal(q), Decimal(t), u and Decimal(u), unit, None, None, source) for q, t, u, unit, source in [
+        (2, "3.00", None, "gab", "parser"), (2, "3.00", "1.20", "gab", "parser"), (2, "3.00", "1.50", None, "derived"), (0, "3.00", "1.50", "kg", "parser")]]
+    df = spark.createDataFrame(rows, LINE)
+    whole = [r.derived.asDict() for r in derive_price(df).collect()]
+    lean = [r.derived.asDict() for r in derive_price(df, warnings=False).collect()]
+    assert [{k: v for k, v in r.items() if k != "warnings"} for r in whole] == lean
+    assert [("line_total_unit_price_mismatch" in r["warnings"], r["confidence"]) for r in whole] == [
+        (False, Decimal("0.95")), (True, Decimal("0.70")), (False, Decimal("0.85")), (False, Decimal("0.95"))]
+    for table, row in {"lineitem": "1L l_orderkey, 1L l_partkey, 1L l_suppkey, 1 l_linenumber, 2D l_quantity, 3D l_extendedprice, 'N' l_returnflag, 'O' l_linestatus, timestamp'1998-01-01' l_shipdate",
+                       "part": "1L p_partkey, 'a' p_name, 'Brand#1' p_brand, 'LARGE' p_type, 1 p_size"}.items():
+        spark.sql(f"SELECT {row}").write.parquet(str(tmp_path / f"{table}.parquet"))
+    plan = tables.items(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "unknown_quantity_unit" not in plan
