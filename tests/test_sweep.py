@@ -1,9 +1,12 @@
 import json
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 
 from tillroll.schema import RULES_DDL
 from tillroll.sources import ingest
+from tillroll.streaming import jobs
 from tillroll.streaming.jobs import document_stream, sweep, sweep_session
 
 TEXT = "MAXIMA\nPiens {i}L\n{i},00 X 1 gab. {i},00 A\n01.02.2026"
@@ -68,6 +71,71 @@ def test_marks_go_after_their_time(session, tmp_path):
     assert totals == [("a", 1.0), ("a", 3.0), ("x", 2.0)]
 
 
+class Handle:
+    """State and timers of one key, with the calls counted."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return self
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):  # noqa: N802
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def swept(marks, numbers, now=0):
+    parts = iter([pd.DataFrame({"receipt_number": numbers[k::2], "body": [f"{n}!" for n in numbers[k::2]]}) for k in (0, 1)])
+    out = list(marks.handleInputRows((3,), parts, SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now)))
+    return sorted(n for df in out for n in df["receipt_number"])
+
+
+def test_calls_of_a_batch_do_not_grow_with_its_numbers():
+    """A call crosses from Python to Spark; the marks of a bucket are one value."""
+    for retain_ms in (None, 10):
+        handle, marks = Handle(), jobs.FirstDocuments(retain_ms)
+        marks.init(handle)
+        numbers = [f"r{i}" for i in range(1000)]
+        assert swept(marks, numbers + numbers[:10]) == sorted(numbers) and handle.calls <= 4
+        assert swept(marks, [*numbers[::2], "new"], 5) == ["new"] and handle.calls <= 10
+
+
+def test_marks_of_a_bucket_go_one_by_one():
+    """Each mark goes so long after its own number was last seen, whatever else is in the bucket."""
+    handle, marks = Handle(), jobs.FirstDocuments(10)
+    marks.init(handle)
+    assert swept(marks, ["a", "b"], 0) == ["a", "b"] and swept(marks, ["b", "c"], 6) == ["c"] and handle.timers == {10}
+
+    def fire(now):
+        due, = handle.timers
+        assert list(marks.handleExpiredTimer((3,), SimpleNamespace(getCurrentProcessingTimeInMs=lambda: now), SimpleNamespace(getExpiryTimeInMs=lambda: due))) == []
+        handle.timers.remove(due)  # as Spark does
+
+    fire(12)
+    assert handle.timers == {16} and swept(marks, ["a", "b", "c"], 13) == ["a"] and handle.timers == {23}
+    fire(30)
+    assert handle.timers == set() and handle.value is None and swept(marks, ["b"], 31) == ["b"]
+
+
 def test_load_counts_refuses_faults_and_existing_targets(spark, tmp_path):
     receipt = {"date": "2026-01-01", "store": "A", "total": 2.5, "receipt_number": "n1", "items": [{"name": "Piens 1L", "quantity": 1, "price": 2.5}, {"name": "Maize"}]}
     source, target = tmp_path / "in", str(tmp_path / "out")
