@@ -159,3 +159,20 @@ def test_publish_refuses_violations(spark, tmp_path):
     with pytest.raises(ValueError):
         publish.publish(spark.range(2), root, lambda old, new: old.join(new, "id", "left_anti"))
     assert publish.current_version(spark, root) == 2 and publish.read_version(spark, root).count() == 4
+
+
+def test_documents_are_read_once(spark):
+    """Receipts, lines and names of lines come from one reading, as parsing is the work."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(day: str) -> str:
+        seen.add(1)
+        return day
+
+    lines = "array<struct<line_no: bigint, name: string, quantity: decimal(18,4), quantity_unit: string, unit_price: decimal(18,4), price: decimal(14,2)>>"
+    parsed = spark.createDataFrame([(f"r{i % 4}", "2026-01-01", "A", Decimal(i), [(1, f"Piens {i}L", Decimal(1), "piece", Decimal(i), Decimal(i))]) for i in range(1, 6)],
+                                   f"receipt_number string, date string, store string, total decimal(14,2), items {lines}")
+    documents = parsed.withColumn("date", F.udf(counted, "string")("date"))
+    receipts, items = ingest.ingest(documents, empty(spark, RECEIPTS_DDL), empty(spark, RULES_DDL), F.lit("parser"))
+    assert sorted((r.receipt_number, int(r.total)) for r in receipts.collect()) == [("r0", 4), ("r1", 1), ("r2", 2), ("r3", 3)]
+    assert sorted(r.name for r in items.collect()) == ["Piens 1L", "Piens 2L", "Piens 3L", "Piens 4L"] and seen.value == 5

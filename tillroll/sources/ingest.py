@@ -143,9 +143,10 @@ def ingest(documents: DataFrame, existing: DataFrame, rules: DataFrame, source:
     """New receipts and their enriched lines. Running it again on its own output adds nothing.
 
     `documents` holds receipt_number, date, store, total and items (array of lines);
-    `source` says where the unit of a line came from, if the lines do not.
+    `source` says where the unit of a line came from, if the lines do not. The new documents are
+    written once, as receipts, names and lines are read from them; `documents` are read only for that.
     """
-    fresh = new_documents(documents, existing)
+    fresh = stored(new_documents(documents, existing))
     lines = fresh.select("receipt_number", F.col("id").alias("receipt_id"), F.explode("items").alias("i")).select(
         "receipt_number", "receipt_id", "i.*")
     items = enrich(lines if source is None else lines.withColumn("source", source), rules).withColumn("id", F.col("line_no"))

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from tillroll.session import stored
 from tillroll.sources.ingest import enrich, ingest
 from tillroll.sources.receipt_text import ITEM, file_stem, parse_documents, parsed_documents
 from tillroll.schema import RECEIPTS_DDL
@@ -36,7 +35,7 @@ def ingest_stream(documents: DataFrame, target: str, rules: DataFrame, checkpoin
     spark.createDataFrame([], RECEIPTS_DDL).write.mode("append").parquet(f"{target}/receipts/batch=-1")
 
     def load(batch: DataFrame, number: int) -> None:
-        parsed = stored(parse_documents(batch))
+        parsed = parse_documents(batch)
         known = spark.read.parquet(f"{target}/receipts").where(F.col("batch") != number).drop("batch")
         receipts, items = ingest(parsed_documents(parsed), known, rules,
                                  F.when(F.col("quantity_unit") != "unknown", "parser").otherwise("derived"))
@@ -141,7 +140,7 @@ def sweep(documents: DataFrame, target: str, rules: DataFrame, checkpoint: str,
         FirstDocuments(retain_ms), "receipt_number string, body string", "append", "processingTime" if retain_ms is not None else "None")
 
     def load(batch: DataFrame, number: int) -> None:
-        fresh = stored(batch.select("receipt_number", F.from_json("body", BODY).alias("d")).select("receipt_number", "d.*"))
+        fresh = batch.select("receipt_number", F.from_json("body", BODY).alias("d")).select("receipt_number", "d.*")
         none = spark.createDataFrame([], RECEIPTS_DDL)
         receipts, items = ingest(fresh, none, rules, F.when(F.col("quantity_unit") != "unknown", "parser").otherwise("derived"))
         items.write.mode("overwrite").parquet(f"{target}/items/batch={number}")
