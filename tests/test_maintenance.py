@@ -82,6 +82,19 @@ def test_strong_evidence_is_not_corrected(spark):
     assert maintenance.correction_previews(df, proposal).first().error == "not_correctable:stronger_evidence_exists"
 
 
+def test_only_proposed_lines_are_joined_to_their_receipt(spark):
+    """Each proposal of a line gives a row; the planner finds the lines before store and date are added."""
+    df = items(spark, [row(i, 3, name="Siers", price_parse_confidence=Decimal("0.70"), price_parse_source="inferred_piece", package_size=None, package_unit="unknown")
+                       for i in (1, 2, 3)])
+    lines = df.drop("date", "store").join(df.select("receipt_id", "date", "store").dropDuplicates(["receipt_id"]), "receipt_id")
+    proposals = spark.createDataFrame([(1, 1, "piece", "250", "g"), (1, 1, "piece", "x", "g"), (9, 9, "piece", "250", "g"), (None, 1, "piece", "250", "g")],
+                                      "receipt_id long, id long, quantity_unit string, package_size string, package_unit string")
+    out = maintenance.correction_previews(lines, proposals)
+    joins = [kind for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() for kind in ("Inner", "LeftSemi") if f"Join {kind}," in line]
+    assert joins == ["Inner", "Inner", "LeftSemi"]
+    assert sorted((r.receipt_id, r.id, r.error or "") for r in out.collect()) == [(1, 1, ""), (1, 1, "package_size_not_a_number")]
+
+
 def test_repair_reaches_a_fixed_point(spark):
     df = items(spark, [row(1, 10, unit_price=Decimal(12)), row(2, 10, unit_price=Decimal(12), name="Siers 2x1kg"), row(3, 10)])
     repair = maintenance.arithmetic_repair(df)

@@ -206,12 +206,14 @@ def correction_previews(items: DataFrame, proposals: DataFrame) -> DataFrame:
     """Every proposal against its line: an error code, or the projected price fields.
 
     Items carry store and date. Proposals have receipt_id, id and the proposed
-    quantity_unit, package_size (text) and package_unit.
+    quantity_unit, package_size (text) and package_unit; they are written once. The lines they
+    name are found by a semi-join, which the planner moves below the join that added store and
+    date, so other lines are not moved for it.
     """
-    wanted = proposals.select(*LINE_KEY, F.trim(F.coalesce("quantity_unit", F.lit(""))).alias("p_unit"),
+    wanted = stored(proposals.select(*LINE_KEY, F.trim(F.coalesce("quantity_unit", F.lit(""))).alias("p_unit"),
                               F.nullif(F.trim(F.col("package_size").cast("string")), F.lit("")).alias("p_text"),
-                              F.trim(F.coalesce(F.nullif(F.col("package_unit"), F.lit("")), F.lit("unknown"))).alias("p_base"))
-    lines = items.join(wanted, LINE_KEY)
+                              F.trim(F.coalesce(F.nullif(F.col("package_unit"), F.lit("")), F.lit("unknown"))).alias("p_base")))
+    lines = items.join(wanted.select(*LINE_KEY), LINE_KEY, "left_semi").join(wanted, LINE_KEY)
     columns = lines.columns
     lines = with_correctability(lines).withColumn("p_size", parse_decimal(F.col("p_text")))
     lines = derive_price(lines, unit="p_unit", package_size="p_size", package_unit="p_base",
